@@ -185,7 +185,7 @@ def parse_label_block(c: Column) -> Column:
     lines = F.split(py_strip(c), _LINE_SPLIT)
 
     def last(pred) -> Column:
-        return _value_after_colon(F.element_at(F.filter(lines, pred), -1))
+        return _value_after_colon(F.try_element_at(F.filter(lines, pred), F.lit(-1)))
 
     def has(line, word):
         return F.lower(line).contains(word)
@@ -201,8 +201,8 @@ def parse_label_block_strict(c: Column) -> Column:
     lines = F.split(py_strip(c), _LINE_SPLIT)
 
     def last(word) -> Column:
-        return _value_after_colon(F.element_at(
-            F.filter(lines, lambda l: F.lower(py_strip(l)).startswith(word)), -1))
+        return _value_after_colon(F.try_element_at(
+            F.filter(lines, lambda l: F.lower(py_strip(l)).startswith(word)), F.lit(-1)))
 
     return F.struct(last("label").alias("label"), last("confidence").alias("confidence"),
                     last("reasoning").alias("reasoning"))

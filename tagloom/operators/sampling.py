@@ -36,13 +36,14 @@ def md5_rank_key(seed, *parts: Column) -> Column:
 
 
 def top_n_per_group(df: DataFrame, group_cols: list[str], order: list[Column], n, rank_col: str = "rank",
-                    salts: int = DEFAULT_SALTS) -> DataFrame:
+                    salts: int = DEFAULT_SALTS, salt_cols: list[str] | None = None) -> DataFrame:
     """Rows ranked 1..n per group by ``order`` (exact; hot groups are salted).
 
-    ``n`` may be an int or a Column (per-group limit).
+    ``n`` may be an int or a Column (per-group limit). The salt is a hash of
+    ``salt_cols`` (default: all columns), so it is the same on a retry.
     """
     n_col = n if isinstance(n, Column) else F.lit(n)
-    salt = F.pmod(F.xxhash64(*order), F.lit(salts))
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in (salt_cols or df.columns)]), F.lit(salts))
     w1 = Window.partitionBy(*group_cols, "_salt").orderBy(*order)
     stage1 = (df.withColumn("_salt", salt)
               .withColumn("_r1", F.row_number().over(w1))

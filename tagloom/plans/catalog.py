@@ -614,3 +614,425 @@ def q_uncertain_top_k(spark, sf):
 
 def entry_flagship(spark: SparkSession, sf: str) -> DataFrame:
     return q_keyword_match(spark, sf)
+
+
+# ===========================================================================
+# thread sheets, subsets, lookups, resume, upsert
+# ===========================================================================
+
+from ..operators import parsing as PA  # noqa: E402
+from ..operators import spans as SP  # noqa: E402
+from ..operators import subsets as SU  # noqa: E402
+from ..operators import threads as TH  # noqa: E402
+
+_STRIP_SQL = r"regexp_replace({x}, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g')"
+
+
+def _strip(x: str) -> str:
+    return _STRIP_SQL.format(x=x)
+
+
+@query("match_by_row", f"""WITH {Q.SHEET},
+cells AS (
+  SELECT file, row, 'title' AS col, CAST(post_id AS VARCHAR) AS id_key, title AS text FROM sheet
+  UNION ALL SELECT file, row, 'post_text', CAST(post_id AS VARCHAR), post_text FROM sheet
+  UNION ALL SELECT file, row, 'comment_body', CAST(comment_id AS VARCHAR), comment_body FROM sheet
+  UNION ALL SELECT file, row, 'reply_body', CAST(reply_id AS VARCHAR), reply_body FROM sheet),
+m AS (SELECT *, {_regex_sql_labels('text')} AS labs FROM cells WHERE text IS NOT NULL),
+m2 AS (SELECT *, row_number() OVER (PARTITION BY col, id_key ORDER BY file, row) AS rn FROM m WHERE len(labs) > 0),
+kept AS (SELECT * FROM m2 WHERE id_key IS NULL OR rn = 1),
+per AS (SELECT file, row, array_to_string(list_sort(list_distinct(flatten(list(labs)))), '; ') AS keyword
+        FROM kept GROUP BY file, row)
+SELECT s.file, s.row, s.post_id, s.comment_id, s.reply_id, per.keyword FROM sheet s JOIN per USING (file, row)""")
+def q_match_by_row(spark, sf):
+    out = TH.match_by_row(S.thread_sheet(spark, sf), S.REGEX_LEXICON)
+    return out.select("file", "row", "post_id", "comment_id", "reply_id", "keyword")
+
+
+@query("match_by_textid", f"""WITH {Q.SHEET},
+units AS (
+  SELECT file, row, 'post' AS source, 0 AS ci, CAST(post_id AS VARCHAR) AS id, {_strip("concat_ws(' ', title, post_text)")} AS text FROM sheet
+  UNION ALL SELECT file, row, 'comment', 1, CAST(comment_id AS VARCHAR), {_strip('comment_body')} FROM sheet
+  UNION ALL SELECT file, row, 'comment', 2, CAST(reply_id AS VARCHAR), {_strip('reply_body')} FROM sheet),
+u AS (SELECT * FROM units WHERE id IS NOT NULL AND text IS NOT NULL AND text <> ''),
+f AS (SELECT source, id, arg_min(text, (file, row, ci)) AS text, arg_min(file, (file, row, ci)) AS subreddit
+      FROM u GROUP BY source, id),
+l AS (SELECT *, {_regex_sql_labels('text')} AS labs FROM f)
+SELECT id, source, subreddit, text, array_to_string(labs, '; ') AS keyword FROM l WHERE len(labs) > 0""")
+def q_match_by_textid(spark, sf):
+    return TH.match_by_textid(S.thread_sheet(spark, sf), S.REGEX_LEXICON)
+
+
+@query("compile_relevant", f"""WITH {Q.PREDS}
+SELECT id, model, relevance FROM preds WHERE relevance = 1""")
+def q_compile_relevant(spark, sf):
+    p = S.predictions(spark, sf)
+    frames = [p.filter(F.col("model") == m).select("id", "model", "relevance") for m in S.MODELS]
+    frames.append(S.hits(spark, sf).select("id", "subreddit"))  # no relevance column: skipped
+    return SU.compile_relevant(frames).select("id", "model", "relevance")
+
+
+@query("upsert_predictions", f"""WITH {Q.PREDS},
+u AS (SELECT id, model, 'v1' AS version, relevance AS label, confidence, 1 AS batch FROM preds
+      UNION ALL
+      SELECT id, model, 'v1', 1 - relevance, confidence, 2 FROM preds WHERE subreddit IN ('src1', 'src2')),
+r AS (SELECT *, row_number() OVER (PARTITION BY id, model, version ORDER BY batch DESC) AS rn FROM u)
+SELECT id, model, version, label, confidence, batch FROM r WHERE rn = 1""")
+def q_upsert_predictions(spark, sf):
+    p = S.predictions(spark, sf)
+    old = p.select("id", "model", F.lit("v1").alias("version"), F.col("relevance").alias("label"), "confidence",
+                   F.lit(1).alias("batch"))
+    new = p.filter(F.col("subreddit").isin("src1", "src2")).select(
+        "id", "model", F.lit("v1").alias("version"), (1 - F.col("relevance")).alias("label"), "confidence",
+        F.lit(2).alias("batch"))
+    return SU.upsert(old, new, ["id", "model", "version"], "batch")
+
+
+_SUBSET_BASE = f"""{Q.POSTS},
+km AS (SELECT id FROM posts WHERE len({Q.match_list("title || ' ' || selftext")}) > 0
+       UNION ALL SELECT id FROM comments WHERE len({Q.match_list('body')}) > 0),
+cat_comments AS (SELECT c.id FROM comments c JOIN posts p ON c.post_id = p.id WHERE p.category = 'user'),
+matched AS (SELECT DISTINCT km.id FROM km LEFT JOIN posts p ON km.id = p.id LEFT JOIN comments c ON km.id = c.id
+            LEFT JOIN posts pp ON c.post_id = pp.id WHERE p.category = 'user' OR pp.category = 'user'),
+gold AS (SELECT DISTINCT 'p' || CAST(doc_id AS VARCHAR) AS id FROM labels)"""
+
+
+def _posts_comments_matches(spark, sf):
+    posts, comments = S.posts(spark, sf), S.comments(spark, sf)
+    pm = M.keyword_match(posts.select("id", F.concat_ws(" ", "title", "selftext").alias("t")), "t", L.FIXTURE_LEXICON)
+    cm = M.keyword_match(comments.select("id", "body"), "body", L.FIXTURE_LEXICON)
+    return posts, comments, pm.select("id").unionByName(cm.select("id"))
+
+
+@query("comments_in_category", f"""WITH {_SUBSET_BASE} SELECT id FROM cat_comments""")
+def q_comments_in_category(spark, sf):
+    return SU.comments_in_category(S.comments(spark, sf), S.posts(spark, sf), "user")
+
+
+@query("matched_in_category", f"""WITH {_SUBSET_BASE} SELECT id FROM matched""")
+def q_matched_in_category(spark, sf):
+    posts, comments, km = _posts_comments_matches(spark, sf)
+    return SU.matched_in_category(km, posts, comments, "user")
+
+
+@query("build_subsets", f"""WITH {_SUBSET_BASE},
+all_ids AS (SELECT id FROM posts WHERE category = 'user' UNION SELECT id FROM cat_comments),
+fails AS (SELECT id FROM all_ids EXCEPT SELECT id FROM matched),
+rf AS (SELECT id FROM fails ORDER BY md5('kfails|' || id), id LIMIT 20),
+ann AS (SELECT id FROM posts WHERE category = 'system'),
+elig AS ((SELECT id FROM matched EXCEPT SELECT id FROM gold) EXCEPT SELECT id FROM ann),
+llm AS (SELECT id FROM gold
+        UNION SELECT id FROM (SELECT id FROM rf ORDER BY md5('llm_fails|' || id), id LIMIT 5)
+        UNION SELECT id FROM ann
+        UNION SELECT id FROM (SELECT id FROM elig ORDER BY md5('llm_passed|' || id), id LIMIT 30))
+SELECT id, 'gold_label' AS subset, '2025-01-01' AS date_created FROM gold
+UNION SELECT id, 'random_kfails', '2025-01-01' FROM rf
+UNION SELECT id, 'gpt_random_set', '2025-01-01' FROM llm""")
+def q_build_subsets(spark, sf):
+    posts, comments, km = _posts_comments_matches(spark, sf)
+    gold_ids = S.labels(spark, sf).select(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("id"))
+    ann = posts.filter(F.col("category") == "system").select("id")
+    return SU.build_subsets(posts, comments, km, gold_ids, ann, "user", 20, 5, 30, "2025-01-01") \
+        .select("id", "subset", "date_created")
+
+
+@query("text_lookup", f"""WITH {_SUBSET_BASE},
+ids AS (SELECT id FROM km UNION SELECT id FROM gold)
+SELECT i.id,
+       coalesce(CASE WHEN p.id IS NOT NULL THEN coalesce(p.title, '') || chr(10) || chr(10) || coalesce(p.selftext, '') END,
+                c.body, '') AS text,
+       CASE WHEN p.id IS NOT NULL THEN 'post' WHEN c.id IS NOT NULL THEN 'comment' END AS source_type
+FROM ids i LEFT JOIN posts p ON p.id = i.id LEFT JOIN comments c ON c.id = i.id""")
+def q_text_lookup(spark, sf):
+    posts, comments, km = _posts_comments_matches(spark, sf)
+    gold_ids = S.labels(spark, sf).select(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("id"))
+    ids = km.unionByName(gold_ids).distinct()
+    return SU.text_lookup(ids, posts, comments)
+
+
+@query("resume_pending", f"""WITH {Q.HITS}
+SELECT id, subreddit FROM hits WHERE id NOT IN (SELECT doc_id FROM labels)""")
+def q_resume_pending(spark, sf):
+    done = S.labels(spark, sf).select(F.col("doc_id").alias("id"))
+    return SU.pending(S.hits(spark, sf).select("id", "subreddit"), done)
+
+
+# ===========================================================================
+# answers, prompts, claims
+# ===========================================================================
+
+_ANSWER_SQL = r"""CASE doc_id % 5 WHEN 0 THEN ' 1 ' WHEN 1 THEN '2' WHEN 2 THEN '0' || chr(10) WHEN 3 THEN '3' ELSE 'maybe' END"""
+
+
+def _answers(spark, sf):
+    d = S.docs(spark, sf)
+    a = (F.when(F.col("doc_id") % 5 == 0, " 1 ").when(F.col("doc_id") % 5 == 1, "2")
+         .when(F.col("doc_id") % 5 == 2, "0\n").when(F.col("doc_id") % 5 == 3, "3").otherwise("maybe"))
+    return d.select("doc_id", a.alias("answer"))
+
+
+@query("parse_score", f"""WITH a AS (SELECT doc_id, {_ANSWER_SQL} AS answer FROM documents),
+s AS (SELECT doc_id, {_strip('answer')} AS v FROM a)
+SELECT doc_id,
+       CASE WHEN regexp_matches(v, '^[+-]?[0-9]{{1,9}}$') AND CAST(v AS INTEGER) IN (0, 1, 2) THEN CAST(v AS INTEGER) END AS score,
+       CASE WHEN v IN ('0', '1') THEN v ELSE '' END AS relevance
+FROM s""")
+def q_parse_score(spark, sf):
+    a = _answers(spark, sf)
+    return a.select("doc_id", T.parse_score(F.col("answer")).alias("score"),
+                    T.parse_text_label(F.col("answer")).alias("relevance"))
+
+
+_BLOCK_SQL = """'Label: ' || CAST(quality AS VARCHAR) || chr(10) || 'Confidence: ' ||
+  CASE WHEN toxic = 1 THEN 'Low' ELSE 'High' END || chr(10) || 'Reasoning: ' ||
+  CASE WHEN toxic = 1 THEN 'the label is unclear' ELSE 'clear case' END"""
+
+
+def _after(x: str) -> str:
+    inner = f"CASE WHEN strpos({x}, ':') > 0 THEN substr({x}, strpos({x}, ':') + 1) ELSE {x} END"
+    return f"coalesce({_strip(inner)}, '')"
+
+
+@query("parse_label_block", f"""WITH a AS (SELECT doc_id, string_split({_strip(_BLOCK_SQL)}, chr(10)) AS lines FROM labels),
+p AS (SELECT doc_id,
+        list_filter(lines, lambda l: contains(lower(l), 'label'))[-1] AS lab,
+        list_filter(lines, lambda l: NOT contains(lower(l), 'label') AND contains(lower(l), 'confidence'))[-1] AS conf,
+        list_filter(lines, lambda l: NOT contains(lower(l), 'label') AND NOT contains(lower(l), 'confidence')
+                                     AND contains(lower(l), 'reasoning'))[-1] AS rea
+      FROM a)
+SELECT doc_id, {_after('lab')} AS label, {_after('conf')} AS confidence, {_after('rea')} AS reasoning FROM p""")
+def q_parse_label_block(spark, sf):
+    lab = S.labels(spark, sf)
+    ans = F.concat(F.lit("Label: "), F.col("quality").cast("string"), F.lit("\nConfidence: "),
+                   F.when(F.col("toxic") == 1, "Low").otherwise("High"), F.lit("\nReasoning: "),
+                   F.when(F.col("toxic") == 1, "the label is unclear").otherwise("clear case"))
+    p = lab.select("doc_id", T.parse_label_block(ans).alias("_p"))
+    return p.select("doc_id", "_p.label", "_p.confidence", "_p.reasoning")
+
+
+_CLAIM_COMPOUNDS = ["CBD", "THC", "CBN", "delta-8", "Unspecified"]
+_CLAIM_SYMPTOMS = ["sleep", "pain", "anxiety", "other"]
+
+
+def _sql_list(xs) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+
+
+_CLAIM_PARTS_SQL = f"""{_sql_list(L.DOSE_BINS)}[doc_id % 6 + 1] AS bin, {_sql_list(_CLAIM_COMPOUNDS)}[(doc_id // 6) % 5 + 1] AS comp,
+  {_sql_list(_CLAIM_SYMPTOMS)}[(doc_id // 30) % 4 + 1] AS sym, {_sql_list(L.SUMMARY_SENTIMENTS)}[n_chars % 5 + 1] AS sent"""
+
+
+def _claim_parts(spark, sf):
+    d = S.docs(spark, sf)
+    arr = lambda xs: F.array(*[F.lit(x) for x in xs])
+    return d.select("doc_id", "n_chars",
+                    F.element_at(arr(L.DOSE_BINS), (F.col("doc_id") % 6 + 1).cast("int")).alias("bin"),
+                    F.element_at(arr(_CLAIM_COMPOUNDS), (F.floor(F.col("doc_id") / 6) % 5 + 1).cast("int")).alias("comp"),
+                    F.element_at(arr(_CLAIM_SYMPTOMS), (F.floor(F.col("doc_id") / 30) % 4 + 1).cast("int")).alias("sym"),
+                    F.element_at(arr(L.SUMMARY_SENTIMENTS), (F.col("n_chars") % 5 + 1).cast("int")).alias("sent"))
+
+
+_CLAIM_ANSWER_SQL = """CASE doc_id % 4
+  WHEN 0 THEN 'Here: [{"dosage": "' || bin || '", "compound": "' || comp || '", "symptom": "' || sym ||
+              '", "sentiment": "' || sent || '", "brand": null}, {"dosage": "' || bin || '", "compound": "CBD"}] done'
+  WHEN 1 THEN '[{"dosage": "' || bin || '", "compound": "' || comp || '"}, 7, "x"]'
+  WHEN 2 THEN '{"dosage": "' || bin || '"}'
+  ELSE 'no claims found' END"""
+
+
+def _claim_answers(spark, sf):
+    p = _claim_parts(spark, sf)
+    m = F.col("doc_id") % 4
+    a0 = F.concat(F.lit('Here: [{"dosage": "'), F.col("bin"), F.lit('", "compound": "'), F.col("comp"),
+                  F.lit('", "symptom": "'), F.col("sym"), F.lit('", "sentiment": "'), F.col("sent"),
+                  F.lit('", "brand": null}, {"dosage": "'), F.col("bin"), F.lit('", "compound": "CBD"}] done'))
+    a1 = F.concat(F.lit('[{"dosage": "'), F.col("bin"), F.lit('", "compound": "'), F.col("comp"), F.lit('"}, 7, "x"]'))
+    a2 = F.concat(F.lit('{"dosage": "'), F.col("bin"), F.lit('"}'))
+    ans = F.when(m == 0, a0).when(m == 1, a1).when(m == 2, a2).otherwise(F.lit("no claims found"))
+    return p.select("doc_id", ans.alias("answer"))
+
+
+@query("parse_claims_json", f"""WITH p AS (SELECT doc_id, {_CLAIM_PARTS_SQL} FROM documents),
+a AS (SELECT doc_id, {_CLAIM_ANSWER_SQL} AS answer FROM p),
+s AS (SELECT doc_id, CASE WHEN strpos(answer, '[') > 0 AND strpos(answer, ']') > 0
+                           AND length(answer) - strpos(reverse(answer), ']') + 1 >= strpos(answer, '[')
+                      THEN substr(answer, strpos(answer, '['),
+                                  length(answer) - strpos(reverse(answer), ']') + 2 - strpos(answer, '[')) END AS sl
+      FROM a),
+ok AS (SELECT doc_id, json_extract(sl, '$[*]') AS items FROM s WHERE sl IS NOT NULL AND json_valid(sl)
+       AND json_type(sl) = 'ARRAY'),
+ex AS (SELECT doc_id, unnest(items) AS it, generate_subscripts(items, 1) - 1 AS item_no FROM ok)
+SELECT doc_id, item_no,
+       CASE WHEN json_type(it) = 'OBJECT' THEN json_extract_string(it, '$.dosage') END AS dosage,
+       CASE WHEN json_type(it) = 'OBJECT' THEN json_extract_string(it, '$.compound') END AS compound,
+       CASE WHEN json_type(it) = 'OBJECT' THEN json_extract_string(it, '$.symptom') END AS symptom,
+       CASE WHEN json_type(it) = 'OBJECT' THEN json_extract_string(it, '$.sentiment') END AS sentiment,
+       CASE WHEN json_type(it) = 'OBJECT' THEN json_extract_string(it, '$.brand') END AS brand,
+       CASE WHEN json_type(it) <> 'OBJECT' THEN true END AS false_positive,
+       CASE WHEN json_type(it) <> 'OBJECT' THEN 'non-dict object returned' END AS error
+FROM ex
+UNION ALL
+SELECT doc_id, 0, NULL, NULL, NULL, NULL, NULL, true, 'parse error' FROM s
+WHERE sl IS NULL OR NOT json_valid(sl) OR json_type(sl) <> 'ARRAY'""")
+def q_parse_claims_json(spark, sf):
+    return PA.claims_rows(_claim_answers(spark, sf), "doc_id", "answer")
+
+
+@query("dosage_summary", f"""WITH p AS (SELECT doc_id, {_CLAIM_PARTS_SQL} FROM documents),
+c AS (SELECT sym AS symptom, sent AS sentiment, bin AS dosage,
+             CASE WHEN doc_id % 7 = 0 THEN 'hash' ELSE comp END AS compound FROM p),
+f AS (SELECT * FROM c WHERE symptom IN {tuple(L.SUMMARY_CONDITIONS)} AND sentiment IN {tuple(L.SUMMARY_SENTIMENTS)}
+      AND compound IN {tuple(L.SUMMARY_COMPOUNDS)} AND dosage IN {tuple(L.DOSE_BINS)}),
+n AS (SELECT symptom, sentiment, compound, dosage, count(*) AS cnt FROM f GROUP BY ALL),
+pr AS (SELECT DISTINCT symptom, sentiment, compound FROM n),
+g AS (SELECT pr.*, b.dosage FROM pr, (SELECT unnest({_sql_list(L.DOSE_BINS)}) AS dosage) b)
+SELECT g.symptom AS condition, g.sentiment, g.dosage, g.compound, CAST(coalesce(n.cnt, 0) AS BIGINT) AS count
+FROM g LEFT JOIN n USING (symptom, sentiment, compound, dosage)""")
+def q_dosage_summary(spark, sf):
+    p = _claim_parts(spark, sf)
+    claims = p.select(F.col("sym").alias("symptom"), F.col("sent").alias("sentiment"), F.col("bin").alias("dosage"),
+                      F.when(F.col("doc_id") % 7 == 0, F.lit("hash")).otherwise(F.col("comp")).alias("compound"))
+    return PA.dosage_summary(claims)
+
+
+PROMPT_TEMPLATE = ("Decide whether this post discusses health effects.\n\n"
+                   "Keyword: {keyword}\nText: {text}\n\nAnswer 1 (relevant) or 0 (not relevant).")
+
+
+@query("prompt_table", f"""WITH {Q.HITS}
+SELECT id, replace(replace('{PROMPT_TEMPLATE.replace(chr(10), "' || chr(10) || '")}', '{{keyword}}', array_to_string(keywords, '; ')),
+                   '{{text}}', text) AS prompt FROM hits""")
+def q_prompt_table(spark, sf):
+    h = S.hits(spark, sf)
+    return h.select("id", PA.fill_template(PROMPT_TEMPLATE, keyword=F.array_join("keywords", "; "),
+                                           text=F.col("text")).alias("prompt"))
+
+
+# ===========================================================================
+# spans and context
+# ===========================================================================
+
+_SPANS_SQL = f"""{Q.HITS},
+pairs AS (SELECT id, text, unnest(keywords) AS keyword FROM hits),
+parts AS (SELECT id, keyword, unnest(string_split(lower(text), keyword)) AS part,
+                 generate_subscripts(string_split(lower(text), keyword), 1) AS i,
+                 len(string_split(lower(text), keyword)) AS np FROM pairs),
+cum AS (SELECT id, keyword, i, np, sum(length(part)) OVER (PARTITION BY id, keyword ORDER BY i) AS c FROM parts),
+spans AS (SELECT id, keyword, CAST(c + (i - 1) * length(keyword) AS INTEGER) AS start,
+                 CAST(c + i * length(keyword) AS INTEGER) AS "end" FROM cum WHERE i < np)"""
+
+
+def _spans(spark, sf):
+    h = S.hits(spark, sf)
+    pairs = h.select("id", "text", F.explode("keywords").alias("keyword"))
+    return SP.phrase_spans(pairs, "text", "keyword")
+
+
+@query("annotation_spans", f"""WITH {_SPANS_SQL} SELECT id, keyword, start, "end" FROM spans""")
+def q_annotation_spans(spark, sf):
+    return _spans(spark, sf).select("id", "keyword", "start", "end")
+
+
+@query("merge_spans", f"""WITH {_SPANS_SQL},
+o AS (SELECT id, start, "end", max("end") OVER (PARTITION BY id ORDER BY start, "end"
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM spans),
+g AS (SELECT *, sum(CASE WHEN pm IS NULL OR start > pm THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM o)
+SELECT id, min(start) AS start, max("end") AS "end" FROM g GROUP BY id, island""")
+def q_merge_spans(spark, sf):
+    return SP.merge_spans(_spans(spark, sf).select("id", "start", "end"), ["id"]).select("id", "start", "end")
+
+
+@query("span_priority")
+def q_span_priority(spark, sf):
+    s = _spans(spark, sf).withColumn("kind", F.when(F.length("keyword") > 3, "highlight").otherwise("bold"))
+    return SP.span_priority(s, ["id"], "kind")
+
+
+@query("keyword_context", f"""WITH {Q.HITS},
+s AS (SELECT id, keywords, string_split(regexp_replace(text, '([.!?])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), chr(1)) AS sents
+      FROM hits),
+x AS (SELECT id, keywords, sents, unnest(sents) AS sent, generate_subscripts(sents, 1) - 1 AS i FROM s),
+m AS (SELECT id, sents, i, greatest(0, i - 2) AS a, least(len(sents), i + 3) AS b FROM x
+      WHERE len(list_filter(keywords, lambda k: contains(lower(sent), lower(k)))) > 0),
+o AS (SELECT *, max(b) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM m),
+g AS (SELECT *, sum(CASE WHEN pm IS NULL OR a > pm THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY id ORDER BY i ROWS UNBOUNDED PRECEDING) AS island FROM o),
+r AS (SELECT id, island, min(a) AS range_start, max(b) AS range_end, any_value(sents) AS sents FROM g GROUP BY id, island)
+SELECT id, CAST(island - 1 AS INTEGER) AS range_no, CAST(range_start AS INTEGER) AS range_start,
+       CAST(range_end AS INTEGER) AS range_end, array_to_string(sents[range_start + 1 : range_end], ' ') AS context FROM r""")
+def q_keyword_context(spark, sf):
+    return SP.keyword_context(S.hits(spark, sf), "id", "text", "keywords", 2)
+
+
+@query("mark_keywords")
+def q_mark_keywords(spark, sf):
+    c = S.coded_lines(spark, sf)
+    h = S.hits(spark, sf).select("id", "text")
+    j = c.join(h, "id")
+    kws = F.transform(F.split(F.col("keyword"), ";"), lambda k: T.py_strip(k))
+    return j.select("id", M.mark_keywords(F.col("text"), kws).alias("marked"))
+
+
+def _annotated(spark, sf):
+    h = S.hits(spark, sf)
+    ann = F.when(F.size("keywords") == 1, F.array().cast("array<struct<compound:string,source_compound:string>>")) \
+        .otherwise(F.transform("keywords", lambda k: F.struct(k.alias("compound"), F.upper(k).alias("source_compound"))))
+    return h.select("id", ann.alias("annotations"))
+
+
+@query("annotation_rows", f"""WITH {Q.HITS},
+ann AS (SELECT id, unnest(keywords) AS k, generate_subscripts(keywords, 1) AS pos FROM hits WHERE len(keywords) > 1),
+num AS (SELECT id, k, row_number() OVER (ORDER BY id, pos) - 1 AS n FROM ann)
+SELECT id, CAST(id AS VARCHAR) || '_' || CAST(n AS VARCHAR) AS annotation_id, k AS compound, upper(k) AS source_compound,
+       false AS no_annotations FROM num
+UNION ALL
+SELECT id, CAST(id AS VARCHAR) || '_0', NULL, NULL, true FROM hits WHERE len(keywords) = 1""")
+def q_annotation_rows(spark, sf):
+    return SP.annotation_rows(_annotated(spark, sf), "id", "annotations", "id", ["compound", "source_compound"])
+
+
+@query("unreviewed", f"""WITH {Q.HITS},
+ann AS (SELECT id, unnest(keywords) AS k, generate_subscripts(keywords, 1) AS pos FROM hits WHERE len(keywords) > 1),
+num AS (SELECT id, k, row_number() OVER (ORDER BY id, pos) - 1 AS n FROM ann),
+rows AS (SELECT id, CAST(id AS VARCHAR) || '_' || CAST(n AS VARCHAR) AS annotation_id FROM num
+         UNION ALL SELECT id, CAST(id AS VARCHAR) || '_0' FROM hits WHERE len(keywords) = 1),
+reviewed AS (SELECT r.annotation_id FROM rows r JOIN labels l ON l.doc_id = r.id)
+SELECT id, annotation_id FROM rows WHERE annotation_id NOT IN (SELECT annotation_id FROM reviewed)""")
+def q_unreviewed(spark, sf):
+    rows = SP.annotation_rows(_annotated(spark, sf), "id", "annotations", "id", ["compound"]).select("id", "annotation_id")
+    reviewed = rows.join(S.labels(spark, sf).select(F.col("doc_id").alias("id")), "id").select("annotation_id")
+    return SU.pending(rows, reviewed, "annotation_id")
+
+
+# ===========================================================================
+# more sampling
+# ===========================================================================
+
+@query("stratified_sample")
+def q_stratified_sample(spark, sf):
+    ex = S.hits(spark, sf).select("id", "subreddit", F.explode("keywords").alias("keyword"))
+    return SA.stratified_sample(ex, "keyword", "id", 10, 42)
+
+
+@query("top_k_per_group_union", f"""WITH {Q.PREDS},
+d AS (SELECT id, subreddit, keyword, relevance,
+             CASE WHEN model IN ('gpt_zero_shot', 'gpt_few_shot') THEN 0.5 + 0.5 * confidence ELSE confidence END AS confidence
+      FROM preds WHERE subset IS DISTINCT FROM 'gold_label' AND model IS DISTINCT FROM 'xgboost'),
+ex AS {Q.explode_comma('d', 'id, subreddit, relevance, confidence')},
+g AS (SELECT id, subreddit, keyword, count(*) FILTER (WHERE relevance = 1) AS ones, count(relevance) AS n,
+             avg(confidence) AS a FROM ex GROUP BY ALL),
+sc AS (SELECT id, subreddit, keyword,
+              round(CAST((CASE WHEN n > 0 THEN ones / n ELSE 0.0 END) BETWEEN 0.3 AND 0.7 AS INTEGER) +
+                    CASE WHEN a IS NULL THEN 0.0 WHEN a >= 0.5 AND a < 0.65 THEN 0.5 WHEN a >= 0.65 AND a < 0.75 THEN 1.0 ELSE 0.0 END, 9)
+              AS priority_score FROM g),
+s AS (SELECT id, lower(trim(subreddit)) AS subreddit, lower(trim(keyword)) AS keyword, priority_score FROM sc),
+a AS (SELECT *, 0 AS src, keyword AS grp,
+             row_number() OVER (PARTITION BY keyword ORDER BY priority_score DESC, id, keyword, subreddit) AS rk FROM s),
+b AS (SELECT *, 1 AS src, subreddit AS grp,
+             row_number() OVER (PARTITION BY subreddit ORDER BY priority_score DESC, id, keyword, subreddit) AS rk FROM s),
+u AS (SELECT * FROM a WHERE rk <= 5 UNION ALL SELECT * FROM b WHERE rk <= 5)
+SELECT id, arg_min(subreddit, (src, grp, rk)) AS subreddit, arg_min(keyword, (src, grp, rk)) AS sampled_keyword,
+       arg_min(priority_score, (src, grp, rk)) AS priority_score FROM u GROUP BY id""")
+def q_top_k_per_group_union(spark, sf):
+    return SA.top_k_per_group_union(EV.priority_score(S.predictions(spark, sf)), 5)
