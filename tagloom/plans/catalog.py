@@ -1036,3 +1036,109 @@ SELECT id, arg_min(subreddit, (src, grp, rk)) AS subreddit, arg_min(keyword, (sr
        arg_min(priority_score, (src, grp, rk)) AS priority_score FROM u GROUP BY id""")
 def q_top_k_per_group_union(spark, sf):
     return SA.top_k_per_group_union(EV.priority_score(S.predictions(spark, sf)), 5)
+
+
+# ===========================================================================
+# machine learning (model outputs: rows-only checks, except the feature table)
+# ===========================================================================
+
+from ..operators import ml as ML  # noqa: E402
+
+
+@query("tfidf_features", r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents),
+tc AS (SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM t GROUP BY term),
+n AS (SELECT count(*) AS n FROM documents),
+v AS (SELECT * FROM tc ORDER BY tf DESC, term LIMIT 300)
+SELECT term, tf, df, round(ln((1 + n) / (1 + df)) + 1, 9) AS idf FROM v, n""")
+def q_tfidf_features(spark, sf):
+    return ML.document_frequency(S.docs(spark, sf), "text", 300)
+
+
+def _gold_texts(spark, sf):
+    d = S.docs(spark, sf).select(F.col("doc_id").alias("id"), "text")
+    g = S.gold(spark, sf)
+    return d.join(g, "id").withColumnRenamed("relevance_true", "label")
+
+
+def _fit_text_models(spark, sf, max_features=3000, ngrams=1):
+    """Gold texts (human-labelled, small) are persisted: the optimisers pass
+    over them many times. The featurised frame is persisted too."""
+    data = _gold_texts(spark, sf).persist()
+    train = data.filter(F.col("is_test") == 0)
+    tf = ML.fit_tfidf(train, "text", max_features, ngrams)
+    return data, tf
+
+
+ROWS_PER_PART = 50_000
+
+
+def _features(tf, data):
+    """Featurised gold rows, persisted, in partitions of ~ROWS_PER_PART rows
+    (each optimiser iteration is one job over these partitions)."""
+    n = data.count()
+    parts = max(1, -(-n // ROWS_PER_PART))
+    return tf.transform(data).select("id", "label", "is_test", "features").repartition(parts).persist()
+
+
+@query("train_logreg")
+def q_train_logreg(spark, sf):
+    data, tf = _fit_text_models(spark, sf)
+    feats = _features(tf, data)
+    lr = ML.train_logreg(feats.filter(F.col("is_test") == 0), balanced=True)
+    test = lr.transform(feats.filter(F.col("is_test") == 1))
+    return EV.class_report(test.withColumn("prediction", F.col("prediction").cast("int")), "label", "prediction")
+
+
+@query("train_svm")
+def q_train_svm(spark, sf):
+    data, tf = _fit_text_models(spark, sf, 5000, 2)
+    feats = _features(tf, data)
+    tr = feats.filter(F.col("is_test") == 0)
+    svm = ML.train_svm(tr, tr)
+    test = svm.transform(feats.filter(F.col("is_test") == 1))
+    return EV.class_report(test.withColumn("prediction", F.col("prediction").cast("int")), "label", "prediction")
+
+
+@query("train_gbt")
+def q_train_gbt(spark, sf):
+    data, tf = _fit_text_models(spark, sf, 5000, 2)
+    feats = _features(tf, data)
+    gbt = ML.train_gbt(feats.filter(F.col("is_test") == 0), max_iter=10, max_depth=4)
+    test = gbt.transform(feats.filter(F.col("is_test") == 1))
+    return EV.class_report(test.withColumn("prediction", F.col("prediction").cast("int")), "label", "prediction")
+
+
+@query("predict_long")
+def q_predict_long(spark, sf):
+    data, tf = _fit_text_models(spark, sf)
+    feats = _features(tf, data)
+    tr = feats.filter(F.col("is_test") == 0)
+    models = {"logreg": ML.train_logreg(tr), "svm": ML.train_svm(tr, tr)}
+    docs = tf.transform(S.docs(spark, sf).select(F.col("doc_id").alias("id"), "text"))
+    return ML.predict_long(docs, models, "id", "v1", "p1")
+
+
+@query("feature_weights")
+def q_feature_weights(spark, sf):
+    data, tf = _fit_text_models(spark, sf)
+    lr = ML.train_logreg(_features(tf, data).filter(F.col("is_test") == 0))
+    return ML.feature_weights(spark, tf.vocab, lr.coefficients.toArray(), 20)
+
+
+@query("embedding_classifier")
+def q_embedding_classifier(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    e = ML.embedding_features(e).withColumn("label", (F.col("label") == 0).cast("int"))
+    e = SA.split_train_test(e.withColumnRenamed("vec_id", "id"), "id", "label", 0.2, 42).persist()
+    lr = ML.train_logreg(e.filter(F.col("is_test") == 0))
+    p = lr.transform(e).withColumn("_p", ML.vector_to_array("probability"))
+    return p.select("id", "label", "is_test", F.col("prediction").cast("int").alias("prediction"),
+                    F.round(F.col("_p")[1], 6).alias("p1"))
+
+
+@query("score_texts")
+def q_score_texts(spark, sf):
+    rows = S.hits(spark, sf).select("id", "text")
+    done = S.labels(spark, sf).select(F.col("doc_id").alias("id"))
+    pend = SU.pending(rows, done)
+    return ML.score_texts(pend, ML.offline_scorer, "text", "relevance").select("id", "relevance")
