@@ -52,19 +52,26 @@ def token_stages(text_col: str, stop_words: bool, ngrams: int) -> tuple[list, st
 
 
 def vocabulary(terms: DataFrame, terms_col: str, max_features: int) -> DataFrame:
-    """(term, tf, df) of the ``max_features`` most frequent terms (ties by term)."""
-    ex = terms.select(F.monotonically_increasing_id().alias("_d"), F.explode(terms_col).alias("term"))
-    tc = ex.groupBy("term").agg(F.count(F.lit(1)).alias("tf"), F.count_distinct("_d").alias("df"))
+    """(term, tf, df) of the ``max_features`` most frequent terms (ties by term).
+
+    tf = occurrences; df = documents holding the term (distinct terms per
+    document, then one aggregation)."""
+    tf = terms.select(F.explode(terms_col).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
+    df = terms.select(F.explode(F.array_distinct(terms_col)).alias("term")).groupBy("term") \
+        .agg(F.count(F.lit(1)).alias("df"))
+    tc = tf.join(df, "term")
     return tc.orderBy(F.col("tf").desc(), F.col("term")).limit(max_features)
 
 
-def document_frequency(texts: DataFrame, text_col: str, max_features: int, digits: int = 9) -> DataFrame:
-    """The feature table as data: (term, tf, df, idf) for the chosen vocabulary."""
-    tok = texts.select(F.monotonically_increasing_id().alias("_d"),
-                       F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(f"({TOKEN_PATTERN})"), 1).alias("_t"))
+def document_frequency(texts: DataFrame, id_col: str, text_col: str, max_features: int, digits: int = 9) -> DataFrame:
+    """The feature table as data: (term, tf, df, idf) for the chosen vocabulary.
+
+    Two aggregations instead of count(DISTINCT): per (doc, term) counts
+    first (combined map-side), then per term: tf = sum, df = rows."""
+    tok = texts.select(id_col, F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(f"({TOKEN_PATTERN})"), 1).alias("_t"))
     n = texts.count()
-    ex = tok.select("_d", F.explode("_t").alias("term"))
-    tc = ex.groupBy("term").agg(F.count(F.lit(1)).alias("tf"), F.count_distinct("_d").alias("df"))
+    per_doc = tok.select(id_col, F.explode("_t").alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("c"))
+    tc = per_doc.groupBy("term").agg(F.sum("c").alias("tf"), F.count(F.lit(1)).alias("df"))
     top = tc.orderBy(F.col("tf").desc(), F.col("term")).limit(max_features)
     return top.withColumn("idf", F.round(F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1, digits))
 

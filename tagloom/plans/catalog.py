@@ -173,7 +173,7 @@ SELECT id, array_to_string(keywords, '|') AS from_pylist, array_to_string(keywor
        array_to_string(keywords, '|') AS from_semi, array_to_string(keywords, '|') AS from_comma
 FROM enc""")
 def q_keyword_array_parse(spark, sf):
-    h = S.hits(spark, sf)
+    h = S.hit_keys(spark, sf)
     enc = h.select(
         "id",
         F.concat(F.lit("["), F.array_join(F.transform("keywords", lambda k: F.concat(F.lit("'"), k, F.lit("'"))), ", "),
@@ -209,7 +209,7 @@ per AS (SELECT subreddit AS source, keyword, count(*) AS freq FROM ex GROUP BY A
 SELECT * FROM per
 UNION ALL SELECT 'overall', keyword, CAST(sum(freq) AS BIGINT) FROM per GROUP BY keyword""")
 def q_word_counts(spark, sf):
-    h = S.hits(spark, sf)
+    h = S.hit_keys(spark, sf)
     rep = F.concat(F.lit("["), F.array_join(F.transform("keywords", lambda k: F.concat(F.lit("'"), k, F.lit("'"))), ", "),
                    F.lit("]"))
     ex = h.select("subreddit", F.explode(T.keyword_array_parse(rep, "pylist")).alias("keyword"))
@@ -223,7 +223,7 @@ _PIVOT_COLS = ", ".join(f"CAST(count(*) FILTER (WHERE keyword = '{k}') AS BIGINT
 ex AS (SELECT subreddit, unnest(keywords) AS keyword FROM hits)
 SELECT subreddit, {_PIVOT_COLS} FROM ex GROUP BY subreddit""")
 def q_keyword_by_source_pivot(spark, sf):
-    h = S.hits(spark, sf)
+    h = S.hit_keys(spark, sf)
     ex = ST.explode_keywords(h.select("subreddit", F.array_join("keywords", "; ").alias("keyword")),
                              "keyword", "semicolon_space")
     return ST.pivot_counts(ex, "subreddit", "keyword", L.FIXTURE_LEXICON)
@@ -237,7 +237,7 @@ SELECT subreddit, keyword, n,
        round(n / sum(n) OVER (PARTITION BY keyword), 9) AS col_share
 FROM n""")
 def q_crosstab_share(spark, sf):
-    h = S.hits(spark, sf)
+    h = S.hit_keys(spark, sf)
     ex = h.select("subreddit", F.explode("keywords").alias("keyword"))
     return ST.crosstab_share(ex, "subreddit", "keyword")
 
@@ -280,7 +280,7 @@ SELECT keyword, count(*) FILTER (WHERE label = 0) AS n_0, count(*) FILTER (WHERE
        round(count(*) FILTER (WHERE label = 1) / count(*), 9) AS precision
 FROM lab WHERE label IS NOT NULL GROUP BY keyword""")
 def q_keyword_label_matrix(spark, sf):
-    h = S.hits(spark, sf)
+    h = S.hit_keys(spark, sf)
     rep = F.concat(F.lit("["), F.array_join(F.transform("keywords", lambda k: F.concat(F.lit("'"), k, F.lit("'"))), ", "),
                    F.lit("]"))
     lab = S.labels(spark, sf).select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
@@ -293,7 +293,7 @@ ex AS (SELECT subreddit, unnest(keywords) AS keyword FROM hits),
 n AS (SELECT subreddit, keyword, count(*) AS n FROM ex GROUP BY ALL)
 SELECT keyword, CAST(sum(n) AS BIGINT) AS total FROM n GROUP BY keyword HAVING sum(n) >= 50""")
 def q_frequency_threshold(spark, sf):
-    h = S.hits(spark, sf)
+    h = S.hit_keys(spark, sf)
     n = h.select("subreddit", F.explode("keywords").alias("keyword")).groupBy("subreddit", "keyword").count()
     return ST.threshold_table(n, "keyword", "count", 50)
 
@@ -363,7 +363,7 @@ SELECT id, subreddit, count(*) AS n_rows, count(DISTINCT label) AS n_labels,
        array_to_string(list_sort(list(keyword)), ',') AS rows
 FROM rows GROUP BY id, subreddit HAVING count(*) > 1 AND count(DISTINCT label) > 1""")
 def q_inconsistent_labels(spark, sf):
-    h = S.hits(spark, sf)
+    h = S.hit_keys(spark, sf)
     lab = S.labels(spark, sf).select(F.col("doc_id").alias("id"), "quality", "toxic")
     rows = h.join(lab, "id").select("id", "subreddit", F.explode("keywords").alias("keyword"), "quality", "toxic")
     rows = rows.withColumn("label", F.when(F.col("keyword").isin("the", "der", "que"), F.col("toxic"))
@@ -471,7 +471,7 @@ def q_model_disagreement(spark, sf):
 
 
 def _fulltext(spark, sf) -> DataFrame:
-    p = S.predictions(spark, sf)
+    p = S.predictions(spark, sf, with_text=True)
     g = S.gold(spark, sf)
     j = p.join(g, "id")
     pr, gl = F.col("relevance"), F.col("relevance_true")
@@ -556,7 +556,7 @@ r AS (SELECT id, subreddit, row_number() OVER (PARTITION BY subreddit ORDER BY m
       FROM hits)
 SELECT id, subreddit AS source_file FROM r WHERE rn <= 7""")
 def q_sample_per_file(spark, sf):
-    h = S.hits(spark, sf).select("id", "subreddit")
+    h = S.hit_keys(spark, sf).select("id", "subreddit")
     return SA.sample_per_group(h, "subreddit", "id", 7, 42).select("id", "source_file")
 
 
@@ -581,7 +581,7 @@ fs AS (SELECT subreddit, coalesce(sum(qn) OVER (ORDER BY subreddit ROWS BETWEEN
 SELECT q.id, q.subreddit AS source_file, array_to_string(q.keywords, '; ') AS keywords
 FROM q WHERE subreddit IN (SELECT subreddit FROM fs WHERE before < 370)""")
 def q_rare_keyword_sample(spark, sf):
-    h = S.hits(spark, sf).select("id", "subreddit", "keywords")
+    h = S.hit_keys(spark, sf).select("id", "subreddit", "keywords")
     out = SA.rare_keyword_sample(h, "subreddit", "keywords", _RARE, L.RARE_SAMPLE_ROWS)
     return out.select("id", F.col("subreddit").alias("source_file"), F.array_join("keywords", "; ").alias("keywords"))
 
@@ -593,7 +593,7 @@ s AS (SELECT DISTINCT unnest(keywords) AS keyword FROM r WHERE rn <= 1),
 lex AS (SELECT unnest({Q.LEX}) AS keyword)
 SELECT keyword FROM lex WHERE keyword NOT IN (SELECT keyword FROM s)""")
 def q_unsampled_keywords(spark, sf):
-    h = S.hits(spark, sf).select("id", "subreddit", "keywords")
+    h = S.hit_keys(spark, sf).select("id", "subreddit", "keywords")
     sample = SA.sample_per_group(h, "subreddit", "id", 1, 42)
     skw = sample.select(F.explode("keywords").alias("keyword"))
     return SA.unsampled_keywords(L.lexicon_df(spark, "fixture"), skw)
@@ -607,7 +607,7 @@ rest AS (SELECT * FROM p WHERE text NOT IN (SELECT h.text FROM hits_all h JOIN l
 SELECT id, text, confidence, round(1 - greatest(confidence, 1 - confidence), 9) AS uncertainty
 FROM rest ORDER BY uncertainty DESC, id LIMIT 100""")
 def q_uncertain_top_k(spark, sf):
-    pool = S.predictions(spark, sf).filter(F.col("model") == "logreg").select("id", "text", "confidence")
+    pool = S.predictions(spark, sf, with_text=True).filter(F.col("model") == "logreg").select("id", "text", "confidence")
     known = S.hits_all(spark, sf).join(S.labels(spark, sf).select(F.col("doc_id").alias("id")), "id").select("text")
     return SA.uncertain_top_k(pool, known, "id", "text", "confidence", 100)
 
@@ -668,7 +668,7 @@ SELECT id, model, relevance FROM preds WHERE relevance = 1""")
 def q_compile_relevant(spark, sf):
     p = S.predictions(spark, sf)
     frames = [p.filter(F.col("model") == m).select("id", "model", "relevance") for m in S.MODELS]
-    frames.append(S.hits(spark, sf).select("id", "subreddit"))  # no relevance column: skipped
+    frames.append(S.hit_keys(spark, sf).select("id", "subreddit"))  # no relevance column: skipped
     return SU.compile_relevant(frames).select("id", "model", "relevance")
 
 
@@ -754,7 +754,7 @@ def q_text_lookup(spark, sf):
 SELECT id, subreddit FROM hits WHERE id NOT IN (SELECT doc_id FROM labels)""")
 def q_resume_pending(spark, sf):
     done = S.labels(spark, sf).select(F.col("doc_id").alias("id"))
-    return SU.pending(S.hits(spark, sf).select("id", "subreddit"), done)
+    return SU.pending(S.hit_keys(spark, sf).select("id", "subreddit"), done)
 
 
 # ===========================================================================
@@ -975,7 +975,7 @@ def q_mark_keywords(spark, sf):
 
 
 def _annotated(spark, sf):
-    h = S.hits(spark, sf)
+    h = S.hit_keys(spark, sf)
     ann = F.when(F.size("keywords") == 1, F.array().cast("array<struct<compound:string,source_compound:string>>")) \
         .otherwise(F.transform("keywords", lambda k: F.struct(k.alias("compound"), F.upper(k).alias("source_compound"))))
     return h.select("id", ann.alias("annotations"))
@@ -1011,7 +1011,7 @@ def q_unreviewed(spark, sf):
 
 @query("stratified_sample")
 def q_stratified_sample(spark, sf):
-    ex = S.hits(spark, sf).select("id", "subreddit", F.explode("keywords").alias("keyword"))
+    ex = S.hit_keys(spark, sf).select("id", "subreddit", F.explode("keywords").alias("keyword"))
     return SA.stratified_sample(ex, "keyword", "id", 10, 42)
 
 
@@ -1051,7 +1051,7 @@ n AS (SELECT count(*) AS n FROM documents),
 v AS (SELECT * FROM tc ORDER BY tf DESC, term LIMIT 300)
 SELECT term, tf, df, round(ln((1 + n) / (1 + df)) + 1, 9) AS idf FROM v, n""")
 def q_tfidf_features(spark, sf):
-    return ML.document_frequency(S.docs(spark, sf), "text", 300)
+    return ML.document_frequency(S.docs(spark, sf), "doc_id", "text", 300)
 
 
 def _gold_texts(spark, sf):
@@ -1142,3 +1142,32 @@ def q_score_texts(spark, sf):
     done = S.labels(spark, sf).select(F.col("doc_id").alias("id"))
     pend = SU.pending(rows, done)
     return ML.score_texts(pend, ML.offline_scorer, "text", "relevance").select("id", "relevance")
+
+
+# ===========================================================================
+# the full rough-cut lexicon (131 phrases, multi-word and punctuated ones)
+# ===========================================================================
+
+def _re2_quote(s: str) -> str:
+    return "".join("\\" + c if c in r"\.^$|?*+()[]{}-" else c for c in s).replace("'", "''")
+
+
+def _phrase_case_sql(low: str, phrases) -> str:
+    seen, parts = set(), []
+    for p in phrases:
+        if p in seen:
+            continue
+        seen.add(p)
+        pat = f"{Q.WB_L}{_re2_quote(p.lower())}{Q.WB_R}"
+        parts.append(f"CASE WHEN regexp_matches({low}, '{pat}') THEN '{p.replace(chr(39), chr(39) * 2)}' END")
+    return "list_filter([" + ", ".join(parts) + "], lambda x: x IS NOT NULL)"
+
+
+@query("filtering_phrase_match", f"""WITH d AS (SELECT doc_id, source, lower(text) AS low FROM documents),
+m AS (SELECT doc_id, source, {_phrase_case_sql('low', L.FILTERING_PHRASES)} AS kw FROM d)
+SELECT doc_id, source, array_to_string(kw, '; ') AS keywords, len(kw) AS n_keywords FROM m WHERE len(kw) > 0""")
+def q_filtering_phrase_match(spark, sf):
+    d = S.docs(spark, sf).select("doc_id", "source", "text")
+    m = M.keyword_match(d, "text", L.FILTERING_PHRASES)
+    return m.select("doc_id", "source", F.array_join("keywords", "; ").alias("keywords"),
+                    F.size("keywords").alias("n_keywords"))

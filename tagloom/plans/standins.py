@@ -15,6 +15,7 @@ from ..lexicon import FIXTURE_LEXICON
 from ..operators.matching import keyword_match
 from ..operators.sampling import split_train_test
 from ..session import read_table
+from .stages import staged
 
 LONG_TEXT = 1500          # "logreg" stand-in: n_chars above this is relevant
 MIN_HITS = 3              # "svm" stand-in: at least this many keyword hits
@@ -48,13 +49,24 @@ def hits(spark: SparkSession, sf: str) -> DataFrame:
     return hits_all(spark, sf).filter(F.size("keywords") > 0)
 
 
+def hit_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's matches without its text, hash-partitioned by id.
+
+    Staged (written once per session to the checkpoint folder): every
+    branch of every query reads the same narrow table instead of
+    re-running the matcher.
+    """
+    return staged(spark, sf, "hit_index", lambda: hits_all(spark, sf).drop("text"))
+
+
 def labels(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "labels")
 
 
 def coded_lines(spark: SparkSession, sf: str, label: str = "quality", inner: bool = False) -> DataFrame:
     """Relevance lines: hit rows with a ";"-joined keyword list and a label."""
-    h = hits(spark, sf).select("id", "subreddit", "lang", F.array_join("keywords", ";").alias("keyword"))
+    h = hit_index(spark, sf).filter(F.size("keywords") > 0) \
+        .select("id", "subreddit", "lang", F.array_join("keywords", ";").alias("keyword"))
     lab = labels(spark, sf).select(F.col("doc_id").alias("id"), F.col(label).alias("label"))
     return h.join(lab, "id", "inner" if inner else "left")
 
@@ -68,9 +80,22 @@ def coder_2(spark, sf):
     return coded_lines(spark, sf, "toxic", inner=True).filter(F.col("lang") != "de")
 
 
-def predictions(spark: SparkSession, sf: str) -> DataFrame:
-    """Three rule models over every document (the dashboard's full table)."""
-    h = hits_all(spark, sf)
+def predictions(spark: SparkSession, sf: str, with_text: bool = False) -> DataFrame:
+    """Three rule models over every document (the dashboard's full table).
+
+    Without text it is a staged table built on the staged hit index."""
+    if with_text:
+        return _predictions(hits_all(spark, sf))
+    return staged(spark, sf, "predictions", lambda: _predictions(
+        hit_index(spark, sf).withColumn("text", F.lit(None).cast("string"))).drop("text"))
+
+
+def hit_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits without text (id, subreddit, lang, n_chars, keywords), from the staged index."""
+    return hit_index(spark, sf).filter(F.size("keywords") > 0)
+
+
+def _predictions(h: DataFrame) -> DataFrame:
     conf = F.least(F.lit(1.0), F.col("n_chars") / F.lit(CONF_SCALE))
     rel = F.array(
         F.struct(F.lit("logreg").alias("model"), (F.col("n_chars") > LONG_TEXT).cast("int").alias("relevance")),
@@ -89,7 +114,11 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 def gold(spark: SparkSession, sf: str) -> DataFrame:
     """Gold labels with is_test: candidates (toxic = 0) are split 80/20 per
-    class; only their training rows get is_test = 0."""
+    class; only their training rows get is_test = 0. Staged."""
+    return staged(spark, sf, "gold", lambda: _gold(spark, sf))
+
+
+def _gold(spark: SparkSession, sf: str) -> DataFrame:
     lab = labels(spark, sf).select(F.col("doc_id").alias("id"), F.col("quality").alias("relevance_true"), "toxic")
     cand = split_train_test(lab.filter(F.col("toxic") == 0), "id", "relevance_true", 0.2, 42)
     train = cand.filter(F.col("is_test") == 0).select("id").withColumn("_train", F.lit(True))

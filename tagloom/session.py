@@ -61,5 +61,17 @@ def checkpoint_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, name) if "://" not in base else base.rstrip("/") + "/" + name
 
 
+def spread(df, spark: SparkSession):
+    """Round-robin a DataFrame over the default parallelism when its scan
+    yields fewer partitions (one big row group, an unsplittable .zst file).
+    A large scan already has more splits than cores and is left alone."""
+    want = spark.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
+TEXT_TABLES = {"documents", "conversations", "pages", "benchmark"}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str):
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(df, spark) if name in TEXT_TABLES else df
