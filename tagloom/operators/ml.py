@@ -66,13 +66,13 @@ def vocabulary(terms: DataFrame, terms_col: str, max_features: int) -> DataFrame
 def document_frequency(texts: DataFrame, id_col: str, text_col: str, max_features: int, digits: int = 9) -> DataFrame:
     """The feature table as data: (term, tf, df, idf) for the chosen vocabulary.
 
-    Two aggregations instead of count(DISTINCT): per (doc, term) counts
-    first (combined map-side), then per term: tf = sum, df = rows."""
-    tok = texts.select(id_col, F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(f"({TOKEN_PATTERN})"), 1).alias("_t"))
+    tf and df are two term-level aggregations (tf over all tokens, df over
+    each document's distinct tokens); both combine map-side, so the shuffle
+    carries about one row per distinct term per task, not per token."""
+    low = F.lower(F.col(text_col))
+    tok = texts.select(id_col, F.filter(F.split(low, r"[^\p{L}\p{N}_]+"), lambda t: F.length(t) >= 2).alias("_t"))
     n = texts.count()
-    per_doc = tok.select(id_col, F.explode("_t").alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("c"))
-    tc = per_doc.groupBy("term").agg(F.sum("c").alias("tf"), F.count(F.lit(1)).alias("df"))
-    top = tc.orderBy(F.col("tf").desc(), F.col("term")).limit(max_features)
+    top = vocabulary(tok, "_t", max_features)
     return top.withColumn("idf", F.round(F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1, digits))
 
 
