@@ -1171,3 +1171,91 @@ def q_filtering_phrase_match(spark, sf):
     m = M.keyword_match(d, "text", L.FILTERING_PHRASES)
     return m.select("doc_id", "source", F.array_join("keywords", "; ").alias("keywords"),
                     F.size("keywords").alias("n_keywords"))
+
+
+# ===========================================================================
+# small list / set operators
+# ===========================================================================
+
+_SUBSET_KW = ["the", "der", "que", "une"]
+
+
+@query("keyword_subset", f"""WITH {Q.HITS},
+ex AS (SELECT id, subreddit, unnest(keywords) AS keyword FROM hits)
+SELECT DISTINCT id, subreddit, keyword FROM ex
+WHERE keyword IN {tuple(_SUBSET_KW)} AND id NOT IN (SELECT doc_id FROM labels)""")
+def q_keyword_subset(spark, sf):
+    ex = S.hit_keys(spark, sf).select("id", "subreddit", F.explode("keywords").alias("keyword")).distinct()
+    kept = ex.filter(F.lower("keyword").isin(_SUBSET_KW))
+    return SU.pending(kept, S.labels(spark, sf).select(F.col("doc_id").alias("id")))
+
+
+@query("filter_keywords_subreddits", f"""WITH {Q.PREDS},
+ex AS {Q.explode_comma('preds', 'id, subreddit, model, relevance')}
+SELECT id, subreddit, model, keyword, relevance FROM ex
+WHERE keyword IN ('the', 'and', 'der') AND subreddit IN ('src1', 'src2', 'src3')""")
+def q_filter_keywords_subreddits(spark, sf):
+    ex = ST.explode_keywords(S.predictions(spark, sf), "keyword", "comma")
+    return ex.filter(F.lower("keyword").isin("the", "and", "der") & F.col("subreddit").isin("src1", "src2", "src3")) \
+        .select("id", "subreddit", "model", "keyword", "relevance")
+
+
+@query("keyword_map", f"""WITH {Q.HITS},
+ex AS (SELECT id, lower(trim(unnest(keywords))) AS keyword FROM hits)
+SELECT id, array_to_string(list_sort(list_distinct(list(keyword))), '; ') AS keyword FROM ex GROUP BY id""")
+def q_keyword_map(spark, sf):
+    ex = S.hit_keys(spark, sf).select("id", F.explode("keywords").alias("keyword"))
+    return ex.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set(F.lower(F.trim("keyword")))), "; ").alias("keyword"))
+
+
+@query("first_per_id", f"""WITH {Q.PREDS}
+SELECT id, arg_min(model, (-relevance, model)) AS model, min(relevance) AS min_relevance FROM preds GROUP BY id""")
+def q_first_per_id(spark, sf):
+    """First row per id under an explicit order (relevance desc, then model)."""
+    p = S.predictions(spark, sf)
+    return p.groupBy("id").agg(F.min_by("model", F.struct((-F.col("relevance")).alias("r"), F.col("model"))).alias("model"),
+                               F.min("relevance").alias("min_relevance"))
+
+
+@query("top_keywords", f"""WITH {_CODED_Q},
+r AS (SELECT keyword, count(label) AS count, round(avg(label), 9) AS hit_rate
+      FROM {Q.explode_semicolon('coded', 'id, subreddit, label')} GROUP BY keyword),
+h AS (SELECT *, 'head' AS side FROM r ORDER BY hit_rate DESC NULLS LAST, keyword LIMIT 5),
+t AS (SELECT *, 'tail' AS side FROM r ORDER BY hit_rate ASC NULLS FIRST, keyword LIMIT 5)
+SELECT * FROM h UNION ALL SELECT * FROM t""")
+def q_top_keywords(spark, sf):
+    """Head and tail of the keyword hit-rate table (a top-k report)."""
+    r = ST.hit_rates(ST.explode_keywords(S.coded_lines(spark, sf), "keyword", "semicolon"), "keyword", "label")
+    h = r.orderBy(F.col("hit_rate").desc_nulls_last(), "keyword").limit(5).withColumn("side", F.lit("head"))
+    t = r.orderBy(F.col("hit_rate").asc_nulls_first(), "keyword").limit(5).withColumn("side", F.lit("tail"))
+    return h.unionByName(t)
+
+
+@query("distinct_texts", """SELECT text, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text""")
+def q_distinct_texts(spark, sf):
+    """One row per distinct text, first by id; how many copies it has."""
+    return S.docs(spark, sf).groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+
+
+@query("sample_with_text", f"""WITH {_SUBSET_BASE},
+s AS (SELECT id FROM km UNION SELECT 'p' || CAST(doc_id AS VARCHAR) FROM labels WHERE doc_id < 150)
+SELECT s.id, coalesce(t.text, '[Text not found]') AS text
+FROM s LEFT JOIN (SELECT id, coalesce(title, '') || ' | ' || coalesce(selftext, '') AS text FROM posts
+                  UNION ALL SELECT id, body FROM comments) t ON t.id = s.id""")
+def q_sample_with_text(spark, sf):
+    """Sample ids + text: posts as "title | selftext", comments as body, else a default."""
+    posts, comments, km = _posts_comments_matches(spark, sf)
+    ids = km.unionByName(S.labels(spark, sf).filter(F.col("doc_id") < 150)
+                         .select(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("id"))).distinct()
+    texts = posts.select("id", T.compose_text([F.col("title"), F.col("selftext")], " | ", "empty").alias("text")) \
+        .unionByName(comments.select("id", F.col("body").alias("text")))
+    return ids.join(texts, "id", "left").select("id", F.coalesce("text", F.lit("[Text not found]")).alias("text"))
+
+
+@query("dosage_mentions")
+def q_dosage_mentions(spark, sf):
+    """Every dose mention of each document (regexp_extract_all with the dosage pattern)."""
+    d = S.docs(spark, sf)
+    m = F.regexp_extract_all(F.lower("text"), F.lit(L.DOSAGE_PATTERN), 0)
+    return d.select("doc_id", m.alias("doses")).filter(F.size("doses") > 0) \
+        .select("doc_id", F.array_join("doses", "; ").alias("doses"), F.size("doses").alias("n_doses"))
