@@ -69,6 +69,11 @@ def bottom_k_flags(df: DataFrame, group_cols: list[str], hash_col: str, k_of_n,
     g = list(group_cols)
     b = F.shiftright(_hash_bits(F.col(hash_col)), 60 - BUCKET_BITS)
     withb = df.withColumn("_b", b)
+    if not g:
+        # one global group: key it by a data-derived zero so the cut joins
+        # back as a hash join on a one-row table, not a nested loop
+        withb = withb.withColumn("_k0", F.shiftright(F.col("_b"), BUCKET_BITS))
+        g = ["_k0"]
     counts = withb.groupBy(*g, "_b").agg(F.count(F.lit(1)).alias("_c"))
     wcum = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     wall = Window.partitionBy(*g)
@@ -80,7 +85,7 @@ def bottom_k_flags(df: DataFrame, group_cols: list[str], hash_col: str, k_of_n,
            .groupBy(*g).agg(F.min_by(F.struct("_b", (F.col("_k") - (F.col("_cum") - F.col("_c"))).alias("_need")),
                                      F.col("_b")).alias("_cut"))
            .select(*g, F.col("_cut._b").alias("_cb"), F.col("_cut._need").alias("_need")))
-    j = withb.join(cut, g, "left") if g else withb.join(cut, how="left")
+    j = withb.join(cut, g, "left")
     wb = Window.partitionBy(*g, "_b").orderBy(F.col(hash_col), *[F.col(c) for c in tiebreak])
     inb = F.row_number().over(wb)
     flagged = j.withColumn(
@@ -89,7 +94,7 @@ def bottom_k_flags(df: DataFrame, group_cols: list[str], hash_col: str, k_of_n,
         .when(F.col("_b") < F.col("_cb"), F.lit(True))
         .when(F.col("_b") > F.col("_cb"), F.lit(False))
         .otherwise(inb <= F.col("_need")))
-    return flagged.drop("_b", "_cb", "_need")
+    return flagged.drop("_b", "_cb", "_need", "_k0")
 
 
 # ---------------------------------------------------------------------------
