@@ -71,8 +71,13 @@ def is_single_token(phrase: str) -> bool:
 
 
 def word_tokens(text: Column) -> Column:
-    """Distinct whole tokens of a (lower-cased) text column."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"({WORD}+)"), 1))
+    """Distinct whole tokens of a (lower-cased) text column.
+
+    Splitting on runs of non-word characters is about twice as fast as
+    extracting the word runs; it can add one "" (text starting or ending
+    with a non-word character), which never equals a lexicon token.
+    """
+    return F.array_distinct(F.split(text, f"{NOT_WORD}+"))
 
 
 def py_strip(c: Column) -> Column:
