@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ensure_checkpoint_dir
+
 BUCKET_BITS = 18
 DEFAULT_SALTS = 64
 
@@ -144,6 +146,11 @@ def stratified_sample(df: DataFrame, group_col: str, id_col: str, n: int, seed=4
         local_k = (F.col("_g") - lo + 1) * n
         cand = top_n_per_group(part, [group_col], [F.col("_h"), F.col(id_col)], local_k, "_r")
         picked = _greedy(cand, group_col, id_col, n, df.schema[id_col].dataType)
+        if n_groups > slice_groups:
+            # later slices depend on every earlier one: cut the lineage per
+            # slice (reliable checkpoint in spark.checkpoint.dir)
+            ensure_checkpoint_dir(df.sparkSession)
+            picked = picked.checkpoint(eager=True)
         out = picked if out is None else out.unionByName(picked)
         drawn_ids = out.select(id_col).distinct()
     keys = out.select(group_col, id_col, "_order")
