@@ -9,29 +9,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+SPAN = T.ArrayType(T.StructType([T.StructField("phrase", T.StringType()), T.StructField("start", T.IntegerType()),
+                                  T.StructField("end", T.IntegerType())]))
 
 
 @F.pandas_udf(SPAN)
-def _find_all(text: pd.Series, phrase: pd.Series) -> pd.Series:
-    """Every case-insensitive, non-overlapping occurrence of a literal phrase."""
+def _find_all(text: pd.Series, phrases: pd.Series) -> pd.Series:
+    """Every case-insensitive, non-overlapping occurrence of each literal phrase."""
     out = []
-    for t, p in zip(text, phrase):
-        if t is None or p is None or p == "":
-            out.append([])
-            continue
-        out.append([{"start": m.start(), "end": m.end()} for m in re.finditer(re.escape(p), t, re.IGNORECASE)])
+    for t, ps in zip(text, phrases):
+        spans = []
+        if t is not None and ps is not None:
+            for p in dict.fromkeys(ps):
+                if p:
+                    spans += [{"phrase": p, "start": m.start(), "end": m.end()}
+                              for m in re.finditer(re.escape(p), t, re.IGNORECASE)]
+        out.append(spans)
     return pd.Series(out)
 
 
-def phrase_spans(df: DataFrame, text_col: str, phrase_col: str) -> DataFrame:
-    """One row per occurrence: the input columns (minus text) + start, end.
+def phrase_spans(df: DataFrame, text_col: str, phrases_col: str, out_col: str = "keyword") -> DataFrame:
+    """One row per occurrence: the input columns (minus text and phrases) +
+    ``out_col`` (the phrase), start, end.
 
-    A per-row helper over Arrow batches; Spark partitions the rows.
+    A per-row helper over Arrow batches; each text crosses to Python once
+    with all of its phrases, and Spark partitions the rows.
     """
-    keep = [c for c in df.columns if c != text_col]
-    return (df.select(*keep, F.explode(_find_all(F.col(text_col), F.col(phrase_col))).alias("_s"))
-            .select(*keep, F.col("_s.start").alias("start"), F.col("_s.end").alias("end")))
+    keep = [c for c in df.columns if c not in (text_col, phrases_col)]
+    return (df.select(*keep, F.explode(_find_all(F.col(text_col), F.col(phrases_col))).alias("_s"))
+            .select(*keep, F.col("_s.phrase").alias(out_col), F.col("_s.start").alias("start"),
+                    F.col("_s.end").alias("end")))
 
 
 def merge_spans(spans: DataFrame, key_cols: list[str], start: str = "start", end: str = "end") -> DataFrame:

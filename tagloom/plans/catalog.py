@@ -923,9 +923,8 @@ spans AS (SELECT id, keyword, CAST(c + (i - 1) * length(keyword) AS INTEGER) AS
 
 
 def _spans(spark, sf):
-    h = S.hits(spark, sf)
-    pairs = h.select("id", "text", F.explode("keywords").alias("keyword"))
-    return SP.phrase_spans(pairs, "text", "keyword")
+    h = S.hits(spark, sf).select("id", "text", "keywords")
+    return SP.phrase_spans(h, "text", "keywords", "keyword")
 
 
 @query("annotation_spans", f"""WITH {_SPANS_SQL} SELECT id, keyword, start, "end" FROM spans""")
