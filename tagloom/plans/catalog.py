@@ -1258,3 +1258,19 @@ def q_dosage_mentions(spark, sf):
     m = F.regexp_extract_all(F.lower("text"), F.lit(L.DOSAGE_PATTERN), 0)
     return d.select("doc_id", m.alias("doses")).filter(F.size("doses") > 0) \
         .select("doc_id", F.array_join("doses", "; ").alias("doses"), F.size("doses").alias("n_doses"))
+
+
+@query("matched_in_category_sql", f"""WITH {_SUBSET_BASE} SELECT id FROM matched""")
+def q_matched_in_category_sql(spark, sf):
+    """The category membership written as SQL over temp views (catalog scans)."""
+    posts, comments, km = _posts_comments_matches(spark, sf)
+    posts.createOrReplaceTempView("tl_posts")
+    comments.createOrReplaceTempView("tl_comments")
+    km.createOrReplaceTempView("tl_keyword_matches")
+    return spark.sql("""
+        SELECT DISTINCT km.id
+        FROM tl_keyword_matches km
+        LEFT JOIN tl_posts p ON km.id = p.id
+        LEFT JOIN tl_comments c ON km.id = c.id
+        LEFT JOIN tl_posts parent_post ON c.post_id = parent_post.id
+        WHERE p.category = 'user' OR parent_post.category = 'user'""")
