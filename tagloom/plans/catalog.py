@@ -1274,3 +1274,35 @@ def q_matched_in_category_sql(spark, sf):
         LEFT JOIN tl_comments c ON km.id = c.id
         LEFT JOIN tl_posts parent_post ON c.post_id = parent_post.id
         WHERE p.category = 'user' OR parent_post.category = 'user'""")
+
+
+_TAG_CATEGORIES = ["phrases", "compounds", "compounds_short", "ingestion_methods", "strains", "dosages", "traits",
+                   "topicals", "symptoms"]
+
+
+def _category_sql() -> str:
+    parts = []
+    for cat in _TAG_CATEGORIES:
+        parts.append(f"SELECT doc_id, '{cat}' AS category, {_phrase_case_sql('low', L.CATEGORIES[cat])} AS kw FROM d")
+    return "\nUNION ALL\n".join(parts)
+
+
+@query("lexicon_categories", f"""WITH d AS (SELECT doc_id, lower(text) AS low FROM documents),
+m AS ({_category_sql()})
+SELECT doc_id, category, array_to_string(kw, '; ') AS keywords, len(kw) AS n_keywords FROM m WHERE len(kw) > 0""")
+def q_lexicon_categories(spark, sf):
+    """Documents tagged with every category lexicon: one match pass over the
+    union of all terms, then matched terms join the (category, ord, term)
+    lexicon (a few hundred rows, broadcast) and are listed in each
+    category's own order."""
+    lex = None
+    for cat in _TAG_CATEGORIES:
+        one = L.lexicon_df(spark, cat).dropDuplicates(["term"])
+        lex = one if lex is None else lex.unionByName(one)
+    all_terms = list(dict.fromkeys(t for cat in _TAG_CATEGORIES for t in L.CATEGORIES[cat]))
+    d = S.docs(spark, sf).select("doc_id", "text")
+    hits = M.keyword_match(d, "text", all_terms).select("doc_id", F.explode("keywords").alias("term"))
+    tagged = hits.join(F.broadcast(lex), "term")
+    per = tagged.groupBy("doc_id", "category").agg(F.array_sort(F.collect_list(F.struct("ord", "term"))).alias("_k"))
+    return per.select("doc_id", "category", F.array_join(F.transform("_k", lambda s: s["term"]), "; ").alias("keywords"),
+                      F.size("_k").alias("n_keywords"))
