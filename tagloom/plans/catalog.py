@@ -942,7 +942,15 @@ def q_merge_spans(spark, sf):
     return SP.merge_spans(_spans(spark, sf).select("id", "start", "end"), ["id"]).select("id", "start", "end")
 
 
-@query("span_priority")
+@query("span_priority", f"""WITH RECURSIVE {_SPANS_SQL},
+k AS (SELECT id, start, "end", CASE WHEN length(keyword) > 3 THEN 'highlight' ELSE 'bold' END AS kind FROM spans),
+o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY start, "end" DESC, kind) AS rn FROM k),
+walk AS (
+  SELECT id, CAST(0 AS BIGINT) AS rn, -1 AS last, false AS took FROM (SELECT DISTINCT id FROM o)
+  UNION ALL
+  SELECT o.id, o.rn, CASE WHEN o.start >= w.last THEN o."end" ELSE w.last END, o.start >= w.last
+  FROM walk w JOIN o ON o.id = w.id AND o.rn = w.rn + 1)
+SELECT o.id, o.start, o."end", o.kind FROM walk w JOIN o ON o.id = w.id AND o.rn = w.rn WHERE w.took""")
 def q_span_priority(spark, sf):
     s = _spans(spark, sf).withColumn("kind", F.when(F.length("keyword") > 3, "highlight").otherwise("bold"))
     return SP.span_priority(s, ["id"], "kind")
