@@ -153,8 +153,11 @@ def stratified_sample(df: DataFrame, group_col: str, id_col: str, n: int, seed=4
             picked = picked.checkpoint(eager=True)
         out = picked if out is None else out.unionByName(picked)
         drawn_ids = out.select(id_col).distinct()
-    keys = out.select(group_col, id_col, "_order")
-    return pairs.join(keys, [group_col, id_col]).withColumnRenamed("_order", "sample_order")
+    # global draw order: by group, then by position inside the group (the
+    # sample holds at most n rows per group, so this window is bounded)
+    keys = out.select(group_col, id_col, (F.row_number().over(Window.orderBy("_g", "_pos")) - 1)
+                      .cast("long").alias("sample_order"))
+    return pairs.join(keys, [group_col, id_col])
 
 
 def _greedy(cand: DataFrame, group_col: str, id_col: str, n: int, id_type) -> DataFrame:
@@ -162,22 +165,23 @@ def _greedy(cand: DataFrame, group_col: str, id_col: str, n: int, id_type) -> Da
     import pandas as pd
 
     schema = T.StructType([T.StructField(group_col, cand.schema[group_col].dataType),
-                           T.StructField(id_col, id_type), T.StructField("_order", T.LongType())])
+                           T.StructField(id_col, id_type), T.StructField("_g", T.LongType()),
+                           T.StructField("_pos", T.LongType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_g", "_r"])
         seen, rows = set(), []
-        for _, grp in pdf.groupby("_g", sort=True):
-            took = 0
+        for g, grp in pdf.groupby("_g", sort=True):
+            took = []
             for gv, iv in zip(grp[group_col], grp[id_col]):
-                if took >= n:
+                if len(took) >= n:
                     break
                 if iv in seen:
                     continue
-                rows.append((gv, iv, len(rows)))
-                took += 1
-            seen.update(r[1] for r in rows[-took:] if took)
-        return pd.DataFrame(rows, columns=[group_col, id_col, "_order"])
+                took.append(iv)
+                rows.append((gv, iv, int(g), len(took) - 1))
+            seen.update(took)
+        return pd.DataFrame(rows, columns=[group_col, id_col, "_g", "_pos"])
 
     return (cand.select(F.lit(0).alias("_one"), group_col, id_col, "_g", "_r")
             .groupBy("_one").applyInPandas(run, schema))

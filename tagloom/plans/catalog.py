@@ -1016,10 +1016,26 @@ def q_unreviewed(spark, sf):
 # more sampling
 # ===========================================================================
 
-@query("stratified_sample")
+@query("stratified_sample", f"""WITH RECURSIVE {Q.HITS},
+ex AS (SELECT DISTINCT unnest(keywords) AS keyword, id, subreddit FROM hits),
+g AS (SELECT keyword, CAST(dense_rank() OVER (ORDER BY keyword) AS BIGINT) AS gi FROM (SELECT DISTINCT keyword FROM ex)),
+c AS (SELECT e.keyword, g.gi, e.id, md5('42|' || e.keyword || '|' || CAST(e.id AS VARCHAR)) AS h FROM ex e JOIN g USING (keyword)),
+cl AS (SELECT gi, list(id ORDER BY h, id) AS ids FROM c GROUP BY gi),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS gi, CAST([] AS BIGINT[]) AS seen, CAST([] AS BIGINT[]) AS took
+  UNION ALL
+  SELECT cl.gi,
+         list_concat(w.seen, list_filter(cl.ids, lambda x: NOT list_contains(w.seen, x))[1:10]),
+         list_filter(cl.ids, lambda x: NOT list_contains(w.seen, x))[1:10]
+  FROM walk w JOIN cl ON cl.gi = w.gi + 1),
+picked AS (SELECT w.gi, unnest(w.took) AS id, generate_subscripts(w.took, 1) AS pos FROM walk w WHERE len(w.took) > 0)
+SELECT g.keyword, p.id, e.subreddit, CAST(row_number() OVER (ORDER BY p.gi, p.pos) - 1 AS BIGINT) AS sample_order
+FROM picked p JOIN g ON g.gi = p.gi JOIN ex e ON e.keyword = g.keyword AND e.id = p.id""")
 def q_stratified_sample(spark, sf):
+    """Greedy draw of up to 10 ids per keyword (keywords in sorted order, an id
+    drawn once); the oracle walks the groups with a recursive CTE."""
     ex = S.hit_keys(spark, sf).select("id", "subreddit", F.explode("keywords").alias("keyword"))
-    return SA.stratified_sample(ex, "keyword", "id", 10, 42)
+    return SA.stratified_sample(ex, "keyword", "id", 10, 42).select("keyword", "id", "subreddit", "sample_order")
 
 
 @query("top_k_per_group_union", f"""WITH {Q.PREDS},

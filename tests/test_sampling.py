@@ -44,8 +44,11 @@ def brute_greedy(rows, n, seed=42):
 def test_stratified_sample_matches_brute_force(spark):
     rows = [(f"k{(i * 7) % 13}", i % 97) for i in range(900)] + [("hot", i) for i in range(300)]
     df = spark.createDataFrame(rows, "keyword string, id long")
-    got = sorted((r.keyword, r.id) for r in SA.stratified_sample(df, "keyword", "id", 5, 42, slice_groups=4).collect())
+    out = SA.stratified_sample(df, "keyword", "id", 5, 42, slice_groups=4).collect()
+    got = sorted((r.keyword, r.id) for r in out)
     assert got == sorted(brute_greedy(rows, 5))
+    # the draw order is global across slices
+    assert [(r.keyword, r.id) for r in sorted(out, key=lambda r: r.sample_order)] == brute_greedy(rows, 5)
     ids = [i for _, i in got]
     assert len(ids) == len(set(ids))
 
