@@ -30,6 +30,7 @@ from ..functions.text import (
 
 MAX_INLINE = 1000          # phrases inlined as literal expressions
 MAX_BROADCAST_LEXICON = 200_000  # rows of a lexicon DataFrame we allow to broadcast
+MAX_PUNCT_INLINE = 1000    # phrases opening with punctuation, tested in-row in the join plan
 
 
 @dataclass(frozen=True)
@@ -153,7 +154,7 @@ def keyword_match_join(df: DataFrame, text_col: str, lexicon: DataFrame, out_col
                 .select(*key_cols, "ord", "term"))
     # phrases opening with punctuation have no first token: test them in-row
     punct = lex.filter(F.col("first").isNull()).select("ord", "term")
-    if punct.limit(MAX_INLINE + 1).count() > MAX_INLINE:
+    if punct.limit(MAX_PUNCT_INLINE + 1).count() > MAX_PUNCT_INLINE:
         raise ValueError("too many phrases that start with punctuation to verify in-row")
     prows = punct.orderBy("ord").collect()
     if prows:

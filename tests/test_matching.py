@@ -102,3 +102,15 @@ def test_regex_label_match_sorted_distinct(spark):
     df = spark.createDataFrame([("The pain and the sleep",)], "text string")
     out = M.regex_label_match(df, "text", [("pain", "pain"), ("sleep", "sleep"), ("ache|pain", "pain")]).first()
     assert out.keyword == "pain; sleep"
+
+
+def test_phrases_opening_with_punctuation_both_plans(spark, monkeypatch):
+    texts = ["x.5mg dose", " .5mg dose", "a-thc", "-thc alone", "ok #weed now", "a#weed"]
+    phrases = [".5mg", "-thc", "#weed", "dose"]
+    want = [py_matches(t, phrases) for t in texts]
+    assert run(spark, texts, phrases) == want
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    monkeypatch.setattr(M, "MAX_INLINE", 2)
+    got = {r.id: r.keywords for r in M.keyword_match(df, "text", L.lexicon_df(spark, "custom", phrases),
+                                                      key_cols=["id"], keep_empty=True).collect()}
+    assert [got[i] for i in range(len(texts))] == want
