@@ -68,8 +68,12 @@ def spread(df, spark: SparkSession):
     """Round-robin a DataFrame over the default parallelism when its scan
     yields fewer partitions (one big row group, an unsplittable .zst file).
     A large scan already has more splits than cores and is left alone."""
-    want = spark.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    try:
+        want = spark.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a Spark Connect session): leave it to AQE
+        return df
+    return df.repartition(want) if have < want else df
 
 
 TEXT_TABLES = {"documents", "conversations", "pages", "benchmark"}
