@@ -44,17 +44,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; set a scratch one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is. Only local runs (tests, bench) get a fresh scratch folder.
+    as is. Only local runs (tests, bench) get a fresh scratch folder, once.
     """
-    conf = spark.sparkContext.getConf()
-    d = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # no SparkContext view (e.g. Spark Connect): the server's setting applies
+        return d or ""
+    d = d or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="tagloom-ckpt-", dir="/tmp")
         try:
             spark.conf.set("spark.checkpoint.dir", d)
         except Exception:  # a session may treat it as static; the context setting below suffices
             pass
-    spark.sparkContext.setCheckpointDir(d)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 
