@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_path
-from .common import batch_of, text_runs
+from .common import batch_of, staged, text_runs
 
 CACHE = "digest binary, n_tokens long"
 _LOADED: dict[str, object] = {}
@@ -91,5 +91,6 @@ def count(spark: SparkSession, docs: DataFrame, path: str, cache: str, *, limit:
                 yield batch_of(schema, [b.column("digest").slice(run[0], len(run)), of([texts[i] for i in run])])
 
     misses.mapInArrow(encode, CACHE).write.mode("append").parquet(table)
-    counts = spark.read.schema(CACHE).parquet(table).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
+    # written, so that the join below stands alone and AQE can split a hot digest
+    counts = staged(spark, spark.read.schema(CACHE).parquet(table).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens")), "counts")
     return rows.select("doc_id", "digest", "n_bytes").join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
