@@ -146,7 +146,8 @@ def repeats(spark: SparkSession, docs: DataFrame, seeded: DataFrame, least: int
     anchors = occurrences.groupBy("a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("c").alias("c0"), F.max("c").alias("c1"))
     anchors = staged(spark, anchors.where("lo < hi").select("a", (F.col("c0") != F.col("c1")).alias("several")), "anchors")
     joined = staged(spark, Sieve(spark, anchors, "a").keep(occurrences, "a").join(anchors, "a"), "occurrences")
-    classes = joined.groupBy("a", "c").agg(F.min("doc_id").alias("first"))
+    # written, so that the join below stands alone and AQE can split a hot passage
+    classes = staged(spark, joined.groupBy("a", "c").agg(F.min("doc_id").alias("first")), "classes")
     classed = staged(spark, joined.join(classes, ["a", "c"]).where("first < doc_id OR several").select(*KEY, "n_words", "pos", (F.col("first") < F.col("doc_id")).alias("later")), "classed")
     whole = classed.where("later").select(*KEY, F.greatest(F.col("pos") - reach, F.lit(0)).alias("s"), F.least(F.col("pos") + q + reach, F.col("n_words")).cast("int").alias("e"))
 
