@@ -1,17 +1,22 @@
 """Phrase and regex matching over text columns.
 
-Whole-word phrase matching (``keyword_match``) has two physical plans:
-
-* **in-row** (lexicons up to ``MAX_INLINE`` phrases): lower the text once,
-  take its distinct word tokens, intersect them with the lexicon's first
-  tokens (hash-based ``array_intersect``), and only then run the literal
-  boundary regex of a multi-token phrase whose first token is present. It
-  is a single narrow projection: no shuffle, no explode, the row keeps all
-  its columns, and the regexes are literals compiled once per task.
-* **token join** (larger lexicons): explode distinct tokens, equi-join them
-  with the lexicon on the first token (broadcast only when the lexicon
-  count is under the broadcast bound), verify multi-token phrases, collect
-  per row key and join back.
+Whole-word phrase matching (``keyword_match``) has one rule at any lexicon
+size: same phrases, same (lexicon) order, same treatment of duplicates, no
+key columns asked for. Two physical plans carry it out:
+
+* **in-row** (lexicons counted up to ``MAX_INLINE`` phrases): the lexicon is a
+  literal hash table in the plan. The text is lowered once; each distinct
+  token is hashed to its bucket of phrases, and a phrase of several tokens is
+  verified only if its anchor token is there. Cost follows the text, not the
+  lexicon. A single narrow projection: no shuffle, the row keeps all columns.
+* **token join** (larger lexicons): distinct tokens joined to the lexicon on
+  the anchor (broadcast only if the lexicon's count is below a bound, else
+  salted against hot tokens), verified, and joined back by a digest of the
+  text, so equal texts are matched once.
+
+The anchor is a token that every match must hold as a whole: the phrase's
+first run of word characters, or, for a phrase of punctuation alone, the
+phrase itself as a run of non-word characters.
 
 A phrase matches when Python's ``\\b<phrase>\\b`` would match it in the
 lower-cased text; word characters are ``[\\p{L}\\p{N}_]``.
@@ -19,29 +24,39 @@ lower-cased text; word characters are ``[\\p{L}\\p{N}_]``.
 
 from __future__ import annotations
 
+import json
+import zlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import (
-    WORD, boundary_regex, first_token, is_single_token, java_quote, word_tokens,
+    WORD, boundary_regex, is_single_token, java_quote, tokens_of, word_tokens,
 )
 
-MAX_INLINE = 1000          # phrases inlined as literal expressions
-MAX_BROADCAST_LEXICON = 200_000  # rows of a lexicon DataFrame we allow to broadcast
-MAX_PUNCT_INLINE = 1000    # phrases opening with punctuation, tested in-row in the join plan
+MAX_INLINE = 20_000        # phrases of a lexicon that is carried in the plan
+MAX_BROADCAST_LEXICON = 200_000  # rows of a joined lexicon that may be broadcast
+SALTS = 16                 # copies of a joined lexicon that may not: hot tokens are split
+BUCKETS = ("array<array<struct<ord:int,term:string,low:string,anchor:string,"
+           "single:boolean,pattern:string>>>")
 
 
 @dataclass(frozen=True)
 class Phrase:
     ord: int
     term: str
-    first: str | None
+    anchor: str
     single: bool
     pattern: str
 
 
+def anchor_of(phrase: str) -> str:
+    """The token a text must hold for the phrase to match."""
+    words = tokens_of(phrase)
+    return words[0] if words else phrase.lower()
+
+
 def prepare(terms, dedupe: bool = True) -> list[Phrase]:
     """Lexicon entries in list order; duplicates dropped (first kept) by default."""
     seen, out = set(), []
@@ -51,36 +66,51 @@ def prepare(terms, dedupe: bool = True) -> list[Phrase]:
         if dedupe and t in seen:
             continue
         seen.add(t)
-        out.append(Phrase(len(out), t, first_token(t), is_single_token(t), boundary_regex(t)))
+        out.append(Phrase(len(out), t, anchor_of(t), is_single_token(t), boundary_regex(t)))
     return out
 
 
 def _terms_of(lexicon) -> list[str] | None:
-    """A Python list for small lexicons, None when the lexicon must be joined."""
+    """The terms of a lexicon that the plan may carry, None when it must be joined."""
     if isinstance(lexicon, (list, tuple)):
-        return list(lexicon)
+        return list(lexicon) if len(lexicon) <= MAX_INLINE else None
     # DataFrame (ord, term): bounded check before pulling it to the driver
-    n = lexicon.limit(MAX_INLINE + 1).count()
-    if n > MAX_INLINE:
+    if lexicon.limit(MAX_INLINE + 1).count() > MAX_INLINE:
         return None
-    rows = lexicon.select("ord", "term").orderBy("ord").collect()
-    return [r["term"] for r in rows]
+    return [r["term"] for r in lexicon.select("ord", "term").orderBy("ord").collect()]
 
 
-def phrase_hits(low: Column, cand: Column, entries: list[Phrase]) -> Column:
-    """ARRAY<STRING> of matched phrases, in lexicon order (in-row plan)."""
-    parts = []
+def lexicon_frame(spark: SparkSession, terms) -> DataFrame:
+    """(ord, term) of a list of phrases."""
+    return spark.createDataFrame([(i, t) for i, t in enumerate(terms)], "ord int, term string")
+
+
+def lexicon_buckets(entries: list[Phrase]) -> tuple[Column, int]:
+    """The lexicon as a literal hash table: buckets of entries by crc32 of the anchor."""
+    n = 1 << max(4, len(entries).bit_length())
+    table: list[list[dict]] = [[] for _ in range(n)]
     for e in entries:
-        if e.first is None:
-            cond = low.rlike(e.pattern)
-        elif e.single:
-            cond = F.array_contains(cand, F.lit(e.first))
-        else:
-            cond = F.array_contains(cand, F.lit(e.first)) & low.rlike(e.pattern)
-        parts.append(F.when(cond, F.lit(e.term)))
-    if not parts:
-        return F.array().cast("array<string>")
-    return F.filter(F.array(*parts), lambda x: x.isNotNull())
+        table[zlib.crc32(e.anchor.encode()) % n].append(
+            {"ord": e.ord, "term": e.term, "low": e.term.lower(), "anchor": e.anchor, "single": e.single, "pattern": e.pattern})
+    return F.from_json(F.lit(json.dumps(table)), BUCKETS), n
+
+
+def match_tokens(low: Column, punctuation: bool) -> Column:
+    """Distinct runs of word characters; of other characters too if asked for."""
+    words = word_tokens(low)
+    return F.concat(words, F.array_distinct(F.split(low, f"{WORD}+"))) if punctuation else words
+
+
+def phrase_hits(low: Column, tokens: Column, entries: list[Phrase]) -> Column:
+    """ARRAY<STRING> of matched phrases, in lexicon order (in-row plan)."""
+    table, n = lexicon_buckets(entries)
+
+    def of_token(t):
+        return F.filter(F.get(table, (F.crc32(t.cast("binary")) % n).cast("int")),
+                        lambda e: (e["anchor"] == t) & (e["single"] | (low.contains(e["low"]) & F.regexp_like(low, e["pattern"]))))
+
+    found = F.flatten(F.transform(tokens, of_token))
+    return F.coalesce(F.transform(F.array_sort(found), lambda e: e["term"]), F.array().cast("array<string>"))
 
 
 def fence(df: DataFrame, expr: Column, name: str) -> DataFrame:
@@ -96,91 +126,81 @@ def fence(df: DataFrame, expr: Column, name: str) -> DataFrame:
 
 
 def keyword_match(df: DataFrame, text_col: str, lexicon, out_col: str = "keywords",
-                  key_cols: list[str] | None = None, dedupe: bool = True,
-                  keep_empty: bool = False) -> DataFrame:
+                  dedupe: bool = True, keep_empty: bool = False) -> DataFrame:
     """Add ``out_col`` = phrases of ``lexicon`` found whole-word in ``text_col``.
 
-    ``lexicon`` is a list of phrases or a DataFrame ``(ord, term)``. Rows
-    without a match are dropped unless ``keep_empty``. ``key_cols`` (unique
-    per row) are only needed for the token-join plan of big lexicons.
+    ``lexicon`` is a list of phrases or a DataFrame ``(ord, term)`` of any
+    size. Rows without a match are dropped unless ``keep_empty``. A phrase
+    listed twice is reported once, at its first place, unless ``dedupe`` is off.
     """
     terms = _terms_of(lexicon)
     if terms is None:
-        out = keyword_match_join(df, text_col, lexicon, out_col, key_cols)
+        out = keyword_match_join(df, text_col, lexicon, out_col, dedupe)
     else:
         entries = prepare(terms, dedupe)
-        firsts = sorted({e.first for e in entries if e.first is not None})
-        first_arr = F.array(*[F.lit(f) for f in firsts]) if firsts else F.array().cast("array<string>")
+        punctuation = any(not tokens_of(e.term) for e in entries)
         staged = (
             df.withColumn("_low", F.lower(F.col(text_col)))
-            .withColumn("_cand", F.array_intersect(word_tokens(F.col("_low")), first_arr))
+            .withColumn("_tok", match_tokens(F.col("_low"), punctuation))
         )
-        out = fence(staged, phrase_hits(F.col("_low"), F.col("_cand"), entries), out_col).drop("_low", "_cand")
+        out = fence(staged, phrase_hits(F.col("_low"), F.col("_tok"), entries), out_col).drop("_low", "_tok")
     if not keep_empty:
         out = out.filter(F.size(out_col) > 0)
     return out
 
 
-def _lexicon_columns(lex: DataFrame) -> DataFrame:
-    """Spark-side first token / single flag / boundary regex of a lexicon DataFrame."""
+def _lexicon_columns(lex: DataFrame, dedupe: bool) -> DataFrame:
+    """Spark-side anchor / single flag / boundary regex of a lexicon DataFrame."""
+    lex = lex.select("ord", "term").filter(F.col("term").isNotNull() & (F.col("term") != ""))
+    if dedupe:
+        lex = lex.groupBy("term").agg(F.min("ord").alias("ord"))
     low = F.lower(F.col("term"))
     esc = F.regexp_replace(low, r"([\p{Punct}])", r"\\$1")
     head = F.when(low.rlike(f"^{WORD}"), F.lit(f"(?<!{WORD})")).otherwise(F.lit(f"(?<={WORD})"))
     tail = F.when(low.rlike(f"{WORD}$"), F.lit(f"(?!{WORD})")).otherwise(F.lit(f"(?={WORD})"))
     return lex.select(
-        "ord", "term",
-        F.nullif(F.regexp_extract(low, f"^({WORD}+)", 1), F.lit("")).alias("first"),
+        "ord", "term", low.alias("low"),
+        F.coalesce(F.nullif(F.regexp_extract(low, f"({WORD}+)", 1), F.lit("")), low).alias("anchor"),
         low.rlike(f"^{WORD}+$").alias("single"),
         F.concat(head, esc, tail).alias("pattern"),
-    ).filter(F.col("term").isNotNull() & (F.col("term") != ""))
-
-
-def keyword_match_join(df: DataFrame, text_col: str, lexicon: DataFrame, out_col: str,
-                       key_cols: list[str] | None) -> DataFrame:
-    """Token-join plan for lexicons too large to inline."""
-    if not key_cols:
-        raise ValueError("key_cols are required to match against a large lexicon")
-    lex = _lexicon_columns(lexicon).dropDuplicates(["term"])
-    n_lex = lexicon.limit(MAX_BROADCAST_LEXICON + 1).count()
-    lex_b = F.broadcast(lex) if n_lex <= MAX_BROADCAST_LEXICON else lex
-    keyed = df.select(*key_cols, F.lower(F.col(text_col)).alias("_low"))
-    toks = keyed.select(*key_cols, F.explode(word_tokens(F.col("_low"))).alias("tok"))
-    by_tok = toks.join(lex_b.filter(F.col("first").isNotNull()), F.col("tok") == F.col("first"))
-    single = by_tok.filter("single").select(*key_cols, "ord", "term")
-    # multi-token phrases and phrases opening with punctuation need the text
-    need = by_tok.filter(~F.col("single")).select(*key_cols, "ord", "term", "pattern")
-    verified = (need.join(keyed, key_cols)
-                .filter(F.expr("regexp_like(_low, pattern)"))
-                .select(*key_cols, "ord", "term"))
-    # phrases opening with punctuation have no first token: test them in-row
-    punct = lex.filter(F.col("first").isNull()).select("ord", "term")
-    if punct.limit(MAX_PUNCT_INLINE + 1).count() > MAX_PUNCT_INLINE:
-        raise ValueError("too many phrases that start with punctuation to verify in-row")
-    prows = punct.orderBy("ord").collect()
-    if prows:
-        arr = F.array(*[F.when(F.col("_low").rlike(boundary_regex(r["term"])),
-                               F.struct(F.lit(r["ord"]).alias("ord"), F.lit(r["term"]).alias("term")))
-                        for r in prows])
-        verified = verified.unionByName(
-            keyed.select(*key_cols, F.explode(F.filter(arr, lambda x: x.isNotNull())).alias("_s"))
-            .select(*key_cols, "_s.ord", "_s.term"))
+    )
+
+
+def keyword_match_join(df: DataFrame, text_col: str, lexicon, out_col: str, dedupe: bool = True) -> DataFrame:
+    """Token-join plan for lexicons too large to carry in the plan."""
+    if isinstance(lexicon, (list, tuple)):
+        lexicon = lexicon_frame(df.sparkSession, lexicon)
+    lex = _lexicon_columns(lexicon, dedupe)
+    keyed = df.withColumn("_d", F.md5(F.lower(F.col(text_col))))
+    texts = keyed.select("_d", F.lower(F.col(text_col)).alias("_low"))
+    toks = texts.select("_d", F.explode(match_tokens(F.col("_low"), True)).alias("tok"))
+    if lexicon.limit(MAX_BROADCAST_LEXICON + 1).count() <= MAX_BROADCAST_LEXICON:
+        by_tok = toks.join(F.broadcast(lex), F.col("tok") == F.col("anchor"))
+    else:
+        salted = lex.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        by_tok = toks.withColumn("_t", F.pmod(F.xxhash64("_d"), F.lit(SALTS)).cast("int")) \
+            .join(salted, (F.col("tok") == F.col("anchor")) & (F.col("_t") == F.col("_s")))
+    single = by_tok.filter("single").select("_d", "ord", "term")
+    # phrases of several tokens need the text: it moves once, with all its candidates
+    need = by_tok.filter(~F.col("single")).groupBy("_d").agg(F.collect_set(F.struct("ord", "term", "low", "pattern")).alias("_c"))
+    holds = F.filter("_c", lambda e: F.col("_low").contains(e["low"]) & F.regexp_like(F.col("_low"), e["pattern"]))
+    verified = texts.join(need, "_d").select("_d", F.explode(holds).alias("_e")).select("_d", "_e.ord", "_e.term")
     hits = (single.unionByName(verified)
-            .groupBy(*key_cols)
+            .groupBy("_d")
             .agg(F.array_sort(F.collect_set(F.struct("ord", "term"))).alias("_h"))
-            .select(*key_cols, F.transform("_h", lambda s: s["term"]).alias(out_col)))
-    return df.join(hits, key_cols, "left").withColumn(
+            .select("_d", F.transform("_h", lambda s: s["term"]).alias(out_col)))
+    return keyed.drop(out_col).join(hits, "_d", "left").drop("_d").withColumn(
         out_col, F.coalesce(F.col(out_col), F.array().cast("array<string>")))
 
 
 def title_first_match(df: DataFrame, title_col: str, body_col: str, lexicon,
-                      out_col: str = "keywords") -> DataFrame:
-    """Submissions: the title's matches if it has any, else the body's."""
-    terms = _terms_of(lexicon)
-    if terms is None:
-        raise ValueError("title_first_match takes an inline-sized lexicon")
-    t = keyword_match(df, title_col, terms, "_th", keep_empty=True)
-    b = keyword_match(t, body_col, terms, "_bh", keep_empty=True)
-    return (b.withColumn(out_col, F.when(F.size("_th") > 0, F.col("_th")).otherwise(F.col("_bh")))
+                      out_col: str = "keywords", from_title: str | None = None) -> DataFrame:
+    """Submissions: the title's matches if it has any, else the body's; with
+    ``from_title`` a column of that name tells which."""
+    t = keyword_match(df, title_col, lexicon, "_th", keep_empty=True)
+    b = keyword_match(t, body_col, lexicon, "_bh", keep_empty=True)
+    flag = {from_title: F.size("_th") > 0} if from_title else {}
+    return (b.withColumns({out_col: F.when(F.size("_th") > 0, F.col("_th")).otherwise(F.col("_bh"))} | flag)
             .drop("_th", "_bh").filter(F.size(out_col) > 0))
 
 

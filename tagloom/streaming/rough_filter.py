@@ -1,10 +1,10 @@
 """The rough keyword cut as a Structured Streaming job over a dump folder.
 
 New dump files are picked up as they land. Parsing, the date test,
-routing and matching are stateless, so hits stream out in append mode. Line
-counts are written per micro-batch by ``foreachBatch`` into a folder
-partitioned by batch id; a replayed batch overwrites its own partition
-(idempotent), and ``line_counts`` sums the partitions at read time.
+routing and matching are stateless. Hits and line counts are written per
+micro-batch by ``foreachBatch`` into folders partitioned by batch id; a
+replayed batch overwrites its own partition (idempotent), and
+``line_counts`` sums the partitions at read time.
 """
 
 from __future__ import annotations
@@ -32,19 +32,19 @@ def start(spark: SparkSession, folder: str, out_dir: str, lexicon, checkpoint_di
     out_dir/line_counts: per-batch (file, total_lines, keyword_lines, bad_lines).
     """
     lines = dump_stream(spark, folder, max_files_per_trigger)
-    tagged = tag_lines(parse_json_lines(lines), lexicon)
     hits_path = os.path.join(out_dir, "hits")
     counts_path = os.path.join(out_dir, "line_counts")
 
-    def per_batch(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+    def per_batch(lines: DataFrame, batch_id: int) -> None:
+        # a batch is an ordinary frame, so a lexicon of any size can be matched
+        batch = tag_lines(parse_json_lines(lines), lexicon).persist()
         hits = batch.filter(F.size("keywords") > 0).select(
             "file", short_name(F.col("file")).alias("short_name"), "id", "text", "keywords")
         hits.write.mode("overwrite").parquet(os.path.join(hits_path, f"batch_id={batch_id}"))
         scan_line_counts(batch).write.mode("overwrite").parquet(os.path.join(counts_path, f"batch_id={batch_id}"))
         batch.unpersist()
 
-    w = tagged.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
+    w = lines.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
 

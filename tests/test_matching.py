@@ -67,7 +67,7 @@ def test_join_plan_equals_inline_plan(spark, monkeypatch):
     inline = {r.id: r.keywords for r in M.keyword_match(df, "text", phrases).collect()}
     lex = L.lexicon_df(spark, "custom", phrases)
     monkeypatch.setattr(M, "MAX_INLINE", 2)
-    joined = {r.id: r.keywords for r in M.keyword_match(df, "text", lex, key_cols=["id"]).collect()}
+    joined = {r.id: r.keywords for r in M.keyword_match(df, "text", lex).collect()}
     assert joined == inline
 
 
@@ -111,6 +111,47 @@ def test_phrases_opening_with_punctuation_both_plans(spark, monkeypatch):
     assert run(spark, texts, phrases) == want
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
     monkeypatch.setattr(M, "MAX_INLINE", 2)
-    got = {r.id: r.keywords for r in M.keyword_match(df, "text", L.lexicon_df(spark, "custom", phrases),
-                                                      key_cols=["id"], keep_empty=True).collect()}
+    got = {r.id: r.keywords for r in M.keyword_match(df, "text", L.lexicon_df(spark, "custom", phrases), keep_empty=True).collect()}
     assert [got[i] for i in range(len(texts))] == want
+
+
+def big_lexicon(n):
+    """n phrases: single words, multi-word, punctuated, punctuation-first and -only, overlapping, a duplicate."""
+    rng = random.Random(n)
+    words = ["".join(rng.choice("abcdeghinorst") for _ in range(rng.randint(2, 4))) for _ in range(400)]
+    make = [lambda: rng.choice(words), lambda: rng.choice(words) + " " + rng.choice(words), lambda: rng.choice(words) + "-" + rng.choice(words).title(),
+            lambda: "." + rng.choice(words), lambda: "#" + rng.choice(words) + " " + rng.choice(words), lambda: "’".join(rng.sample(words, 2))]
+    out = ["-", "--", "’"] + [rng.choice(make)() for _ in range(n - 4)]
+    return out + [out[0]], words
+
+
+def test_one_behaviour_at_any_lexicon_size(spark, monkeypatch):
+    """5, 131 and 5,000 phrases: in-row, joined by broadcast and joined by a salted shuffle."""
+    for n in (5, 131, 5000):
+        phrases, words = big_lexicon(n)
+        rng = random.Random(1)
+        texts = ["".join(rng.choice(words) + rng.choice([" ", "-", ".", "#", "’", " #", "--", " "]) for _ in range(30)) + rng.choice(phrases) for _ in range(60)]
+        texts += [texts[0], "", None]
+        want = [py_matches(t, phrases) if t else [] for t in texts]
+        assert sum(map(len, want)) > 40 if n > 5 else True
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+        lexicons = [phrases, M.lexicon_frame(spark, phrases)]
+        for inline, broadcast in ((20_000, 200_000), (2, 200_000), (2, 2)):
+            monkeypatch.setattr(M, "MAX_INLINE", inline)
+            monkeypatch.setattr(M, "MAX_BROADCAST_LEXICON", broadcast)
+            for lex in lexicons:
+                got = {r.id: r.keywords for r in M.keyword_match(df, "text", lex, keep_empty=True).collect()}
+                assert [got[i] for i in range(len(texts))] == want, (n, inline, broadcast)
+
+
+def test_title_first_and_dosage_with_a_joined_lexicon(spark, monkeypatch):
+    monkeypatch.setattr(M, "MAX_INLINE", 1)
+    test_title_first_rule(spark)
+    test_dosage_percent_quirk(spark)
+
+
+def test_duplicates_can_be_kept(spark, monkeypatch):
+    df = spark.createDataFrame([("HHC vape",)], "text string")
+    for inline in (20_000, 1):
+        monkeypatch.setattr(M, "MAX_INLINE", inline)
+        assert M.keyword_match(df, "text", ["HHC", "vape", "HHC"], dedupe=False).first().keywords == ["HHC", "vape", "HHC"]
