@@ -1,12 +1,16 @@
-"""Staged intermediates: computed once per session, read by every query.
+"""Staged intermediates: computed once, read by every query.
 
 A branching plan (the dashboard evaluation reads its input in four
 branches) would otherwise recompute the keyword match in each branch:
 column pruning and filter push-down make the branches' subtrees differ, so
 Spark cannot reuse one exchange for them. The pipeline's natural shape is
-"write the hit table once, read it downstream", so a stage is an eager
-``checkpoint()`` into ``spark.checkpoint.dir`` (a shared, reliable folder
-on a cluster; it survives executor loss) and is memoised per application.
+"write the hit table once, read it downstream", so a stage is a Parquet
+table under ``spark.checkpoint.dir`` (a shared, reliable folder on a
+cluster; it survives executor loss): readers prune columns, push filters
+down and know its size.
+
+A stage is kept for the session and for the files it was made from: it is
+made anew when one of the input tables is rewritten.
 """
 
 from __future__ import annotations
@@ -14,19 +18,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import written
 
-_MEMO: dict[tuple[str, str, str], DataFrame] = {}
+_MEMO: dict[tuple, object] = {}
+INPUTS = ("documents", "labels")
 
 
-def staged(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf, name)
+def state_of(spark: SparkSession, sf: str) -> tuple:
+    """Names, sizes and times of the input files (a listing, no data is read)."""
+    paths = [f"{sf.rstrip('/')}/{t}.parquet" for t in INPUTS]
+    found = spark.read.format("binaryFile").load(paths).agg(
+        F.count(F.lit(1)), F.sum("length"), F.max("modificationTime"), F.sum(F.xxhash64("path").cast("decimal(20,0)")))
+    return tuple(found.first())
+
+
+def kept(spark: SparkSession, sf: str, name: str, build: Callable):
+    """``build()``, once for the session and the state of the input files."""
+    key = (id(spark), spark.conf.get("spark.app.id", ""), sf, name, state_of(spark, sf))
     if key not in _MEMO:
-        ensure_checkpoint_dir(spark)
-        _MEMO[key] = build().checkpoint(eager=True)
+        _MEMO[key] = build()
     return _MEMO[key]
 
 
+def staged(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """``build()`` as a written table, once for the session and the input files."""
+    return kept(spark, sf, name, lambda: written(spark, build(), name))
+
+
 def clear() -> None:
     _MEMO.clear()

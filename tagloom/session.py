@@ -1,14 +1,16 @@
 """Spark session helpers.
 
 Library code never sizes the cluster: it reads what the session says. Only
-tests and ``bench.py`` build a local session, and only they may fill in a
-checkpoint folder when the cluster did not name one.
+tests and ``bench.py`` build a local session; only a local master may go
+without a shared checkpoint folder.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -41,32 +43,46 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set a scratch one only if unset.
+    """The shared folder that ``spark.checkpoint.dir`` names.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is. Only local runs (tests, bench) get a fresh scratch folder, once.
+    Where it is unset, a local master (tests, bench: one machine) gets a
+    scratch folder, once; any other master is refused, since a folder of this
+    machine is not one that executors share.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
     except Exception:  # no SparkContext view (e.g. Spark Connect): the server's setting applies
-        return d or ""
-    d = d or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        sc = None
+    if sc is not None:
+        d = d or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if sc is None or not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="tagloom-ckpt-", dir="/tmp")
         try:
             spark.conf.set("spark.checkpoint.dir", d)
         except Exception:  # a session may treat it as static; the context setting below suffices
             pass
-    if sc.getCheckpointDir() is None:
+    if sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
 
 
 def checkpoint_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for a written table."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, name) if "://" not in base else base.rstrip("/") + "/" + name
+    return ensure_checkpoint_dir(spark).rstrip("/") + "/" + name
+
+
+def written(spark: SparkSession, df, name: str, partition_by: str | None = None):
+    """``df`` written once as Parquet under the shared folder, and read back:
+    cuts the lineage, survives lost executors, and keeps column pruning,
+    filter push-down and size statistics."""
+    path = checkpoint_path(spark, f"tagloom-{name}-{uuid.uuid4().hex}")
+    w = df.write
+    (w.partitionBy(partition_by) if partition_by else w).parquet(path)
+    back = spark.read.parquet(path) if partition_by else spark.read.schema(df.schema).parquet(path)
+    return back.select(*df.columns)
 
 
 def spread(df, spark: SparkSession):
@@ -85,5 +101,5 @@ TEXT_TABLES = {"documents", "conversations", "pages", "benchmark"}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str):
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return spread(df, spark) if name in TEXT_TABLES else df
