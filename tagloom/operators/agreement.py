@@ -41,10 +41,11 @@ def cohen_kappa(merged: DataFrame, l1: str = "label_1", l2: str = "label_2", dig
     when pe = 1 (a single label everywhere) or when there are no rows.
     """
     conf = merged.groupBy(F.col(l1).alias("a"), F.col(l2).alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    m1 = conf.groupBy(F.col("a").alias("k")).agg(F.sum("c").alias("r"))
-    m2 = conf.groupBy(F.col("b").alias("k")).agg(F.sum("c").alias("s"))
-    d = conf.filter(F.col("a") == F.col("b")).select(F.col("a").alias("k"), F.col("c").alias("d"))
-    per = m1.join(m2, "k", "full").join(d, "k", "left").na.fill(0, ["r", "s", "d"])
+    # each cell counts in its row's and its column's margin, and on the diagonal
+    zero, c, same = F.lit(0).cast("long"), F.col("c"), F.col("a") == F.col("b")
+    margins = F.array(F.struct(F.col("a").alias("k"), c.alias("r"), zero.alias("s"), F.when(same, c).otherwise(zero).alias("d")),
+                      F.struct(F.col("b").alias("k"), zero.alias("r"), c.alias("s"), zero.alias("d")))
+    per = conf.select(F.explode(margins).alias("m")).groupBy("m.k").agg(*[F.sum(f"m.{x}").alias(x) for x in "rsd"]).filter("k IS NOT NULL")
     n = F.sum("r")
     agg = per.agg(n.alias("n"), F.sum("d").alias("agreement"), F.sum(F.col("r") * F.col("s")).alias("rs"))
     po = F.col("agreement") / F.col("n")

@@ -65,34 +65,24 @@ def class_report(df: DataFrame, true_col: str, pred_col: str, group_cols: list[s
                  labels=(0, 1), digits: int = 9) -> DataFrame:
     """Per class precision / recall / F1 / support plus macro and weighted averages."""
     g = group_cols or []
-    rows = []
-    for c in labels:
-        agg = df.groupBy(*g).agg(
-            F.count_if((F.col(pred_col) == c) & (F.col(true_col) == c)).alias("tp"),
-            F.count_if(F.col(pred_col) == c).alias("pred_pos"),
-            F.count_if(F.col(true_col) == c).alias("support"))
-        rows.append(agg.withColumn("class", F.lit(str(c))))
-    per = rows[0]
-    for r in rows[1:]:
-        per = per.unionByName(r)
+    pred, true = F.col(pred_col), F.col(true_col)
+    # one conditional aggregate over the input, then a row a class
+    counts = [F.struct(F.lit(str(c)).alias("class"), F.count_if((pred == c) & (true == c)).alias("tp"),
+                       F.count_if(pred == c).alias("pred_pos"), F.count_if(true == c).alias("support")) for c in labels]
+    per = df.groupBy(*g).agg(F.array(*counts).alias("_c")).select(*g, F.explode("_c").alias("_c")).select(*g, "_c.*")
     p = _safe_div(F.col("tp"), F.col("pred_pos"))
     r = _safe_div(F.col("tp"), F.col("support"))
     per = per.select(*g, "class", p.alias("precision"), r.alias("recall"),
                      _safe_div(2 * p * r, p + r).alias("f1"), "support")
     # averages: macro = plain mean over classes, weighted = support-weighted mean
-    avgs = per.groupBy(*g).agg(
-        F.avg("precision").alias("m_p"), F.avg("recall").alias("m_r"), F.avg("f1").alias("m_f"),
-        F.sum(F.col("precision") * F.col("support")).alias("w_p"),
-        F.sum(F.col("recall") * F.col("support")).alias("w_r"),
-        F.sum(F.col("f1") * F.col("support")).alias("w_f"),
-        F.sum("support").alias("n"))
-    macro = avgs.select(*g, F.lit("macro avg").alias("class"), F.col("m_p").alias("precision"),
-                        F.col("m_r").alias("recall"), F.col("m_f").alias("f1"), F.col("n").alias("support"))
-    weighted = avgs.select(*g, F.lit("weighted avg").alias("class"),
-                           _safe_div(F.col("w_p"), F.col("n")).alias("precision"),
-                           _safe_div(F.col("w_r"), F.col("n")).alias("recall"),
-                           _safe_div(F.col("w_f"), F.col("n")).alias("f1"), F.col("n").alias("support"))
-    out = per.unionByName(macro).unionByName(weighted)
+    every = F.collect_list(F.struct("class", "precision", "recall", "f1", "support"))  # a row a class
+    w = F.sum("support")
+    means = [F.struct(F.lit("macro avg").alias("class"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
+                      F.avg("f1").alias("f1"), w.alias("support")),
+             F.struct(F.lit("weighted avg").alias("class"),
+                      *[_safe_div(F.sum(F.col(c) * F.col("support")), w).alias(c) for c in ("precision", "recall", "f1")],
+                      w.alias("support"))]
+    out = per.groupBy(*g).agg(F.concat(every, F.array(*means)).alias("_r")).select(*g, F.explode("_r").alias("_r")).select(*g, "_r.*")
     return out.select(*g, "class", *[F.round(c, digits).alias(c) for c in ("precision", "recall", "f1")],
                       F.col("support").cast("long").alias("support"))
 
@@ -151,21 +141,36 @@ def threshold_filter_eval(full: DataFrame, gold: DataFrame, model: str, exclude_
     return with_prf(m, digits)
 
 
+def self_metrics(full: DataFrame, kept: DataFrame, rel_col: str = "relevance", digits: int = 9) -> DataFrame:
+    """A filter scored by its own labels: precision = relevant share of the kept
+    rows, recall = their part of all relevant rows (0 on 0/0). One row."""
+    both = full.select(F.lit(False).alias("_k"), F.col(rel_col).alias("_r")).unionByName(
+        kept.select(F.lit(True).alias("_k"), F.col(rel_col).alias("_r")))
+    m = both.agg(F.count_if("_k").alias("total"),
+                 F.coalesce(F.sum(F.when(F.col("_k"), F.col("_r"))), F.lit(0)).cast("long").alias("relevant"),
+                 F.coalesce(F.sum(F.when(~F.col("_k"), F.col("_r"))), F.lit(0)).cast("long").alias("all_relevant"))
+    p = _safe_div(F.col("relevant"), F.col("total"))
+    r = _safe_div(F.col("relevant"), F.col("all_relevant"))
+    return m.select("*", F.round(p, digits).alias("precision"), F.round(r, digits).alias("recall"),
+                    F.round(_safe_div(2 * p * r, p + r), digits).alias("f1"))
+
+
 def model_disagreement(preds: DataFrame, id_col: str = "id", pred_col: str = "predicted_label") -> DataFrame:
     """Per id: mode of the predictions (lowest on ties), models that differ, models, ratio.
 
     A null prediction differs from the mode (it is not equal to it) but is
     not counted among the models.
     """
-    per = preds.groupBy(id_col).agg(
-        F.mode(pred_col, deterministic=True).alias("mode_label"),
-        F.count(pred_col).alias("total_models"),
-        F.count(F.lit(1)).alias("_rows"))
-    differ = preds.join(per.select(id_col, "mode_label"), id_col).groupBy(id_col).agg(
-        F.count_if(~F.col(pred_col).eqNullSafe(F.col("mode_label"))).alias("disagreeing_models"))
-    out = per.join(differ, id_col)
-    return out.select(id_col, "mode_label", "disagreeing_models", "total_models",
-                      F.round(F.col("disagreeing_models") / F.col("total_models"), 9).alias("disagreement_ratio"))
+    per = preds.groupBy(id_col, pred_col).agg(F.count(F.lit(1)).alias("_n"))
+    named = F.col(pred_col).isNotNull()
+    # the mode: most rows, then the lowest label
+    best = F.min(F.when(named, F.struct((-F.col("_n")).alias("n"), F.col(pred_col).alias("label"))))
+    out = per.groupBy(id_col).agg(best.alias("_b"), F.sum(F.when(named, F.col("_n")).otherwise(0)).alias("total_models"),
+                                  F.sum("_n").alias("_rows"))
+    out = out.select(id_col, F.col("_b.label").alias("mode_label"),
+                     (F.col("_rows") + F.coalesce(F.col("_b.n"), F.lit(0))).alias("disagreeing_models"), "total_models")
+    return out.filter(F.col("total_models") > 0).select(
+        "*", F.round(F.col("disagreeing_models") / F.col("total_models"), 9).alias("disagreement_ratio"))
 
 
 def outcome_category(tp: Column, fp: Column, fn: Column, tn: Column) -> Column:
@@ -182,24 +187,20 @@ def example_rows(df: DataFrame, per_group: int = 10, order_col: str = "id") -> D
     false_positive, false_negative, true_negative). "First" means lowest
     ``order_col`` (the original relied on input order).
     """
-    dis = model_disagreement(df, "id", "predicted_label").select("id", "disagreement_ratio")
-    d = df.join(dis, "id", "left").filter(F.col("predicted_label").isNotNull() & F.col("gold_label").isNotNull())
-    cols = ["model", "id", "predicted_label", "confidence", "gold_label", "text", "category", "low_confidence"]
-    contro = d.filter((F.col("disagreement_ratio") > 0.5) & (F.col("predicted_label") != F.col("gold_label"))) \
-        .withColumn("category", F.lit("controversial"))
-    low = d.filter(F.col("low_confidence") == 1).withColumn("category", F.lit("low_confidence"))
-    base = d.withColumn("category", outcome_category(F.col("true_positive"), F.col("false_positive"),
-                                                     F.col("false_negative"), F.col("true_negative"))) \
-        .filter(F.col("category").isNotNull())
-    parts = [
-        top_n_per_group(contro, ["model"], [F.col(order_col)], per_group, "rownum"),
-        top_n_per_group(low, ["model"], [F.col(order_col)], per_group, "rownum"),
-        top_n_per_group(base, ["model", "category"], [F.col(order_col)], per_group, "rownum"),
-    ]
-    out = parts[0].select(*cols, "rownum")
-    for p in parts[1:]:
-        out = out.unionByName(p.select(*cols, "rownum"))
-    return out
+    narrow = df.drop("text")
+    dis = model_disagreement(narrow, "id", "predicted_label").select("id", "disagreement_ratio")
+    d = narrow.join(dis, "id", "left").filter(F.col("predicted_label").isNotNull() & F.col("gold_label").isNotNull())
+    outcome = outcome_category(F.col("true_positive"), F.col("false_positive"), F.col("false_negative"), F.col("true_negative"))
+    categories = F.array(
+        F.when((F.col("disagreement_ratio") > 0.5) & (F.col("predicted_label") != F.col("gold_label")), F.lit("controversial")),
+        F.when(F.col("low_confidence") == 1, F.lit("low_confidence")), outcome)
+    cols = ["model", "id", "predicted_label", "confidence", "gold_label", "low_confidence"]
+    tagged = d.select(*dict.fromkeys([*cols, order_col]), F.explode(F.filter(categories, lambda c: c.isNotNull())).alias("category"))
+    picked = top_n_per_group(tagged, ["model", "category"], [F.col(order_col)], per_group, "rownum")
+    # texts only for the rows picked (at most per_group x 6 a model), chosen without them
+    texts = df.select("id", "model", "text")
+    return texts.join(F.broadcast(picked), ["id", "model"]).select(
+        "model", "id", "predicted_label", "confidence", "gold_label", "text", "category", "low_confidence", "rownum")
 
 
 def priority_score(allpreds: DataFrame, gpt_models=tuple(GPT_MODELS)) -> DataFrame:

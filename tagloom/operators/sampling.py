@@ -12,9 +12,9 @@ Scale notes
   all rows is spread over ``salts`` tasks.
 * ``bottom_k_flags`` marks the k lowest-ranked rows per group for large k
   (a 20 % test split) with a hash-prefix histogram: counts per (group,
-  bucket), a running sum over the buckets of each group to find the cut
-  bucket, and a window only inside (group, bucket), which holds about
-  1 / 2^18 of the group.
+  bucket) and a running sum find the cut bucket. Rows of other buckets are
+  decided by comparison; only the cut bucket, about 1 / 2^18 of a group, is
+  shuffled and ranked.
 """
 
 from __future__ import annotations
@@ -23,10 +23,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+from ..session import written
 
 BUCKET_BITS = 18
 DEFAULT_SALTS = 64
+MAX_BROADCAST_GROUPS = 100_000  # one-row-per-group tables up to which they are broadcast
 
 
 def md5_rank_key(seed, *parts: Column) -> Column:
@@ -71,11 +72,6 @@ def bottom_k_flags(df: DataFrame, group_cols: list[str], hash_col: str, k_of_n,
     g = list(group_cols)
     b = F.shiftright(_hash_bits(F.col(hash_col)), 60 - BUCKET_BITS)
     withb = df.withColumn("_b", b)
-    if not g:
-        # one global group: key it by a data-derived zero so the cut joins
-        # back as a hash join on a one-row table, not a nested loop
-        withb = withb.withColumn("_k0", F.shiftright(F.col("_b"), BUCKET_BITS))
-        g = ["_k0"]
     counts = withb.groupBy(*g, "_b").agg(F.count(F.lit(1)).alias("_c"))
     wcum = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     wall = Window.partitionBy(*g)
@@ -86,17 +82,47 @@ def bottom_k_flags(df: DataFrame, group_cols: list[str], hash_col: str, k_of_n,
     cut = (cum.filter((F.col("_cum") >= F.col("_k")) & (F.col("_k") > 0))
            .groupBy(*g).agg(F.min_by(F.struct("_b", (F.col("_k") - (F.col("_cum") - F.col("_c"))).alias("_need")),
                                      F.col("_b")).alias("_cut"))
-           .select(*g, F.col("_cut._b").alias("_cb"), F.col("_cut._need").alias("_need")))
-    j = withb.join(cut, g, "left")
+           .select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(g)], F.col("_cut._b").alias("_cb"),
+                   F.col("_cut._need").alias("_need")))
+    cut = written(df.sparkSession, cut, "cut")
+    if not g:  # one row: its two numbers are literals
+        row = cut.first()
+        cb, need = (row["_cb"], row["_need"]) if row else (None, None)
+        j = withb.withColumns({"_cb": F.lit(cb).cast("long"), "_need": F.lit(need).cast("long")})
+    else:  # one row a group: a broadcast if they are few, null groups included
+        small = F.broadcast(cut) if cut.count() <= MAX_BROADCAST_GROUPS else cut
+        on = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(g)]
+        cond = on[0]
+        for c in on[1:]:
+            cond = cond & c
+        j = withb.join(small, cond, "left").drop(*[f"_g{i}" for i in range(len(g))])
+    # rows outside the cut bucket are decided by comparison; only the rows of
+    # the cut bucket are shuffled and ranked
+    inside = F.coalesce(F.col("_b") == F.col("_cb"), F.lit(False))
     wb = Window.partitionBy(*g, "_b").orderBy(F.col(hash_col), *[F.col(c) for c in tiebreak])
-    inb = F.row_number().over(wb)
-    flagged = j.withColumn(
-        flag_col,
-        F.when(F.col("_cb").isNull(), F.lit(False))
-        .when(F.col("_b") < F.col("_cb"), F.lit(True))
-        .when(F.col("_b") > F.col("_cb"), F.lit(False))
-        .otherwise(inb <= F.col("_need")))
-    return flagged.drop("_b", "_cb", "_need", "_k0")
+    ranked = j.filter(inside).withColumn(flag_col, F.row_number().over(wb) <= F.col("_need"))
+    decided = j.filter(~inside).withColumn(flag_col, F.coalesce(F.col("_b") < F.col("_cb"), F.lit(False)))
+    return decided.unionByName(ranked).drop("_b", "_cb", "_need")
+
+
+def ordinal(df: DataFrame, order_cols: list[str], out_col: str, weight_col: str | None = None) -> DataFrame:
+    """Exclusive running count (or sum of ``weight_col``) in the order of
+    ``order_cols`` over the whole frame, for keys of any type, without a
+    window over all rows: range partitions, a sum for each, and a window
+    inside each. Rows with equal keys share a partition, in no fixed order."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c) for c in order_cols]
+    one = F.col(weight_col) if weight_col else F.lit(1)
+    d = df.repartitionByRange(parts, *keys).withColumn("_ord_p", F.spark_partition_id()).withColumn("_ord_w", one.cast("long"))
+    d = written(spark, d, "ranges")
+    per = d.groupBy("_ord_p").agg(F.sum("_ord_w").alias("_ord_s"))  # a row a partition
+    before = per.select(F.col("_ord_p").alias("_ord_q"), F.coalesce(F.sum("_ord_s").over(
+        Window.orderBy("_ord_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ord_base"))
+    w = Window.partitionBy("_ord_p").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    return (d.join(F.broadcast(before), F.col("_ord_p") == F.col("_ord_q"))
+            .withColumn(out_col, (F.col("_ord_base") + F.coalesce(F.sum("_ord_w").over(w), F.lit(0))).cast("long"))
+            .drop("_ord_p", "_ord_q", "_ord_w", "_ord_base"))
 
 
 # ---------------------------------------------------------------------------
@@ -130,34 +156,30 @@ def stratified_sample(df: DataFrame, group_col: str, id_col: str, n: int, seed=4
     only need its n*k lowest ids (earlier groups hold at most n*(k-1)), so
     the greedy pass sees at most n*S*(S+1)/2 candidate rows per slice of S
     groups, whatever the corpus size. Slices run one after another, each
-    excluding the ids drawn by the previous ones.
+    excluding the ids drawn by the previous ones. The pairs are written once,
+    by slice and without other columns, so a slice reads its own rows only.
     """
-    pairs = df.dropDuplicates([group_col, id_col])
-    groups = pairs.select(group_col).distinct()
-    gidx = groups.withColumn("_g", F.dense_rank().over(Window.orderBy(group_col)) - 1)
+    spark = df.sparkSession
+    pairs = df.select(group_col, id_col).distinct()
+    gidx = written(spark, ordinal(pairs.select(group_col).distinct(), [group_col], "_g"), "groups")
     n_groups = gidx.count()
-    ranked = pairs.join(gidx, group_col).withColumn("_h", md5_rank_key(seed, F.col(group_col), F.col(id_col)))
+    gidx = F.broadcast(gidx) if n_groups <= MAX_BROADCAST_GROUPS else gidx
+    ranked = pairs.join(gidx, group_col).withColumn("_h", md5_rank_key(seed, F.col(group_col), F.col(id_col))) \
+        .withColumn("_slice", F.floor(F.col("_g") / slice_groups).cast("int"))
+    ranked = written(spark, ranked, "pairs", partition_by="_slice")
     out = None
-    drawn_ids = None
-    for lo in range(0, max(n_groups, 1), slice_groups):
-        part = ranked.filter((F.col("_g") >= lo) & (F.col("_g") < lo + slice_groups))
-        if drawn_ids is not None:
-            part = part.join(drawn_ids, id_col, "left_anti")
-        local_k = (F.col("_g") - lo + 1) * n
+    for no in range(-(-n_groups // slice_groups) or 1):
+        part = ranked.filter(F.col("_slice") == no)
+        if out is not None:  # ids drawn so far: at most n a group
+            part = part.join(out.select(id_col).distinct(), id_col, "left_anti")
+        local_k = (F.col("_g") - no * slice_groups + 1) * n
         cand = top_n_per_group(part, [group_col], [F.col("_h"), F.col(id_col)], local_k, "_r")
-        picked = _greedy(cand, group_col, id_col, n, df.schema[id_col].dataType)
-        if n_groups > slice_groups:
-            # later slices depend on every earlier one: cut the lineage per
-            # slice (reliable checkpoint in spark.checkpoint.dir)
-            ensure_checkpoint_dir(df.sparkSession)
-            picked = picked.checkpoint(eager=True)
+        picked = written(spark, _greedy(cand, group_col, id_col, n, df.schema[id_col].dataType), "picked")
         out = picked if out is None else out.unionByName(picked)
-        drawn_ids = out.select(id_col).distinct()
-    # global draw order: by group, then by position inside the group (the
-    # sample holds at most n rows per group, so this window is bounded)
-    keys = out.select(group_col, id_col, (F.row_number().over(Window.orderBy("_g", "_pos")) - 1)
-                      .cast("long").alias("sample_order"))
-    return pairs.join(keys, [group_col, id_col])
+    keys = ordinal(out, ["_g", "_pos"], "sample_order").select(group_col, id_col, "sample_order")
+    # other columns only for the rows drawn (at most n a group), one row a pair
+    rows = df.join(keys, [group_col, id_col])
+    return rows.dropDuplicates([group_col, id_col])
 
 
 def _greedy(cand: DataFrame, group_col: str, id_col: str, n: int, id_type) -> DataFrame:
@@ -193,9 +215,7 @@ def rare_keyword_sample(df: DataFrame, file_col: str, kw_col: str, rare: list[st
     rare_arr = F.array(*[F.lit(k) for k in rare])
     q = df.filter(F.arrays_overlap(F.col(kw_col), rare_arr))
     per_file = q.groupBy(file_col).agg(F.count(F.lit(1)).alias("_q"))
-    w = Window.orderBy(file_col).rowsBetween(Window.unboundedPreceding, -1)
-    files = per_file.withColumn("_before", F.coalesce(F.sum("_q").over(w), F.lit(0))) \
-        .filter(F.col("_before") < max_rows).select(file_col)
+    files = ordinal(per_file, [file_col], "_before", "_q").filter(F.col("_before") < max_rows).select(file_col)
     return q.join(files, file_col, "left_semi")
 
 
@@ -205,16 +225,25 @@ def unsampled_keywords(lexicon: DataFrame, sample_kw: DataFrame, kw_col: str = "
         sample_kw.select(kw_col).distinct(), kw_col, "left_anti")
 
 
+def text_key(text: Column) -> Column:
+    """A wide digest that stands for a text as a key (texts stay out of shuffles)."""
+    return F.md5(text)
+
+
 def uncertain_top_k(pool: DataFrame, known_texts: DataFrame, id_col: str, text_col: str, prob_col: str,
                     k: int = 100) -> DataFrame:
     """Distinct texts (first by id) not already labelled, by 1 - max class
-    probability, highest first; ties by id."""
-    first = pool.groupBy(text_col).agg(F.min(id_col).alias(id_col))
-    first = first.join(pool.select(id_col, text_col, prob_col), [id_col, text_col])
-    rest = first.join(known_texts.select(text_col).distinct(), text_col, "left_anti")
+    probability, highest first; ties by id. Texts are compared by digest, and
+    only the k rows chosen are joined to theirs."""
+    first = pool.groupBy(text_key(F.col(text_col)).alias("_d")).agg(
+        F.min(F.struct(F.col(id_col), F.col(prob_col))).alias("_f")).select("_d", f"_f.{id_col}", f"_f.{prob_col}")
+    known = known_texts.select(text_key(F.col(text_col)).alias("_d")).distinct()
+    rest = first.join(known, "_d", "left_anti")
     p = F.col(prob_col)
     unc = F.round(1 - F.greatest(p, 1 - p), 9)
-    return rest.withColumn("uncertainty", unc).orderBy(F.col("uncertainty").desc(), F.col(id_col)).limit(k)
+    top = rest.withColumn("uncertainty", unc).orderBy(F.col("uncertainty").desc(), F.col(id_col)).limit(k)
+    texts = pool.select(id_col, text_col).withColumn("_d", text_key(F.col(text_col)))
+    return texts.join(F.broadcast(top), [id_col, "_d"]).dropDuplicates([id_col]).select(id_col, text_col, prob_col, "uncertainty")
 
 
 def top_k_per_group_union(scored: DataFrame, k: int, id_col: str = "id") -> DataFrame:

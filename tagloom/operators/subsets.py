@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lexicon import NUM_KFAILS_FOR_GPT, NUM_PASSED_FOR_GPT, NUM_RANDOM_KFAILS
+from ..session import written
 from .sampling import bottom_k_flags, md5_rank_key
 
 
@@ -33,29 +35,39 @@ def take_k(ids: DataFrame, k: int, seed) -> DataFrame:
 
 
 def build_subsets(posts: DataFrame, comments: DataFrame, matches: DataFrame, gold_ids: DataFrame,
-                  annotated_ids: DataFrame, category: str, n_random_fails: int, n_fails_for_llm: int,
-                  n_passed_for_llm: int, date_created: str) -> DataFrame:
+                  annotated_ids: DataFrame, category: str, date_created: str,
+                  n_random_fails: int = NUM_RANDOM_KFAILS, n_fails_for_llm: int = NUM_KFAILS_FOR_GPT,
+                  n_passed_for_llm: int = NUM_PASSED_FOR_GPT) -> DataFrame:
     """Subset membership rows (id, subset, date_created), unique on (id, subset).
 
     all = posts of the category + their comments; fails = all - matched;
     random_kfails = n_random_fails of the fails; the LLM set = gold + some
     random fails + annotated + some matched ids that are neither gold nor
     annotated. A short pool gives what it has.
+
+    Each source is read once: its ids are tagged, one aggregate per id tells
+    which sets an id is in, and that table is written once; every subset is
+    a filter of it.
     """
-    cat_posts = posts.filter(F.col("category") == category).select("id")
-    all_ids = cat_posts.unionByName(comments_in_category(comments, posts, category)).distinct()
-    matched = matched_in_category(matches, posts, comments, category)
-    fails = all_ids.join(matched, "id", "left_anti")
-    random_fails = take_k(fails, n_random_fails, "kfails")
-    gold = gold_ids.select("id").distinct()
-    ann = annotated_ids.select("id").distinct()
-    eligible = matched.join(gold, "id", "left_anti").join(ann, "id", "left_anti")
-    llm = (gold.unionByName(take_k(random_fails, n_fails_for_llm, "llm_fails"))
-           .unionByName(ann).unionByName(take_k(eligible, n_passed_for_llm, "llm_passed")).distinct())
-    rows = (gold.withColumn("subset", F.lit("gold_label"))
+    spark = posts.sparkSession
+    sources = {
+        "in_category": posts.filter(F.col("category") == category).select("id")
+        .unionByName(comments_in_category(comments, posts, category)),
+        "matched": matches, "gold": gold_ids, "annotated": annotated_ids}
+    tagged = None
+    for name, ids in sources.items():
+        one = ids.select("id", *[F.lit(name == n).alias(n) for n in sources])
+        tagged = one if tagged is None else tagged.unionByName(one)
+    t = written(spark, tagged.groupBy("id").agg(*[F.max(n).alias(n) for n in sources]), "subset-ids")
+    random_fails = written(spark, take_k(t.filter("in_category AND NOT matched").select("id"), n_random_fails, "kfails"), "kfails")
+    eligible = t.filter("in_category AND matched AND NOT gold AND NOT annotated").select("id")
+    llm = (t.filter("gold OR annotated").select("id")
+           .unionByName(take_k(random_fails, n_fails_for_llm, "llm_fails"))
+           .unionByName(take_k(eligible, n_passed_for_llm, "llm_passed")).distinct())
+    rows = (t.filter("gold").select("id", F.lit("gold_label").alias("subset"))
             .unionByName(random_fails.withColumn("subset", F.lit("random_kfails")))
             .unionByName(llm.withColumn("subset", F.lit("gpt_random_set"))))
-    return rows.dropDuplicates(["id", "subset"]).withColumn("date_created", F.lit(date_created))
+    return rows.withColumn("date_created", F.lit(date_created))
 
 
 def text_lookup(ids: DataFrame, posts: DataFrame, comments: DataFrame, missing: str = "") -> DataFrame:
@@ -88,12 +100,13 @@ def compile_relevant(frames: list[DataFrame], rel_col: str = "relevance", keep=1
 
 
 def upsert(old: DataFrame, new: DataFrame, key_cols: list[str], batch_col: str = "batch") -> DataFrame:
-    """Insert-or-replace on ``key_cols``: the row of the latest batch wins.
+    """Insert-or-replace on ``key_cols``: the row of the latest batch wins (of
+    a key twice in one batch, the one with the largest values).
 
     One aggregation with ``max_by`` (partial aggregation keeps a hot key
     cheap). Write the result to a new path, then swap it in.
     """
     u = old.unionByName(new, allowMissingColumns=True)
     vals = [c for c in u.columns if c not in key_cols]
-    latest = u.groupBy(*key_cols).agg(F.max_by(F.struct(*vals), F.col(batch_col)).alias("_v"))
+    latest = u.groupBy(*key_cols).agg(F.max_by(F.struct(*vals), F.struct(F.col(batch_col), *vals)).alias("_v"))
     return latest.select(*key_cols, *[F.col(f"_v.{c}").alias(c) for c in vals])
