@@ -12,6 +12,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..lexicon import CONF_HIGH, CONF_MEDIUM
+
 # A word character, as Python's ``\w`` sees it: letters, digits, underscore.
 WORD = r"[\p{L}\p{N}_]"
 NOT_WORD = r"[^\p{L}\p{N}_]"
@@ -85,6 +87,17 @@ def py_strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
 
+def is_json_object(c: Column) -> Column:
+    """True for a string that is one whole JSON object, with nothing after it.
+
+    The JSON parser stops after the first value, so the string is put inside
+    an array and inside an object: text after the object breaks one of them.
+    """
+    in_array = F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1
+    in_object = F.size(F.json_object_keys(F.concat(F.lit('{"a":'), c, F.lit("}")))) == 1
+    return F.coalesce(c.rlike(r"^\s*\{") & in_array & in_object, F.lit(False))
+
+
 # ---------------------------------------------------------------------------
 # keyword multi-value encodings
 # ---------------------------------------------------------------------------
@@ -99,8 +112,8 @@ def keyword_array_parse(c: Column, encoding: str) -> Column:
       ``comma``            null -> "", split on ``,``, strip, lower
     """
     if encoding == "pylist":
-        items = F.regexp_extract_all(c, F.lit(r"""('[^']*'|"[^"]*")"""), 1)
-        return F.transform(items, lambda x: x.substr(F.lit(2), F.length(x) - 2))
+        items = F.regexp_extract_all(c, F.lit(r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")"""), 1)
+        return F.transform(items, lambda x: F.regexp_replace(x.substr(F.lit(2), F.length(x) - 2), r"""\\(['"\\])""", "$1"))
     if encoding == "semicolon_space":
         return F.split(c, "; ")
     if encoding in ("semicolon", "comma"):
@@ -143,7 +156,7 @@ def try_double(c: Column) -> Column:
     return F.when(s.rlike(_NUMBER), s.cast("double"))
 
 
-def confidence_bin(c: Column, medium: float = 0.65, high: float = 0.85) -> Column:
+def confidence_bin(c: Column, medium: float = CONF_MEDIUM, high: float = CONF_HIGH) -> Column:
     """High / Medium / Low by thresholds; a non-numeric value passes through."""
     s = c.cast("string")
     x = try_double(s)

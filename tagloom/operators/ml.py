@@ -34,15 +34,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import written
+from .matching import fence
+
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
-MAX_VOCAB = 100_000
+
+# Common English words left out of the TF-IDF vocabulary.
+STOP_WORDS = (
+    "a about above after again against all also am an and any are as at be because been before being below between both but by can could did do "
+    "does doing down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself "
+    "just me more most my myself no nor not now of off on once only or other our ours ourselves out over own same she should so some such than that "
+    "the their theirs them themselves then there these they this those through to too under until up very was we were what when where which while "
+    "who whom why will with would you your yours yourself yourselves").split()
 
 
 def token_stages(text_col: str, stop_words: bool, ngrams: int) -> tuple[list, str]:
     stages = [RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=TOKEN_PATTERN, gaps=False, toLowercase=True)]
     col = "_tok"
     if stop_words:
-        stages.append(StopWordsRemover(inputCol=col, outputCol="_tok_sw"))
+        stages.append(StopWordsRemover(inputCol=col, outputCol="_tok_sw", stopWords=STOP_WORDS))
         col = "_tok_sw"
     if ngrams >= 2:
         stages.append(NGram(n=2, inputCol=col, outputCol="_bi"))
@@ -56,26 +66,57 @@ def vocabulary(terms: DataFrame, terms_col: str, max_features: int) -> DataFrame
 
     tf = occurrences; df = documents holding the term (distinct terms per
     document, then one aggregation)."""
-    tf = terms.select(F.explode(terms_col).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
-    df = terms.select(F.explode(F.array_distinct(terms_col)).alias("term")).groupBy("term") \
-        .agg(F.count(F.lit(1)).alias("df"))
-    tc = tf.join(df, "term")
+    # one pass: every term counts for tf, the first of its kind in a text also for df
+    rows = F.concat(F.transform(terms_col, lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
+                    F.transform(F.array_distinct(terms_col), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))))
+    tc = terms.select(F.explode(rows).alias("_r")).groupBy("_r.term").agg(F.sum("_r.tf").alias("tf"), F.sum("_r.df").alias("df"))
     return tc.orderBy(F.col("tf").desc(), F.col("term")).limit(max_features)
 
 
-def document_frequency(texts: DataFrame, id_col: str, text_col: str, max_features: int, digits: int = 9) -> DataFrame:
+def term_lists(texts: DataFrame, id_col: str, text_col: str, ngrams: int, stop_words: bool) -> DataFrame:
+    """(id, _t): the terms of each text in order, with repeats."""
+    drop = F.array(*[F.lit(w) for w in STOP_WORDS])
+    words = F.filter(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}_]+"), lambda t: F.length(t) >= 2)
+    if stop_words:
+        words = F.filter(words, lambda t: ~F.array_contains(drop, t))
+    # fenced: else a filter pushed below would split the text once per word
+    out = fence(texts.select(id_col, text_col), words, "_t").select(id_col, "_t")
+    if ngrams >= 2:
+        pairs = F.when(F.size("_t") > 1, F.transform(F.sequence(F.lit(0), F.size("_t") - 2),
+                                                     lambda i: F.concat(F.get("_t", i), F.lit(" "), F.get("_t", i + 1))))
+        out = fence(out, F.concat("_t", F.coalesce(pairs, F.array().cast("array<string>"))), "_t")
+    return out
+
+
+def document_frequency(texts: DataFrame, id_col: str, text_col: str, max_features: int, ngrams: int = 1,
+                       stop_words: bool = False, digits: int = 9) -> DataFrame:
     """The feature table as data: (term, tf, df, idf) for the chosen vocabulary.
 
-    tf and df are two term-level aggregations (tf over all tokens, df over
-    each document's distinct tokens); both combine map-side, so the shuffle
-    carries about one row per distinct term per task, not per token."""
-    low = F.lower(F.col(text_col))
-    tok = texts.select(id_col, F.filter(F.split(low, r"[^\p{L}\p{N}_]+"), lambda t: F.length(t) >= 2).alias("_t"))
+    tf and df come from one aggregation over (document's distinct terms with
+    their counts); it combines map-side, so the shuffle carries about one row
+    per distinct term per task, not per token."""
+    terms = term_lists(texts, id_col, text_col, ngrams, stop_words)
     n = texts.count()
-    top = vocabulary(tok, "_t", max_features)
+    top = vocabulary(terms, "_t", max_features)
     return top.withColumn("idf", F.round(F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1, digits))
 
 
+def tfidf_vectors(texts: DataFrame, id_col: str, text_col: str, max_features: int, ngrams: int = 2,
+                  stop_words: bool = True, digits: int = 6) -> DataFrame:
+    """(id, term, weight): the L2-normalised TF-IDF vector of each text, long.
+
+    Only the vocabulary (``max_features`` terms) is joined to the texts'
+    terms, by broadcast; counts and norms are two aggregations by id."""
+    terms = term_lists(texts, id_col, text_col, ngrams, stop_words)
+    n = texts.count()
+    vocab = written(texts.sparkSession, vocabulary(terms, "_t", max_features), "vocabulary")
+    idf = F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1
+    kept = terms.select(id_col, F.explode("_t").alias("term")).join(F.broadcast(vocab.select("term", idf.alias("idf"))), "term")
+    w = kept.groupBy(id_col, "term").agg((F.count(F.lit(1)) * F.first("idf")).alias("w"))
+    norm = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return w.join(norm, id_col).select(id_col, "term", F.round(F.col("w") / F.col("norm"), digits).alias("weight"))
+
+
 @dataclass
 class TfidfModel:
     pipeline: PipelineModel
@@ -88,14 +129,11 @@ class TfidfModel:
 
 def fit_tfidf(train: DataFrame, text_col: str = "text", max_features: int = 3000, ngrams: int = 1,
               stop_words: bool = True, out_col: str = "features") -> TfidfModel:
-    if max_features > MAX_VOCAB:
-        raise ValueError("vocabulary too large to hold as model state")
     stages, col = token_stages(text_col, stop_words, ngrams)
     tok_model = Pipeline(stages=stages).fit(train)
-    terms = tok_model.transform(train).select(col).persist()
+    terms = tok_model.transform(train).select(col)
     vrows = vocabulary(terms, col, max_features).collect()  # <= max_features rows
-    n = terms.count()
-    terms.unpersist()
+    n = train.count()
     vocab = [r["term"] for r in vrows]
     idf = [math.log((1 + n) / (1 + r["df"])) + 1 for r in vrows]
     cv = CountVectorizerModel.from_vocabulary(vocab, inputCol=col, outputCol="_tf")
@@ -139,6 +177,8 @@ class PlattSVM:
 
 
 def train_svm(train: DataFrame, calib: DataFrame, features: str = "features", label: str = "label") -> PlattSVM:
+    """Linear SVM fitted on ``train``, its margin calibrated on ``calib``: rows
+    the SVM has not seen, else the confidences come out too sharp."""
     n = train.count()
     svm = LinearSVC(featuresCol=features, labelCol=label, regParam=1.0 / max(n, 1), maxIter=200, tol=1e-4).fit(train)
     c = svm.transform(calib).withColumn("_margin", vector_to_array("rawPrediction")[1])
@@ -148,15 +188,16 @@ def train_svm(train: DataFrame, calib: DataFrame, features: str = "features", la
     return PlattSVM(svm, platt.copy())
 
 
-def train_gbt(train: DataFrame, features: str = "features", label: str = "label", max_iter: int = 20,
-              max_depth: int = 5):
-    """Boosted trees; positives weighted by neg / pos (scale_pos_weight)."""
+def train_gbt(train: DataFrame, features: str = "features", label: str = "label", max_iter: int = 100,
+              max_depth: int = 6):
+    """Boosted trees at the original library's default size (100 rounds of
+    depth 6, learning rate 0.3); positives weighted by neg / pos (scale_pos_weight)."""
     counts = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = counts.get(1, 0), counts.get(0, 0)
     w = (neg / pos) if pos else 1.0
     t = train.withColumn("weight", F.when(F.col(label) == 1, F.lit(w)).otherwise(F.lit(1.0)))
     gbt = GBTClassifier(featuresCol=features, labelCol=label, weightCol="weight", maxIter=max_iter,
-                        maxDepth=max_depth, seed=42)
+                        maxDepth=max_depth, stepSize=0.3, seed=42)
     return gbt.fit(t)
 
 
@@ -166,25 +207,26 @@ def predict_long(df: DataFrame, models: dict, id_col: str = "id", version: str =
 
     ``confidence="p1"``: probability of class 1; ``"max"``: the larger class
     probability. ``models`` maps a name to a fitted model whose transform
-    yields ``probability`` and ``prediction``.
+    yields ``probability`` and ``prediction``. The models run one after the
+    other over the same features, which are computed once.
     """
-    out = None
-    for name, m in models.items():
-        p = m.transform(df).withColumn("_p", vector_to_array("probability"))
-        conf = F.col("_p")[1] if confidence == "p1" else F.array_max("_p")
-        r = p.select(id_col, F.lit(name).alias("model"), F.col("prediction").cast("int").alias("prediction"),
-                     conf.alias("confidence"), F.lit(version).alias("version"), F.lit(run_time).alias("timestamp"))
-        out = r if out is None else out.unionByName(r)
-    return out
+    answers = []
+    for i, (name, m) in enumerate(models.items()):
+        p = F.array_max(vector_to_array("probability")) if confidence == "max" else vector_to_array("probability")[1]
+        answer = F.struct(F.lit(name).alias("model"), F.col("prediction").cast("int").alias("prediction"), p.alias("confidence"))
+        df = m.transform(df).withColumn(f"_answer{i}", answer).drop("rawPrediction", "probability", "prediction")
+        answers.append(f"_answer{i}")
+    return df.select(id_col, F.explode(F.array(*answers)).alias("_a")).select(
+        id_col, "_a.*", F.lit(version).alias("version"), F.lit(run_time).alias("timestamp"))
 
 
 def feature_weights(spark, vocab: list[str], coefficients, top: int = 20) -> DataFrame:
-    """(feature, weight, side, rank): the ``top`` highest and lowest weights."""
-    pdf = pd.DataFrame({"feature": vocab, "weight": list(map(float, coefficients))})
-    df = spark.createDataFrame(pdf)
-    hi = df.orderBy(F.col("weight").desc(), "feature").limit(top).withColumn("side", F.lit("positive"))
-    lo = df.orderBy(F.col("weight").asc(), "feature").limit(top).withColumn("side", F.lit("negative"))
-    return hi.unionByName(lo)
+    """(feature, weight, side, rank): the ``top`` highest and lowest weights,
+    ranked from the outermost; ties by feature. Model state, not corpus data."""
+    pairs = sorted(zip(vocab, map(float, coefficients)), key=lambda x: (-x[1], x[0]))
+    low = sorted(pairs, key=lambda x: (x[1], x[0]))[:top]
+    rows = [(f, w, "positive", i) for i, (f, w) in enumerate(pairs[:top], 1)] + [(f, w, "negative", i) for i, (f, w) in enumerate(low, 1)]
+    return spark.createDataFrame(rows, "feature string, weight double, side string, rank int")
 
 
 def embedding_features(df: DataFrame, emb_col: str = "embedding", out_col: str = "features") -> DataFrame:
@@ -192,24 +234,45 @@ def embedding_features(df: DataFrame, emb_col: str = "embedding", out_col: str =
 
 
 def score_texts(pending_rows: DataFrame, scorer, text_col: str = "text", out_col: str = "score",
-                out_type: str = "string") -> DataFrame:
+                out_type: str = "string", error_col: str = "error") -> DataFrame:
     """Row-wise external scorer over Arrow batches.
 
     ``scorer(list[str]) -> list`` is any callable (a hosted model client, a
-    local model, or the offline stub in tests). Feed it only pending rows
-    (anti-join the ids already scored) to resume an interrupted run.
+    local model, or the offline stub in tests). A batch that raises is scored
+    again text by text, and a text that raises gets a null score and the
+    message in ``error_col``, so one bad text costs no finished work. Feed it
+    only pending rows (anti-join the ids already scored) to resume an
+    interrupted run; rows with an error are pending again.
     """
-    schema = T.StructType(pending_rows.schema.fields + [T.StructField(out_col, T._parse_datatype_string(out_type))])
+    schema = T.StructType(pending_rows.schema.fields + [T.StructField(out_col, T._parse_datatype_string(out_type)),
+                                                        T.StructField(error_col, T.StringType())])
+
+    def one(text):
+        try:
+            return scorer([text])[0], None
+        except Exception as e:  # the scorer is foreign code: its failure is a result
+            return None, f"{type(e).__name__}: {e}"
 
     def run(batches):
         for pdf in batches:
-            pdf[out_col] = scorer(pdf[text_col].tolist())
+            texts = pdf[text_col].tolist()
+            try:
+                got = [(x, None) for x in scorer(texts)]
+            except Exception:
+                got = [one(t) for t in texts]
+            pdf[out_col] = pd.Series([x for x, _ in got], index=pdf.index, dtype=object)
+            pdf[error_col] = pd.Series([e for _, e in got], index=pdf.index, dtype=object)
             yield pdf
 
     return pending_rows.mapInPandas(run, schema)
 
 
+UNANSWERABLE = "\u0000"
+
+
 def offline_scorer(texts):
     """Deterministic stand-in for an external model: '1' when a text is long
-    and mentions 'the', else '0'; no network."""
+    and mentions 'the', else '0'; fails on ``UNANSWERABLE``; no network."""
+    if UNANSWERABLE in texts:
+        raise ValueError("no answer")
     return ["1" if (t is not None and len(t) > 1500 and " the " in t.lower()) else "0" for t in texts]

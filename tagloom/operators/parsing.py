@@ -2,29 +2,45 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..lexicon import DOSE_BINS, SUMMARY_COMPOUNDS, SUMMARY_CONDITIONS, SUMMARY_SENTIMENTS
+from .sampling import md5_rank_key
 
 CLAIM_FIELDS = ["dosage", "compound", "symptom", "sentiment", "brand"]
-CLAIM_SCHEMA = ", ".join(f"{f} string" for f in CLAIM_FIELDS)
 
 
 def fill_template(template: str, **cols: Column) -> Column:
-    """Fill ``{name}`` slots of a template with column values (str.format style)."""
-    out = F.lit(template)
-    for name, c in cols.items():
-        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(c.cast("string"), F.lit("None")))
-    return out
+    """Fill ``{name}`` slots of a template with column values (str.format style).
+
+    The template is split once, so a value that holds a slot's text stays as it is.
+    """
+    if not cols:
+        return F.lit(template)
+    parts = re.split("(" + "|".join(re.escape("{" + n + "}") for n in cols) + ")", template)
+    return F.concat(*[F.coalesce(cols[p[1:-1]].cast("string"), F.lit("None")) if k % 2 else F.lit(p) for k, p in enumerate(parts)])
 
 
 def few_shot_block(examples: DataFrame, text_col: str, label_col: str, order_col: str) -> DataFrame:
-    """One row: the examples rendered as "Text: ..\\nLabel: .." blocks in order."""
-    item = F.concat(F.lit("Text: "), F.col(text_col), F.lit("\nLabel: "), F.col(label_col).cast("string"))
+    """One row: the few drawn examples as "Text: ..\\nRelevance: .." blocks in order."""
+    item = F.concat(F.lit("Text: "), F.col(text_col), F.lit("\nRelevance: "), F.col(label_col).cast("string"), F.lit("\n\n"))
     return examples.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"),
                                                                                       item.alias("t")))),
-                                                 lambda s: s["t"]), "\n\n").alias("examples"))
+                                                 lambda s: s["t"]), "").alias("examples"))
+
+
+def few_shot_prompts(rows: DataFrame, gold: DataFrame, template: str, id_col: str, text_col: str, label_col: str,
+                     shots: int = 7, seed=42) -> DataFrame:
+    """(id, prompt) for every row: ``shots`` gold rows, drawn by md5 rank, are
+    rendered once and put, with the row's text, into the template's
+    ``{examples}`` and ``{text}`` slots."""
+    key = md5_rank_key(seed, F.col(id_col))
+    drawn = gold.withColumn("_h", F.struct(key, F.col(id_col))).orderBy("_h").limit(shots)
+    block = few_shot_block(drawn, text_col, label_col, "_h").first()["examples"]
+    return rows.select(id_col, fill_template(template, examples=F.lit(block), text=F.col(text_col)).alias("prompt"))
 
 
 def claims_rows(answers: DataFrame, id_col: str, answer_col: str) -> DataFrame:
@@ -42,14 +58,14 @@ def claims_rows(answers: DataFrame, id_col: str, answer_col: str) -> DataFrame:
     has = (lo > 0) & (F.instr(a, "]") > 0) & (hi >= lo)
     sliced = F.when(has, F.expr(f"substr({answer_col}, instr({answer_col}, '['), "
                                f"length({answer_col}) - instr(reverse({answer_col}), ']') + 2 - instr({answer_col}, '['))"))
-    items = F.from_json(sliced, "array<string>")
+    # variants keep each item's type: a string that opens with "{" is no object
+    items = F.from_json(sliced, "array<variant>")
     d = answers.select(id_col, sliced.alias("_slice"), items.alias("_items"))
     ok = d.filter(F.col("_items").isNotNull())
     bad = d.filter(F.col("_items").isNull())
     ex = ok.select(id_col, F.posexplode("_items").alias("item_no", "_it"))
-    is_obj = F.trim(F.col("_it")).startswith("{")
-    parsed = F.from_json(F.col("_it"), CLAIM_SCHEMA)
-    claim_cols = [F.when(is_obj, parsed[f]).alias(f) for f in CLAIM_FIELDS]
+    is_obj = F.coalesce(F.schema_of_variant("_it").startswith("OBJECT"), F.lit(False))
+    claim_cols = [F.when(is_obj, F.try_variant_get("_it", f"$.{f}", "string")).alias(f) for f in CLAIM_FIELDS]
     rows = ex.select(id_col, "item_no", *claim_cols,
                      F.when(~is_obj, F.lit(True)).alias("false_positive"),
                      F.when(~is_obj, F.lit("non-dict object returned")).alias("error"))
@@ -76,8 +92,3 @@ def dosage_summary(claims: DataFrame, conditions=tuple(SUMMARY_CONDITIONS), sent
             .select(F.col("symptom").alias("condition"), "sentiment", "dosage", "compound",
                     F.coalesce("count", F.lit(0)).cast("long").alias("count")))
 
-
-def dosage_tables(summary: DataFrame) -> DataFrame:
-    """Wide view: one row per (condition, sentiment, dosage), one column per compound."""
-    return summary.groupBy("condition", "sentiment", "dosage").pivot("compound", list(SUMMARY_COMPOUNDS)) \
-        .agg(F.sum("count")).na.fill(0)

@@ -9,38 +9,64 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .sampling import ordinal
+
 SPAN = T.ArrayType(T.StructType([T.StructField("phrase", T.StringType()), T.StructField("start", T.IntegerType()),
                                   T.StructField("end", T.IntegerType())]))
 
 
-@F.pandas_udf(SPAN)
-def _find_all(text: pd.Series, phrases: pd.Series) -> pd.Series:
-    """Every case-insensitive, non-overlapping occurrence of each literal phrase."""
-    out = []
-    for t, ps in zip(text, phrases):
-        spans = []
-        if t is not None and ps is not None:
-            for p in dict.fromkeys(ps):
+def _finder(whole_word: bool):
+    @F.pandas_udf(SPAN)
+    def find_all(text: pd.Series, phrases: pd.Series) -> pd.Series:
+        """Every case-insensitive, non-overlapping occurrence of each literal phrase."""
+        known: dict[str, re.Pattern] = {}
+        out = []
+        for t, ps in zip(text, phrases):
+            spans = []
+            for p in dict.fromkeys(ps) if t is not None and ps is not None else ():
                 if p:
-                    spans += [{"phrase": p, "start": m.start(), "end": m.end()}
-                              for m in re.finditer(re.escape(p), t, re.IGNORECASE)]
-        out.append(spans)
-    return pd.Series(out)
+                    if p not in known:
+                        edge = r"\b" if whole_word else ""
+                        known[p] = re.compile(edge + re.escape(p) + edge, re.IGNORECASE)
+                    spans += [{"phrase": p, "start": m.start(), "end": m.end()} for m in known[p].finditer(t)]
+            out.append(spans)
+        return pd.Series(out)
+    return find_all
 
 
-def phrase_spans(df: DataFrame, text_col: str, phrases_col: str, out_col: str = "keyword") -> DataFrame:
+def phrase_spans(df: DataFrame, text_col: str, phrases_col: str, out_col: str = "keyword",
+                 whole_word: bool = False) -> DataFrame:
     """One row per occurrence: the input columns (minus text and phrases) +
-    ``out_col`` (the phrase), start, end.
+    ``out_col`` (the phrase), start, end. With ``whole_word`` an occurrence
+    must not touch a word character on either side.
 
-    A per-row helper over Arrow batches; each text crosses to Python once
-    with all of its phrases, and Spark partitions the rows.
+    A per-row helper over Arrow batches, linear in the text for each phrase;
+    each text crosses to Python once with all of its phrases, each pattern
+    is compiled once a batch, and Spark partitions the rows.
     """
     keep = [c for c in df.columns if c not in (text_col, phrases_col)]
-    return (df.select(*keep, F.explode(_find_all(F.col(text_col), F.col(phrases_col))).alias("_s"))
+    find = _finder(whole_word)
+    return (df.select(*keep, F.explode(find(F.col(text_col), F.col(phrases_col))).alias("_s"))
             .select(*keep, F.col("_s.phrase").alias(out_col), F.col("_s.start").alias("start"),
                     F.col("_s.end").alias("end")))
 
 
+def highlight_and_bold(df: DataFrame, key_cols: list[str], text_col: str, source_cols: list[str],
+                       keywords_col: str) -> DataFrame:
+    """Spans to render, before overlaps are resolved: (keys, kind, field, phrase, start, end).
+
+    ``source_*`` columns hold the phrases an annotator marked: every
+    occurrence is a "highlight" of that field. Keywords are "bold" where
+    they stand as whole words.
+    """
+    marked = F.array(*[F.struct(F.lit(c.removeprefix("source_")).alias("field"), F.col(c).alias("p")) for c in source_cols])
+    hl = df.select(*key_cols, text_col, F.explode(F.filter(marked, lambda m: m["p"].isNotNull() & (m["p"] != ""))).alias("_m"))
+    hl = phrase_spans(hl.select(*key_cols, text_col, "_m.field", F.array("_m.p").alias("_ps")), text_col, "_ps", "phrase")
+    bold = phrase_spans(df.select(*key_cols, text_col, F.lit(None).cast("string").alias("field"), keywords_col),
+                        text_col, keywords_col, "phrase", whole_word=True)
+    return hl.withColumn("kind", F.lit("highlight")).unionByName(bold.withColumn("kind", F.lit("bold")))
+
+
 def merge_spans(spans: DataFrame, key_cols: list[str], start: str = "start", end: str = "end") -> DataFrame:
     """Merge spans of each key when the next start <= the current end.
 
@@ -54,14 +80,20 @@ def merge_spans(spans: DataFrame, key_cols: list[str], start: str = "start", end
     return isl.groupBy(*key_cols, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 
-def span_priority(spans: DataFrame, key_cols: list[str], kind_col: str) -> DataFrame:
-    """Greedy non-overlapping pick per key: by start ascending, end descending;
-    a span overlapping an already kept one is skipped. Runs in-row over the
-    key's sorted span array (``aggregate``), no second shuffle."""
+SPAN_KINDS = ["highlight", "bold"]  # on equal spans the earlier kind stays
+
+
+def span_priority(spans: DataFrame, key_cols: list[str], kind_col: str, kinds: list[str] = SPAN_KINDS) -> DataFrame:
+    """Greedy non-overlapping pick per key: by start ascending, end descending,
+    then by the order of ``kinds`` (others last, by name); a span overlapping
+    an already kept one is skipped. Runs in-row over the key's sorted span
+    array (``aggregate``), no second shuffle."""
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col(kind_col)), F.lit(0)),
+                      F.lit(len(kinds) + 1)).cast("int")
     packed = spans.groupBy(*key_cols).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("start").alias("s"), (-F.col("end")).alias("ne"),
-                                             F.col(kind_col).alias("k")))).alias("_a"))
-    init = F.struct(F.lit(-1).alias("last"), F.array().cast("array<struct<s:int,ne:int,k:string>>").alias("kept"))
+        F.array_sort(F.collect_set(F.struct(F.col("start").alias("s"), (-F.col("end")).alias("ne"),
+                                            rank.alias("r"), F.col(kind_col).alias("k")))).alias("_a"))
+    init = F.struct(F.lit(-1).alias("last"), F.array().cast("array<struct<s:int,ne:int,r:int,k:string>>").alias("kept"))
 
     def step(acc, x):
         take = x["s"] >= acc["last"]
@@ -91,47 +123,32 @@ def keyword_context(df: DataFrame, id_col: str, text_col: str, kw_col: str, wind
     """
     d = df.select(id_col, sentences(F.col(text_col)).alias("_s"),
                   F.transform(kw_col, lambda k: F.lower(k)).alias("_k"))
+    d = d.withColumn("_l", F.transform("_s", lambda x: F.lower(x)))
     n = F.size("_s")
     idx = F.filter(F.sequence(F.lit(0), n - 1),
-                   lambda i: F.exists("_k", lambda k: F.lower(F.element_at("_s", i + 1)).contains(k)))
+                   lambda i: F.exists("_k", lambda k: F.get("_l", i).contains(k)))
     d = d.withColumn("_m", F.when(n > 0, idx).otherwise(F.array().cast("array<int>")))
-    init = F.array().cast("array<struct<a:int,b:int>>")
-
-    def step(acc, i):
-        a = F.greatest(F.lit(0), i - window)
-        b = F.least(n, i + window + 1)
-        last = F.try_element_at(acc, F.lit(-1))
-        new = F.array(F.struct(a.alias("a"), b.alias("b")))
-        grow = F.concat(F.slice(acc, 1, F.size(acc) - 1),
-                        F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], b).alias("b"))))
-        return F.when((F.size(acc) == 0) | (a > last["b"]), F.concat(acc, new)).otherwise(grow)
-
-    r = d.select(id_col, "_s", F.posexplode(F.aggregate("_m", init, step)).alias("range_no", "_r"))
+    # equal windows in order: a range starts where the gap to the match
+    # before is too wide to touch, and ends where the gap after is
+    apart = 2 * window + 1
+    starts = F.filter("_m", lambda x, j: (j == 0) | (x - F.get("_m", j - 1) > apart))
+    ends = F.filter("_m", lambda x, j: (j == F.size("_m") - 1) | (F.get("_m", j + 1) - x > apart))
+    ranges = F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")),
+                         lambda r: F.struct(F.greatest(F.lit(0), r["s"] - window).alias("a"),
+                                            F.least(n, r["e"] + window + 1).alias("b")))
+    r = d.select(id_col, "_s", F.posexplode(ranges).alias("range_no", "_r"))
     return r.select(id_col, "range_no", F.col("_r.a").alias("range_start"), F.col("_r.b").alias("range_end"),
                     F.array_join(F.slice("_s", F.col("_r.a") + 1, F.col("_r.b") - F.col("_r.a")), " ").alias("context"))
 
 
-def global_ordinal(df: DataFrame, order_col: str, weight_col: str, out_col: str, chunk: int = 100_000) -> DataFrame:
-    """Exclusive running sum of ``weight_col`` in ``order_col`` order over the
-    whole frame, without a single-partition window: sums per chunk of the
-    order key, a running sum over the (few) chunks, then a window inside
-    each chunk."""
-    c = df.withColumn("_chunk", F.floor(F.col(order_col) / chunk))
-    per = c.groupBy("_chunk").agg(F.sum(weight_col).alias("_cs"))
-    per = per.withColumn("_cbase", F.coalesce(F.sum("_cs").over(
-        Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = Window.partitionBy("_chunk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    return (c.join(per.select("_chunk", "_cbase"), "_chunk")
-            .withColumn(out_col, (F.col("_cbase") + F.coalesce(F.sum(weight_col).over(w), F.lit(0))).cast("long"))
-            .drop("_chunk", "_cbase"))
-
-
-def annotation_rows(entries: DataFrame, id_col: str, ann_col: str, order_col: str, fields: list[str]) -> DataFrame:
+def annotation_rows(entries: DataFrame, id_col: str, ann_col: str, order_cols, fields: list[str]) -> DataFrame:
     """One row per annotation; annotation_id = id + "_" + a running number over
-    all annotations of the file (in ``order_col`` order). An entry without
-    annotations gives one row "<id>_0" with no_annotations = true."""
-    n = F.coalesce(F.size(ann_col), F.lit(0))
-    e = global_ordinal(entries.withColumn("_n", F.greatest(n, F.lit(0))), order_col, "_n", "_base")
+    all annotations in the order of ``order_cols`` (columns of any type; for
+    files, what ``read_annotations`` gives: file, block, line). An entry
+    without annotations gives one row "<id>_0" with no_annotations = true."""
+    order = [order_cols] if isinstance(order_cols, str) else list(order_cols)
+    n = F.greatest(F.coalesce(F.size(ann_col), F.lit(0)), F.lit(0))
+    e = ordinal(entries.withColumn("_n", n), order, "_base", "_n")
     x = e.select(id_col, "_base", F.posexplode_outer(ann_col).alias("_pos", "_a"))
     return x.select(
         id_col,

@@ -7,6 +7,7 @@ both sides; rates are rounded to 9 digits on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,9 @@ from ..operators import evaluation as EV
 from ..operators import matching as M
 from ..operators import sampling as SA
 from ..operators import stats as ST
+from ..session import checkpoint_path, written
 from ..sources import dumps as DU
+from ..sources import files as FI
 from . import sql as Q
 from . import standins as S
 
@@ -107,25 +110,36 @@ def q_title_first_match(spark, sf):
     d = S.docs(spark, sf).select(
         "doc_id", F.substring_index("text", "\n", 1).alias("title"),
         F.when(F.instr("text", "\n") > 0, F.expr("substr(text, instr(text, '\\n') + 1)")).otherwise(F.lit("")).alias("body"))
-    t = M.keyword_match(d, "title", L.FIXTURE_LEXICON, "th", keep_empty=True)
-    out = M.title_first_match(t, "title", "body", L.FIXTURE_LEXICON)
-    return out.select("doc_id", F.array_join("keywords", "; ").alias("keywords"), (F.size("th") > 0).alias("from_title"))
+    out = M.title_first_match(d, "title", "body", L.FIXTURE_LEXICON, from_title="from_title")
+    return out.select("doc_id", F.array_join("keywords", "; ").alias("keywords"), "from_title")
 
 
-@query("dosage_filter", f"""WITH d AS (
-  SELECT doc_id, split_part(text, chr(10), 1) AS title,
-         CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS body
-  FROM documents),
-f AS (SELECT * FROM d WHERE regexp_matches(lower(body), '{M.dose_regex_sql()}')
-                         OR regexp_matches(lower(title), '{M.dose_regex_sql()}')),
-m AS (SELECT doc_id, {Q.match_list('title')} AS th, {Q.match_list('body')} AS bh FROM f)
+def _re2_quote(s: str) -> str:
+    return "".join("\\" + c if c in r"\.^$|?*+()[]{}-" else c for c in s).replace("'", "''")
+
+
+def _phrase_case_sql(low: str, phrases) -> str:
+    seen, parts = set(), []
+    for p in phrases:
+        if p in seen:
+            continue
+        seen.add(p)
+        pat = f"{Q.WB_L}{_re2_quote(p.lower())}{Q.WB_R}"
+        parts.append(f"CASE WHEN regexp_matches({low}, '{pat}') THEN '{p.replace(chr(39), chr(39) * 2)}' END")
+    return "list_filter([" + ", ".join(parts) + "], lambda x: x IS NOT NULL)"
+
+
+_REMARKED = Q.remarked(S.REMARKS, S.REMARK_EVERY)
+
+
+@query("dosage_filter", f"""WITH {_REMARKED},
+f AS (SELECT doc_id, lower(title) AS title, lower(body) AS body FROM remarked_posts
+      WHERE regexp_matches(lower(body), '{M.dose_regex_sql()}') OR regexp_matches(lower(title), '{M.dose_regex_sql()}')),
+m AS (SELECT doc_id, {_phrase_case_sql('title', L.COMPOUNDS_SHORT)} AS th, {_phrase_case_sql('body', L.COMPOUNDS_SHORT)} AS bh FROM f)
 SELECT doc_id, array_to_string(CASE WHEN len(th) > 0 THEN th ELSE bh END, '; ') AS keywords
 FROM m WHERE len(th) > 0 OR len(bh) > 0""")
 def q_dosage_filter(spark, sf):
-    d = S.docs(spark, sf).select(
-        "doc_id", F.substring_index("text", "\n", 1).alias("title"),
-        F.when(F.instr("text", "\n") > 0, F.expr("substr(text, instr(text, '\\n') + 1)")).otherwise(F.lit("")).alias("body"))
-    out = M.dosage_filter(d, "title", "body", L.FIXTURE_LEXICON, L.DOSAGE_PATTERN)
+    out = M.dosage_filter(S.remarked_posts(spark, sf), "title", "body", L.COMPOUNDS_SHORT, L.DOSAGE_PATTERN)
     return out.select("doc_id", F.array_join("keywords", "; ").alias("keywords"))
 
 
@@ -459,6 +473,32 @@ def q_threshold_filter_eval(spark, sf):
     return EV.threshold_filter_eval(S.predictions(spark, sf), S.gold(spark, sf), "gpt_zero_shot", **_THRESH)
 
 
+@query("threshold_filter_drop", _THRESH_SQL.replace(
+    "FROM base b LEFT JOIN ids i ON i.id = b.id)", "FROM base b JOIN ids i ON i.id = b.id)"))
+def q_threshold_filter_drop(spark, sf):
+    """The threshold filter with the ids it leaves out dropped instead of counted as 0."""
+    return EV.threshold_filter_eval(S.predictions(spark, sf), S.gold(spark, sf), "gpt_zero_shot", excluded="drop", **_THRESH)
+
+
+@query("self_gold_eval", f"""WITH {Q.PREDS},
+base AS (SELECT * FROM preds WHERE model = 'gpt_zero_shot'),
+kws AS {Q.explode_comma('base', 'id, relevance')},
+keep AS (SELECT keyword FROM kws GROUP BY keyword HAVING count(relevance) >= 5 AND avg(relevance) >= 0.3),
+m AS (SELECT count(*) FILTER (WHERE k) AS total, coalesce(sum(relevance) FILTER (WHERE k), 0)::BIGINT AS relevant,
+             coalesce(sum(relevance), 0)::BIGINT AS all_relevant FROM (SELECT *, keyword IN (SELECT keyword FROM keep) AS k FROM kws)),
+b AS (SELECT *, CASE WHEN total <> 0 THEN relevant / total ELSE 0.0 END AS p,
+             CASE WHEN all_relevant <> 0 THEN relevant / all_relevant ELSE 0.0 END AS r FROM m)
+SELECT total, relevant, all_relevant, round(p, 9) AS precision, round(r, 9) AS recall,
+       round(CASE WHEN p + r <> 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 9) AS f1 FROM b""")
+def q_self_gold_eval(spark, sf):
+    """Keyword filter scored by the predictions themselves."""
+    kws = ST.explode_keywords(S.predictions(spark, sf).filter(F.col("model") == "gpt_zero_shot").select("id", "keyword", "relevance"),
+                              "keyword", "comma")
+    rates = kws.groupBy("keyword").agg(F.count("relevance").alias("n"), F.avg("relevance").alias("h"))
+    keep = rates.filter((F.col("n") >= 5) & (F.col("h") >= 0.3)).select("keyword")
+    return EV.self_metrics(kws, kws.join(keep, "keyword", "left_semi"))
+
+
 @query("model_disagreement", f"""WITH {Q.PREDS},
 c AS (SELECT id, relevance, count(*) AS n FROM preds GROUP BY id, relevance),
 mo AS (SELECT id, arg_min(relevance, (-n, relevance)) AS mode_label FROM c WHERE relevance IS NOT NULL GROUP BY id),
@@ -471,9 +511,9 @@ def q_model_disagreement(spark, sf):
 
 
 def _fulltext(spark, sf) -> DataFrame:
-    p = S.predictions(spark, sf, with_text=True)
+    p = S.predictions(spark, sf)
     g = S.gold(spark, sf)
-    j = p.join(g, "id")
+    j = p.join(g, "id").join(S.docs(spark, sf).select(F.col("doc_id").alias("id"), "text"), "id")
     pr, gl = F.col("relevance"), F.col("relevance_true")
     return j.select("id", "model", pr.alias("predicted_label"), gl.alias("gold_label"), "confidence",
                     (F.col("confidence") < 0.65).cast("int").alias("low_confidence"), "text",
@@ -570,11 +610,12 @@ def q_split_train_test(spark, sf):
     return SA.split_train_test(lab, "id", "label", 0.2, 42).select("id", "label", "is_test")
 
 
-_RARE = ["she", "une", "los", "mit"]
+# the fixed rare list, and words of the stand-in lexicon so that rows qualify
+_RARE = ["she", "une", "los", "mit"] + L.INSUFFICIENT_SAMPLE
 
 
 @query("rare_keyword_sample", f"""WITH {Q.HITS},
-q AS (SELECT id, subreddit, keywords FROM hits WHERE len(list_intersect(keywords, {_RARE!r})) > 0),
+q AS (SELECT id, subreddit, keywords FROM hits WHERE len(list_intersect(keywords, {Q.text_list(_RARE)})) > 0),
 pf AS (SELECT subreddit, count(*) AS qn FROM q GROUP BY subreddit),
 fs AS (SELECT subreddit, coalesce(sum(qn) OVER (ORDER BY subreddit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
        FROM pf)
@@ -607,8 +648,10 @@ rest AS (SELECT * FROM p WHERE text NOT IN (SELECT h.text FROM hits_all h JOIN l
 SELECT id, text, confidence, round(1 - greatest(confidence, 1 - confidence), 9) AS uncertainty
 FROM rest ORDER BY uncertainty DESC, id LIMIT 100""")
 def q_uncertain_top_k(spark, sf):
-    pool = S.predictions(spark, sf, with_text=True).filter(F.col("model") == "logreg").select("id", "text", "confidence")
-    known = S.hits_all(spark, sf).join(S.labels(spark, sf).select(F.col("doc_id").alias("id")), "id").select("text")
+    p = S.predictions(spark, sf).filter(F.col("model") == "logreg").select("id", "confidence")
+    pool = S.docs(spark, sf).select(F.col("doc_id").alias("id"), "text").join(p, "id")
+    known = S.docs(spark, sf).select(F.col("doc_id").alias("id"), "text").join(
+        S.labels(spark, sf).select(F.col("doc_id").alias("id")), "id", "left_semi").select("text")
     return SA.uncertain_top_k(pool, known, "id", "text", "confidence", 100)
 
 
@@ -718,13 +761,13 @@ def q_matched_in_category(spark, sf):
 @query("build_subsets", f"""WITH {_SUBSET_BASE},
 all_ids AS (SELECT id FROM posts WHERE category = 'user' UNION SELECT id FROM cat_comments),
 fails AS (SELECT id FROM all_ids EXCEPT SELECT id FROM matched),
-rf AS (SELECT id FROM fails ORDER BY md5('kfails|' || id), id LIMIT 20),
+rf AS (SELECT id FROM fails ORDER BY md5('kfails|' || id), id LIMIT {L.NUM_RANDOM_KFAILS}),
 ann AS (SELECT id FROM posts WHERE category = 'system'),
 elig AS ((SELECT id FROM matched EXCEPT SELECT id FROM gold) EXCEPT SELECT id FROM ann),
 llm AS (SELECT id FROM gold
-        UNION SELECT id FROM (SELECT id FROM rf ORDER BY md5('llm_fails|' || id), id LIMIT 5)
+        UNION SELECT id FROM (SELECT id FROM rf ORDER BY md5('llm_fails|' || id), id LIMIT {L.NUM_KFAILS_FOR_GPT})
         UNION SELECT id FROM ann
-        UNION SELECT id FROM (SELECT id FROM elig ORDER BY md5('llm_passed|' || id), id LIMIT 30))
+        UNION SELECT id FROM (SELECT id FROM elig ORDER BY md5('llm_passed|' || id), id LIMIT {L.NUM_PASSED_FOR_GPT}))
 SELECT id, 'gold_label' AS subset, '2025-01-01' AS date_created FROM gold
 UNION SELECT id, 'random_kfails', '2025-01-01' FROM rf
 UNION SELECT id, 'gpt_random_set', '2025-01-01' FROM llm""")
@@ -732,8 +775,7 @@ def q_build_subsets(spark, sf):
     posts, comments, km = _posts_comments_matches(spark, sf)
     gold_ids = S.labels(spark, sf).select(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("id"))
     ann = posts.filter(F.col("category") == "system").select("id")
-    return SU.build_subsets(posts, comments, km, gold_ids, ann, "user", 20, 5, 30, "2025-01-01") \
-        .select("id", "subset", "date_created")
+    return SU.build_subsets(posts, comments, km, gold_ids, ann, "user", "2025-01-01")
 
 
 @query("text_lookup", f"""WITH {_SUBSET_BASE},
@@ -908,6 +950,31 @@ def q_prompt_table(spark, sf):
                                            text=F.col("text")).alias("prompt"))
 
 
+FEW_SHOT_TEMPLATE = ("Decide whether this post discusses health effects.\n\nLabelled examples:\n\n{examples}\n---\n"
+                     "Text: {text}\n\nAnswer with a label, a confidence and one sentence.")
+
+
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+_FEW_A, _FEW_B, _FEW_C = (_sql_text(x) for x in FEW_SHOT_TEMPLATE.replace("{examples}", "{text}").split("{text}"))
+
+
+@query("few_shot_prompts", f"""WITH {Q.HITS},
+g AS (SELECT l.doc_id AS id, l.quality AS label, d.text FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
+drawn AS (SELECT *, md5('42|' || CAST(id AS VARCHAR)) AS h FROM g ORDER BY h, id LIMIT 7),
+b AS (SELECT string_agg('Text: ' || text || chr(10) || 'Relevance: ' || CAST(label AS VARCHAR) || chr(10) || chr(10), '' ORDER BY h, id) AS examples FROM drawn)
+SELECT hits.id, {_FEW_A} || b.examples || {_FEW_B} || hits.text || {_FEW_C} AS prompt FROM hits, b
+WHERE hits.id NOT IN (SELECT doc_id FROM labels)""")
+def q_few_shot_prompts(spark, sf):
+    """Prompts of the pending hits with seven drawn gold rows as examples."""
+    d = S.docs(spark, sf).select(F.col("doc_id").alias("id"), "text")
+    gold = d.join(S.labels(spark, sf).select(F.col("doc_id").alias("id"), F.col("quality").alias("label")), "id")
+    pend = SU.pending(S.hit_keys(spark, sf).select("id"), S.labels(spark, sf).select(F.col("doc_id").alias("id")))
+    return PA.few_shot_prompts(d.join(pend, "id"), gold, FEW_SHOT_TEMPLATE, "id", "text", "label", 7, 42)
+
+
 # ===========================================================================
 # spans and context
 # ===========================================================================
@@ -942,9 +1009,19 @@ def q_merge_spans(spark, sf):
     return SP.merge_spans(_spans(spark, sf).select("id", "start", "end"), ["id"]).select("id", "start", "end")
 
 
-@query("span_priority", f"""WITH RECURSIVE {_SPANS_SQL},
-k AS (SELECT id, start, "end", CASE WHEN length(keyword) > 3 THEN 'highlight' ELSE 'bold' END AS kind FROM spans),
-o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY start, "end" DESC, kind) AS rn FROM k),
+@query("span_priority", f"""WITH RECURSIVE {Q.HITS},
+pairs AS (SELECT id, text, 'highlight' AS kind, unnest([keywords[1], 'an']) AS phrase FROM hits
+          UNION ALL SELECT id, text, 'bold', unnest(keywords) FROM hits),
+parts AS (SELECT id, text, kind, phrase, unnest(string_split(lower(text), phrase)) AS part,
+                 generate_subscripts(string_split(lower(text), phrase), 1) AS i,
+                 len(string_split(lower(text), phrase)) AS np FROM pairs),
+cum AS (SELECT *, sum(length(part)) OVER (PARTITION BY id, kind, phrase ORDER BY i) AS c FROM parts),
+found AS (SELECT id, text, kind, CAST(c + (i - 1) * length(phrase) AS INTEGER) AS start,
+                 CAST(c + i * length(phrase) AS INTEGER) AS "end" FROM cum WHERE i < np),
+k AS (SELECT DISTINCT id, start, "end", kind FROM found
+      WHERE kind = 'highlight' OR NOT (start > 0 AND regexp_matches(substr(text, start, 1), '[\\p{{L}}\\p{{N}}_]'))
+                              AND NOT regexp_matches(substr(text, "end" + 1, 1), '[\\p{{L}}\\p{{N}}_]')),
+o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY start, "end" DESC, CASE kind WHEN 'highlight' THEN 0 ELSE 1 END) AS rn FROM k),
 walk AS (
   SELECT id, CAST(0 AS BIGINT) AS rn, -1 AS last, false AS took FROM (SELECT DISTINCT id FROM o)
   UNION ALL
@@ -952,8 +1029,11 @@ walk AS (
   FROM walk w JOIN o ON o.id = w.id AND o.rn = w.rn + 1)
 SELECT o.id, o.start, o."end", o.kind FROM walk w JOIN o ON o.id = w.id AND o.rn = w.rn WHERE w.took""")
 def q_span_priority(spark, sf):
-    s = _spans(spark, sf).withColumn("kind", F.when(F.length("keyword") > 3, "highlight").otherwise("bold"))
-    return SP.span_priority(s, ["id"], "kind")
+    """Marked phrases of two fields (highlight) and whole-word keywords (bold),
+    overlaps resolved; the first keyword is in both, so equal spans occur."""
+    h = S.hits(spark, sf).select("id", "text", "keywords", F.get("keywords", 0).alias("source_compound"), F.lit("an").alias("source_symptom"))
+    spans = SP.highlight_and_bold(h, ["id"], "text", ["source_compound", "source_symptom"], "keywords")
+    return SP.span_priority(spans, ["id"], "kind")
 
 
 @query("keyword_context", f"""WITH {Q.HITS},
@@ -975,8 +1055,7 @@ def q_keyword_context(spark, sf):
 @query("mark_keywords")
 def q_mark_keywords(spark, sf):
     c = S.coded_lines(spark, sf)
-    h = S.hits(spark, sf).select("id", "text")
-    j = c.join(h, "id")
+    j = c.join(S.docs(spark, sf).select(F.col("doc_id").alias("id"), "text"), "id")
     kws = F.transform(F.split(F.col("keyword"), ";"), lambda k: T.py_strip(k))
     return j.select("id", M.mark_keywords(F.col("text"), kws).alias("marked"))
 
@@ -999,6 +1078,40 @@ def q_annotation_rows(spark, sf):
     return SP.annotation_rows(_annotated(spark, sf), "id", "annotations", "id", ["compound", "source_compound"])
 
 
+@query("annotation_file_rows", f"""WITH {Q.HITS},
+ann AS (SELECT id, unnest(keywords) AS k, generate_subscripts(keywords, 1) AS pos FROM hits WHERE len(keywords) > 1),
+num AS (SELECT id, k, row_number() OVER (ORDER BY id, pos) - 1 AS n FROM ann)
+SELECT 't' || CAST(id AS VARCHAR) AS id, 't' || CAST(id AS VARCHAR) || '_' || CAST(n AS VARCHAR) AS annotation_id, k AS compound,
+       false AS no_annotations FROM num
+UNION ALL
+SELECT 't' || CAST(id AS VARCHAR), 't' || CAST(id AS VARCHAR) || '_0', NULL, true FROM hits WHERE len(keywords) = 1""")
+def q_annotation_file_rows(spark, sf):
+    """Annotations with text ids written as JSON lines (in id order), read back
+    and numbered in the order of the files."""
+    h = S.hit_keys(spark, sf)
+    ann = F.when(F.size("keywords") > 1, F.transform("keywords", lambda k: F.create_map(F.lit("compound"), k)))
+    path = checkpoint_path(spark, f"annotations-{uuid.uuid4().hex}")
+    h.select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("id"), ann.alias("annotations"), F.col("id").alias("_o")) \
+        .sort("_o").drop("_o").write.json(path)
+    return SP.annotation_rows(FI.read_annotations(spark, path), "id", "annotations", ["source_file", "block", "line"], ["compound"])
+
+
+@query("sheet_folder", f"""WITH {Q.SHEET}
+SELECT CAST(post_id AS VARCHAR) AS post_id, CAST(comment_id AS VARCHAR) AS comment_id, CAST(reply_id AS VARCHAR) AS reply_id,
+       nullif(title, '') AS title, nullif(post_text, '') AS post_text, nullif(comment_body, '') AS comment_body,
+       nullif(reply_body, '') AS reply_body FROM sheet""")
+def q_sheet_folder(spark, sf):
+    """Thread sheets written as CSV with their columns in another order, one
+    folder beside them without the text columns, read back by header."""
+    t = S.thread_sheet(spark, sf)
+    cols = [F.col(c).cast("string") for c in ("title", "reply_body", "post_id", "comment_body", "reply_id", "post_text", "comment_id")]
+    path = checkpoint_path(spark, f"sheets-{uuid.uuid4().hex}")
+    FI.write_table(t.select(*cols), path, "csv")
+    FI.write_table(t.select(F.col("post_id"), F.lit("x").alias("note")), path, "csv", mode="append")
+    names = ["post_id", "comment_id", "reply_id", "title", "post_text", "comment_body", "reply_body"]
+    return FI.read_sheet_folder(spark, path).select(*[F.nullif(F.col(c), F.lit("")).alias(c) for c in names])
+
+
 @query("unreviewed", f"""WITH {Q.HITS},
 ann AS (SELECT id, unnest(keywords) AS k, generate_subscripts(keywords, 1) AS pos FROM hits WHERE len(keywords) > 1),
 num AS (SELECT id, k, row_number() OVER (ORDER BY id, pos) - 1 AS n FROM ann),
@@ -1038,6 +1151,14 @@ def q_stratified_sample(spark, sf):
     return SA.stratified_sample(ex, "keyword", "id", 10, 42).select("keyword", "id", "subreddit", "sample_order")
 
 
+@query("stratified_sample_by_source", ORACLE["stratified_sample"]
+       .replace("ex AS (SELECT DISTINCT unnest(keywords) AS keyword, id, subreddit FROM hits)", "ex AS (SELECT DISTINCT subreddit AS keyword, id FROM hits)")
+       .replace("SELECT g.keyword, p.id, e.subreddit,", "SELECT g.keyword AS subreddit, p.id,"))
+def q_stratified_sample_by_source(spark, sf):
+    """The same greedy draw with the source as the stratum."""
+    return SA.stratified_sample(S.hit_keys(spark, sf).select("id", "subreddit"), "subreddit", "id", 10, 42)
+
+
 @query("top_k_per_group_union", f"""WITH {Q.PREDS},
 d AS (SELECT id, subreddit, keyword, relevance,
              CASE WHEN model IN ('gpt_zero_shot', 'gpt_few_shot') THEN 0.5 + 0.5 * confidence ELSE confidence END AS confidence
@@ -1066,131 +1187,164 @@ def q_top_k_per_group_union(spark, sf):
 # ===========================================================================
 
 from ..operators import ml as ML  # noqa: E402
+from .stages import kept  # noqa: E402
 
+MAX_FEATURES, NGRAMS = 5000, 2  # the full models' TF-IDF
 
-@query("tfidf_features", r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents),
+_TERMS_SQL = f"""w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'),
+                    lambda x: NOT list_contains({Q.text_list(ML.STOP_WORDS)}, x)) AS w FROM documents),
+t AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
 tc AS (SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM t GROUP BY term),
 n AS (SELECT count(*) AS n FROM documents),
-v AS (SELECT * FROM tc ORDER BY tf DESC, term LIMIT 300)
+v AS (SELECT * FROM tc ORDER BY tf DESC, term LIMIT {MAX_FEATURES})"""
+
+
+@query("tfidf_features", f"""WITH {_TERMS_SQL}
 SELECT term, tf, df, round(ln((1 + n) / (1 + df)) + 1, 9) AS idf FROM v, n""")
 def q_tfidf_features(spark, sf):
-    return ML.document_frequency(S.docs(spark, sf), "doc_id", "text", 300)
+    return ML.document_frequency(S.docs(spark, sf), "doc_id", "text", MAX_FEATURES, NGRAMS, True)
 
 
-def _gold_texts(spark, sf):
-    d = S.docs(spark, sf).select(F.col("doc_id").alias("id"), "text")
-    g = S.gold(spark, sf)
-    return d.join(g, "id").withColumnRenamed("relevance_true", "label")
+@query("tfidf_vectors", f"""WITH {_TERMS_SQL},
+x AS (SELECT doc_id, term, count(*) * any_value(ln((1 + n) / (1 + df)) + 1) AS w FROM t JOIN v USING (term) CROSS JOIN n GROUP BY doc_id, term)
+SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM x""")
+def q_tfidf_vectors(spark, sf):
+    return ML.tfidf_vectors(S.docs(spark, sf), "doc_id", "text", MAX_FEATURES, NGRAMS, True)
 
 
-def _fit_text_models(spark, sf, max_features=3000, ngrams=1):
-    """Gold texts (human-labelled, small) are persisted: the optimisers pass
-    over them many times. The featurised frame is persisted too."""
-    data = _gold_texts(spark, sf).persist()
-    train = data.filter(F.col("is_test") == 0)
-    tf = ML.fit_tfidf(train, "text", max_features, ngrams)
-    return data, tf
+def _text_model(spark, sf) -> tuple:
+    """(TF-IDF model fitted on the gold training rows, gold features). The
+    features are a staged table in partitions of about ROWS_PER_PART rows, as
+    each optimiser iteration is a job over them; part 2 of the training rows
+    (about a fifth) is held out for calibration."""
+    def build():
+        d = S.docs(spark, sf).select(F.col("doc_id").alias("id"), "text")
+        data = written(spark, d.join(S.gold(spark, sf), "id").withColumnRenamed("relevance_true", "label"), "gold-texts")
+        tf = ML.fit_tfidf(data.filter(F.col("is_test") == 0), "text", MAX_FEATURES, NGRAMS)
+        part = F.when(F.col("is_test") == 1, 0).when(F.pmod(F.xxhash64("id"), F.lit(5)) == 0, 2).otherwise(1)
+        feats = tf.transform(data).select("id", "label", "is_test", part.alias("part"), "features")
+        return tf, written(spark, feats.repartition(max(1, -(-data.count() // ROWS_PER_PART))), "gold-features")
+    return kept(spark, sf, "text-model", build)
 
 
 ROWS_PER_PART = 50_000
 
 
-def _features(tf, data):
-    """Featurised gold rows, persisted, in partitions of ~ROWS_PER_PART rows
-    (each optimiser iteration is one job over these partitions)."""
-    n = data.count()
-    parts = max(1, -(-n // ROWS_PER_PART))
-    return tf.transform(data).select("id", "label", "is_test", "features").repartition(parts).persist()
+def _model(spark, sf, name: str):
+    """A classifier fitted once per session on the gold training rows."""
+    def build():
+        _, feats = _text_model(spark, sf)
+        train = feats.filter("part > 0")
+        if name == "logreg":
+            return ML.train_logreg(train, balanced=True)
+        if name == "svm":
+            return ML.train_svm(feats.filter("part = 1"), feats.filter("part = 2"))
+        return ML.train_gbt(train)
+    return kept(spark, sf, f"model-{name}", build)
+
+
+def _report(spark, sf, name: str) -> DataFrame:
+    _, feats = _text_model(spark, sf)
+    test = _model(spark, sf, name).transform(feats.filter("is_test = 1"))
+    return EV.class_report(test.withColumn("prediction", F.col("prediction").cast("int")), "label", "prediction")
 
 
 @query("train_logreg")
 def q_train_logreg(spark, sf):
-    data, tf = _fit_text_models(spark, sf)
-    feats = _features(tf, data)
-    lr = ML.train_logreg(feats.filter(F.col("is_test") == 0), balanced=True)
-    test = lr.transform(feats.filter(F.col("is_test") == 1))
-    return EV.class_report(test.withColumn("prediction", F.col("prediction").cast("int")), "label", "prediction")
+    return _report(spark, sf, "logreg")
 
 
 @query("train_svm")
 def q_train_svm(spark, sf):
-    data, tf = _fit_text_models(spark, sf, 5000, 2)
-    feats = _features(tf, data)
-    tr = feats.filter(F.col("is_test") == 0)
-    svm = ML.train_svm(tr, tr)
-    test = svm.transform(feats.filter(F.col("is_test") == 1))
-    return EV.class_report(test.withColumn("prediction", F.col("prediction").cast("int")), "label", "prediction")
+    return _report(spark, sf, "svm")
 
 
 @query("train_gbt")
 def q_train_gbt(spark, sf):
-    data, tf = _fit_text_models(spark, sf, 5000, 2)
-    feats = _features(tf, data)
-    gbt = ML.train_gbt(feats.filter(F.col("is_test") == 0), max_iter=10, max_depth=4)
-    test = gbt.transform(feats.filter(F.col("is_test") == 1))
-    return EV.class_report(test.withColumn("prediction", F.col("prediction").cast("int")), "label", "prediction")
+    return _report(spark, sf, "xgboost")
+
+
+def _predicted(spark, sf, confidence: str) -> DataFrame:
+    tf, _ = _text_model(spark, sf)
+    models = {m: _model(spark, sf, m) for m in L.CLASSICAL_MODELS}
+    docs = tf.transform(S.docs(spark, sf).select(F.col("doc_id").alias("id"), "text")).select("id", "features")
+    return ML.predict_long(docs, models, "id", "v1", confidence)
 
 
 @query("predict_long")
 def q_predict_long(spark, sf):
-    data, tf = _fit_text_models(spark, sf)
-    feats = _features(tf, data)
-    tr = feats.filter(F.col("is_test") == 0)
-    models = {"logreg": ML.train_logreg(tr), "svm": ML.train_svm(tr, tr)}
-    docs = tf.transform(S.docs(spark, sf).select(F.col("doc_id").alias("id"), "text"))
-    return ML.predict_long(docs, models, "id", "v1", "p1")
+    """All three models over every document, the larger class probability as confidence."""
+    return _predicted(spark, sf, "max")
+
+
+@query("predict_long_checks", f"""SELECT m AS model, count(*) AS n_rows, count(DISTINCT doc_id) AS n_ids, count(*) AS n_labels,
+       count(*) AS n_confident, count(*) AS n_consistent FROM documents, (SELECT unnest({Q.text_list(L.CLASSICAL_MODELS)}) AS m) GROUP BY m""")
+def q_predict_long_checks(spark, sf):
+    """What must hold of bulk predictions: a row per document and model, 0 / 1
+    labels, max probabilities in [0.5, 1], and the label on the side that the
+    probability of class 1 (second run) says."""
+    top = _predicted(spark, sf, "max").withColumnRenamed("confidence", "top")
+    p1 = _predicted(spark, sf, "p1").select("id", "model", F.col("confidence").alias("p1"))
+    j = top.join(p1, ["id", "model"])
+    side = F.abs(F.col("top") - F.greatest("p1", 1 - F.col("p1"))) < 1e-9
+    return j.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("id").alias("n_ids"),
+        F.count_if(F.col("prediction").isin(0, 1)).alias("n_labels"),
+        F.count_if(F.col("top").between(0.5, 1.0)).alias("n_confident"),
+        F.count_if(side & ((F.col("p1") > 0.5).cast("int") == F.col("prediction"))).alias("n_consistent"))
+
+
+@query("test_supports", f"""WITH {Q.GOLD}
+SELECT m AS model, CAST(c AS VARCHAR) AS class, (SELECT count(*) FROM gold JOIN documents d ON d.doc_id = gold.id WHERE is_test = 1 AND relevance_true = c) AS support
+FROM (SELECT unnest({Q.text_list(L.CLASSICAL_MODELS)}) AS m), (VALUES (0), (1)) k(c)""")
+def q_test_supports(spark, sf):
+    """The rows that each model is scored on, from the three reports."""
+    out = None
+    for m in L.CLASSICAL_MODELS:
+        one = _report(spark, sf, m).filter(F.col("class").isin("0", "1")).select(F.lit(m).alias("model"), "class", "support")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("feature_weights")
 def q_feature_weights(spark, sf):
-    data, tf = _fit_text_models(spark, sf)
-    lr = ML.train_logreg(_features(tf, data).filter(F.col("is_test") == 0))
-    return ML.feature_weights(spark, tf.vocab, lr.coefficients.toArray(), 20)
+    tf, _ = _text_model(spark, sf)
+    return ML.feature_weights(spark, tf.vocab, _model(spark, sf, "logreg").coefficients.toArray(), 20)
 
 
 @query("embedding_classifier")
 def q_embedding_classifier(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     e = ML.embedding_features(e).withColumn("label", (F.col("label") == 0).cast("int"))
-    e = SA.split_train_test(e.withColumnRenamed("vec_id", "id"), "id", "label", 0.2, 42).persist()
+    e = written(spark, SA.split_train_test(e.withColumnRenamed("vec_id", "id"), "id", "label", 0.2, 42), "embedding-features")
     lr = ML.train_logreg(e.filter(F.col("is_test") == 0))
     p = lr.transform(e).withColumn("_p", ML.vector_to_array("probability"))
     return p.select("id", "label", "is_test", F.col("prediction").cast("int").alias("prediction"),
                     F.round(F.col("_p")[1], 6).alias("p1"))
 
 
-@query("score_texts")
+@query("score_texts", f"""WITH {Q.HITS}
+SELECT id, CASE WHEN id % 101 = 0 THEN NULL WHEN length(text) > 1500 AND contains(lower(text), ' the ') THEN '1' ELSE '0' END AS relevance,
+       CASE WHEN id % 101 = 0 THEN 'ValueError: no answer' END AS error
+FROM hits WHERE id NOT IN (SELECT doc_id FROM labels)""")
 def q_score_texts(spark, sf):
-    rows = S.hits(spark, sf).select("id", "text")
+    """Pending hits scored by the offline stand-in; it fails on the texts that
+    were made unanswerable, and only their rows carry an error."""
+    rows = S.hits(spark, sf).select("id", F.when(F.col("id") % 101 == 0, F.lit(ML.UNANSWERABLE)).otherwise(F.col("text")).alias("text"))
     done = S.labels(spark, sf).select(F.col("doc_id").alias("id"))
     pend = SU.pending(rows, done)
-    return ML.score_texts(pend, ML.offline_scorer, "text", "relevance").select("id", "relevance")
+    return ML.score_texts(pend, ML.offline_scorer, "text", "relevance").select("id", "relevance", "error")
 
 
 # ===========================================================================
 # the full rough-cut lexicon (131 phrases, multi-word and punctuated ones)
 # ===========================================================================
 
-def _re2_quote(s: str) -> str:
-    return "".join("\\" + c if c in r"\.^$|?*+()[]{}-" else c for c in s).replace("'", "''")
-
-
-def _phrase_case_sql(low: str, phrases) -> str:
-    seen, parts = set(), []
-    for p in phrases:
-        if p in seen:
-            continue
-        seen.add(p)
-        pat = f"{Q.WB_L}{_re2_quote(p.lower())}{Q.WB_R}"
-        parts.append(f"CASE WHEN regexp_matches({low}, '{pat}') THEN '{p.replace(chr(39), chr(39) * 2)}' END")
-    return "list_filter([" + ", ".join(parts) + "], lambda x: x IS NOT NULL)"
-
-
-@query("filtering_phrase_match", f"""WITH d AS (SELECT doc_id, source, lower(text) AS low FROM documents),
+@query("filtering_phrase_match", f"""WITH {_REMARKED}, d AS (SELECT doc_id, source, lower(text) AS low FROM remarked),
 m AS (SELECT doc_id, source, {_phrase_case_sql('low', L.FILTERING_PHRASES)} AS kw FROM d)
 SELECT doc_id, source, array_to_string(kw, '; ') AS keywords, len(kw) AS n_keywords FROM m WHERE len(kw) > 0""")
 def q_filtering_phrase_match(spark, sf):
-    d = S.docs(spark, sf).select("doc_id", "source", "text")
+    d = S.remarked(spark, sf).select("doc_id", "source", "text")
     m = M.keyword_match(d, "text", L.FILTERING_PHRASES)
     return m.select("doc_id", "source", F.array_join("keywords", "; ").alias("keywords"),
                     F.size("keywords").alias("n_keywords"))
@@ -1260,25 +1414,32 @@ def q_distinct_texts(spark, sf):
     return S.docs(spark, sf).groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
 
 
+_SAMPLE_ROWS = 500
+
+
 @query("sample_with_text", f"""WITH {_SUBSET_BASE},
-s AS (SELECT id FROM km UNION SELECT 'p' || CAST(doc_id AS VARCHAR) FROM labels WHERE doc_id < 150)
+drawn AS (SELECT id FROM gold ORDER BY md5('sample|' || id), id LIMIT {_SAMPLE_ROWS}),
+s AS (SELECT id FROM km UNION SELECT id FROM drawn)
 SELECT s.id, coalesce(t.text, '[Text not found]') AS text
 FROM s LEFT JOIN (SELECT id, coalesce(title, '') || ' | ' || coalesce(selftext, '') AS text FROM posts
                   UNION ALL SELECT id, body FROM comments) t ON t.id = s.id""")
 def q_sample_with_text(spark, sf):
-    """Sample ids + text: posts as "title | selftext", comments as body, else a default."""
+    """Ids of keyword matches and of a drawn sample of labelled rows, with text:
+    posts as "title | selftext", comments as body, else a default."""
     posts, comments, km = _posts_comments_matches(spark, sf)
-    ids = km.unionByName(S.labels(spark, sf).filter(F.col("doc_id") < 150)
-                         .select(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("id"))).distinct()
+    labelled = S.labels(spark, sf).select(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("id")).distinct()
+    ids = km.unionByName(SU.take_k(labelled, _SAMPLE_ROWS, "sample")).distinct()
     texts = posts.select("id", T.compose_text([F.col("title"), F.col("selftext")], " | ", "empty").alias("text")) \
         .unionByName(comments.select("id", F.col("body").alias("text")))
     return ids.join(texts, "id", "left").select("id", F.coalesce("text", F.lit("[Text not found]")).alias("text"))
 
 
-@query("dosage_mentions")
+@query("dosage_mentions", f"""WITH {_REMARKED},
+m AS (SELECT doc_id, regexp_extract_all(lower(text), '{L.DOSAGE_PATTERN}') AS doses FROM remarked)
+SELECT doc_id, array_to_string(doses, '; ') AS doses, len(doses)::INTEGER AS n_doses FROM m WHERE len(doses) > 0""")
 def q_dosage_mentions(spark, sf):
     """Every dose mention of each document (regexp_extract_all with the dosage pattern)."""
-    d = S.docs(spark, sf)
+    d = S.remarked(spark, sf)
     m = F.regexp_extract_all(F.lower("text"), F.lit(L.DOSAGE_PATTERN), 0)
     return d.select("doc_id", m.alias("doses")).filter(F.size("doses") > 0) \
         .select("doc_id", F.array_join("doses", "; ").alias("doses"), F.size("doses").alias("n_doses"))
@@ -1311,7 +1472,7 @@ def _category_sql() -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-@query("lexicon_categories", f"""WITH d AS (SELECT doc_id, lower(text) AS low FROM documents),
+@query("lexicon_categories", f"""WITH {_REMARKED}, d AS (SELECT doc_id, lower(text) AS low FROM remarked),
 m AS ({_category_sql()})
 SELECT doc_id, category, array_to_string(kw, '; ') AS keywords, len(kw) AS n_keywords FROM m WHERE len(kw) > 0""")
 def q_lexicon_categories(spark, sf):
@@ -1324,7 +1485,7 @@ def q_lexicon_categories(spark, sf):
         one = L.lexicon_df(spark, cat).dropDuplicates(["term"])
         lex = one if lex is None else lex.unionByName(one)
     all_terms = list(dict.fromkeys(t for cat in _TAG_CATEGORIES for t in L.CATEGORIES[cat]))
-    d = S.docs(spark, sf).select("doc_id", "text")
+    d = S.remarked(spark, sf).select("doc_id", "text")
     hits = M.keyword_match(d, "text", all_terms).select("doc_id", F.explode("keywords").alias("term"))
     tagged = hits.join(F.broadcast(lex), "term")
     per = tagged.groupBy("doc_id", "category").agg(F.array_sort(F.collect_list(F.struct("ord", "term"))).alias("_k"))

@@ -100,12 +100,25 @@ RAW = r"""raw0 AS (
          CAST(doc_id AS VARCHAR) AS id,
          text AS body,
          split_part(text, chr(10), 1) AS title,
-         CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS selftext,
+         CASE WHEN doc_id % 11 = 3 THEN '[deleted]' WHEN doc_id % 11 = 5 THEN '[Removed]'
+              WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS selftext,
          1546300800 + n_chars * 40000 AS created_utc
   FROM documents),
 raw AS (
   SELECT doc_id, file, CASE WHEN is_c THEN 'comments' ELSE 'submissions' END AS kind,
-         doc_id % 97 = 0 AS bad, id,
+         doc_id % 97 = 0 OR doc_id % 89 = 1 AS bad, id,
          CASE WHEN is_c THEN body END AS body, CASE WHEN NOT is_c THEN title END AS title,
          CASE WHEN NOT is_c THEN selftext END AS selftext, created_utc
   FROM raw0)"""
+
+
+def remarked(remarks: list[str], every: int) -> str:
+    """CTEs remarked(doc_id, source, text) and remarked_posts(doc_id, title, body)."""
+    listed = "[" + ", ".join("'" + r.replace("'", "''") + "'" for r in remarks) + "]"
+    return f"""remarked AS (SELECT doc_id, source, text || coalesce({listed}[doc_id % {every} + 1], '') AS text FROM documents),
+remarked_posts AS (SELECT doc_id, split_part(text, chr(10), 1) AS title,
+         CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS body FROM remarked)"""
+
+
+def text_list(xs: list[str]) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"

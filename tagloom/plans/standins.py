@@ -33,10 +33,36 @@ REGEX_LEXICON = [
 ]
 
 
+# Remarks put behind some documents (by doc_id), since the invented prose holds
+# no lexicon phrase, dose or removed body: single and multi-word phrases,
+# punctuated and overlapping ones, doses that count and doses that do not.
+REMARKS = [
+    " Took 5mg of THC and 2.5 ml CBD.", " OG Kush at 10 mg, then delta-8.", " THCV 5%thc, no rest.",
+    " Charlotte’s Web oil by 20 g and Rick Simpson Oil", " 2-AG levels and CB1 receptor; exo-THC", " dose 5 % cannabis",
+    " mg 7 weed 10mgs", " delta 8 THC 100mg pre-rolls / dab rigs", " Mary Jane-like, sticky icky hash.", " Bubba Kush kush OG Kushes",
+    " tincture for sleep and pain, 0.5ml", " x2-AG, delta-88, hashing",
+]
+REMARK_EVERY = 17
+
+
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "documents")
 
 
+def remarked(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with their remarks: the k-th one where doc_id % 17 = k."""
+    at = (F.col("doc_id") % REMARK_EVERY).cast("int")
+    remark = F.coalesce(F.get(F.array(*[F.lit(r) for r in REMARKS]), at), F.lit(""))
+    return docs(spark, sf).withColumn("text", F.concat("text", remark))
+
+
+def remarked_posts(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, title, body): the first line and the rest of remarked documents."""
+    return remarked(spark, sf).select(
+        "doc_id", F.substring_index("text", "\n", 1).alias("title"),
+        F.when(F.instr("text", "\n") > 0, F.expr("substr(text, instr(text, '\\n') + 1)")).otherwise(F.lit("")).alias("body"))
+
+
 def hits_all(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with its fixture-lexicon matches (possibly none)."""
     d = docs(spark, sf).select(F.col("doc_id").alias("id"), F.col("source").alias("subreddit"),
@@ -50,12 +76,8 @@ def hits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hit_index(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document's matches without its text, hash-partitioned by id.
-
-    Staged (written once per session to the checkpoint folder): every
-    branch of every query reads the same narrow table instead of
-    re-running the matcher.
-    """
+    """Every document's matches without its text. Staged: every branch of
+    every query reads the same narrow table instead of re-running the matcher."""
     return staged(spark, sf, "hit_index", lambda: hits_all(spark, sf).drop("text"))
 
 
@@ -172,19 +194,22 @@ def raw_lines(spark: SparkSession, sf: str) -> DataFrame:
 
     English documents are comments (id, body, created_utc); the others are
     submissions (title = first line, selftext = rest). created_utc is
-    derived from n_chars so that some lines fall before 2020. Every 97th
-    line is cut short (bad JSON), as in a damaged dump.
+    derived from n_chars so that some lines fall before 2020. Some
+    submissions have a removed body; every 97th line is cut short and every
+    89th has text after the object (bad JSON), as in a damaged dump.
     """
     d = docs(spark, sf)
     created = F.lit(1546300800) + F.col("n_chars") * F.lit(40000)
     is_c = F.col("lang") == "en"
     title = F.substring_index("text", "\n", 1)
     body = F.when(F.instr("text", "\n") > 0, F.expr("substr(text, instr(text, '\\n') + 1)")).otherwise(F.lit(""))
+    body = F.when(F.col("doc_id") % 11 == 3, F.lit("[deleted]")).when(F.col("doc_id") % 11 == 5, F.lit("[Removed]")).otherwise(body)
     as_json = F.when(is_c, F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("body"),
                                               created.alias("created_utc")))) \
         .otherwise(F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), title.alias("title"),
                                       body.alias("selftext"), created.alias("created_utc"))))
     file = F.concat(F.col("source"), F.when(is_c, F.lit("_comments")).otherwise(F.lit("_submissions")), F.lit(".zst"))
     base = d.select("doc_id", file.alias("file"), as_json.alias("_l"))
-    line = F.when(F.col("doc_id") % 97 == 0, F.expr("substr(_l, 1, length(_l) - 1)")).otherwise(F.col("_l"))
+    line = F.when(F.col("doc_id") % 97 == 0, F.expr("substr(_l, 1, length(_l) - 1)")) \
+        .when(F.col("doc_id") % 89 == 1, F.concat("_l", F.lit(" trailing }"))).otherwise(F.col("_l"))
     return base.select("doc_id", "file", line.alias("line"))

@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.matching import keyword_match, title_first_match
+from ..functions.text import is_json_object
+from ..lexicon import SHORT_NAME
+from ..operators.matching import keyword_match
 
 START_EPOCH = 1577836800  # 2020-01-01 00:00:00 UTC, the rough cut's start date
-SHORT_NAME = r"^([^_]+_[a-zA-Z])"
 
 RAW_SCHEMA = "id string, body string, title string, selftext string, created_utc string"
 
@@ -48,7 +49,7 @@ def parse_json_lines(df: DataFrame, line_col: str = "line", file_col: str = "fil
     out = df.withColumn("_j", p).withColumn("kind", kind)
     created = F.col("_j.created_utc")
     created_num = F.when(created.rlike(r"^\s*-?[0-9]+(\.[0-9]+)?\s*$"), created.cast("double").cast("long"))
-    bad_json = F.col("_j").isNull() | ~F.col(line_col).rlike(r"^\s*\{") | ~F.col(line_col).rlike(r"\}\s*$")
+    bad_json = F.col("_j").isNull() | ~is_json_object(F.col(line_col))
     need_c = F.col("_j.id").isNull() | F.col("_j.body").isNull()
     need_s = F.col("_j.id").isNull() | F.col("_j.title").isNull() | F.col("_j.selftext").isNull()
     missing = (F.when(F.col("kind") == "comments", need_c).when(F.col("kind") == "submissions", need_s)
