@@ -49,3 +49,58 @@ def test_model_save_load(spark):
     a = sorted((r.id, r.prediction) for r in lr.transform(feats).collect())
     b = sorted((r.id, r.prediction) for r in lr2.transform(tf2.transform(data)).collect())
     assert a == b
+
+
+def test_csv_columns_go_by_header(spark):
+    """Files with the columns in another order, one more column, or without a text column."""
+    base = tempfile.mkdtemp(prefix="tagloom-io-", dir="/tmp")
+    files = {
+        "a.csv": "post_id,comment_id,reply_id,title,post_text,comment_body,reply_body\n1,2,3,t1,p1,c1,r1\n",
+        "b.csv": "\ufefftitle,post_text,comment_body,reply_body,extra,post_id\n\"t,2\",\"p\n2\",c2,r2,zz,9\n",
+        "c.csv": "post_id,title\n5,no texts here\n",
+    }
+    for name, text in files.items():
+        with open(os.path.join(base, name), "w", encoding="utf-8") as f:
+            f.write(text)
+    got = sorted(tuple(r) for r in FI.read_sheet_folder(spark, base).select("subreddit", "post_id", "comment_id", "title", "post_text", "reply_body").collect())
+    assert got == [("a", "1", "2", "t1", "p1", "r1"), ("b", "9", None, "t,2", "p\n2", "r2")]
+    back = FI.read_csv_folder(spark, base, "post_id long, title string")
+    assert sorted(tuple(r) for r in back.collect()) == [(1, "t1", "a.csv"), (5, "no texts here", "c.csv"), (9, "t,2", "b.csv")]
+    assert FI.read_csv_folder(spark, base, "x string", ["nowhere"]).count() == 0
+
+
+def test_zst_dump_is_read(spark):
+    """Compressed lines, by two frames in one file, as dumps have them."""
+    import zstandard
+    from tagloom.sources import dumps as DU
+    base = tempfile.mkdtemp(prefix="tagloom-io-", dir="/tmp")
+    lines = [f'{{"id": "{i}", "body": "thc {i}", "created_utc": 1600000000}}' for i in range(500)]
+    c = zstandard.ZstdCompressor(write_checksum=True)
+    with open(os.path.join(base, "trees_comments.zst"), "wb") as f:
+        f.write(c.compress(("\n".join(lines[:300]) + "\n").encode()) + c.compress(("\n".join(lines[300:]) + "\n{broken\n").encode()))
+    parsed = DU.parse_json_lines(DU.read_dump(spark, base))
+    assert parsed.count() == 501 and parsed.filter("bad").count() == 1
+    hits = DU.rough_filter(parsed, ["THC"])
+    assert hits.count() == 500 and {r.short_name for r in hits.select("short_name").collect()} == {"trees_c"}
+
+
+def test_json_lines_are_strict(spark):
+    from tagloom.sources import dumps as DU
+    ok = '{"id": "1", "body": "x {[}]", "created_utc": 1600000000}'
+    rows = [ok, " " + ok + " ", ok + " trailing }", ok + "}", ok[:-1], "[" + ok + "]", ok + "," + ok, ok + "] [" + ok, "", "null", '{"id": "1"}']
+    df = spark.createDataFrame([("a_comments.zst", x) for x in rows], "file string, line string")
+    got = {r.line: r.bad for r in DU.parse_json_lines(df).collect()}
+    assert [x for x in rows if not got[x]] == rows[:2]
+
+
+def test_annotations_with_text_ids_keep_file_order(spark):
+    from tagloom.operators import spans as SP
+    base = tempfile.mkdtemp(prefix="tagloom-io-", dir="/tmp")
+    for name, ids in (("a.jsonl", ["z", "m"]), ("b.jsonl", ["c"])):
+        with open(os.path.join(base, name), "w") as f:
+            for i in ids:
+                f.write(f'{{"id": "{i}", "annotations": [{{"compound": "{i}1"}}, {{"compound": "{i}2"}}]}}\n')
+            f.write('{"id": "none"}\nnot json\n')
+    rows = SP.annotation_rows(FI.read_annotations(spark, base), "id", "annotations", ["source_file", "block", "line"], ["compound"])
+    got = {r.annotation_id: r.compound for r in rows.collect()}
+    assert got == {"z_0": "z1", "z_1": "z2", "m_2": "m1", "m_3": "m2", "c_4": "c1", "c_5": "c2", "none_0": None}

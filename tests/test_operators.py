@@ -85,3 +85,56 @@ def test_relevant_irrelevant_sum(spark):
     df = spark.createDataFrame([("a", 1), ("a", 0), ("a", None), ("a", 1)], "keyword string, label int")
     r = {x.label: x["count"] for x in ST.relevant_irrelevant_long(df, ["keyword"], "label").collect()}
     assert r == {"relevant": 2, "irrelevant": 1}
+
+
+def test_equal_spans_keep_the_highlight(spark):
+    rows = [(1, 0, 5, "bold"), (1, 0, 5, "highlight"), (1, 0, 3, "highlight"), (1, 5, 6, "bold"), (1, 5, 6, "other")]
+    p = sorted((r.start, r.end, r.kind) for r in SP.span_priority(spark.createDataFrame(rows, "id int, start int, end int, kind string"), ["id"], "kind").collect())
+    assert p == [(0, 5, "highlight"), (5, 6, "bold")]
+
+
+def test_highlight_and_bold_sources(spark):
+    df = spark.createDataFrame([(1, "Pain, painful PAIN and thc", "pain", None, ["pain", "thc", "and t"])],
+                               "id int, text string, source_symptom string, source_compound string, kws array<string>")
+    s = SP.highlight_and_bold(df, ["id"], "text", ["source_symptom", "source_compound"], "kws")
+    got = sorted((r.start, r.end, r.kind, r.field) for r in s.collect())
+    assert got == [(0, 4, "bold", None), (0, 4, "highlight", "symptom"), (6, 10, "highlight", "symptom"),
+                   (14, 18, "bold", None), (14, 18, "highlight", "symptom"), (23, 26, "bold", None)]
+
+
+def test_kappa_with_labels_on_one_side_only(spark):
+    rows = [(1, 2)] * 3 + [(3, 3)] * 4 + [(1, 1)] * 2
+    r = AG.cohen_kappa(spark.createDataFrame(rows, "label_1 int, label_2 int")).first()
+    po, pe = 6 / 9, (5 * 2 + 0 * 3 + 4 * 4) / 81
+    assert r.agreement == 6 and abs(r.kappa - (po - pe) / (1 - pe)) < 1e-9
+
+
+def test_null_predictions_differ_from_the_mode(spark):
+    p = spark.createDataFrame([(1, 0), (1, None), (1, 0), (2, None)], "id int, predicted_label int")
+    r = [(x.id, x.mode_label, x.disagreeing_models, x.total_models) for x in EV.model_disagreement(p).collect()]
+    assert r == [(1, 0, 1, 2)]
+
+
+def test_self_metrics(spark):
+    full = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, None)], "id int, relevance int")
+    r = EV.self_metrics(full, full.filter("id < 3")).first()
+    assert (r.total, r.relevant, r.all_relevant, r.precision, r.recall, r.f1) == (2, 1, 2, 0.5, 0.5, 0.5)
+
+
+def test_scorer_errors_stay_with_their_row(spark):
+    from tagloom.operators import ml as ML
+
+    def scorer(texts):
+        if "bad" in texts:
+            raise ValueError("no")
+        return [t.upper() for t in texts]
+
+    df = spark.createDataFrame([("a",), ("bad",), ("c",)], "text string").coalesce(1)
+    got = sorted((r.text, r.score, r.error) for r in ML.score_texts(df, scorer).collect())
+    assert got == [("a", "A", None), ("bad", None, "ValueError: no"), ("c", "C", None)]
+
+
+def test_upsert_of_a_key_twice_in_one_batch_is_defined(spark):
+    rows = [(1, 0, 2), (1, 5, 2), (1, 9, 1)]
+    df = spark.createDataFrame(rows, "id int, label int, batch int")
+    assert SU.upsert(df.limit(0), df, ["id"]).first().label == 5

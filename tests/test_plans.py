@@ -44,3 +44,60 @@ def test_top_n_ranks_inside_salted_groups(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert "_salt" in plan and "WindowGroupLimit" in plan
+
+
+def executed_scans(df, what):
+    """Scans of files whose path has ``what`` in the plan as run (reused exchanges count once)."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[0]
+    return plan.count("FileScan parquet") if not what else len([x for x in plan.split("FileScan parquet")[1:] if what in x[:1500]])
+
+
+def test_reports_read_their_input_once(spark):
+    from tagloom.operators import agreement as AG
+    from tagloom.operators import evaluation as EV
+    path = __import__("tempfile").mkdtemp(prefix="tagloom-plan-", dir="/tmp") + "/t"
+    spark.range(0, 200).selectExpr("id", "cast(id % 2 as int) as a", "cast(id % 3 = 0 as int) as b", "'m' as model").write.parquet(path)
+    t = spark.read.parquet(path)
+    assert executed_scans(EV.class_report(t, "a", "b", ["model"]), "") == 1
+    assert executed_scans(EV.model_disagreement(t, "id", "a"), "") == 1
+    assert executed_scans(AG.cohen_kappa(t, "a", "b"), "") == 1
+
+
+def test_example_rows_move_no_text_before_the_last_join(spark):
+    df = E.queries()["example_rows"](spark, SF_SMALL)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    for line in plan.splitlines():
+        if "Window" in line or "Aggregate" in line:
+            assert "text#" not in line
+
+
+def test_phrase_match_cost_does_not_hold_the_lexicon_as_regexes(spark):
+    d = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    plan = plan_of(M.keyword_match(d, "text", [f"word{i} two" for i in range(5000)]))
+    assert "from_json" not in plan and "Exchange" not in plan and plan.count("Generate") == 1
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark):
+    import pytest
+    from tagloom import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(Session())

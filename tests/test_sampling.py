@@ -64,3 +64,34 @@ def test_rare_keyword_sample_whole_files(spark):
     df = spark.createDataFrame(rows, "file string, id long, kws array<string>")
     out = sorted(r.id for r in SA.rare_keyword_sample(df, "file", "kws", ["x"], 2).collect())
     assert out == [1, 3]
+
+
+def test_null_groups_take_part_in_the_cut(spark):
+    df = spark.createDataFrame([(i, None) for i in range(10)] + [(100 + i, 1) for i in range(10)], "id long, label int")
+    out = SA.split_train_test(df, "id", "label", 0.2, 42).collect()
+    assert sum(r.is_test for r in out if r.label is None) == 2 and sum(r.is_test for r in out if r.label == 1) == 2
+
+
+def test_cut_by_broadcast_and_by_join_agree(spark, monkeypatch):
+    df = spark.range(0, 900).select(F.col("id"), (F.col("id") % 7).alias("label"))
+    want = sorted(map(tuple, SA.split_train_test(df, "id", "label", 0.3, 1).collect()))
+    monkeypatch.setattr(SA, "MAX_BROADCAST_GROUPS", 0)
+    assert sorted(map(tuple, SA.split_train_test(df, "id", "label", 0.3, 1).collect())) == want
+
+
+def test_ordinal_counts_and_sums_in_order(spark):
+    rows = [(f"k{i * 37 % 500:04}", i % 4) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, n int").repartition(7)
+    got = {r.k: (r.at, r.before) for r in SA.ordinal(SA.ordinal(df, ["k"], "at"), ["k"], "before", "n").collect()}
+    total = 0
+    for i, (k, n) in enumerate(sorted(rows)):
+        assert got[k] == (i, total)
+        total += n
+    assert SA.ordinal(df.limit(0), ["k"], "at").count() == 0
+
+
+def test_uncertain_top_k_of_repeated_texts(spark):
+    pool = spark.createDataFrame([(3, "a", 0.5), (1, "a", 0.9), (2, "b", 0.6), (4, "c", 0.5)], "id long, text string, p double")
+    known = spark.createDataFrame([("c",)], "text string")
+    got = sorted((r.id, r.text, r.uncertainty) for r in SA.uncertain_top_k(pool, known, "id", "text", "p", 5).collect())
+    assert got == [(1, "a", 0.1), (2, "b", 0.4)]

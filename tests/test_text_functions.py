@@ -56,3 +56,23 @@ def test_fill_template(spark):
     df = spark.createDataFrame([("k", "t")], "k string, t string")
     r = df.select(PA.fill_template("K={keyword} T={text}", keyword=F.col("k"), text=F.col("t")).alias("p")).first()
     assert r.p == "K=k T=t"
+
+
+def test_claims_keep_the_type_of_items(spark):
+    df = spark.createDataFrame([(1, '["{x", {"dosage": 5, "compound": "CBD"}, "{}", null, [1]]')], "id int, a string")
+    got = [(r.item_no, r.dosage, r.compound, r.false_positive) for r in PA.claims_rows(df, "id", "a").orderBy("item_no").collect()]
+    assert got == [(0, None, None, True), (1, "5", "CBD", None), (2, None, None, True), (3, None, None, True), (4, None, None, True)]
+
+
+def test_template_values_are_not_filled_again(spark):
+    df = spark.createDataFrame([("{text}", "t {keyword}")], "k string, t string")
+    r = df.select(PA.fill_template("K={keyword} T={text} {other}", keyword=F.col("k"), text=F.col("t")).alias("p")).first()
+    assert r.p == "K={text} T=t {keyword} {other}"
+
+
+def test_python_list_reprs(spark):
+    from tagloom.functions import text as T
+    values = [["a", "b c"], ["it's", 'say "x"'], ["both ' and \"", "back\\slash"], []]
+    df = spark.createDataFrame([(i, repr(v)) for i, v in enumerate(values)], "i int, s string")
+    got = {r.i: r.a for r in df.select("i", T.keyword_array_parse(F.col("s"), "pylist").alias("a")).collect()}
+    assert [got[i] for i in range(len(values))] == values
