@@ -13,8 +13,9 @@ Training labels come from the corpus: values of base spans are the random
 class, other runs of 6 or more token characters the ordinary class. About
 ``max_train_docs`` documents, drawn by a hash of their text, are read for it;
 the transition counts are summed by Spark and at most 2 x 66 x 66 of them
-reach the driver. The random class starts from a uniform prior (a random string
-takes every character alike), so a corpus without one secret has a defined model.
+reach the driver. Either class is smoothed towards its character frequencies;
+the random class starts from a strong uniform prior (a random string takes every
+character alike), so a corpus without one secret has a defined model.
 
 Defined results: null texts are empty and have no span; ids may repeat or be
 null, a row of result for each row; offsets are code points, end exclusive;
@@ -50,12 +51,14 @@ MASK = "[REDACTED]"
 @dataclass(frozen=True)
 class Params:
     max_train_docs: int = 20_000
-    #: pseudo-counts a transition of the uniform prior of either class
-    random_prior: float = 4.0
+    #: pseudo-counts a character of the uniform prior of either class
+    random_prior: float = 40.0
     ordinary_prior: float = 0.5
     #: a run is added from this log-likelihood ratio on: in all, and a transition
-    min_total: float = 20.0
-    min_mean: float = 1.0
+    min_total: float = 40.0
+    min_mean: float = 2.2
+    #: and so many different characters: lines of one sign are no secrets
+    min_distinct: int = 8
 
 
 @dataclass(frozen=True)
@@ -71,7 +74,7 @@ class Model:
 
     def is_random(self, run: str) -> bool:
         total, mean = self.score(run)
-        return total >= self.params.min_total and mean >= self.params.min_mean
+        return total >= self.params.min_total and mean >= self.params.min_mean and len(set(run)) >= self.params.min_distinct
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int, int]]:
@@ -133,8 +136,15 @@ def train(docs: DataFrame, params: Params = Params(), *, text_col: str = "text")
 
 
 def from_counts(counts: np.ndarray, params: Params = Params()) -> Model:
-    p = counts + np.array([params.ordinary_prior, params.random_prior])[:, None, None]
-    logs = np.log(p / p.sum(axis=2, keepdims=True))
+    """Transition probabilities of either class, smoothed towards the class's
+    own character frequencies (themselves smoothed towards uniform), so that a
+    character never seen in ordinary runs counts whatever stands before it."""
+    logs = []
+    for n, prior in zip(counts, (params.ordinary_prior, params.random_prior)):
+        size = len(ALPHABET)
+        each = n.sum(axis=0) + prior
+        strength = prior * size
+        logs.append(np.log((n + strength * each / each.sum()) / (n.sum(axis=1, keepdims=True) + strength)))
     return Model(logs[1] - logs[0], params)
 
 

@@ -9,7 +9,7 @@ rounds of ranking over ``FAN`` lists at a time until one is left.
 
 Scores are integers: components are floor(scale * x). Sums below 2^53 are
 exact in double precision; a tile whose bound is higher is multiplied with
-Python integers, and a score outside 64 bits is clipped to them.
+Python integers. A score outside 64 bits is clipped to them, then ranked.
 
 Defined results: vectors that are null, empty or hold a null or non-finite
 component take no part, rows with a null id neither; only vectors of equal
