@@ -6,9 +6,10 @@ import numpy as np
 import xxhash
 
 from tagloom.llm import queries, toxicity
-from tests.conftest import SF_CHECK
 from tests.llm.conftest import row
 
+SF_ACCURACY = "/root/testdata/sf0.1"  # enough labels for the rare terms
+
 
 def fold(i, of):
     return zlib.crc32(str(i).encode()) % of
@@ -58,17 +59,17 @@ def test_fit_is_ftrl_proximal():
 
 
 def test_held_out_accuracy_and_scores(spark):
-    got = {r["doc_id"]: r for r in queries.op2_toxicity(spark, SF_CHECK).collect()}
-    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF_CHECK}/labels.parquet").collect()}
+    got = {r["doc_id"]: r for r in queries.op2_toxicity(spark, SF_ACCURACY).collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF_ACCURACY}/labels.parquet").collect()}
     insults = {"trash", "pathetic", "idiot", "worthless", "disgusting", "stupid", "clown", "scum", "loser", "moron"}
-    planted = {r["doc_id"] for r in spark.read.parquet(f"{SF_CHECK}/documents.parquet").collect() if len(insults & set(re.findall(r"\w+", (r["text"] or "").lower()))) >= 3}
+    planted = {r["doc_id"] for r in spark.read.parquet(f"{SF_ACCURACY}/documents.parquet").collect() if len(insults & set(re.findall(r"\w+", (r["text"] or "").lower()))) >= 3}
     held = [d for d, r in got.items() if r["held_out"]]
     assert all(got[d]["held_out"] == (fold(d, 3) == 1) for d in got)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got.values())
     clean = [d for d in held if labels.get(d) == 0]
     assert sum(got[d]["predicted"] for d in clean) <= 0.02 * len(clean)
     toxic = [d for d in held if d in planted]
-    assert sum(got[d]["predicted"] for d in toxic) >= 0.8 * len(toxic)
+    assert sum(got[d]["predicted"] for d in toxic) >= 0.95 * len(toxic)
 
 
 def test_odd_rows_and_labels(spark, odd, none):
