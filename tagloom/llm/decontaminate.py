@@ -29,6 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.matching import fence
 from .common import keyed, staged
 
 #: rows up to which a table is broadcast
@@ -84,7 +85,7 @@ def contained(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold:
     lengths = sorted(r["n"] for r in item.select("n").distinct().collect())  # at most ``width`` numbers
     if not lengths:
         lengths = [width]
-    hashed = rows.select("doc_id", "digest", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("hw"))
+    hashed = fence(rows, F.transform(words(F.col("text")), lambda x: F.xxhash64(x)), "hw")
     probes = hashed.select("doc_id", "digest", F.explode(F.concat(*[shingle_hashes(F.col("hw"), n) for n in lengths])).alias("h"))
     found = probes.join(small(staged(spark, sketches(item, threshold), "sketches")), "h").select("doc_id", "digest", "item").distinct()
     pairs = staged(spark, found, "candidates")
@@ -92,8 +93,10 @@ def contained(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold:
     texts = item.groupBy("item").agg(F.first("n").alias("n"), F.first("shingles").alias("wanted"))
     mine = small(pairs).withColumnsRenamed({"doc_id": "own", "digest": "sum"})
     held = rows.join(mine, rows["doc_id"].eqNullSafe(mine["own"]) & (rows["digest"] == mine["sum"])).select("doc_id", "digest", "text", "item")
-    held = held.join(small(staged(spark, texts, "texts")), "item").select("doc_id", "digest", "item", "n", "wanted", words(F.col("text")).alias("w"))
-    held = held.select("doc_id", "digest", "item", F.size("wanted").alias("n_shingles"), F.size(F.array_intersect("wanted", shingles(F.col("w"), F.col("n")))).alias("n_shared"))
+    # fenced: a filter pushed below would split the text again for each shingle
+    held = fence(held.join(small(staged(spark, texts, "texts")), "item"), words(F.col("text")), "w")
+    held = fence(held, F.size(F.array_intersect("wanted", shingles(F.col("w"), F.col("n")))), "n_shared")
+    held = held.select("doc_id", "digest", "item", F.size("wanted").alias("n_shingles"), "n_shared")
     held = held.where(F.col("n_shared") >= F.ceil(F.col("n_shingles") * F.lit(threshold) - 1e-9)).groupBy("doc_id", "digest", "item").agg(F.first("n_shingles").alias("n_shingles"), F.max("n_shared").alias("n_shared"))
     ids = small(item.select("item", "item_id"))
     return held.join(ids, "item").select("doc_id", "digest", "item_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
