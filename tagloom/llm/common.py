@@ -43,6 +43,13 @@ def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
                                        for c, f in zip(columns, schema)], schema=schema)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices: what a task makes of a batch at once stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def text_runs(texts: list[str], most_chars: int = 1 << 20) -> Iterator[list[int]]:
     """Row numbers in runs of about ``most_chars`` characters (a single longer
     text is a run of its own): bounds what a task holds besides its batch."""

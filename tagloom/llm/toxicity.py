@@ -31,10 +31,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, batch_of
+from .common import Memo, batch_of, pieces
 
 WORD = re.compile(r"[^\W_]+")
 SPACE = np.uint64(64 - 30)
+SLOTS = 1 << 24
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 WORD_HASH = Memo(lambda w: xxhash.xxh3_64_intdigest(w))
 
@@ -48,7 +49,7 @@ class Params:
     l1: float = 8.0
     l2: float = 1.0
     epochs: int = 4
-    max_train_rows: int = 12_000
+    max_train_rows: int = 6_000
 
 
 @dataclass(frozen=True)
@@ -72,9 +73,17 @@ def grams(text: str | None) -> np.ndarray:
 
 
 def fit(rows: list[tuple[np.ndarray, int]], p: Params) -> Model:
-    """FTRL-proximal over (distinct indexes, label) examples, in their order."""
+    """FTRL-proximal over (distinct indexes, label) examples, in their order.
+
+    A coordinate's |z| grows by less than 1 an example and epoch until L1 lets
+    it have a weight. So one that too few examples hold can never get one; such
+    coordinates (most of them) are left out first, by counts in hashed slots
+    that may only be too high.
+    """
     if not rows:
         return Model(0.0, np.empty(0, np.int64), np.empty(0))
+    slots = np.bincount(np.concatenate([x for x, _ in rows]) & (SLOTS - 1), minlength=SLOTS) > p.l1 / p.epochs
+    rows = [(x[slots[x & (SLOTS - 1)]], y) for x, y in rows]
     index, flat = np.unique(np.concatenate([x for x, _ in rows]), return_inverse=True)
     ends = np.cumsum([len(x) for x, _ in rows])
     # the last coordinate is the bias, which L1 leaves alone
@@ -96,7 +105,7 @@ def fit(rows: list[tuple[np.ndarray, int]], p: Params) -> Model:
             n[at] += g * g
     w = weights(np.arange(len(index) + 1))
     keep = np.flatnonzero(w[:-1])
-    return Model(float(w[-1]), index[keep], w[keep])
+    return Model(float(w[-1]), index[keep].astype(np.int64), w[keep])
 
 
 def train(docs: DataFrame, labels: DataFrame, wanted: Column | None = None, params: Params = Params(), *,
@@ -111,21 +120,21 @@ def train(docs: DataFrame, labels: DataFrame, wanted: Column | None = None, para
     marked = marked.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) < int(share * (1 << 30)))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = texts.join(marked, "doc_id")
-    listed = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("x", pa.list_(pa.int64()))])
+    listed = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("x", pa.list_(pa.int32()))])
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield batch_of(listed, [b.column("doc_id"), b.column("y"), [np.unique(grams(t)) for t in b.column("text").to_pylist()]])
+        for b in pieces(batches):
+            yield batch_of(listed, [b.column("doc_id"), b.column("y"), [np.unique(grams(t)).astype(np.int32) for t in b.column("text").to_pylist()]])
 
     found = pa.schema([("i", pa.int64()), ("w", pa.float64())])
 
     def learn(table: pa.Table) -> pa.Table:
-        got = sorted(zip(table.column("doc_id").to_pylist(), table.column("y").to_pylist(), [np.asarray(x, np.int64) for x in table.column("x").combine_chunks().to_numpy(zero_copy_only=False)]),
+        got = sorted(zip(table.column("doc_id").to_pylist(), table.column("y").to_pylist(), table.column("x").combine_chunks().to_numpy(zero_copy_only=False)),
                      key=lambda r: (xxhash.xxh64_intdigest(str(r[0])), r[1], len(r[2]), r[2].tobytes()))
         m = fit([(x, y) for _, y, x in got], params)
         return pa.table([pa.array([-1, *m.index], pa.int64()), pa.array([m.bias, *m.weight], pa.float64())], schema=found)
 
-    examples = rows.mapInArrow(featurise, "doc_id long, y int, x array<long>").withColumn("fit", F.lit(0))
+    examples = rows.mapInArrow(featurise, "doc_id long, y int, x array<int>").withColumn("fit", F.lit(0))
     out = examples.groupBy("fit").applyInArrow(learn, "i long, w double").collect()
     pairs = sorted((r["i"], r["w"]) for r in out)
     bias = pairs[0][1] if pairs else 0.0
@@ -160,7 +169,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, *, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Scorer(shared.value)
-        for b in batches:
+        for b in pieces(batches):
             yield batch_of(out, [b.column("doc_id"), [of(t) for t in b.column("text").to_pylist()]])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
@@ -173,7 +182,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, model: Model, threshold: fl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Scorer(shared.value)
-        for b in batches:
+        for b in pieces(batches):
             yield b.filter(pa.array([of(t) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
