@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, text_runs
+from .common import batch_of, pieces, text_runs
 
 #: The fixed split pattern of the byte-level pre-tokenizer.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -152,7 +152,7 @@ def _merge_trees(v: Vocab, words: list[bytes], members: list[int], width: int, o
 class Encoder:
     """Encodes texts; ``memo`` keeps at most ``most`` distinct pre-tokens."""
 
-    def __init__(self, v: Vocab, most: int = 1 << 19):
+    def __init__(self, v: Vocab, most: int = 1 << 17):
         self.v, self.most, self.memo = v, most, {}
         self.split = regex.compile(SPLIT)
         special = sorted(v.special, key=lambda t: (-len(t), t))
@@ -206,7 +206,7 @@ def encode(spark: SparkSession, docs: DataFrame, path: str, *, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder_of(key, shared)
-        for b in batches:
+        for b in pieces(batches, 4096):
             doc_ids, texts = b.column("doc_id"), b.column("text").to_pylist()
             for rows in text_runs(texts):
                 ids = coder.encode([texts[i] for i in rows])
