@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of
+from .common import batch_of, pieces
 
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 EDGE = np.uint64(32)
@@ -128,7 +128,7 @@ def train(docs: DataFrame, wanted: Column | None = None, params: Params = Params
     schema = pa.schema([("bit", pa.int32()), ("g", pa.int64()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             parts = defaultdict(list)
             for t, x in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
                 parts[bit[x]].append(grams(t))
@@ -151,7 +151,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, *, id_col: str =
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             got = [predict_one(t, shared.value) for t in b.column("text").to_pylist()]
             yield batch_of(schema, [b.column("doc_id"), [x for x, _ in got], [y for _, y in got]])
 

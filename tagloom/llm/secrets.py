@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of
+from .common import batch_of, pieces
 
 KINDS = ["assign", "access", "hex", "random"]
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
@@ -124,7 +124,7 @@ def train(docs: DataFrame, params: Params = Params(), *, text_col: str = "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, len(ALPHABET), len(ALPHABET)), np.int64)
-        for b in batches:
+        for b in pieces(batches):
             total += transitions(b.column("text").to_pylist())
         at = np.nonzero(total)
         yield batch_of(schema, [*at, total[at]])
@@ -158,7 +158,7 @@ def scan(spark: SparkSession, docs: DataFrame, model: Model, *, id_col: str = "d
     schema = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("n_random", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             found = [all_spans(t, shared.value) for t in b.column("text").to_pylist()]
             yield batch_of(schema, [b.column("doc_id"), *([sum(s[1] == k for s in x) for x in found] for k in range(4)),
                                     [hashlib.sha256(written([s for s in x if s[1] < 3]).encode()).hexdigest() for x in found], [written(x) for x in found]])
@@ -187,7 +187,7 @@ def redact(spark: SparkSession, docs: DataFrame, model: Model, *, text_col: str
     sized = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             old = b.column(at).to_pylist()
             new = [masked(t, shared.value) for t in old]
             cols = list(b.columns)

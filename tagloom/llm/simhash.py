@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, keyed, staged
+from .common import batch_of, keyed, pieces, staged
 
 TILE = 4096
 #: (shift, bits) of the 6 blocks
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, width: int = 4, *, id_col: str = "doc_id", tex
     schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             yield batch_of(schema, [b.column("doc_id"), b.column("digest"), [signed(fingerprint(t, width)) for t in b.column("text").to_pylist()]])
 
     return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, digest long, fp long")

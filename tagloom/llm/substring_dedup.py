@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Sieve, batch_of, keyed, staged
+from .common import Sieve, batch_of, keyed, pieces, staged
 
 LEAST, Q = 50, 12
 KEY = ["doc_id", "digest"]
@@ -81,7 +81,7 @@ def seed_table(docs: DataFrame, least: int, q: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("n_words", pa.int64()), ("whole", pa.string()), ("pos", ints), ("a", longs), ("c", longs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             got = [seeds(t, least, q) for t in b.column("text").to_pylist()]
             yield batch_of(schema, [b.column("doc_id"), b.column("digest"), *map(list, zip(*got))] if got else [[]] * 7)
 
@@ -101,7 +101,7 @@ def window_table(docs: DataFrame, positions: DataFrame, least: int, q: int) -> D
     schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("start", pa.int32()), ("w0", pa.int64()), ("w1", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             for d, g, t, at in zip(*(b.column(n).to_pylist() for n in ("doc_id", "digest", "text", "at"))):
                 starts, digests = windows_at(t, at, least, q)
                 w = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
@@ -180,7 +180,7 @@ def dedup(spark: SparkSession, docs: DataFrame, least: int = LEAST, q: int = Q,
     schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("kept", pa.string()), ("sha", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             got = [kept_words(t, s, e) for t, s, e in zip(*(b.column(n).to_pylist() for n in ("text", "s", "e")))]
             yield batch_of(schema, [b.column("doc_id"), b.column("digest"), [x.decode() if with_text else None for x in got], [hashlib.sha256(x).hexdigest() for x in got]])
 

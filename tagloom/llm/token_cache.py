@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_path
-from .common import batch_of, staged, text_runs
+from .common import batch_of, pieces, staged, text_runs
 
 CACHE = "digest binary, n_tokens long"
 _LOADED: dict[str, object] = {}
@@ -85,7 +85,7 @@ def count(spark: SparkSession, docs: DataFrame, path: str, cache: str, *, limit:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = counter(path, version, content.value)
-        for b in batches:
+        for b in pieces(batches, 4096):
             texts = b.column("text").to_pylist()
             for run in text_runs(texts):
                 yield batch_of(schema, [b.column("digest").slice(run[0], len(run)), of([texts[i] for i in run])])
