@@ -34,6 +34,17 @@ def coder_match(c1: DataFrame, c2: DataFrame, key_cols: list[str], label_col: st
     return a.join(b, key_cols, "inner")
 
 
+def without_disagreement(rows: DataFrame, other: DataFrame, key_cols: list[str], label_col: str = "label") -> DataFrame:
+    """``rows`` without those that the other coder labelled differently; rows
+    the other coder has not seen, or left unlabelled, stay."""
+    theirs = other.select(*key_cols, F.col(label_col).alias("_other")).filter(F.col("_other").isNotNull())
+    clash = [F.col(f"r.{k}") == F.col(f"o.{k}") for k in key_cols] + [F.col(f"r.{label_col}") != F.col("o._other")]
+    cond = clash[0]
+    for c in clash[1:]:
+        cond = cond & c
+    return rows.alias("r").join(theirs.alias("o"), cond, "left_anti")
+
+
 def cohen_kappa(merged: DataFrame, l1: str = "label_1", l2: str = "label_2", digits: int = 9) -> DataFrame:
     """One row: n, agreement, agreement_rate, kappa.
 

@@ -248,17 +248,11 @@ def keyword_presence_long(df: DataFrame, id_col: str, text_col: str, phrases) ->
     Phrases are *not* lowered (as in the original matrix), so a phrase with
     capitals is never found.
     """
-    arr = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(p).alias("keyword")) for i, p in enumerate(phrases)])
-    low = F.lower(F.col(text_col))
-    return (df.select(id_col, low.alias("_low"), F.explode(arr).alias("_p"))
-            .select(id_col, F.col("_p.keyword").alias("keyword"),
-                    F.col("_low").contains(F.col("_p.keyword")).cast("int").alias("present")))
-
-
-def keyword_presence_wide(df: DataFrame, id_col: str, text_col: str, phrases) -> DataFrame:
-    """One 0/1 column per phrase (the matrix layout); same rule as the long form."""
-    low = F.lower(F.col(text_col))
-    return df.select(id_col, text_col, *[low.contains(F.lit(p)).cast("int").alias(p) for p in phrases])
+    low = F.col("_low")
+    found = F.array(*[F.struct(F.lit(p).alias("keyword"), low.contains(p).cast("int").alias("present")) for p in phrases])
+    # the text is tested where it is; only (phrase, 0 / 1) pairs are exploded
+    tested = df.select(id_col, F.lower(F.col(text_col)).alias("_low")).select(id_col, found.alias("_f"))
+    return tested.select(id_col, F.explode("_f").alias("_p")).select(id_col, "_p.keyword", "_p.present")
 
 
 def mark_keywords(text: Column, keywords: Column, tag: str = "mark") -> Column:
@@ -285,5 +279,5 @@ def dose_regex_sql() -> str:
 __all__ = [
     "Phrase", "prepare", "keyword_match", "keyword_match_join", "title_first_match",
     "regex_labels", "regex_label_match", "dosage_filter", "keyword_presence_long",
-    "keyword_presence_wide", "mark_keywords", "java_quote", "MAX_INLINE",
+    "mark_keywords", "java_quote", "MAX_INLINE",
 ]

@@ -334,6 +334,14 @@ def q_coder_match(spark, sf):
     return AG.coder_match(S.coder_1(spark, sf), S.coder_2(spark, sf), ["id", "subreddit"])
 
 
+@query("disagreement_filter", f"""WITH {Q.CODERS}
+SELECT a.id, a.subreddit, a.label FROM coder_1 a
+WHERE NOT EXISTS (SELECT 1 FROM coder_2 b WHERE b.id = a.id AND b.subreddit = a.subreddit AND b.label <> a.label)""")
+def q_disagreement_filter(spark, sf):
+    out = AG.without_disagreement(S.coder_1(spark, sf), S.coder_2(spark, sf), ["id", "subreddit"])
+    return out.select("id", "subreddit", "label")
+
+
 @query("cohen_kappa", f"""WITH {Q.CODERS},
 m AS (SELECT a.label AS l1, b.label AS l2 FROM coder_1 a JOIN coder_2 b ON a.id = b.id AND a.subreddit = b.subreddit),
 labs AS (SELECT l1 AS k FROM m UNION SELECT l2 FROM m),
@@ -1411,7 +1419,9 @@ def q_top_keywords(spark, sf):
 @query("distinct_texts", """SELECT text, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text""")
 def q_distinct_texts(spark, sf):
     """One row per distinct text, first by id; how many copies it has."""
-    return S.docs(spark, sf).groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    d = S.docs(spark, sf).groupBy(F.md5("text").alias("_d")).agg(
+        F.min_by("text", "doc_id").alias("text"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    return d.drop("_d")
 
 
 _SAMPLE_ROWS = 500
