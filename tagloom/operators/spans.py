@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .matching import fence
 from .sampling import ordinal
 
 SPAN = T.ArrayType(T.StructType([T.StructField("phrase", T.StringType()), T.StructField("start", T.IntegerType()),
@@ -121,13 +122,14 @@ def keyword_context(df: DataFrame, id_col: str, text_col: str, kw_col: str, wind
     All in-row: the sentence array, the matched indices and the merged
     ranges are higher-order functions over the row's own arrays.
     """
-    d = df.select(id_col, sentences(F.col(text_col)).alias("_s"),
-                  F.transform(kw_col, lambda k: F.lower(k)).alias("_k"))
-    d = d.withColumn("_l", F.transform("_s", lambda x: F.lower(x)))
+    # each sentence is lowered once, and the fences keep Catalyst from
+    # computing an array again for every element of a function over it
+    d = fence(df.select(id_col, text_col, kw_col), F.transform(kw_col, lambda k: F.lower(k)), "_k")
+    d = fence(d, sentences(F.col(text_col)), "_s").select(id_col, "_s", "_k")
     n = F.size("_s")
-    idx = F.filter(F.sequence(F.lit(0), n - 1),
-                   lambda i: F.exists("_k", lambda k: F.get("_l", i).contains(k)))
-    d = d.withColumn("_m", F.when(n > 0, idx).otherwise(F.array().cast("array<int>")))
+    tested = F.transform(F.transform("_s", lambda x: F.lower(x)),
+                         lambda x, i: F.struct(i.alias("i"), F.exists("_k", lambda k: x.contains(k)).alias("hit")))
+    d = fence(d, F.transform(F.filter(tested, lambda e: e["hit"]), lambda e: e["i"]), "_m")
     # equal windows in order: a range starts where the gap to the match
     # before is too wide to touch, and ends where the gap after is
     apart = 2 * window + 1
