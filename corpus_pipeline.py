@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tagloom.llm import bpe, decontaminate, secrets, simhash, toxicity
 from tagloom.llm.common import read, staged
-from tagloom.llm.queries import TOKENIZER, TOXIC_FROM, toxicity_model
+from tagloom.llm.queries import TOXIC_FROM, tokenizer, toxicity_model
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(spark, docs, TOKENIZER)
+    return bpe.encode(spark, docs, tokenizer())
 
 
 STAGES = [("toxicity", toxic), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secret_masking), ("encoding", encoding)]

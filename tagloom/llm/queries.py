@@ -5,18 +5,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, langid, secrets, simhash, substring_dedup, token_cache, topk, toxicity, url_filter
 from .common import read
 
-#: the tokenizer file of the queries; operators take any path
-TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 TOXIC_FROM = 0.7
 
 
+def tokenizer() -> str:
+    """The tokenizer file of the queries; operators take any path."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def fold(of: int) -> Column:
     """crc32 of doc_id as text, modulo ``of``."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
@@ -37,7 +40,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(spark, read(spark, sf_dir, "documents"), TOKENIZER)
+    return bpe.encode(spark, read(spark, sf_dir, "documents"), tokenizer())
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +56,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a cache of its own for each call: the query shows the cost of a cold one
-    return token_cache.count(spark, read(spark, sf_dir, "documents"), TOKENIZER, token_cache.fresh(spark))
+    return token_cache.count(spark, read(spark, sf_dir, "documents"), tokenizer(), token_cache.fresh(spark))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

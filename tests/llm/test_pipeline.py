@@ -42,7 +42,7 @@ def test_stages(spark):
         assert not [s for s in brute.base_spans(r["text"]) if s[0] != "assign"] and r["n_chars"] == len(r["text"])
     assert not before
 
-    library = Tokenizer.from_file(queries.TOKENIZER)
+    library = Tokenizer.from_file(queries.tokenizer())
     last = {r["doc_id"]: r for r in stages["encoding"](spark, safe, SF_SMALL).collect()}
     for r in safe.collect():
         assert last[r["doc_id"]]["n_tokens"] == len(library.encode(r["text"], add_special_tokens=False).ids)
