@@ -101,3 +101,22 @@ def test_a_cluster_without_a_shared_folder_is_refused(spark):
 
     with pytest.raises(RuntimeError):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_stages_follow_a_rewritten_input(spark):
+    import tempfile
+    from tagloom.plans import standins as S
+    base = tempfile.mkdtemp(prefix="tagloom-stage-", dir="/tmp")
+    d = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    spark.read.parquet(f"{SF_SMALL}/labels.parquet").write.parquet(f"{base}/labels.parquet")
+    d.filter("doc_id < 50").write.parquet(f"{base}/documents.parquet")
+    assert S.hit_index(spark, base).count() == 50
+    assert S.hit_index(spark, base) is S.hit_index(spark, base)
+    d.filter("doc_id < 70").write.mode("overwrite").parquet(f"{base}/documents.parquet")
+    assert S.hit_index(spark, base).count() == 70
+
+
+def test_stages_prune_columns(spark):
+    from tagloom.plans import standins as S
+    plan = plan_of(S.predictions(spark, SF_SMALL).select("id"))
+    assert "ReadSchema: struct<id:bigint>" in plan
