@@ -7,9 +7,10 @@ coordinates end at exactly zero, so the model is a short (index, weight) list
 that fits in a broadcast. ``score`` is one pass over the texts, no shuffle.
 
 Training reads a bounded sample: about ``max_train_rows`` labelled rows, drawn
-by a hash of doc_id. Features are built in parallel; the sample's index lists
-(bounded by that parameter) are fitted in one task, since FTRL is a sequential
-learner. Scoring and counting of labels cover all rows.
+by a hash of doc_id. Features are built in parallel, and coordinates that L1 can
+never release (most of them) are counted and left out by Spark. What remains of
+the sample's index lists (bounded by that parameter) is fitted in one task, since
+FTRL is a sequential learner. Scoring and counting of labels cover all rows.
 
 Defined results: null or wordless texts have no feature and score
 ``sigmoid(bias)``; labels other than 0 / 1 (null too) and documents without a
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, batch_of, pieces
+from .common import Memo, batch_of, pieces, staged
 
 WORD = re.compile(r"[^\W_]+")
 SPACE = np.uint64(64 - 30)
@@ -49,7 +50,7 @@ class Params:
     l1: float = 8.0
     l2: float = 1.0
     epochs: int = 4
-    max_train_rows: int = 6_000
+    max_train_rows: int = 12_000
 
 
 @dataclass(frozen=True)
@@ -73,17 +74,9 @@ def grams(text: str | None) -> np.ndarray:
 
 
 def fit(rows: list[tuple[np.ndarray, int]], p: Params) -> Model:
-    """FTRL-proximal over (distinct indexes, label) examples, in their order.
-
-    A coordinate's |z| grows by less than 1 an example and epoch until L1 lets
-    it have a weight. So one that too few examples hold can never get one; such
-    coordinates (most of them) are left out first, by counts in hashed slots
-    that may only be too high.
-    """
+    """FTRL-proximal over (distinct indexes, label) examples, in their order."""
     if not rows:
         return Model(0.0, np.empty(0, np.int64), np.empty(0))
-    slots = np.bincount(np.concatenate([x for x, _ in rows]) & (SLOTS - 1), minlength=SLOTS) > p.l1 / p.epochs
-    rows = [(x[slots[x & (SLOTS - 1)]], y) for x, y in rows]
     index, flat = np.unique(np.concatenate([x for x, _ in rows]), return_inverse=True)
     ends = np.cumsum([len(x) for x, _ in rows])
     # the last coordinate is the bias, which L1 leaves alone
@@ -108,6 +101,27 @@ def fit(rows: list[tuple[np.ndarray, int]], p: Params) -> Model:
     return Model(float(w[-1]), index[keep].astype(np.int64), w[keep])
 
 
+def releasable(examples: DataFrame, p: Params) -> np.ndarray:
+    """A bit for each hashed slot: does it hold a coordinate that may get a weight?
+
+    A coordinate's |z| grows by less than 1 an example and epoch until L1 lets
+    it have a weight. So one that too few examples hold can never get one. The
+    counts of slots may only be too high; SLOTS / 64 words reach the driver.
+    """
+    slots = examples.select(F.explode("x").alias("x")).select(F.col("x").bitwiseAND(F.lit(SLOTS - 1)).alias("s")).groupBy("s").count()
+    often = slots.where(F.col("count") * p.epochs > p.l1)
+    words = often.groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, s & 63)")).alias("m")).toArrow()
+    bits = np.zeros(SLOTS >> 6, np.int64)
+    bits[words.column("w").to_numpy()] = words.column("m").to_numpy()
+    return bits
+
+
+def only(x: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The indexes whose slot has its bit set."""
+    s = x & (SLOTS - 1)
+    return x[(bits[s >> 6] >> (s & 63)) & 1 == 1]
+
+
 def train(docs: DataFrame, labels: DataFrame, wanted: Column | None = None, params: Params = Params(), *,
           id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on labelled documents whose ``doc_id`` satisfies ``wanted`` (a
@@ -134,8 +148,14 @@ def train(docs: DataFrame, labels: DataFrame, wanted: Column | None = None, para
         m = fit([(x, y) for _, y, x in got], params)
         return pa.table([pa.array([-1, *m.index], pa.int64()), pa.array([m.bias, *m.weight], pa.float64())], schema=found)
 
-    examples = rows.mapInArrow(featurise, "doc_id long, y int, x array<int>").withColumn("fit", F.lit(0))
-    out = examples.groupBy("fit").applyInArrow(learn, "i long, w double").collect()
+    examples = staged(docs.sparkSession, rows.mapInArrow(featurise, "doc_id long, y int, x array<int>"), "examples")
+    shared = docs.sparkSession.sparkContext.broadcast(releasable(examples, params))
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            yield batch_of(listed, [b.column("doc_id"), b.column("y"), [only(x, shared.value) for x in b.column("x").to_numpy(zero_copy_only=False)]])
+
+    out = examples.mapInArrow(thin, "doc_id long, y int, x array<int>").withColumn("fit", F.lit(0)).groupBy("fit").applyInArrow(learn, "i long, w double").collect()
     pairs = sorted((r["i"], r["w"]) for r in out)
     bias = pairs[0][1] if pairs else 0.0
     return Model(bias, np.array([i for i, _ in pairs[1:]], np.int64), np.array([w for _, w in pairs[1:]]))

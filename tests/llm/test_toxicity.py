@@ -102,3 +102,23 @@ def test_sample_is_bounded(spark):
     m = toxicity.train(docs, labels, params=toxicity.Params(max_train_rows=300, l1=0.5))
     scored = {r["doc_id"]: r["score"] for r in toxicity.score(spark, docs, m).collect()}
     assert scored[0] > 0.7 and scored[1] < 0.3
+
+
+def test_rare_term_of_a_larger_sample(spark):
+    # 4 of 12,000 labelled rows hold the term: enough for a weight, but not what half of the rows hold
+    rare = {9, 18, 20, 32}
+    docs = spark.createDataFrame([(i, f"text {i % 7}" + " vile" * (i in rare)) for i in range(12_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in rare)) for i in range(12_000)], "doc_id long, toxic int")
+    m = toxicity.train(docs, labels)
+    assert set(toxicity.grams("vile").tolist()) <= set(m.index.tolist())
+
+
+def test_leaving_out_rare_slots_changes_no_weight(spark):
+    r = np.random.default_rng(2)
+    texts = [(i, " ".join(f"w{k}" for k in r.zipf(1.3, 12) % 400)) for i in range(300)]
+    toxic = {i: int(" w1 w2" in t or "w5" in t.split()) for i, t in texts}
+    m = toxicity.train(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int"))
+    rows = sorted((xxhash.xxh64_intdigest(str(i)), np.unique(toxicity.grams(t)), toxic[i]) for i, t in texts)
+    whole = toxicity.fit([(x, y) for _, x, y in rows], toxicity.Params())
+    assert len(m.index) and m.index.tolist() == whole.index.tolist()
+    assert np.allclose(m.weight, whole.weight) and math.isclose(m.bias, whole.bias)
