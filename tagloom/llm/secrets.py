@@ -6,8 +6,9 @@ such as token or password, a separator, a value of 6 or more characters),
 
 The method adds kind ``random``: two order-1 character Markov models, one of
 random strings and one of ordinary identifiers, score every free-standing run
-of 16 or more token characters. A run whose log-likelihood ratio is high
-enough in total and per character, and which no base span overlaps, is added.
+of token characters; base spans are cut out of it, and each part left that has
+16 or more characters is scored. A part whose log-likelihood ratio is high
+enough in total and per character is added.
 
 Training labels come from the corpus: values of base spans are the random
 class, other runs of 6 or more token characters the ordinary class. About
@@ -97,10 +98,26 @@ def uncovered(runs: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list
     return out
 
 
+def parts_left(runs: list[tuple[int, int]], spans: list[tuple[int, int]], least: int = 16) -> list[tuple[int, int]]:
+    """What the spans (ascending by start) leave of the runs (ascending), in
+    parts of ``least`` or more characters."""
+    out, k, at = [], 0, 0
+    for a, b in runs:
+        at = max(at, a)
+        while k < len(spans) and spans[k][0] < b:
+            if spans[k][0] - at >= least:
+                out.append((at, spans[k][0]))
+            at = max(at, spans[k][1])
+            k += 1
+        if b - at >= least:
+            out.append((at, b))
+    return out
+
+
 def all_spans(text: str, model: Model) -> list[tuple[int, int, int, int, int]]:
     base = base_spans(text)
     runs = [m.span() for m in LONG_RUN.finditer(text)]
-    added = [(a, 3, b, a, b) for a, b in uncovered(runs, [(s[0], s[2]) for s in base]) if model.is_random(text[a:b])] if runs else []
+    added = [(a, 3, b, a, b) for a, b in parts_left(runs, [(s[0], s[2]) for s in base]) if model.is_random(text[a:b])] if runs else []
     return sorted(base + added) if added else base
 
 
