@@ -134,7 +134,8 @@ def merge_ranges(ranges: DataFrame) -> DataFrame:
             got = [merged(s, e) for s, e in zip(b.column("s").to_pylist(), b.column("e").to_pylist())]
             yield batch_of(schema, [b.column("doc_id"), b.column("digest"), [s for s, _ in got], [e for _, e in got], [sum(e) - sum(s) for s, e in got]])
 
-    lists = ranges.groupBy(*KEY).agg(F.collect_list(F.struct("s", "e")).alias("r")).select(*KEY, "r.s", "r.e")
+    # rows that repeat with their doc_id and text add the same ranges
+    lists = ranges.distinct().groupBy(*KEY).agg(F.collect_list(F.struct("s", "e")).alias("r")).select(*KEY, "r.s", "r.e")
     return lists.mapInArrow(run, "doc_id long, digest long, s array<int>, e array<int>, n_removed long")
 
 

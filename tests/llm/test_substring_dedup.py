@@ -47,3 +47,11 @@ def test_kept_text(spark, odd, pairs):
 
 def test_empty_table(spark, none):
     assert substring_dedup.dedup(spark, none).count() == 0
+
+
+def test_ranges_of_repeated_rows_are_listed_once(spark):
+    ranges = spark.range(3000).selectExpr("id % 1 + 1 AS doc_id", "id % 1 + 2 AS digest", "CAST(id % 3 * 10 AS int) AS s", "CAST(id % 3 * 10 + 5 AS int) AS e")
+    out = substring_dedup.merge_ranges(ranges)
+    assert [tuple(r) for r in out.collect()] == [(1, 2, [0, 10, 20], [5, 15, 25], 15)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2  # the ranges, then a list of them
