@@ -1,14 +1,15 @@
-"""The registered queries of the ten operators: thin, over whole tables, with
+"""The registered queries of the operators: thin, over whole tables, with
 production parameters; and the DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, secrets, simhash, substring_dedup, token_cache, topk, toxicity, url_filter
+from . import bpe, conversation, decontaminate, langid, packing, secrets, simhash, substring_dedup, token_cache, topk, toxicity, url_filter
 from .common import read
 
 TOXIC_FROM = 0.7
@@ -75,8 +76,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.pairs_of(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(spark, read(spark, sf_dir, "documents"), tokenizer())
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations")
+    repaired = conversation.repair(spark, conversation.damaged(rows))
+    out = rows.select("conv_id").distinct()
+    for part in (repaired.reports, conversation.digests(repaired.parts)):  # a conversation may have lost all rows
+        out = out.join(part.withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
+    return out.na.fill(0, ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]).na.fill("", ["audit"]).na.fill(hashlib.sha256(b"").hexdigest(), ["repaired_sha256"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_url_filters, op2_toxicity, op3_bpe, op4_secret_scans, op5_language_id, op6_token_counts, op7_simhash, op8_topk, op9_substring_dedup, op10_decontamination)}
+    op1_url_filters, op2_toxicity, op3_bpe, op4_secret_scans, op5_language_id, op6_token_counts, op7_simhash, op8_topk, op9_substring_dedup, op10_decontamination,
+    op11_packing, op12_conversation_repair)}
 
 TOPK_SQL = """
 WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
