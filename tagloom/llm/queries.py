@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversation, decontaminate, langid, packing, secrets, simhash, substring_dedup, token_cache, topk, toxicity, url_filter
+from . import bpe, conversation, decontaminate, langid, packing, phrases, secrets, simhash, substring_dedup, token_cache, topk, toxicity, url_filter
 from .common import read
 
 TOXIC_FROM = 0.7
@@ -90,9 +90,13 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.na.fill(0, ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]).na.fill("", ["audit"]).na.fill(hashlib.sha256(b"").hexdigest(), ["repaired_sha256"])
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(spark, read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_url_filters, op2_toxicity, op3_bpe, op4_secret_scans, op5_language_id, op6_token_counts, op7_simhash, op8_topk, op9_substring_dedup, op10_decontamination,
-    op11_packing, op12_conversation_repair)}
+    op11_packing, op12_conversation_repair, op13_phrases)}
 
 TOPK_SQL = """
 WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
@@ -112,9 +116,27 @@ gone AS (SELECT DISTINCT rn, i + k AS p FROM hit, range(0, 50) t(k)),
 keep AS (SELECT rn, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM (SELECT rn, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d) ANTI JOIN gone USING (rn, p) GROUP BY rn)
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN keep USING (rn)""".strip()
 
+PHRASES_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rn, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 5) t(k))),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+inside AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+           FROM (SELECT lang, k, w, a, m, unnest(range(1, k - m + 2)) AS i FROM c, range(2, 4) t(m) WHERE m < k) GROUP BY 1, 2),
+kept AS (SELECT c.* FROM c LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a),
+cut AS (SELECT c.lang, c.phrase, c.a, j, l.f AS l, r.f AS r, 2000000 * c.a // (l.f + r.f) AS score
+        FROM (SELECT *, unnest(range(1, k)) AS j FROM kept) c
+        JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:j], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[j + 1:], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+top AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM top JOIN n USING (lang) WHERE rank <= 2000""".strip()
+
 ORACLE: dict[str, str] = {
     "op1_url_filters": url_filter.sql(),
     "op8_topk": TOPK_SQL,
     "op9_substring_dedup": SUBSTRING_SQL,
     "op10_decontamination": decontaminate.sql(),
+    "op13_phrases": PHRASES_SQL,
 }
