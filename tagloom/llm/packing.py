@@ -142,7 +142,7 @@ def placed(spark: SparkSession, docs: DataFrame, path: str, id_col: str, text_co
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     table = rows.mapInArrow(run, "doc_id long, key long, n long, ids binary")
-    return staged(spark, table.withColumn("row", F.monotonically_increasing_id()), "packing-placed"), wide
+    return staged(spark, table.withColumn("row", F.monotonically_increasing_id()), "packing-placed", "zstd"), wide
 
 
 def along_curve(spark: SparkSession, rows: DataFrame, wide: str) -> tuple[DataFrame, np.ndarray]:
@@ -162,7 +162,7 @@ def along_curve(spark: SparkSession, rows: DataFrame, wide: str) -> tuple[DataFr
 
     sort = ["key", "doc_id", "row"]
     ordered = rows.repartitionByRange(int(ranges), *sort).sortWithinPartitions(*sort)
-    ordered = staged(spark, ordered.withColumn("range", F.spark_partition_id()).mapInArrow(run, "range int, at long, doc_id long, n long, ids binary"), "packing-ordered")
+    ordered = staged(spark, ordered.withColumn("range", F.spark_partition_id()).mapInArrow(run, "range int, at long, doc_id long, n long, ids binary"), "packing-ordered", "zstd")
     totals = ordered.groupBy("range").agg(F.sum("n").alias("n")).toArrow()  # one row a range
     sums = np.zeros(1 + max([-1, *totals.column("range").to_pylist()]), np.int64)
     sums[totals.column("range").to_numpy()] = totals.column("n").to_numpy()
