@@ -3,7 +3,7 @@
 ``frequent`` finds every phrase of up to ``longest`` words that occurs at
 least ``least`` times, with its exact count:
 
-1. A hash sample of the documents is counted; phrases that reach a lowered
+1. A sample of the documents is counted; phrases that reach a lowered
    threshold there are proposed. Their hashes go into a bit table.
 2. One full pass counts the proposed phrases and their negative border at
    once: every single word, and every phrase whose first part (all words but
@@ -46,11 +46,11 @@ from pyspark.sql import functions as F
 from .common import batch_of, staged
 
 LEAST, LONGEST, FIRST = 30, 4, 2000
-SAMPLE_SHARE = 0.2  # of the documents, by hash
+SAMPLE_SHARE = 0.2  # of the documents
 SAMPLE_LEAST = 0.5  # lowered threshold: this part of the expected count
 EXPLAINED = (80, 100)  # a longer phrase with this part of the count explains a shorter one
 TABLE_BITS = 1 << 30
-RUN_BYTES = 6 << 20  # text counted at once
+RUN_BYTES = 3 << 20  # text counted at once
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 FOLD = bytes.maketrans(string.ascii_uppercase.encode() + b"\t" + BREAKS, string.ascii_lowercase.encode() + b" " + b"\n" * len(BREAKS))
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -209,7 +209,7 @@ def frequent(spark: SparkSession, docs: DataFrame, *, least: int = LEAST, longes
     """((lang, length, phrase, f) of all phrases with f >= least, (lang, n):
     all words of a language, the number of full passes)."""
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sample = rows.where(F.pmod(F.xxhash64("text", F.length("text")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    sample = rows.sample(float(share), 13)  # by row, so that copies are sampled like other rows; any sample gives the same result
     proposed = staged(spark, count_phrases(sample, longest).where(F.col("f") >= max(1, int(least * share * SAMPLE_LEAST))).select("lang", "phrase"), "phrases-proposed")
     table, before = table_of(spark, proposed), None
     counts = staged(spark, count_phrases(rows, longest, table).where((F.col("length") == 0) | (F.col("f") >= least)), "phrases-counted")
