@@ -39,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,7 +131,9 @@ def counted(texts: list[str], lang: str, longest: int, table: Table | None, befo
         if not len(left):
             return
         key = first * len(names) + ids[left + length - 1]  # both below 2^31
-        unique, at, group, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        unique, group, count = np.unique(key, return_inverse=True, return_counts=True)
+        at = np.empty(len(unique), np.int64)  # an occurrence of each
+        at[group] = np.arange(len(key))
         start, last = left, ids[left[at] + length - 1]
         rows, hashes = np.concatenate([rows[first[at]], last[:, None]], axis=1), mixed(hashes[first[at]], word_hash[last])
         if before is None:
@@ -160,20 +163,21 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str]]]:
 
 
 def count_phrases(docs: DataFrame, longest: int, table=None, before=None) -> DataFrame:
-    """(lang, length, phrase, f): phrases counted over all rows of ``docs``."""
-    schema = pa.schema([("lang", pa.string()), ("length", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
+    """(lang, phrase, f): phrases counted over all rows of ``docs``; the empty
+    phrase has n."""
+    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, earlier = table and table.value, before and before.value
         for lang, texts in runs(batches):
             for rows, count, names, _, length in counted(texts, lang, longest, now, earlier):
+                word = pa.array(names, pa.binary()).cast(pa.string())
                 for lo in range(0, len(rows), 1 << 16):
-                    part = rows[lo:lo + (1 << 16)]
-                    text = [b" ".join([names[i] for i in r]) for r in part.tolist()]
-                    n = len(text)
-                    yield batch_of(schema, [pa.array([lang] * n), pa.array(np.full(n, length, np.int32)), pa.array(text, pa.binary()).cast(pa.string()), pa.array(count[lo:lo + n])])
+                    part, n = rows[lo:lo + (1 << 16)], count[lo:lo + (1 << 16)]
+                    text = pc.binary_join_element_wise(*(word.take(pa.array(part[:, i])) for i in range(length)), " ") if length else pa.array([""])
+                    yield batch_of(schema, [pa.repeat(lang, len(n)), text, pa.array(n)])
 
-    return docs.mapInArrow(run, "lang string, length int, phrase string, n long").groupBy("lang", "length", "phrase").agg(F.sum("n").alias("f"))
+    return docs.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
 
 
 def table_of(spark: SparkSession, phrases: DataFrame):
@@ -206,16 +210,16 @@ def phrase_hash(lang: str, phrase: str) -> int:
 
 def frequent(spark: SparkSession, docs: DataFrame, *, least: int = LEAST, longest: int = LONGEST, share: float = SAMPLE_SHARE,
              lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame, int]:
-    """((lang, length, phrase, f) of all phrases with f >= least, (lang, n):
+    """((lang, phrase, f) of all phrases with f >= least, (lang, n):
     all words of a language, the number of full passes)."""
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sample = rows.sample(float(share), 13)  # by row, so that copies are sampled like other rows; any sample gives the same result
-    proposed = staged(spark, count_phrases(sample, longest).where(F.col("f") >= max(1, int(least * share * SAMPLE_LEAST))).select("lang", "phrase"), "phrases-proposed")
+    proposed = staged(spark, count_phrases(sample, longest).where((F.col("phrase") != "") & (F.col("f") >= max(1, int(least * share * SAMPLE_LEAST)))).select("lang", "phrase"), "phrases-proposed")
     table, before = table_of(spark, proposed), None
-    counts = staged(spark, count_phrases(rows, longest, table).where((F.col("length") == 0) | (F.col("f") >= least)), "phrases-counted")
-    totals = counts.where("length = 0").select("lang", F.col("f").alias("n"))
-    found = counts.where("length > 0")
-    failures = found.where(F.col("length") < longest).select("lang", "phrase").mapInArrow(outside(table), "lang string, phrase string")
+    counts = staged(spark, count_phrases(rows, longest, table).where((F.col("phrase") == "") | (F.col("f") >= least)), "phrases-counted")
+    totals = counts.where("phrase = ''").select("lang", F.col("f").alias("n"))
+    found = counts.where("phrase <> ''")
+    failures = found.where(length_of() < longest).select("lang", "phrase").mapInArrow(outside(table), "lang string, phrase string")
     if failures.isEmpty():
         return found, totals, 1
     wider = table_of(spark, proposed.unionByName(found.select("lang", "phrase")))
@@ -223,6 +227,10 @@ def frequent(spark: SparkSession, docs: DataFrame, *, least: int = LEAST, longes
     return found.unionByName(more), totals, 2
 
 
+def length_of() -> Column:
+    return F.size(F.split("phrase", " ", -1))
+
+
 def outside(table):
     """Keeps the phrases that the bit table does not hold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +250,7 @@ def collocations(spark: SparkSession, docs: DataFrame, *, least: int = LEAST, lo
     """(lang, rank, phrase, a, l, r, n, score), the first of each language."""
     counts, totals, _ = frequent(spark, docs, least=least, longest=longest, share=share, lang_col=lang_col, text_col=text_col)
     wide = "decimal(20,0)"
-    candidates = counts.where("length > 1").select("lang", "length", "phrase", F.col("f").alias("a"), F.split("phrase", " ", -1).alias("w"))
+    candidates = counts.select("lang", "phrase", F.col("f").alias("a"), F.split("phrase", " ", -1).alias("w"), length_of().alias("length")).where("length > 1")
     # what explains a shorter phrase: the most frequent longer candidate around it
     spans = [(n, i) for n in range(2, longest) for i in range(1, longest - n + 2)]
     inside = F.array(*(F.when(F.col("length") > max(n, i + n - 2), F.array_join(F.slice("w", i, n), " ")) for n, i in spans)) if spans else F.array().cast("array<string>")
