@@ -21,7 +21,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import written
 
@@ -147,66 +146,75 @@ def split_train_test(df: DataFrame, id_col: str, label_col: str | None, test_siz
     return flagged.withColumn(out_col, F.col("_t").cast("int")).drop("_h", "_t")
 
 
-def stratified_sample(df: DataFrame, group_col: str, id_col: str, n: int, seed=42,
-                      slice_groups: int = 200) -> DataFrame:
+def stratified_sample(df: DataFrame, group_col: str, id_col: str, n: int, seed=42, prefix: float = 4.0) -> DataFrame:
     """Greedy stratified draw: groups in sorted order, each takes up to n of
-    its rows whose id no earlier group drew (ranked by md5(seed|group|id)).
-
-    (group, id) pairs are de-duplicated first. The k-th group of a slice can
-    only need its n*k lowest ids (earlier groups hold at most n*(k-1)), so
-    the greedy pass sees at most n*S*(S+1)/2 candidate rows per slice of S
-    groups, whatever the corpus size. Slices run one after another, each
-    excluding the ids drawn by the previous ones. The pairs are written once,
-    by slice and without other columns, so a slice reads its own rows only.
+    its ids that no earlier group drew (lowest md5(seed|group|id) first).
+
+    All ids prefer earlier groups and a group prefers low ranks, so the draw
+    is the one stable matching of ids and groups; ``deferred_acceptance``
+    finds it in parallel. A group hardly needs more than its first ranks: only
+    the pairs below a rank that about ``prefix * n`` of its rows have take
+    part, found by comparison, without a shuffle. If a group is filled from
+    these, later ones could not change that; a group that is not, and has
+    more, gets an eight times longer prefix, and the matching is made anew.
+
+    Rows without a group or an id take no part; repeated (group, id) rows
+    count once.
     """
     spark = df.sparkSession
-    pairs = df.select(group_col, id_col).distinct()
-    gidx = written(spark, ordinal(pairs.select(group_col).distinct(), [group_col], "_g"), "groups")
-    n_groups = gidx.count()
-    gidx = F.broadcast(gidx) if n_groups <= MAX_BROADCAST_GROUPS else gidx
-    ranked = pairs.join(gidx, group_col).withColumn("_h", md5_rank_key(seed, F.col(group_col), F.col(id_col))) \
-        .withColumn("_slice", F.floor(F.col("_g") / slice_groups).cast("int"))
-    ranked = written(spark, ranked, "pairs", partition_by="_slice")
-    out = None
-    for no in range(-(-n_groups // slice_groups) or 1):
-        part = ranked.filter(F.col("_slice") == no)
-        if out is not None:  # ids drawn so far: at most n a group
-            part = part.join(out.select(id_col).distinct(), id_col, "left_anti")
-        local_k = (F.col("_g") - no * slice_groups + 1) * n
-        cand = top_n_per_group(part, [group_col], [F.col("_h"), F.col(id_col)], local_k, "_r")
-        picked = written(spark, _greedy(cand, group_col, id_col, n, df.schema[id_col].dataType), "picked")
-        out = picked if out is None else out.unionByName(picked)
-    keys = ordinal(out, ["_g", "_pos"], "sample_order").select(group_col, id_col, "sample_order")
+    h = md5_rank_key(seed, F.col(group_col), F.col(id_col))
+    pairs = df.select(group_col, id_col).where(F.col(group_col).isNotNull() & F.col(id_col).isNotNull()).withColumn("_h", h)
+    pairs = written(spark, pairs, "pairs")
+    share = F.least(F.lit(1.0), F.lit(float(prefix * n)) / F.col("_n"))
+    depth = written(spark, pairs.groupBy(group_col).agg(F.count("*").alias("_n")).withColumn("_share", share), "depth")
+    while True:
+        near = _hash_bits(F.col("_h")) <= F.col("_share") * F.lit(float(1 << 60))
+        part = pairs.join(_one_a_group(depth.where("_share < 1")), group_col, "left").where(F.col("_share").isNull() | near)
+        part = written(spark, part.select(group_col, id_col, "_h").distinct(), "candidates")
+        drawn, _ = deferred_acceptance(part, group_col, id_col, "_h", n)
+        filled = drawn.groupBy(group_col).agg(F.count("*").alias("_k"))
+        short = depth.where("_share < 1").join(filled, group_col, "left").where(F.coalesce("_k", F.lit(0)) < n).select(group_col, F.lit(8.0).alias("_more"))
+        short = written(spark, short, "short")
+        if short.isEmpty():
+            break
+        wider = F.least(F.lit(1.0), F.col("_share") * F.coalesce("_more", F.lit(1.0)))
+        depth = written(spark, depth.join(short, group_col, "left").withColumn("_share", wider).drop("_more"), "depth")
+    keys = ordinal(drawn, [group_col, "_r"], "sample_order").select(group_col, id_col, "sample_order")
     # other columns only for the rows drawn (at most n a group), one row a pair
-    rows = df.join(keys, [group_col, id_col])
-    return rows.dropDuplicates([group_col, id_col])
-
-
-def _greedy(cand: DataFrame, group_col: str, id_col: str, n: int, id_type) -> DataFrame:
-    """The sequential pass over a bounded candidate set (one pandas task)."""
-    import pandas as pd
-
-    schema = T.StructType([T.StructField(group_col, cand.schema[group_col].dataType),
-                           T.StructField(id_col, id_type), T.StructField("_g", T.LongType()),
-                           T.StructField("_pos", T.LongType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_g", "_r"])
-        seen, rows = set(), []
-        for g, grp in pdf.groupby("_g", sort=True):
-            took = []
-            for gv, iv in zip(grp[group_col], grp[id_col]):
-                if len(took) >= n:
-                    break
-                if iv in seen:
-                    continue
-                took.append(iv)
-                rows.append((gv, iv, int(g), len(took) - 1))
-            seen.update(took)
-        return pd.DataFrame(rows, columns=[group_col, id_col, "_g", "_pos"])
-
-    return (cand.select(F.lit(0).alias("_one"), group_col, id_col, "_g", "_r")
-            .groupBy("_one").applyInPandas(run, schema))
+    return df.join(keys, [group_col, id_col]).dropDuplicates([group_col, id_col])
+
+
+def _one_a_group(table: DataFrame) -> DataFrame:
+    """A (written) table of a row a group: a broadcast if the rows are few."""
+    return F.broadcast(table) if table.count() <= MAX_BROADCAST_GROUPS else table
+
+
+def deferred_acceptance(pairs: DataFrame, group_col: str, id_col: str, rank_col: str, n: int) -> tuple[DataFrame, int]:
+    """The stable matching in which ids prefer the smallest group and a group
+    the n lowest (rank, id): ((group, id, rank, _r = place in the group), rounds).
+
+    In a round every id proposes to its first group that has not refused it; a
+    group keeps its n lowest proposals, and with n of them refuses every pair
+    above the last. What a group keeps only gets better, so the last ranks of
+    one round are all that the next needs: a round reads the written pairs and
+    one row a group. It ends when no proposal is refused.
+    """
+    spark = pairs.sparkSession
+    last = None
+    rounds = 0
+    while True:
+        rounds += 1
+        alive = pairs
+        if last is not None:
+            refused = F.struct(rank_col, id_col) > F.struct("_last._rank", "_last._id")
+            alive = pairs.join(_one_a_group(last), group_col, "left").where(F.col("_last").isNull() | ~refused)
+        proposals = alive.groupBy(id_col).agg(F.min(F.struct(group_col, rank_col)).alias("_p")).select(f"_p.{group_col}", id_col, f"_p.{rank_col}")
+        order = [F.col(rank_col), F.col(id_col)]
+        kept = written(spark, top_n_per_group(proposals, [group_col], order, n + 1, "_r"), "proposals")  # one more shows a refusal
+        if kept.where(F.col("_r") > n).isEmpty():
+            return kept, rounds
+        end = F.max(F.struct(F.col(rank_col).alias("_rank"), F.col(id_col).alias("_id"))).alias("_last")
+        last = written(spark, kept.where(F.col("_r") <= n).groupBy(group_col).agg(end, F.count("*").alias("_k")).where(F.col("_k") == n).drop("_k"), "last-ranks")
 
 
 def rare_keyword_sample(df: DataFrame, file_col: str, kw_col: str, rare: list[str], max_rows: int) -> DataFrame:

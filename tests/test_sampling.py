@@ -44,15 +44,41 @@ def brute_greedy(rows, n, seed=42):
 def test_stratified_sample_matches_brute_force(spark):
     rows = [(f"k{(i * 7) % 13}", i % 97) for i in range(900)] + [("hot", i) for i in range(300)]
     df = spark.createDataFrame(rows, "keyword string, id long")
-    out = SA.stratified_sample(df, "keyword", "id", 5, 42, slice_groups=4).collect()
+    out = SA.stratified_sample(df, "keyword", "id", 5, 42).collect()
     got = sorted((r.keyword, r.id) for r in out)
     assert got == sorted(brute_greedy(rows, 5))
-    # the draw order is global across slices
+    # the draw order is global
     assert [(r.keyword, r.id) for r in sorted(out, key=lambda r: r.sample_order)] == brute_greedy(rows, 5)
     ids = [i for _, i in got]
     assert len(ids) == len(set(ids))
 
 
+def test_starved_groups_get_longer_prefixes(spark):
+    """Late groups whose ids are nearly all drawn by earlier ones."""
+    rows = [(f"a{i % 40:02}", i) for i in range(400)] + [("z", i) for i in range(420)] + [("zz", i) for i in range(405)] + [(None, 7), ("y", None), ("y", 3), ("y", 3)]
+    df = spark.createDataFrame(rows, "keyword string, id long").repartition(6)
+    want = brute_greedy([(g, i) for g, i in rows if g is not None and i is not None], 10)
+    for prefix in (0.5, 4.0):
+        out = SA.stratified_sample(df, "keyword", "id", 10, 42, prefix=prefix).collect()
+        assert [(r.keyword, r.id) for r in sorted(out, key=lambda r: r.sample_order)] == want
+
+
+def test_ten_thousand_groups_in_tens_of_rounds(spark):
+    import random
+    r = random.Random(5)
+    rows = [(f"g{int(10_000 * r.random() ** 2):05}", r.randrange(10_000)) for _ in range(40_000)]
+    df = spark.createDataFrame(rows, "g string, id long").distinct().withColumn("h", SA.md5_rank_key(42, F.col("g"), F.col("id")))
+    drawn, rounds = SA.deferred_acceptance(SA.written(spark, df, "pairs-test"), "g", "id", "h", 5)
+    assert sorted((x.g, x.id) for x in drawn.collect()) == sorted(brute_greedy(rows, 5))
+    assert rounds < 50
+
+
+def test_stratified_sample_runs_no_python(spark):
+    df = spark.range(200).select((F.col("id") % 7).cast("string").alias("k"), "id")
+    plan = SA.stratified_sample(df, "k", "id", 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
 def test_sample_per_group_all_when_fewer(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "f string, id long")
     out = SA.sample_per_group(df, "f", "id", 5).collect()
