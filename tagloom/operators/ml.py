@@ -37,6 +37,7 @@ from pyspark.sql import types as T
 from ..session import written
 from .matching import fence
 
+SKETCH_FROM = 2_000_000_000  # characters of text from which term counts go through a sketch first
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 # Common English words left out of the TF-IDF vocabulary.
@@ -61,24 +62,93 @@ def token_stages(text_col: str, stop_words: bool, ngrams: int) -> tuple[list, st
     return stages, col
 
 
-def vocabulary(terms: DataFrame, terms_col: str, max_features: int) -> DataFrame:
-    """(term, tf, df) of the ``max_features`` most frequent terms (ties by term).
+def sketch_cells(width: int, term) -> list:
+    """The two cells of a term in a count-min sketch of two rows."""
+    h = F.xxhash64(term)
+    return [h.bitwiseAND(F.lit(width - 1)), F.shiftright(h, 32).bitwiseAND(F.lit(width - 1)) + F.lit(width)]
+
+
+def term_sketch(terms: DataFrame, terms_col: str, width: int) -> DataFrame:
+    """(cell, n): a count-min sketch of all term occurrences. It has 2 * width
+    cells whatever the corpus is; partial sketches merge by adding, so a map
+    task sends that many rows at most."""
+    cells = F.flatten(F.transform(terms_col, lambda t: F.array(*sketch_cells(width, t))))
+    return terms.select(F.explode(cells).alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
+
+
+def heavy_terms(terms: DataFrame, terms_col: str, sketch: DataFrame, width: int, least: int) -> DataFrame:
+    """The term lists without terms that the sketch shows to occur less than
+    ``least`` times: a term occurs at most as often as each of its cells says."""
+    mask = sketch.where(F.col("n") >= least).groupBy(F.shiftright("cell", 6).alias("w")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("cell").bitwiseAND(F.lit(63)).cast("int"))).alias("m"))
+    words = [0] * (2 * width >> 6)
+    for r in mask.toLocalIterator():  # at most 2 * width / 64 rows
+        words[r["w"]] = r["m"]
+    bits = F.lit(words).cast("array<bigint>")
+
+    def set_at(cell):
+        return F.call_function("shiftright", F.get(bits, F.shiftright(cell, 6).cast("int")), cell.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    def heavy(t):
+        a, b = sketch_cells(width, t)
+        return set_at(a) & set_at(b)
+
+    return fence(terms.select(terms_col), F.filter(terms_col, heavy), terms_col)
 
-    tf = occurrences; df = documents holding the term (distinct terms per
-    document, then one aggregation)."""
+
+def exact_counts(terms: DataFrame, terms_col: str) -> DataFrame:
+    """(term, tf, df): occurrences, and texts that hold the term."""
     # one pass: every term counts for tf, the first of its kind in a text also for df
     rows = F.concat(F.transform(terms_col, lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
                     F.transform(F.array_distinct(terms_col), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))))
-    tc = terms.select(F.explode(rows).alias("_r")).groupBy("_r.term").agg(F.sum("_r.tf").alias("tf"), F.sum("_r.df").alias("df"))
-    return tc.orderBy(F.col("tf").desc(), F.col("term")).limit(max_features)
+    return terms.select(F.explode(rows).alias("_r")).groupBy("_r.term").agg(F.sum("_r.tf").alias("tf"), F.sum("_r.df").alias("df"))
+
+
+def vocabulary(terms: DataFrame, terms_col: str, max_features: int, chars: int, width: int | None = None) -> DataFrame:
+    """(term, tf, df) of the ``max_features`` most frequent terms (ties by term).
+
+    ``chars`` is the length of all texts. From SKETCH_FROM on, when a map task
+    meets far more distinct n-grams than a sketch has cells, rare ones are
+    kept out of the shuffle; below, all are counted. The result is the same.
+
+    Most distinct n-grams of a corpus are rare and cannot be among them, so
+    they are not counted by name: a count-min sketch of all terms comes first,
+    its ``max_features``-th largest cell gives a threshold, and only terms
+    whose cells reach it are counted exactly. The result proves itself: if its
+    last count reaches the threshold, a term left out (it occurs less often
+    than that) cannot belong. If not, that last count is a lower bound that
+    holds, and the exact count is made once more with it.
+    """
+    if chars < SKETCH_FROM:
+        return exact_counts(terms, terms_col).orderBy(F.col("tf").desc(), F.col("term")).limit(max_features)
+    spark = terms.sparkSession
+    width = width or 1 << max(12, (32 * max_features - 1).bit_length())
+    sketch = written(spark, term_sketch(terms, terms_col, width), "term-sketch")
+    first_row = sketch.where(F.col("cell") < width)
+    top = [r["n"] for r in first_row.orderBy(F.desc("n")).limit(max_features).collect()]
+    noise = (first_row.agg(F.sum("n")).first()[0] or 0) // width
+    least = max(1, int(0.8 * (top[-1] - noise))) if len(top) == max_features else 1
+    while True:
+        kept = terms if least == 1 else heavy_terms(terms, terms_col, sketch, width, least)
+        found = exact_counts(kept, terms_col).orderBy(F.col("tf").desc(), F.col("term")).limit(max_features)
+        found = written(spark, found, "vocabulary")
+        n, last = found.agg(F.count("*"), F.min("tf")).first()
+        if least == 1 or (n == max_features and last >= least):
+            return found
+        least = last if n == max_features else 1
+
+
+def size_of(texts: DataFrame, text_col: str) -> tuple[int, int]:
+    """Rows, and characters of all texts."""
+    n, chars = texts.agg(F.count("*"), F.sum(F.length(text_col))).first()
+    return n, chars or 0
 
 
 def term_lists(texts: DataFrame, id_col: str, text_col: str, ngrams: int, stop_words: bool) -> DataFrame:
     """(id, _t): the terms of each text in order, with repeats."""
-    drop = F.array(*[F.lit(w) for w in STOP_WORDS])
     words = F.filter(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}_]+"), lambda t: F.length(t) >= 2)
     if stop_words:
-        words = F.filter(words, lambda t: ~F.array_contains(drop, t))
+        words = F.filter(words, lambda t: ~t.isin(STOP_WORDS))  # a hash set
     # fenced: else a filter pushed below would split the text once per word
     out = fence(texts.select(id_col, text_col), words, "_t").select(id_col, "_t")
     if ngrams >= 2:
@@ -92,12 +162,11 @@ def document_frequency(texts: DataFrame, id_col: str, text_col: str, max_feature
                        stop_words: bool = False, digits: int = 9) -> DataFrame:
     """The feature table as data: (term, tf, df, idf) for the chosen vocabulary.
 
-    tf and df come from one aggregation over (document's distinct terms with
-    their counts); it combines map-side, so the shuffle carries about one row
-    per distinct term per task, not per token."""
+    The shuffles carry a sketch of fixed size a task and the terms frequent
+    enough to be chosen (``vocabulary``), not all distinct n-grams."""
     terms = term_lists(texts, id_col, text_col, ngrams, stop_words)
-    n = texts.count()
-    top = vocabulary(terms, "_t", max_features)
+    n, chars = size_of(texts, text_col)
+    top = vocabulary(terms, "_t", max_features, chars)
     return top.withColumn("idf", F.round(F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1, digits))
 
 
@@ -108,8 +177,8 @@ def tfidf_vectors(texts: DataFrame, id_col: str, text_col: str, max_features: in
     Only the vocabulary (``max_features`` terms) is joined to the texts'
     terms, by broadcast; counts and norms are two aggregations by id."""
     terms = term_lists(texts, id_col, text_col, ngrams, stop_words)
-    n = texts.count()
-    vocab = written(texts.sparkSession, vocabulary(terms, "_t", max_features), "vocabulary")
+    n, chars = size_of(texts, text_col)
+    vocab = written(texts.sparkSession, vocabulary(terms, "_t", max_features, chars), "vocabulary")
     idf = F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1
     kept = terms.select(id_col, F.explode("_t").alias("term")).join(F.broadcast(vocab.select("term", idf.alias("idf"))), "term")
     w = kept.groupBy(id_col, "term").agg((F.count(F.lit(1)) * F.first("idf")).alias("w"))
@@ -132,8 +201,8 @@ def fit_tfidf(train: DataFrame, text_col: str = "text", max_features: int = 3000
     stages, col = token_stages(text_col, stop_words, ngrams)
     tok_model = Pipeline(stages=stages).fit(train)
     terms = tok_model.transform(train).select(col)
-    vrows = vocabulary(terms, col, max_features).collect()  # <= max_features rows
-    n = train.count()
+    n, chars = size_of(train, text_col)
+    vrows = vocabulary(terms, col, max_features, chars).collect()  # <= max_features rows
     vocab = [r["term"] for r in vrows]
     idf = [math.log((1 + n) / (1 + r["df"])) + 1 for r in vrows]
     cv = CountVectorizerModel.from_vocabulary(vocab, inputCol=col, outputCol="_tf")

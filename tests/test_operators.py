@@ -138,3 +138,34 @@ def test_upsert_of_a_key_twice_in_one_batch_is_defined(spark):
     rows = [(1, 0, 2), (1, 5, 2), (1, 9, 1)]
     df = spark.createDataFrame(rows, "id int, label int, batch int")
     assert SU.upsert(df.limit(0), df, ["id"]).first().label == 5
+
+
+def _terms_corpus(spark, seed=3):
+    import random
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[int(400 * r.random() ** 3)] for _ in range(r.randint(0, 80)))) for i in range(400)] + [(900, None), (901, "")]
+    return spark.createDataFrame(rows, "id long, text string").repartition(6)
+
+
+def test_sketched_vocabulary_equals_the_counted_one(spark, monkeypatch):
+    """With any width, thus also where collisions fill the sketch or the first
+    threshold is wrong, no term is lost and every count is exact."""
+    from tagloom.operators import ml as ML
+    terms = ML.term_lists(_terms_corpus(spark), "id", "text", 2, False)
+    want = {k: [tuple(r) for r in ML.vocabulary(terms, "_t", k, 0).collect()] for k in (5, 60, 1_000_000)}
+    monkeypatch.setattr(ML, "SKETCH_FROM", 0)
+    for k, width in ((5, 1 << 12), (5, 64), (60, 64), (60, 1 << 14), (60, None), (1_000_000, 1 << 12)):
+        assert [tuple(r) for r in ML.vocabulary(terms, "_t", k, 1, width).orderBy(F.desc("tf"), "term").collect()] == want[k]
+
+
+def test_sketch_keeps_rare_terms_out_of_the_exact_count(spark):
+    from tagloom.operators import ml as ML
+    from tagloom.session import written
+    terms = ML.term_lists(_terms_corpus(spark), "id", "text", 2, False)
+    sketch = written(spark, ML.term_sketch(terms, "_t", 1 << 14), "sketch")
+    counts = {r.term: r.tf for r in ML.exact_counts(terms, "_t").collect()}
+    kept = {r.term: r.tf for r in ML.exact_counts(ML.heavy_terms(terms, "_t", sketch, 1 << 14, 50), "_t").collect()}
+    assert {t for t, n in counts.items() if n >= 50} <= set(kept) and len(kept) < len(counts) / 5
+    assert all(counts[t] == n for t, n in kept.items()) and sketch.agg(F.sum("n")).first()[0] == 2 * sum(counts.values())
+    assert ML.vocabulary(ML.term_lists(_terms_corpus(spark).limit(0), "id", "text", 2, True), "_t", 5, ML.SKETCH_FROM).count() == 0
