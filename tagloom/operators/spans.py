@@ -2,54 +2,60 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .matching import fence
+from .matching import WORD, fence
 from .sampling import ordinal
 
-SPAN = T.ArrayType(T.StructType([T.StructField("phrase", T.StringType()), T.StructField("start", T.IntegerType()),
-                                  T.StructField("end", T.IntegerType())]))
-
-
-def _finder(whole_word: bool):
-    @F.pandas_udf(SPAN)
-    def find_all(text: pd.Series, phrases: pd.Series) -> pd.Series:
-        """Every case-insensitive, non-overlapping occurrence of each literal phrase."""
-        known: dict[str, re.Pattern] = {}
-        out = []
-        for t, ps in zip(text, phrases):
-            spans = []
-            for p in dict.fromkeys(ps) if t is not None and ps is not None else ():
-                if p:
-                    if p not in known:
-                        edge = r"\b" if whole_word else ""
-                        known[p] = re.compile(edge + re.escape(p) + edge, re.IGNORECASE)
-                    spans += [{"phrase": p, "start": m.start(), "end": m.end()} for m in known[p].finditer(t)]
-            out.append(spans)
-        return pd.Series(out)
-    return find_all
+BLOCK = 256  # running sums are made inside blocks of so many, then over the blocks
+
+
+def running_sums(df: DataFrame, values: Column, out_col: str) -> DataFrame:
+    """Add the running sums of an int array, in the row: inside blocks, then
+    over the blocks' totals, so that long arrays are not copied once an entry."""
+    def sums(xs):
+        return F.aggregate(xs, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + x)))
+
+    starts = F.when(F.size("_v") > 0, F.sequence(F.lit(0), F.size("_v") - 1, F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+    d = fence(df, values, "_v")
+    d = fence(d, F.transform(starts, lambda b: sums(F.slice("_v", b + 1, F.lit(BLOCK)))), "_blocks")
+    d = fence(d, sums(F.transform("_blocks", lambda x: F.get(x, F.size(x) - 1))), "_totals")
+    whole = F.flatten(F.transform("_blocks", lambda x, k: F.transform(x, lambda v: v + F.when(k > 0, F.get("_totals", k - 1)).otherwise(0))))
+    return d.withColumn(out_col, whole).drop("_v", "_blocks", "_totals")
+
+
+def literal_pattern(phrase: Column, whole_word: bool) -> Column:
+    """A case-insensitive regex for a phrase; with ``whole_word`` the characters
+    at its ends and those beside them must not be both word characters or none."""
+    body = F.regexp_replace(phrase, r"([\p{Punct}])", r"\\$1")
+    if not whole_word:
+        return F.concat(F.lit("(?iu)"), body)
+    head = F.when(phrase.rlike(f"^{WORD}"), F.lit(f"(?<!{WORD})")).otherwise(F.lit(f"(?<={WORD})"))
+    tail = F.when(phrase.rlike(f"{WORD}$"), F.lit(f"(?!{WORD})")).otherwise(F.lit(f"(?={WORD})"))
+    return F.concat(F.lit("(?iu)"), head, body, tail)
 
 
 def phrase_spans(df: DataFrame, text_col: str, phrases_col: str, out_col: str = "keyword",
                  whole_word: bool = False) -> DataFrame:
     """One row per occurrence: the input columns (minus text and phrases) +
-    ``out_col`` (the phrase), start, end. With ``whole_word`` an occurrence
+    ``out_col`` (the phrase), start, end. Occurrences of a phrase are literal,
+    case-insensitive and do not overlap; with ``whole_word`` an occurrence
     must not touch a word character on either side.
 
-    A per-row helper over Arrow batches, linear in the text for each phrase;
-    each text crosses to Python once with all of its phrases, each pattern
-    is compiled once a batch, and Spark partitions the rows.
+    Positions come from the plan: the text is split at the phrase, and the
+    running sum of the parts' lengths is where the occurrences lie. A text is
+    read where it is, only lengths go on. Null texts, null and empty phrases
+    give no rows; a phrase listed twice counts once.
     """
     keep = [c for c in df.columns if c not in (text_col, phrases_col)]
-    find = _finder(whole_word)
-    return (df.select(*keep, F.explode(find(F.col(text_col), F.col(phrases_col))).alias("_s"))
-            .select(*keep, F.col("_s.phrase").alias(out_col), F.col("_s.start").alias("start"),
-                    F.col("_s.end").alias("end")))
+    phrases = F.array_distinct(F.filter(phrases_col, lambda p: p.isNotNull() & (p != "")))
+    found = F.transform(phrases, lambda p: F.struct(p.alias("p"), F.transform(F.split(F.col(text_col), literal_pattern(p, whole_word), -1), lambda x: F.length(x)).alias("gaps")))
+    d = df.select(*keep, F.explode(F.filter(found, lambda f: F.size(f["gaps"]) > 1)).alias("_f"))
+    # an occurrence ends where the parts before it and the phrase as often as it came end
+    ends = F.transform(F.slice("_f.gaps", F.lit(1), F.size("_f.gaps") - 1), lambda g: g + F.length("_f.p"))
+    d = running_sums(d, ends, "_ends").select(*keep, F.col("_f.p").alias(out_col), F.explode("_ends").alias("end"))
+    return d.select(*keep, out_col, (F.col("end") - F.length(out_col)).alias("start"), "end")
 
 
 def highlight_and_bold(df: DataFrame, key_cols: list[str], text_col: str, source_cols: list[str],

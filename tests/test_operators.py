@@ -169,3 +169,21 @@ def test_sketch_keeps_rare_terms_out_of_the_exact_count(spark):
     assert {t for t, n in counts.items() if n >= 50} <= set(kept) and len(kept) < len(counts) / 5
     assert all(counts[t] == n for t, n in kept.items()) and sketch.agg(F.sum("n")).first()[0] == 2 * sum(counts.values())
     assert ML.vocabulary(ML.term_lists(_terms_corpus(spark).limit(0), "id", "text", 2, True), "_t", 5, ML.SKETCH_FROM).count() == 0
+
+
+def test_phrase_spans_equal_finditer_and_run_no_python(spark):
+    import re
+    from tagloom.operators import spans as SP
+    r = __import__("random").Random(4)
+    alphabet = "aAbB cC.-é É_9ßſ😀İ$(\\"
+    rows = [(i, "".join(r.choice(alphabet) for _ in range(r.randint(0, 60))), ["".join(r.choice(alphabet) for _ in range(r.randint(1, 3))) for _ in range(4)] + ["a", "A", "a", "", None]) for i in range(250)]
+    rows += [(900, None, ["a"]), (901, "aaa", None), (902, "ab" * 3000 + " a", ["a", "ab"]), (903, "x.y x.y", ["x.y", "."]), (903, "x.y", ["y"])]
+    df = spark.createDataFrame(rows, "id long, text string, ps array<string>")
+    for whole in (False, True):
+        edge = r"\b" if whole else ""
+        want = sorted((i, p, m.start(), m.end()) for i, t, ps in rows for p in dict.fromkeys(ps or ()) if t is not None and p
+                      for m in re.finditer(edge + re.escape(p) + edge, t, re.IGNORECASE))
+        got = SP.phrase_spans(df, "text", "ps", whole_word=whole)
+        assert sorted((x.id, x.keyword, x.start, x.end) for x in got.collect()) == want
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
