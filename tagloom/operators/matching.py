@@ -195,13 +195,15 @@ def keyword_match_join(df: DataFrame, text_col: str, lexicon, out_col: str, dedu
 
 def title_first_match(df: DataFrame, title_col: str, body_col: str, lexicon,
                       out_col: str = "keywords", from_title: str | None = None) -> DataFrame:
-    """Submissions: the title's matches if it has any, else the body's; with
-    ``from_title`` a column of that name tells which."""
+    """Submissions: the title's matches if it has any, else the body's (which
+    is matched only then); with ``from_title`` a column of that name tells
+    which."""
     t = keyword_match(df, title_col, lexicon, "_th", keep_empty=True)
-    b = keyword_match(t, body_col, lexicon, "_bh", keep_empty=True)
+    t = t.withColumn("_body", F.when(F.size("_th") == 0, F.col(body_col)))
+    b = keyword_match(t, "_body", lexicon, "_bh", keep_empty=True)
     flag = {from_title: F.size("_th") > 0} if from_title else {}
     return (b.withColumns({out_col: F.when(F.size("_th") > 0, F.col("_th")).otherwise(F.col("_bh"))} | flag)
-            .drop("_th", "_bh").filter(F.size(out_col) > 0))
+            .drop("_th", "_bh", "_body").filter(F.size(out_col) > 0))
 
 
 # ---------------------------------------------------------------------------
@@ -217,7 +219,7 @@ def regex_labels(text: Column, regex_to_label: list[tuple[str, str]]) -> Column:
 def regex_label_match(df: DataFrame, text_col: str, regex_to_label, out_col: str = "keyword",
                       sep: str = "; ") -> DataFrame:
     """Rows whose text hits any regex; labels distinct, sorted, joined by ``sep``."""
-    return (df.withColumn("_labs", regex_labels(F.col(text_col), regex_to_label))
+    return (fence(df, regex_labels(F.col(text_col), regex_to_label), "_labs")
             .filter(F.size("_labs") > 0)
             .withColumn(out_col, F.array_join("_labs", sep)).drop("_labs"))
 

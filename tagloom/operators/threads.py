@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
-from .matching import regex_labels
+from ..session import written
+from .matching import fence, regex_labels
 
 TEXT_COLS = [("title", "post_id"), ("post_text", "post_id"), ("comment_body", "comment_id"), ("reply_body", "reply_id")]
 
@@ -34,7 +35,8 @@ def match_by_row(sheet: DataFrame, regex_to_label, order_cols=("file", "row"), s
     """
     oc = list(order_cols)
     c = _cells(sheet, oc).filter(F.col("text").isNotNull())
-    c = c.withColumn("_labs", regex_labels(F.col("text"), regex_to_label)).filter(F.size("_labs") > 0)
+    c = fence(c, regex_labels(F.col("text"), regex_to_label), "_labs").filter(F.size("_labs") > 0)
+    c = written(sheet.sparkSession, c.select(*oc, "col", "id_key", "_labs"), "matched-cells")  # read twice, matched once
     first = (c.filter(F.col("id_key").isNotNull()).groupBy("col", "id_key")
              .agg(F.min(F.struct(*oc)).alias("_first")))
     kept = c.join(first, ["col", "id_key"], "left").filter(
@@ -68,5 +70,5 @@ def text_units(sheet: DataFrame, order_cols=("file", "row"), source_col: str = "
 def match_by_textid(sheet: DataFrame, regex_to_label, order_cols=("file", "row"), sep: str = "; ") -> DataFrame:
     """Each unique text unit matched once: (id, source, subreddit, text, keyword)."""
     u = text_units(sheet, order_cols)
-    u = u.withColumn("_labs", regex_labels(F.col("text"), regex_to_label)).filter(F.size("_labs") > 0)
+    u = fence(u, regex_labels(F.col("text"), regex_to_label), "_labs").filter(F.size("_labs") > 0)
     return u.select("id", "source", "subreddit", "text", F.array_join("_labs", sep).alias("keyword"))

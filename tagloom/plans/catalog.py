@@ -23,6 +23,7 @@ from ..operators import stats as ST
 from ..session import checkpoint_path, written
 from ..sources import dumps as DU
 from ..sources import files as FI
+from ..sources.keyed_table import KeyedTable
 from . import sql as Q
 from . import standins as S
 
@@ -739,6 +740,29 @@ def q_upsert_predictions(spark, sf):
     return SU.upsert(old, new, ["id", "model", "version"], "batch")
 
 
+@query("prediction_table", f"""WITH {Q.PREDS},
+u AS (SELECT id, model, relevance AS label, confidence, 1 AS batch FROM preds WHERE subreddit <> 'src3'
+      UNION ALL SELECT id, model, 1 - relevance, confidence, 2 FROM preds WHERE subreddit IN ('src1', 'src2')
+      UNION ALL SELECT id, model, 9, confidence, 3 FROM preds WHERE subreddit IN ('src2', 'src3')),
+r AS (SELECT *, row_number() OVER (PARTITION BY id, model ORDER BY CASE batch WHEN 2 THEN 0 ELSE batch END) AS rn FROM u)
+SELECT id, model, label, confidence, batch FROM r WHERE rn = 1""")
+def q_prediction_table(spark, sf):
+    """Predictions kept in a keyed table: written, replaced by a second batch,
+    completed by a third that leaves known keys alone, and read back."""
+    p = S.predictions(spark, sf)
+
+    def rows(label, batch, *sources):
+        return p.where(F.col("subreddit").isin(*sources) if sources else F.col("subreddit") != "src3").select(
+            "id", "model", label.alias("label"), "confidence", F.lit(batch).alias("batch"))
+
+    first = rows(F.col("relevance"), 1)
+    KeyedTable.create(spark, root := checkpoint_path(spark, f"predictions-{uuid.uuid4().hex}"), first.schema, ["id", "model"], 16)
+    KeyedTable.open(spark, root).upsert(first, "batch")
+    KeyedTable.open(spark, root).upsert(rows(1 - F.col("relevance"), 2, "src1", "src2"), "batch")
+    KeyedTable.open(spark, root).insert_new(rows(F.lit(9), 3, "src2", "src3"), "batch")
+    return KeyedTable.open(spark, root).read()
+
+
 _SUBSET_BASE = f"""{Q.POSTS},
 km AS (SELECT id FROM posts WHERE len({Q.match_list("title || ' ' || selftext")}) > 0
        UNION ALL SELECT id FROM comments WHERE len({Q.match_list('body')}) > 0),
@@ -1451,7 +1475,7 @@ def q_dosage_mentions(spark, sf):
     """Every dose mention of each document (regexp_extract_all with the dosage pattern)."""
     d = S.remarked(spark, sf)
     m = F.regexp_extract_all(F.lower("text"), F.lit(L.DOSAGE_PATTERN), 0)
-    return d.select("doc_id", m.alias("doses")).filter(F.size("doses") > 0) \
+    return M.fence(d.select("doc_id", "text"), m, "doses").filter(F.size("doses") > 0) \
         .select("doc_id", F.array_join("doses", "; ").alias("doses"), F.size("doses").alias("n_doses"))
 
 

@@ -120,3 +120,19 @@ def test_stages_prune_columns(spark):
     from tagloom.plans import standins as S
     plan = plan_of(S.predictions(spark, SF_SMALL).select("id"))
     assert "ReadSchema: struct<id:bigint>" in plan
+
+
+def test_regexes_run_once(spark):
+    """No regex of a label table or dose pattern is evaluated twice."""
+    from tagloom import lexicon as L
+    from tagloom.operators import matching as M
+    from tagloom.operators import threads as TH
+    rules = [(r"\balpha\b", "a"), (r"\bbeta", "b"), (r"gamma", "c")]
+    df = spark.createDataFrame([(1, "alpha beta")], "id long, text string")
+    assert plan_of(M.regex_label_match(df, "text", rules)).count("RLIKE") == len(rules)
+    sheet = spark.createDataFrame([("f", 1, "p", "t alpha", "x", "c", "beta", "r", "gamma")], "file string, row int, post_id string, title string, post_text string, comment_id string, comment_body string, reply_id string, reply_body string")
+    assert plan_of(TH.match_by_row(sheet, rules)).count("RLIKE") == 0  # matched cells were written
+    assert plan_of(TH.match_by_textid(sheet, rules)).count("RLIKE") == len(rules)
+    import __spark_entry__ as E
+    assert plan_of(E.queries()["dosage_mentions"](spark, "/root/testdata/sf0.001")).count("regexp_extract_all") == 1
+    assert L.DOSAGE_PATTERN
