@@ -24,6 +24,7 @@ from ..session import checkpoint_path, written
 from ..sources import dumps as DU
 from ..sources import files as FI
 from ..sources.keyed_table import KeyedTable
+from ..streaming.scoring import score_pending
 from . import sql as Q
 from . import standins as S
 
@@ -1368,6 +1369,14 @@ def q_score_texts(spark, sf):
     return ML.score_texts(pend, ML.offline_scorer, "text", "relevance").select("id", "relevance", "error")
 
 
+@query("score_pending", ORACLE["score_texts"])
+def q_score_pending(spark, sf):
+    """The same rows scored as a stream with a commit for each micro-batch."""
+    rows = S.hits(spark, sf).select("id", F.when(F.col("id") % 101 == 0, F.lit(ML.UNANSWERABLE)).otherwise(F.col("text")).alias("text"))
+    pend = SU.pending(rows, S.labels(spark, sf).select(F.col("doc_id").alias("id")))
+    return score_pending(spark, pend, checkpoint_path(spark, f"scoring-{uuid.uuid4().hex}"), ML.offline_scorer, out_col="relevance").select("id", "relevance", "error")
+
+
 # ===========================================================================
 # the full rough-cut lexicon (131 phrases, multi-word and punctuated ones)
 # ===========================================================================
