@@ -9,27 +9,31 @@ language, (hits - N f) / (1 - f) with f = fill^k; the largest decides.
 
 N-grams are three letters (lower-case code points; whatever is no letter is a
 word edge). ``train`` reads about ``max_train_rows`` labelled rows, drawn by a
-hash of doc_id. An n-gram belongs to a language if it was seen there at least
-twice and its share there is at least ``min_ratio`` of its largest share in
-any language; at most ``max_grams`` a language, the most frequent.
+hash of doc_id, at least a part of them from every language. Every n-gram of
+these rows is stored for its language, so a language of one row knows that
+row. The filter has 16 slots for each n-gram of the largest language, up to
+``max_slots_log2``; beyond that only the false positives grow, which are
+corrected. N-grams are counted once each, by an aggregate over (language,
+n-gram): no row is ranked, no language is one task's.
 
 Defined results: ``und`` and score 0 for a null text, one without a letter, or
-with nothing learnt; equal counts go to the language with more training rows,
-then the smaller name; score is the winner's part of all corrected counts (0
-when no n-gram is known). Repeated rows get equal results, null ids stay null,
-other columns are ignored.
+with nothing learnt; equal counts go to the language with fewer n-grams, then
+the one with more training rows, then the smaller name; score is the winner's part of all corrected counts (0
+when no n-gram is known, and then the language with most training rows). Repeated rows get equal results; rows with a null id are predicted and never
+learnt from; texts of any length are read whole; an empty table learns nothing
+and gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batch_of, pieces
@@ -41,9 +45,8 @@ EDGE = np.uint64(32)
 @dataclass(frozen=True)
 class Params:
     max_train_rows: int = 12_000
-    max_grams: int = 50_000
-    min_ratio: float = 0.2
-    slots_log2: int = 19
+    slots_log2: int | None = None  # None: by the n-grams
+    max_slots_log2: int = 24
     hashes: int = 3
 
 
@@ -83,6 +86,9 @@ def places(g: np.ndarray, p: Params) -> list[np.ndarray]:
 
 def build(langs: list[str], members: list[tuple[int, int]], p: Params) -> Model:
     """The filter from (n-gram hash, language bit) pairs."""
+    if p.slots_log2 is None:
+        most = max(Counter(bit for _, bit in members).values(), default=1)
+        p = replace(p, slots_log2=min(p.max_slots_log2, max(12, (16 * most - 1).bit_length())))
     slots = np.zeros((1 << p.slots_log2, max(1, -(-len(langs) // 64))), np.uint64)
     by_lang = defaultdict(list)
     for g, bit in members:
@@ -105,7 +111,9 @@ def predict_one(text: str | None, m: Model) -> tuple[str, float]:
         mask = mask & m.slots[x]
     hits = np.array([np.count_nonzero(mask[:, b // 64] & np.uint64(1 << (b % 64))) for b in range(len(m.langs))], float)
     fixed = np.maximum(0.0, (hits - len(g) * m.false_rate) / (1.0 - np.minimum(m.false_rate, 0.999)))
-    best = int(fixed.argmax())
+    most = np.round(fixed, 6) == np.round(fixed.max(), 6)
+    # of equal counts the one from fewer n-grams says more; with none known the first language
+    best = int(np.flatnonzero(most)[m.false_rate[most].argmin()]) if fixed.max() > 0 else 0
     total = float(fixed.sum())
     return m.langs[best], float(fixed[best] / total) if total > 0 else 0.0
 
@@ -125,24 +133,19 @@ def train(docs: DataFrame, wanted: Column | None = None, params: Params = Params
     pick = F.create_map([F.lit(x) for k in cut.items() for x in k])[F.col("lang")]
     rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) < pick)
     bit = {x: i for i, x in enumerate(langs)}
-    schema = pa.schema([("bit", pa.int32()), ("g", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("bit", pa.int32()), ("g", pa.int64())])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             parts = defaultdict(list)
             for t, x in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
                 parts[bit[x]].append(grams(t))
             for k, gs in parts.items():
-                g, n = np.unique(np.concatenate(gs), return_counts=True)
-                yield batch_of(schema, [np.full(len(g), k, np.int32), g.view(np.int64), n])
-
-    n = rows.select("text", "lang").mapInArrow(count, "bit int, g long, n long").groupBy("bit", "g").agg(F.sum("n").alias("n"))
-    totals = dict(n.groupBy("bit").agg(F.sum("n")).collect())
-    part = F.col("n") / F.create_map([F.lit(x) for k, v in totals.items() for x in (k, float(v))])[F.col("bit")] if totals else F.lit(0.0)
-    kept = n.withColumn("part", part).withColumn("top", F.max("part").over(Window.partitionBy("g"))).where(F.col("part") >= params.min_ratio * F.col("top")).where("n >= 2")
-    order = Window.partitionBy("bit").orderBy(F.desc("n"), "g")
-    kept = kept.withColumn("r", F.row_number().over(order)).where(F.col("r") <= params.max_grams)
-    return build(langs, [(r["g"], r["bit"]) for r in kept.select("g", "bit").collect()], params)
+                g = np.unique(np.concatenate(gs))
+                yield batch_of(schema, [np.full(len(g), k, np.int32), g.view(np.int64)])
+
+    found = rows.select("text", "lang").mapInArrow(members, "bit int, g long").distinct().toArrow()  # bounded by the sample
+    return build(langs, list(zip(found.column("g").to_pylist(), found.column("bit").to_pylist())), params)
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

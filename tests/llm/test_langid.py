@@ -68,6 +68,35 @@ def test_odd_rows(spark, odd, none):
     assert {r["lang_pred"] for r in langid.predict(spark, odd, untaught).collect()} == {"und"}
 
 
+def exact(text, sets, order):
+    """The prediction from exact sets in place of the filter."""
+    g = plain_grams(text)
+    if not any(c.isalpha() for c in text or ""):
+        return "und"
+    hits = {x: sum(y in sets[x] for y in g) for x in order}
+    return max(order, key=lambda x: (hits[x], -len(sets[x]), -order.index(x)))
+
+
+def test_small_languages_predict_their_rows_as_exact_sets_do(spark):
+    """Languages of one and two rows beside those of the documents."""
+    greek, russian = "Καλημέρα σε όλους τους φίλους μας", ["Привет как дела сегодня", "До свидания и всего хорошего"]
+    given = spark.read.parquet(f"{SF_CHECK}/documents.parquet").select("doc_id", "text", "lang")
+    rows = [tuple(r) for r in given.collect()] + [(10**6, greek, "el"), (10**6 + 1, russian[0], "ru"), (10**6 + 2, russian[1], "ru"), (None, "Καλημέρα", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    sets, count = {}, {}
+    for i, t, x in rows:
+        if x is not None and i is not None:
+            sets.setdefault(x, set()).update(plain_grams(t))
+            count[x] = count.get(x, 0) + 1
+    order = sorted(sets, key=lambda x: (-count[x], x))
+    assert model.langs == order
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(spark, docs, model).collect()}
+    assert got[10**6][0] == "el" and got[10**6 + 1][0] == got[10**6 + 2][0] == "ru" and got[10**6][1] > 0.9 and got[None][0] == "el"
+    wrong = [i for i, t, _ in rows if i is not None and got[i][0] != exact(t, sets, order)]
+    assert len(wrong) <= 0.002 * len(rows)  # a near tie of the sets may fall otherwise by a false positive
+
+
 def test_letters_are_unicode_letters():
     table = langid.letters()
     for c in [*range(0x3000), 0xAC00, 0x4E00, 0x1F600, 0x10400]:
