@@ -23,11 +23,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
 from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer,
-                                SQLTransformer, StopWordsRemover, VectorAssembler)
+                                SQLTransformer, StopWordsRemover, VectorSlicer)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
@@ -232,29 +233,21 @@ def train_logreg(train: DataFrame, features: str = "features", label: str = "lab
     return lr.fit(train)
 
 
-@dataclass
-class PlattSVM:
-    """Linear SVM with a one-feature logistic calibration of its margin."""
-    svm: object
-    platt: object
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        s = self.svm.transform(df).withColumn("_margin", vector_to_array("rawPrediction")[1])
-        s = VectorAssembler(inputCols=["_margin"], outputCol="_mvec").transform(s.drop("prediction"))
-        out = self.platt.transform(s.drop("rawPrediction"))
-        return out.drop("_margin", "_mvec")
-
-
-def train_svm(train: DataFrame, calib: DataFrame, features: str = "features", label: str = "label") -> PlattSVM:
+def train_svm(train: DataFrame, calib: DataFrame, features: str = "features", label: str = "label") -> PipelineModel:
     """Linear SVM fitted on ``train``, its margin calibrated on ``calib``: rows
-    the SVM has not seen, else the confidences come out too sharp."""
+    the SVM has not seen, else the confidences come out too sharp. All stages
+    are Spark's own, so the model is saved and loaded as one."""
     n = train.count()
-    svm = LinearSVC(featuresCol=features, labelCol=label, regParam=1.0 / max(n, 1), maxIter=200, tol=1e-4).fit(train)
-    c = svm.transform(calib).withColumn("_margin", vector_to_array("rawPrediction")[1])
-    c = VectorAssembler(inputCols=["_margin"], outputCol="_mvec").transform(c)
-    platt = LogisticRegression(featuresCol="_mvec", labelCol=label, regParam=0.0).fit(
-        c.select("_mvec", label))
-    return PlattSVM(svm, platt.copy())
+    svm = LinearSVC(featuresCol=features, labelCol=label, rawPredictionCol="_raw", predictionCol="_side", regParam=1.0 / max(n, 1), maxIter=200, tol=1e-4).fit(train)
+    margin = VectorSlicer(inputCol="_raw", outputCol="_margin", indices=[1])
+    platt = LogisticRegression(featuresCol="_margin", labelCol=label, regParam=0.0).fit(margin.transform(svm.transform(calib)).select("_margin", label))
+    return PipelineModel(stages=[svm, margin, platt, SQLTransformer(statement="SELECT * EXCEPT (_raw, _side, _margin) FROM __THIS__")])
+
+
+def text_model(tfidf: TfidfModel, model) -> PipelineModel:
+    """Text to prediction as one model: it is saved, and loaded by
+    ``PipelineModel.load``, as a whole."""
+    return PipelineModel(stages=list(tfidf.pipeline.stages) + (list(model.stages) if isinstance(model, PipelineModel) else [model]))
 
 
 def train_gbt(train: DataFrame, features: str = "features", label: str = "label", max_iter: int = 100,
@@ -298,6 +291,70 @@ def feature_weights(spark, vocab: list[str], coefficients, top: int = 20) -> Dat
     return spark.createDataFrame(rows, "feature string, weight double, side string, rank int")
 
 
+def _partial_products(rows: DataFrame, features: str, basis: np.ndarray) -> np.ndarray:
+    """X'X B of the rows' sparse vectors X, for a small basis B: a task sums
+    its own rows, Spark adds the tasks' sums by feature; vocabulary x columns
+    numbers reach the driver."""
+    shared = rows.sparkSession.sparkContext.broadcast(basis)
+
+    def run(batches):
+        basis = shared.value
+        total = np.zeros_like(basis)
+        for pdf in batches:
+            for at, x in zip(pdf["i"], pdf["x"]):
+                at, x = np.asarray(at, int), np.asarray(x)
+                total[at] += np.outer(x, x @ basis[at])
+        used = np.flatnonzero(np.abs(total).sum(axis=1))
+        yield pd.DataFrame({"i": used, "v": list(total[used])})
+
+    parts = rows.select(sparse_parts(features, "i").alias("i"), sparse_parts(features, "x").alias("x")).mapInPandas(run, "i long, v array<double>")
+    added = parts.groupBy("i").agg(*(F.sum(F.get("v", F.lit(j))).alias(f"v{j}") for j in range(basis.shape[1])))
+    out = np.zeros_like(basis)
+    for r in added.toLocalIterator():
+        out[r[0]] = r[1:]
+    return out
+
+
+def sparse_parts(features: str, part: str):
+    """Places ("i") or values ("x") of the entries of a vector that are not 0."""
+    dense = vector_to_array(features)
+    entries = F.filter(F.transform(dense, lambda x, i: F.struct(i.cast("long").alias("i"), x.alias("x"))), lambda e: e["x"] != 0)
+    return F.transform(entries, lambda e: e[part])
+
+
+def semantic_basis(rows: DataFrame, features: str = "features", k: int = 50, extra: int = 10, rounds: int = 4, seed: int = 42) -> np.ndarray:
+    """The ``k`` main right singular vectors of the rows' vectors (vocabulary x
+    k), by a randomised truncated SVD: a random basis, some rounds of X'X and
+    orthogonalisation, and an exact decomposition inside the space found. What
+    is held at once is bounded by vocabulary x (k + extra), whatever the rows
+    are. A vector's largest entry is positive, so that equal runs agree."""
+    width = rows.select(F.size(vector_to_array(features))).first()[0]
+    columns = min(k + extra, width)
+    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, columns)))[0]
+    for _ in range(rounds):
+        basis = np.linalg.qr(_partial_products(rows, features, basis))[0]
+    values, turn = np.linalg.eigh(basis.T @ _partial_products(rows, features, basis))
+    main = basis @ turn[:, np.argsort(-values)[:k]]
+    return main * np.sign(main[np.abs(main).argmax(axis=0), np.arange(main.shape[1])])
+
+
+def semantic_vectors(rows: DataFrame, basis: np.ndarray, features: str = "features", out_col: str = "embedding") -> DataFrame:
+    """Add each row's latent semantic vector, scaled to length one (all 0 for
+    a text without a known term)."""
+    shared = rows.sparkSession.sparkContext.broadcast(basis)
+
+    @F.pandas_udf("array<double>")
+    def project(at: pd.Series, x: pd.Series) -> pd.Series:
+        basis = shared.value
+        out = []
+        for i, v in zip(at, x):
+            y = np.asarray(v, float) @ basis[np.asarray(i, int)] if len(i) else np.zeros(basis.shape[1])
+            out.append(y / (np.linalg.norm(y) or 1.0))
+        return pd.Series(out)
+
+    return rows.withColumn(out_col, project(sparse_parts(features, "i"), sparse_parts(features, "x")))
+
+
 def embedding_features(df: DataFrame, emb_col: str = "embedding", out_col: str = "features") -> DataFrame:
     return df.withColumn(out_col, array_to_vector(F.col(emb_col).cast("array<double>")))
 

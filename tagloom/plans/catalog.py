@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -1261,6 +1262,7 @@ def _text_model(spark, sf) -> tuple:
 
 
 ROWS_PER_PART = 50_000
+SEMANTIC_DIMS = 50
 
 
 def _model(spark, sf, name: str):
@@ -1327,6 +1329,43 @@ def q_predict_long_checks(spark, sf):
         F.count_if(side & ((F.col("p1") > 0.5).cast("int") == F.col("prediction"))).alias("n_consistent"))
 
 
+@query("saved_models", f"""SELECT m AS model, count(*) AS n_rows, count(*) AS n_same FROM documents, (SELECT unnest({Q.text_list(L.CLASSICAL_MODELS)}) AS m) GROUP BY m""")
+def q_saved_models(spark, sf):
+    """Text to prediction as one saved model each: loaded again, it gives every
+    document the label and the confidence that the fitted model gives."""
+    tf, _ = _text_model(spark, sf)
+    loaded = {}
+    for m in L.CLASSICAL_MODELS:
+        path = checkpoint_path(spark, f"model-{m}-{uuid.uuid4().hex}")
+        ML.text_model(tf, _model(spark, sf, m)).write().save(path)
+        loaded[m] = PipelineModel.load(path)
+    texts = S.docs(spark, sf).select(F.col("doc_id").alias("id"), "text")
+    again = None
+    for m, model in loaded.items():
+        one = ML.predict_long(texts, {m: model}, "id", "v1", "p1").select("id", "model", F.col("prediction").alias("again"), F.col("confidence").alias("p"))
+        again = one if again is None else again.unionByName(one)
+    both = _predicted(spark, sf, "p1").join(again, ["id", "model"])
+    same = (F.col("prediction") == F.col("again")) & (F.abs(F.col("confidence") - F.col("p")) < 1e-9)
+    return both.groupBy("model").agg(F.count("*").alias("n_rows"), F.count_if(same).alias("n_same"))
+
+
+@query("semantic_classifier")
+def q_semantic_classifier(spark, sf):
+    """Text in, class out by way of latent semantic vectors: TF-IDF, a
+    truncated SVD fitted on the gold training rows, and a logistic model."""
+    tf, feats = _text_model(spark, sf)
+    basis = kept(spark, sf, "semantic-basis", lambda: ML.semantic_basis(feats.where("is_test = 0"), k=SEMANTIC_DIMS))
+
+    def build():
+        train = ML.embedding_features(ML.semantic_vectors(feats.where("is_test = 0"), basis).drop("features"))
+        return ML.train_logreg(written(spark, train.select("id", "label", "features"), "semantic-features"), balanced=True)
+
+    model = kept(spark, sf, "semantic-model", build)
+    docs = tf.transform(S.docs(spark, sf).select(F.col("doc_id").alias("id"), "text")).select("id", "features")
+    rows = ML.embedding_features(ML.semantic_vectors(docs, basis).drop("features"))
+    return ML.predict_long(rows, {"semantic": model}, "id", "v1", "p1").select("id", "prediction", "confidence")
+
+
 @query("test_supports", f"""WITH {Q.GOLD}
 SELECT m AS model, CAST(c AS VARCHAR) AS class, (SELECT count(*) FROM gold JOIN documents d ON d.doc_id = gold.id WHERE is_test = 1 AND relevance_true = c) AS support
 FROM (SELECT unnest({Q.text_list(L.CLASSICAL_MODELS)}) AS m), (VALUES (0), (1)) k(c)""")
