@@ -1,7 +1,9 @@
 """Exact top-k search: tiled products of queries and shards.
 
-Candidates are dealt to shards by a hash of their id; every query goes to
-every shard (queries are the smaller side: a stated set, in blocks, so the
+Candidates are dealt to shards by a hash of id and vector, so that an id on
+many rows is many shards' work. A shard has about ``SHARD_BYTES`` of doubles,
+counted from the vectors' lengths; small inputs are cut into smaller shards
+for as many tasks as run at once. Every query goes to every shard (queries are the smaller side: a stated set, in blocks, so the
 rows moved are queries x shards, never queries x candidates). A task holds one
 shard as a matrix, streams the query rows past it in tiles, and keeps k rows a
 query and tile by partial selection. The short lists are merged as a tree:
@@ -29,8 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import batch_of
 
-#: vectors a shard at most, scores a tile, lists merged at once
-SHARD, TILE, FAN = 131_072, 1 << 22, 16
+#: vectors a shard and its bytes (a task holds them up to three times), bytes
+#: of a shard worth a task of its own, scores a tile, lists merged at once
+SHARD, SHARD_BYTES, LEAST_BYTES, TILE, FAN = 131_072, 32 << 20, 1 << 20, 1 << 22, 16
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -77,11 +80,18 @@ def product(queries: np.ndarray, shard: np.ndarray) -> np.ndarray:
     return np.clip(exact, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
+def shards_for(rows: int, size: int, cores: int, shard_rows: int = SHARD) -> int:
+    """How many shards hold so many rows of so many bytes; only shards that
+    are worth a task are added for the cores, so queries are not copied for each."""
+    return max(1, -(-rows // shard_rows), -(-size // SHARD_BYTES), min(2 * cores, -(-size // LEAST_BYTES)))
+
+
 def search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, *, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = SHARD) -> DataFrame:
     """(query_id, rank, vec_id, score); ``is_query`` is a condition on ``id``."""
-    shards = max(2 * spark.sparkContext.defaultParallelism, -(-vectors.count() // shard_rows))
     rows = usable(vectors, id_col, vec_col)
-    candidates = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("asks"), "id", "v", "dim")
+    n, numbers = rows.agg(F.count("*"), F.sum("dim")).first()
+    shards = shards_for(n, 8 * (numbers or 0), spark.sparkContext.defaultParallelism, shard_rows)
+    candidates = rows.select(F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("asks"), "id", "v", "dim")
     queries = rows.where(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"), "id", "v", "dim")
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("shard", pa.int32())])
 

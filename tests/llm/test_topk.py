@@ -55,5 +55,18 @@ def test_many_small_shards_merge_as_a_tree(spark):
     assert got == sorted(brute.topk(rows, 50, 5))
 
 
+def test_shards_are_bounded_by_bytes_not_by_cores():
+    assert topk.shards_for(1_000_000, 1_000_000 * 768 * 8, 8) * topk.SHARD_BYTES >= 1_000_000 * 768 * 8
+    assert topk.shards_for(50_000, 50_000 * 64 * 8, 5_000) == 25 and topk.shards_for(10, 80, 5_000) == 1 and topk.shards_for(0, 0, 8) == 1
+
+
+def test_one_id_on_most_rows_is_spread_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_BYTES", 64)
+    r = random.Random(3)
+    rows = [(7, [float(r.randint(-4, 4)), float(r.randint(-4, 4))]) for _ in range(150)] + [(i, [1.0, float(i % 5)]) for i in range(40)]
+    got = rows_of(topk.search(spark, table(spark, rows), F.col("id") % 10 == 0))
+    assert got == sorted(brute.topk(rows, 10, 5))
+
+
 def test_empty_table(spark):
     assert topk.search(spark, table(spark, []), F.col("id") % 10 == 0).count() == 0
