@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from tagloom.llm import queries, toxicity
 from tests.llm.conftest import row
@@ -122,3 +123,12 @@ def test_leaving_out_rare_slots_changes_no_weight(spark):
     whole = toxicity.fit([(x, y) for _, x, y in rows], toxicity.Params())
     assert len(m.index) and m.index.tolist() == whole.index.tolist()
     assert np.allclose(m.weight, whole.weight) and math.isclose(m.bias, whole.bias)
+
+
+def test_a_null_id_is_in_no_fold(spark, tmp_path):
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd_one = given.limit(1).withColumn("doc_id", F.lit(None).cast("long"))
+    given.unionByName(odd_one).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet("/root/testdata/sf0.001/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = queries.op2_toxicity(spark, str(tmp_path)).where("doc_id IS NULL").collect()
+    assert [r["held_out"] for r in rows] == [False]
