@@ -10,23 +10,30 @@ of token characters; base spans are cut out of it, and each part left that has
 16 or more characters is scored. A part whose log-likelihood ratio is high
 enough in total and per character is added.
 
-Training labels come from the corpus: values of base spans are the random
-class, other runs of 6 or more token characters the ordinary class. About
-``max_train_docs`` documents, drawn by a hash of their text, are read for it;
-the transition counts are summed by Spark and at most 2 x 66 x 66 of them
-reach the driver. Either class is smoothed towards its character frequencies;
-the random class starts from a strong uniform prior (a random string takes every
-character alike), so a corpus without one secret has a defined model.
+Both classes are learnt from labelled samples of two sources. ``samples`` makes
+the one by rule from a fixed seed: keys over the usual alphabets are random;
+names put together from common words in the usual styles, paths, UUIDs,
+numbers and alphabets are ordinary. The corpus gives the other: values of base
+spans are random; other runs of 6 or more token characters, and its words put
+together in the same styles, are ordinary. In either class the corpus weighs at
+most as much as the made samples, so prose without one identifier does not
+drown them. About ``max_train_docs`` different texts, drawn by their hash and
+each counted once however often it is copied, are read for it; Spark sums the
+transition counts, and at most 2 x 67 x 67 of them reach the driver. Either
+class is smoothed towards its character frequencies.
 
 Defined results: null texts are empty and have no span; ids may repeat or be
 null, a row of result for each row; offsets are code points, end exclusive;
-other columns are ignored.
+texts of any length are scanned whole, in one pass; an empty table gives no row
+and a model of the made samples alone; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,18 +53,32 @@ RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{6,}")
 LONG_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 CODE = np.zeros(128, np.int64)
 CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
+WORD = re.compile(r"[A-Za-z]{2,}")
 MASK = "[REDACTED]"
 
+#: common words of names in code, links and file systems (labelled ordinary)
+NAME_WORDS = """
+account active add address admin agent allow api app archive array async auth backup base batch block board buffer build byte cache call
+category check child class client cluster code com common config content context control core count create current customer daily data date
+default delete dev device document download edit email engine error event example export factory field file filter flag folder foo bar format
+function get global group guide header health height help home host html http https icon id image impl import index info input internal item
+java job json key label language length level library license limit link list load local lock log main manager map max memory message method
+min mode model module mount name network node number object option order org output page parent password path payment plugin port prefix
+print process profile project proxy public python query queue rate record remote report request reset response result retry root route run
+schema score search server service session set shared size source state string system table test token type update url user util value
+version view web wiki window work write year zone
+""".split()
+
 
 @dataclass(frozen=True)
 class Params:
     max_train_docs: int = 20_000
     #: pseudo-counts a character of the uniform prior of either class
-    random_prior: float = 40.0
+    random_prior: float = 4.0
     ordinary_prior: float = 0.5
     #: a run is added from this log-likelihood ratio on: in all, and a transition
-    min_total: float = 40.0
-    min_mean: float = 2.2
+    min_total: float = 16.0
+    min_mean: float = 0.9
     #: and so many different characters: lines of one sign are no secrets
     min_distinct: int = 8
 
@@ -121,35 +142,99 @@ def all_spans(text: str, model: Model) -> list[tuple[int, int, int, int, int]]:
     return sorted(base + added) if added else base
 
 
-def transitions(texts: list[str]) -> np.ndarray:
-    """Counts [class, prev, next] over the labelled runs of texts; class 1 is random."""
+def styled(words: list[str], k: int) -> str:
+    """The words as one name, in the k-th of the usual styles."""
+    if k == 0:
+        return "_".join(words).lower()
+    if k == 1:
+        return "_".join(words).upper()
+    if k == 2:
+        return words[0].lower() + "".join(w.capitalize() for w in words[1:])
+    if k == 3:
+        return "".join(w.capitalize() for w in words)
+    if k == 4:
+        return "-".join(words).lower()
+    if k == 5:
+        return "/".join(words).lower()
+    if k == 6:
+        return "_".join(w.capitalize() for w in words)
+    return "/".join([*words[:-1], styled(words, 3)]).lower() if len(words) < 3 else "/".join([*(w.lower() for w in words[:-2]), styled(words[-2:], 3)])
+
+
+STYLES = 8
+
+
+def names_of(text: str) -> list[str]:
+    """The words of a text, put together by three in the styles in turn."""
+    words = WORD.findall(text)
+    return [styled(words[i:i + 3], (i // 3) % STYLES) for i in range(0, len(words), 3)]
+
+
+def samples(seed: int, n: int = 12_000) -> tuple[list[str], list[str]]:
+    """(random, ordinary) labelled strings, made by rule from a seed."""
+    r = random.Random(seed)
+    kinds = [ALPHABET[:62], ALPHABET[:62], ALPHABET[:64], ALPHABET[:62] + "_-", ALPHABET[:26] + ALPHABET[52:62], ALPHABET[26:62]]
+    keys = ["".join(r.choices(kinds[i % len(kinds)], k=r.randint(16, 44))) for i in range(n)]
+    names = []
+    for i in range(n):
+        name = styled(r.choices(NAME_WORDS, k=r.randint(2, 5)), i % STYLES)
+        names.append(name + r.choice(["", "", "", "", "_%d", "-%d", "%d", "/%d", "=%d"]).replace("%d", str(r.randrange(10 ** r.randint(1, 4)))))
+    for i in range(n // 20):  # UUIDs, dates, numbers, lines and alphabets
+        u = str(uuid.UUID(int=r.getrandbits(128)))
+        names += [u if i % 4 else u.upper(), f"{r.randint(1990, 2035)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}T{r.randint(0, 23):02}-{r.randint(0, 59):02}", str(r.getrandbits(64)), "-=_/+"[i % 5] * 20]
+        names += [ALPHABET[:26], ALPHABET[26:52], ALPHABET[52:62]]
+    return keys, names
+
+
+def pairs_in(runs: list[str]) -> np.ndarray:
+    """Counts [prev, next] inside the runs."""
+    size = len(ALPHABET)
+    # a byte that is no token character parts the runs
+    c = np.frombuffer("\x00".join(runs).replace(".", "\x00").encode("ascii"), np.uint8)
+    inside = (c[:-1] != 0) & (c[1:] != 0)
+    return np.bincount(CODE[c[:-1][inside]] * size + CODE[c[1:][inside]], minlength=size * size).reshape(size, size)
+
+
+def transitions(texts: list[str], named: bool = False) -> np.ndarray:
+    """Counts [class, prev, next] over the labelled runs of texts; class 1 is
+    random. ``named`` adds the names made of a text's words to class 0."""
     counts = np.zeros((2, len(ALPHABET), len(ALPHABET)), np.int64)
     for text in texts:
         base = base_spans(text)
-        for label, cuts in ((1, [(s[3], s[4]) for s in base]), (0, uncovered([m.span() for m in RUN.finditer(text)], [(s[0], s[2]) for s in base]))):
-            # a byte that is no token character parts the runs
-            c = np.frombuffer("\x00".join(text[a:b].replace(".", "\x00") for a, b in cuts).encode("ascii"), np.uint8)
-            inside = (c[:-1] != 0) & (c[1:] != 0)
-            np.add.at(counts[label], (CODE[c[:-1][inside]], CODE[c[1:][inside]]), 1)
+        counts[1] += pairs_in([text[s[3]:s[4]] for s in base])
+        plain = uncovered([m.span() for m in RUN.finditer(text)], [(s[0], s[2]) for s in base])
+        counts[0] += pairs_in([text[a:b] for a, b in plain] + (names_of(text) if named else []))
     return counts
 
 
+def with_samples(counts: np.ndarray) -> np.ndarray:
+    """Counts of the made samples and, weighing at most as much, of the corpus."""
+    keys, names = samples(1)
+    made = np.stack([pairs_in(names), pairs_in(keys)]).astype(float)
+    for label in range(2):
+        made[label] += counts[label] * min(1.0, made[label].sum() / max(counts[label].sum(), 1))
+    return made
+
+
 def train(docs: DataFrame, params: Params = Params(), *, text_col: str = "text") -> Model:
-    share = min(1.0, params.max_train_docs / max(docs.count(), 1))
-    rows = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text", F.lit("secrets")), F.lit(1 << 30)) < int(share * (1 << 30))))
+    texts = docs.select(F.col(text_col).alias("text")).where("text IS NOT NULL").withColumn("digest", F.xxhash64("text", F.lit("secrets")))
+    total = texts.agg(F.approx_count_distinct("digest").alias("n")).first()["n"]
+    share = min(1.0, params.max_train_docs / max(total, 1))
+    drawn = texts.where(F.pmod("digest", F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = drawn.groupBy("digest").agg(F.first("text").alias("text")).select("text")  # copies meet map-side
     schema = pa.schema([("label", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, len(ALPHABET), len(ALPHABET)), np.int64)
         for b in pieces(batches):
-            total += transitions(b.column("text").to_pylist())
+            total += transitions(b.column("text").to_pylist(), named=True)
         at = np.nonzero(total)
         yield batch_of(schema, [*at, total[at]])
 
     total = np.zeros((2, len(ALPHABET), len(ALPHABET)))
     for r in rows.mapInArrow(count, "label int, a int, b int, n long").groupBy("label", "a", "b").agg(F.sum("n").alias("n")).collect():
         total[r["label"], r["a"], r["b"]] = r["n"]
-    return from_counts(total, params)
+    return from_counts(with_samples(total), params)
 
 
 def from_counts(counts: np.ndarray, params: Params = Params()) -> Model:
