@@ -128,12 +128,15 @@ def train(docs: DataFrame, labels: DataFrame, wanted: Column | None = None, para
     condition on a column named doc_id)."""
     marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y IN (0, 1) AND doc_id IS NOT NULL")
     marked = marked if wanted is None else marked.where(wanted)
-    total = marked.count()
+    marked = marked.distinct()
+    # an example is a labelled id with one of its texts, counted once however often the row repeats
+    text = F.col(text_col)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("digest"), text.alias("text"))
+    total = texts.select("doc_id", "digest").join(marked, "doc_id").agg(F.approx_count_distinct(F.xxhash64("doc_id", "digest", "y")).alias("n")).first()["n"]
     share = min(1.0, params.max_train_rows / max(total, 1))
-    # a hash threshold, no sort: about max_train_rows rows whatever the table's size
-    marked = marked.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) < int(share * (1 << 30)))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = texts.join(marked, "doc_id")
+    # a hash threshold, no sort: about max_train_rows examples whatever the table's size
+    drawn = texts.where(F.pmod(F.xxhash64("doc_id", "digest", F.lit("toxicity")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = drawn.join(marked, "doc_id").groupBy("doc_id", "digest", "y").agg(F.first("text").alias("text"))
     listed = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("x", pa.list_(pa.int32()))])
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -132,3 +132,22 @@ def test_a_null_id_is_in_no_fold(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
     rows = queries.op2_toxicity(spark, str(tmp_path)).where("doc_id IS NULL").collect()
     assert [r["held_out"] for r in rows] == [False]
+
+
+def test_one_labelled_id_on_many_rows(spark):
+    """A row that repeats is one example, and other texts of one id are drawn from, too."""
+    p = toxicity.Params(max_train_rows=400)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int")
+    one = [(i, ("vile awful " if i % 2 else "kind gentle ") + f"words {i}") for i in range(100)]
+    plain = toxicity.train(spark.createDataFrame(one, "doc_id long, text string"), labels, params=p)
+    hot = toxicity.train(spark.createDataFrame(one + [one[7]] * 5000, "doc_id long, text string").repartition(8), labels.union(labels), params=p)
+    assert plain.bias == hot.bias and list(plain.index) == list(hot.index) and list(plain.weight) == list(hot.weight)
+
+    many = spark.createDataFrame(one + [(7, f"text {k} of an id") for k in range(5000)], "doc_id long, text string")
+    sizes, fit = [], toxicity.releasable
+    try:
+        toxicity.releasable = lambda examples, params: (sizes.append(examples.count()), fit(examples, params))[1]
+        toxicity.train(many, labels, params=p)
+    finally:
+        toxicity.releasable = fit
+    assert 200 < sizes[0] < 600
