@@ -12,11 +12,12 @@ document that lacks at most the share the threshold allows must hold one of
 any k shingles, so the search loses no pair. Sketches are short and the search
 is one-sided: every shingle hash of a document is looked up, in place, without
 a shuffle of shingles or texts. Candidate pairs are verified by exact
-containment of the shingles as strings.
+containment of the shingles as strings: a document with candidates is split
+once, whatever their number, and its shingles look the items' shingles up.
 
 The sketch table, the item shingles and the candidate list are broadcast only
-if their counted rows stay below ``MOST``; beyond it they are joined by a
-shuffle, with the same results.
+if their counted rows and bytes stay below ``MOST`` and ``MOST_BYTES``; beyond
+either they are joined by a shuffle, with the same results.
 
 Defined results: null and wordless texts hold nothing and, as items, are in
 nothing; items with equal text are reported each; a doc_id on several rows is
@@ -32,8 +33,9 @@ from pyspark.sql import functions as F
 from ..operators.matching import fence
 from .common import keyed, staged
 
-#: rows up to which a table is broadcast
+#: rows and bytes of values up to which a table is broadcast
 MOST = 500_000
+MOST_BYTES = 32 << 20
 
 
 def words(text: Column) -> Column:
@@ -54,8 +56,10 @@ def shingles(w: Column, n: Column) -> Column:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if a count says that it is short."""
-    return F.broadcast(df) if df.count() <= MOST else df
+    """``df`` marked for broadcast if a count says that it has few rows and bytes."""
+    wide = [F.coalesce(F.octet_length(c), F.lit(0)) if t == "string" else F.lit(8) for c, t in df.dtypes]
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(wide, F.lit(0)).cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if rows <= MOST and size <= MOST_BYTES else df
 
 
 def item_table(items: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -90,14 +94,16 @@ def contained(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold:
     found = probes.join(small(staged(spark, sketches(item, threshold), "sketches")), "h").select("doc_id", "digest", "item").distinct()
     pairs = staged(spark, found, "candidates")
 
-    texts = item.groupBy("item").agg(F.first("n").alias("n"), F.first("shingles").alias("wanted"))
-    mine = small(pairs).withColumnsRenamed({"doc_id": "own", "digest": "sum"})
-    held = rows.join(mine, rows["doc_id"].eqNullSafe(mine["own"]) & (rows["digest"] == mine["sum"])).select("doc_id", "digest", "text", "item")
-    # fenced: a filter pushed below would split the text again for each shingle
-    held = fence(held.join(small(staged(spark, texts, "texts")), "item"), words(F.col("text")), "w")
-    held = fence(held, F.size(F.array_intersect("wanted", shingles(F.col("w"), F.col("n")))), "n_shared")
-    held = held.select("doc_id", "digest", "item", F.size("wanted").alias("n_shingles"), "n_shared")
-    held = held.where(F.col("n_shared") >= F.ceil(F.col("n_shingles") * F.lit(threshold) - 1e-9)).groupBy("doc_id", "digest", "item").agg(F.first("n_shingles").alias("n_shingles"), F.max("n_shared").alias("n_shared"))
+    # each item's shingles, numbered, and of how many words it has them
+    first = item.groupBy("item").agg(F.first("shingles").alias("wanted"))
+    wanted = staged(spark, first.select("item", F.size("wanted").alias("n_shingles"), F.posexplode("wanted").alias("k", "s")), "wanted")
+    mine = small(pairs.select(F.col("doc_id").alias("own"), F.col("digest").alias("sum")).distinct())
+    held = rows.join(mine, rows["doc_id"].eqNullSafe(mine["own"]) & (rows["digest"] == mine["sum"]), "left_semi")
+    # fenced: what comes below would split the text again for each shingle
+    held = fence(held, words(F.col("text")), "w").select("doc_id", "digest", F.explode(F.concat(*[shingles(F.col("w"), F.lit(n)) for n in lengths])).alias("s"))
+    hits = held.join(small(wanted), "s").select("doc_id", "digest", "item", "n_shingles", "k").distinct()
+    shared = hits.groupBy("doc_id", "digest", "item").agg(F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).cast("int").alias("n_shared"))
+    held = shared.where(F.col("n_shared") >= F.ceil(F.col("n_shingles") * F.lit(threshold) - 1e-9))
     ids = small(item.select("item", "item_id"))
     return held.join(ids, "item").select("doc_id", "digest", "item_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 

@@ -99,3 +99,22 @@ def test_empty_tables(spark, docs, items, none):
 def test_no_python_in_the_plan(spark, docs, items):
     plan = decontaminate.pairs_of(spark, frame(spark, docs), item_frame(spark, items))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "Cartesian", "NestedLoop"))
+
+
+def test_broadcasts_are_admitted_by_bytes(spark, monkeypatch):
+    wide = spark.createDataFrame([(i, "x" * 1000) for i in range(50)], "item long, s string")
+
+    def hinted(df):
+        return "broadcast" in decontaminate.small(df)._jdf.queryExecution().logical().toString()
+
+    assert hinted(wide) and hinted(wide.limit(0))
+    monkeypatch.setattr(decontaminate, "MOST_BYTES", 40_000)
+    assert not hinted(wide) and hinted(wide.select("item"))
+
+
+def test_repeated_rows_and_many_items_a_document(spark):
+    """A document's shingles count once, however often its row repeats, for each of many items."""
+    parts = [sentence(3000 + i, 12) for i in range(60)]
+    text = " ".join(parts)
+    df = decontaminate.pairs_of(spark, frame(spark, [(1, text)] * 40 + [(2, text)]), item_frame(spark, list(enumerate(parts))))
+    assert got(df) == want(brute.contained([(1, text), (2, text)], list(enumerate(parts)))) and df.count() == 120
