@@ -32,7 +32,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batch_of, keyed, pieces, staged
@@ -244,6 +244,6 @@ def keep_one(spark: SparkSession, docs: DataFrame, bits: int = 4, width: int = 4
     digest = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.withColumns({"__llm_own": F.col(id_col).cast("long"), "__llm_sum": digest})
     kept = rows.join(winners, F.col("__llm_own").eqNullSafe(F.col("__llm_id")) & (F.col("__llm_sum") == F.col("__llm_digest")), "left_semi")
-    # the window has the join's keys, so it moves no row again
-    one = Window.partitionBy("__llm_own", "__llm_sum").orderBy(F.lit(0))
-    return kept.withColumn("__llm_row", F.row_number().over(one)).where("__llm_row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # one whole row of each repeated one; repeats meet map-side, not in one task
+    one = kept.groupBy("__llm_own", "__llm_sum").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__llm_row"))
+    return one.select(*[F.col("__llm_row").getField(c).alias(c) for c in docs.columns])

@@ -74,3 +74,8 @@ def test_keep_one_row_of_each_group(spark, odd, pairs):
     assert len(rows) == len(groups)
     ids = {g for _, _, g in want if g is not None}
     assert {r["doc_id"] for r in rows if r["doc_id"] is not None} == ids
+
+
+def test_repeats_of_a_kept_row_meet_map_side(spark, odd):
+    plan = simhash.keep_one(spark, odd)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "partial_first" in plan
