@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,10 +122,63 @@ def sentences(text: Column) -> Column:
     return F.split(F.regexp_replace(text, SENTENCE_BREAK, "$1\u0001"), "\u0001")
 
 
-def keyword_context(df: DataFrame, id_col: str, text_col: str, kw_col: str, window: int = 2) -> DataFrame:
+#: a token: opening marks, a word that may hold periods, a period, closing marks
+ABBREVIATION_TOKEN = r"^[\"'(\[{]*(\p{L}+(?:\.\p{L}+)*)(\.?)[\"',;:!?)\]}]*$"
+#: the same word with its period before a possible break
+LAST_ABBREVIATION = r"(?:^|[ \t\r\n])[\"'(\[{]*(\p{L}+(?:\.\p{L}+)*)\.[ \t\r\n]*$"
+MIN_ABBREVIATION_SCORE = 0.3
+MOST_INLINE_ABBREVIATIONS = 20_000  # beyond it they are joined, with the same result
+
+
+def abbreviations(df: DataFrame, text_col: str, min_score: float = MIN_ABBREVIATION_SCORE) -> DataFrame:
+    """(abbreviation, n_with, n_without, score): lower-case words that are
+    written with a period so often that it belongs to them.
+
+    Unsupervised, after Kiss and Strunk (2006): the log-likelihood ratio of
+    "the word and its period belong together" (0.99) against "a period follows
+    any word", times a preference for short words, for inner periods, and
+    against words that are often written without one. Two aggregates: counts
+    for each word, and their totals. Null and wordless texts count nothing; a
+    text counts as often as its row repeats.
+    """
+    tokens = df.select(F.explode(F.split(F.lower(F.col(text_col)), "[ \\t\\r\\n]+")).alias("_t"))
+    parts = tokens.select(F.regexp_extract("_t", ABBREVIATION_TOKEN, 1).alias("abbreviation"), F.regexp_extract("_t", ABBREVIATION_TOKEN, 2).alias("_p")).where("abbreviation <> ''")
+    words = parts.groupBy("abbreviation").agg(F.count_if(F.col("_p") == ".").alias("n_with"), F.count_if(F.col("_p") == "").alias("n_without"))
+    total = words.agg(F.sum(F.col("n_with") + F.col("n_without")).alias("_n"), F.sum("n_with").alias("_b"))
+    a, n = F.col("n_with").cast("double"), F.col("n_without").cast("double")
+    p = F.least(F.col("_b") / F.col("_n"), F.lit(1 - 1e-9))
+    ratio = 2 * (a * (F.lit(math.log(0.99)) - F.log(p)) + n * (F.lit(math.log(0.01)) - F.log(1 - p)))
+    inner = F.length("abbreviation") - F.length(F.replace("abbreviation", F.lit("."), F.lit("")))
+    letters = (F.length("abbreviation") - inner).cast("double")
+    scored = words.where("n_with > 0").crossJoin(F.broadcast(total))  # one row
+    scored = scored.withColumn("score", ratio * F.exp(-letters) * (inner + 1) * F.pow(letters, -n))
+    return scored.where(F.col("score") >= min_score).select("abbreviation", "n_with", "n_without", "score")
+
+
+def learnt_sentences(df: DataFrame, text_col: str, abbrevs: DataFrame, out_col: str = "_s") -> DataFrame:
+    """Add ``out_col``: the sentences as in ``sentences``, but without a break
+    behind a word of ``abbrevs`` (abbreviation, lower case). A null text has null."""
+    text = F.regexp_replace(F.col(text_col), r"([.!?][ \t\r\n]+)", "$1\u0001")
+    pieces = F.transform(F.split(text, "\u0001"), lambda x: F.struct(x.alias("x"), F.regexp_extract(F.lower(x), LAST_ABBREVIATION, 1).alias("w")))
+    d = fence(df, pieces, "_pieces")
+    if abbrevs.limit(MOST_INLINE_ABBREVIATIONS + 1).count() <= MOST_INLINE_ABBREVIATIONS:
+        known = [r["abbreviation"] for r in abbrevs.select("abbreviation").collect()]
+        own = lambda p: p["w"].isin(known) if known else F.lit(False)
+    else:  # each text gets the abbreviations among its own words; texts that are equal share them
+        d = d.withColumn("_d", F.md5(F.col(text_col)))
+        asked = d.select("_d", F.explode(F.array_distinct(F.transform("_pieces", lambda p: p["w"]))).alias("abbreviation")).where("abbreviation <> ''").distinct()
+        held = asked.join(abbrevs.select("abbreviation"), "abbreviation").groupBy("_d").agg(F.collect_set("abbreviation").alias("_own"))
+        d = d.join(held, "_d", "left").withColumn("_own", F.coalesce("_own", F.array().cast("array<string>")))
+        own = lambda p: F.array_contains("_own", p["w"])
+    kept = F.transform("_pieces", lambda p, i: F.when((i == F.size("_pieces") - 1) | own(p), p["x"]).otherwise(F.concat(F.regexp_replace(p["x"], r"[ \t\r\n]+$", ""), F.lit("\u0001"))))
+    return fence(d, F.split(F.array_join(kept, ""), "\u0001"), out_col).drop("_pieces", "_d", "_own")
+
+
+def keyword_context(df: DataFrame, id_col: str, text_col: str, kw_col: str, window: int = 2, abbrevs: DataFrame | None = None) -> DataFrame:
     """Sentences that hold a keyword (substring, case-insensitive) with ``window``
     sentences around them; overlapping or touching ranges merged; one row per
-    range: (id, range_start, range_end, context).
+    range: (id, range_start, range_end, context). With ``abbrevs`` (see
+    ``abbreviations``) no sentence ends behind one of them.
 
     All in-row: the sentence array, the matched indices and the merged
     ranges are higher-order functions over the row's own arrays.
@@ -131,7 +186,8 @@ def keyword_context(df: DataFrame, id_col: str, text_col: str, kw_col: str, wind
     # each sentence is lowered once, and the fences keep Catalyst from
     # computing an array again for every element of a function over it
     d = fence(df.select(id_col, text_col, kw_col), F.transform(kw_col, lambda k: F.lower(k)), "_k")
-    d = fence(d, sentences(F.col(text_col)), "_s").select(id_col, "_s", "_k")
+    d = fence(d, sentences(F.col(text_col)), "_s") if abbrevs is None else learnt_sentences(d, text_col, abbrevs)
+    d = d.select(id_col, "_s", "_k")
     n = F.size("_s")
     tested = F.transform(F.transform("_s", lambda x: F.lower(x)),
                          lambda x, i: F.struct(i.alias("i"), F.exists("_k", lambda k: x.contains(k)).alias("hit")))

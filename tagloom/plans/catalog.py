@@ -19,6 +19,7 @@ from ..functions import text as T
 from ..operators import agreement as AG
 from ..operators import evaluation as EV
 from ..operators import matching as M
+from ..operators import regex_sets as RX
 from ..operators import sampling as SA
 from ..operators import stats as ST
 from ..session import checkpoint_path, written
@@ -146,8 +147,8 @@ def q_dosage_filter(spark, sf):
     return out.select("doc_id", F.array_join("keywords", "; ").alias("keywords"))
 
 
-def _regex_sql_labels(text_sql: str) -> str:
-    items = ", ".join(f"{{'rx': '(?i){rx}', 'lab': '{lab}'}}" for rx, lab in S.REGEX_LEXICON)
+def _regex_sql_labels(text_sql: str, rules=S.REGEX_LEXICON) -> str:
+    items = ", ".join("{'rx': '(?i)%s', 'lab': '%s'}" % (rx.replace("'", "''"), lab.replace("'", "''")) for rx, lab in rules)
     return (f"list_sort(list_distinct(list_transform(list_filter([{items}], "
             f"lambda e: regexp_matches({text_sql}, e.rx)), lambda e: e.lab)))")
 
@@ -159,6 +160,16 @@ def q_regex_label_match(spark, sf):
     return M.regex_label_match(d, "text", S.REGEX_LEXICON).select("doc_id", "subreddit", "keyword")
 
 
+@query("regex_dictionary_match", f"""WITH {_REMARKED},
+m AS (SELECT doc_id, {_regex_sql_labels('body', S.REGEX_DICTIONARY)} AS labs FROM remarked_posts)
+SELECT doc_id, array_to_string(labs, '; ') AS keyword FROM m WHERE len(labs) > 0""")
+def q_regex_dictionary_match(spark, sf):
+    """The filtering phrases as regexes, by their required literals."""
+    posts = S.remarked_posts(spark, sf).select("doc_id", "body")
+    return RX.regex_dictionary_match(posts, "body", S.REGEX_DICTIONARY).select("doc_id", "keyword")
+
+
+
 @query("keyword_matrix", f"""SELECT id, kw AS keyword, CAST(contains(lower(text), kw) AS INTEGER) AS present
 FROM (SELECT doc_id AS id, text, unnest({Q.LEX[:-1]}, 'The', 'Der']) AS kw FROM documents)""")
 def q_keyword_matrix(spark, sf):
@@ -1070,10 +1081,7 @@ def q_span_priority(spark, sf):
     return SP.span_priority(spans, ["id"], "kind")
 
 
-@query("keyword_context", f"""WITH {Q.HITS},
-s AS (SELECT id, keywords, string_split(regexp_replace(text, '([.!?])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), chr(1)) AS sents
-      FROM hits),
-x AS (SELECT id, keywords, sents, unnest(sents) AS sent, generate_subscripts(sents, 1) - 1 AS i FROM s),
+_CONTEXT_SQL = """x AS (SELECT id, keywords, sents, unnest(sents) AS sent, generate_subscripts(sents, 1) - 1 AS i FROM s),
 m AS (SELECT id, sents, i, greatest(0, i - 2) AS a, least(len(sents), i + 3) AS b FROM x
       WHERE len(list_filter(keywords, lambda k: contains(lower(sent), lower(k)))) > 0),
 o AS (SELECT *, max(b) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM m),
@@ -1081,11 +1089,51 @@ g AS (SELECT *, sum(CASE WHEN pm IS NULL OR a > pm THEN 1 ELSE 0 END)
                   OVER (PARTITION BY id ORDER BY i ROWS UNBOUNDED PRECEDING) AS island FROM o),
 r AS (SELECT id, island, min(a) AS range_start, max(b) AS range_end, any_value(sents) AS sents FROM g GROUP BY id, island)
 SELECT id, CAST(island - 1 AS INTEGER) AS range_no, CAST(range_start AS INTEGER) AS range_start,
-       CAST(range_end AS INTEGER) AS range_end, array_to_string(sents[range_start + 1 : range_end], ' ') AS context FROM r""")
+       CAST(range_end AS INTEGER) AS range_end, array_to_string(sents[range_start + 1 : range_end], ' ') AS context FROM r"""
+
+
+@query("keyword_context", f"""WITH {Q.HITS},
+s AS (SELECT id, keywords, string_split(regexp_replace(text, '([.!?])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), chr(1)) AS sents
+      FROM hits),
+{_CONTEXT_SQL}""")
 def q_keyword_context(spark, sf):
     return SP.keyword_context(S.hits(spark, sf), "id", "text", "keywords", 2)
 
 
+_ABBREVIATED_SQL = f"""{Q.HITS},
+said AS (SELECT id, keywords, CASE WHEN id % 3 = 0 THEN concat_ws(' ', text, replace('{S.ABBREVIATED}', '<k>', keywords[1])) ELSE text END AS text FROM hits),
+tok AS (SELECT unnest(regexp_split_to_array(lower(text), '[ \\t\\r\\n]+')) AS t FROM said),
+part AS (SELECT regexp_extract(t, '{SP.ABBREVIATION_TOKEN.replace(chr(39), chr(39) * 2)}', 1) AS abbreviation,
+                regexp_extract(t, '{SP.ABBREVIATION_TOKEN.replace(chr(39), chr(39) * 2)}', 2) AS p FROM tok),
+word AS (SELECT abbreviation, count(*) FILTER (p = '.') AS a, count(*) FILTER (p = '') AS n FROM part WHERE abbreviation <> '' GROUP BY 1),
+sums AS (SELECT sum(a + n) AS n_all, least(sum(a) / sum(a + n), 1 - 1e-9) AS pr FROM word),
+abbr AS (SELECT abbreviation, a AS n_with, n AS n_without,
+  2 * (a * (ln(0.99) - ln(pr)) + n * (ln(0.01) - ln(1 - pr))) * exp(-length(replace(abbreviation, '.', '')))
+    * (length(abbreviation) - length(replace(abbreviation, '.', '')) + 1) * pow(length(replace(abbreviation, '.', '')), -n) AS score
+  FROM word, sums WHERE a > 0)"""
+
+
+@query("learnt_abbreviations", f"""WITH {_ABBREVIATED_SQL}
+SELECT abbreviation, CAST(n_with AS BIGINT) AS n_with, CAST(n_without AS BIGINT) AS n_without, round(score, 6) AS score
+FROM abbr WHERE score >= {SP.MIN_ABBREVIATION_SCORE}""")
+def q_learnt_abbreviations(spark, sf):
+    """Words that keep their period, learnt from the texts of the hits, every
+    third of which got a remark with doses and titles."""
+    return SP.abbreviations(S.abbreviated(spark, sf), "text").withColumn("score", F.round("score", 6))
+
+
+@query("keyword_context_learnt", f"""WITH {_ABBREVIATED_SQL},
+known AS (SELECT list(abbreviation) AS l FROM abbr WHERE score >= {SP.MIN_ABBREVIATION_SCORE}),
+cut AS (SELECT id, keywords, string_split(regexp_replace(text, '([.!?][ \\t\\r\\n]+)', '\\1' || chr(1), 'g'), chr(1)) AS ps FROM said),
+s AS (SELECT id, keywords, string_split(array_to_string(list_transform(ps, lambda x, i:
+        CASE WHEN i = len(ps) OR coalesce(list_contains(l, regexp_extract(lower(x), '{SP.LAST_ABBREVIATION.replace(chr(39), chr(39) * 2)}', 1)), false) THEN x
+             ELSE regexp_replace(x, '[ \\t\\r\\n]+$', '') || chr(1) END), ''), chr(1)) AS sents FROM cut, known),
+{_CONTEXT_SQL}""")
+def q_keyword_context_learnt(spark, sf):
+    said = S.abbreviated(spark, sf)
+    return SP.keyword_context(said, "id", "text", "keywords", 2, written(spark, SP.abbreviations(said, "text"), "abbreviations"))
+
+
 @query("mark_keywords")
 def q_mark_keywords(spark, sf):
     c = S.coded_lines(spark, sf)

@@ -8,9 +8,12 @@ tables. ``standins_sql`` spells the same rules for the DuckDB oracle.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import lexicon as L
 from ..lexicon import FIXTURE_LEXICON
 from ..operators.matching import keyword_match
 from ..operators.sampling import split_train_test
@@ -32,6 +35,12 @@ REGEX_LEXICON = [
     ("mit|with|avec", "with"),
 ]
 
+#: each filtering phrase as a regex (words apart by a space, a hyphen or nothing, perhaps a plural), with the rules above
+REGEX_DICTIONARY = [("[ -]?".join(re.sub(r"([!-/:-@\[-^`{-~])", r"\\\1", w) for w in p.split()) + "s?", p) for p in L.FILTERING_PHRASES] + REGEX_LEXICON
+
+#: a remark with words that keep their period and with real sentence ends; <k> is the text's first keyword
+ABBREVIATED = "Seen by Dr. Smith. The dose of <k> was approx. 5 mg. daily, cf. the notes. It helped. No more than 10 mg. in all, said Dr. Jones."
+
 
 # Remarks put behind some documents (by doc_id), since the invented prose holds
 # no lexicon phrase, dose or removed body: single and multi-word phrases,
@@ -213,3 +222,10 @@ def raw_lines(spark: SparkSession, sf: str) -> DataFrame:
     line = F.when(F.col("doc_id") % 97 == 0, F.expr("substr(_l, 1, length(_l) - 1)")) \
         .when(F.col("doc_id") % 89 == 1, F.concat("_l", F.lit(" trailing }"))).otherwise(F.col("_l"))
     return base.select("doc_id", "file", line.alias("line"))
+
+
+def abbreviated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text, keywords) of the hits, every third with a remark behind its text."""
+    remark = F.replace(F.lit(ABBREVIATED), F.lit("<k>"), F.get("keywords", 0))
+    text = F.when(F.col("id") % 3 == 0, F.concat_ws(" ", "text", remark)).otherwise(F.col("text"))
+    return hits(spark, sf_dir).select("id", text.alias("text"), "keywords")

@@ -1,5 +1,9 @@
 """Statistics, agreement, evaluation and span operators on hand-made rows."""
 
+import math
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from tagloom.operators import agreement as AG
@@ -187,3 +191,42 @@ def test_phrase_spans_equal_finditer_and_run_no_python(spark):
         assert sorted((x.id, x.keyword, x.start, x.end) for x in got.collect()) == want
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_abbreviations_are_learnt(spark):
+    text = "Dr. Smith took 5 mg. daily. It helped a lot. Then Dr. Jones, e.g. on Monday, took it. We saw it. The end was near. So it was."
+    texts = [text] * 40 + ["A daily lot was near them all and it was so."] * 5 + [None, "", "... 12. !"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r["abbreviation"]: (r["n_with"], r["n_without"], r["score"]) for r in SP.abbreviations(df, "text").collect()}
+    assert {"dr", "mg", "e.g"} <= set(got) and not {"it", "end", "lot", "was", "near", "daily"} & set(got)
+
+    counts = {}  # from the definition, token by token
+    for t in texts:
+        for token in (t or "").lower().split():
+            m = re.fullmatch(r"[\"'(\[{]*([^\W\d_]+(?:\.[^\W\d_]+)*)(\.?)[\"',;:!?)\]}]*", token)
+            if m:
+                counts.setdefault(m[1], [0, 0])[not m[2]] += 1
+    share = sum(a for a, _ in counts.values()) / sum(a + n for a, n in counts.values())
+    want = {}
+    for w, (a, n) in counts.items():
+        ratio = 2 * (a * math.log(0.99 / share) + n * math.log(0.01 / (1 - share)))
+        letters = len(w.replace(".", ""))
+        score = ratio * math.exp(-letters) * (w.count(".") + 1) * letters ** -n
+        if a and score >= 0.3:
+            want[w] = (a, n, pytest.approx(score))
+    assert got == want
+    assert SP.abbreviations(df.limit(0), "text").count() == 0
+
+
+def test_no_sentence_ends_behind_an_abbreviation(spark, monkeypatch):
+    abbrevs = spark.createDataFrame([("dr",), ("mg",), ("e.g",)], "abbreviation string")
+    texts = ["Seen by Dr. Smith. He took 5 mg. daily.\n It helped, e.g. a lot! Yes. ", "no break", "", None, "Dr. ", "(Dr. X) x.y. Z", "a mg.\t\n b? c", "mg mgs. Mg. m"]
+    want = {"Seen by Dr. Smith. He took 5 mg. daily.\n It helped, e.g. a lot! Yes. ": ["Seen by Dr. Smith.", "He took 5 mg. daily.", "It helped, e.g. a lot!", "Yes.", ""], "no break": ["no break"], "": [""], None: None,
+            "Dr. ": ["Dr. "], "(Dr. X) x.y. Z": ["(Dr. X) x.y.", "Z"], "a mg.\t\n b? c": ["a mg.\t\n b?", "c"], "mg mgs. Mg. m": ["mg mgs.", "Mg. m"]}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    for most in (20_000, 0):  # in the plan, and joined
+        monkeypatch.setattr(SP, "MOST_INLINE_ABBREVIATIONS", most)
+        assert {r["text"]: r["_s"] for r in SP.learnt_sentences(df, "text", abbrevs).collect()} == want
+    none = {r["text"]: r["_s"] for r in SP.learnt_sentences(df, "text", abbrevs.limit(0)).collect()}
+    plain = {r["text"]: r["s"] for r in df.select("text", SP.sentences(F.col("text")).alias("s")).collect()}
+    assert none == plain
