@@ -25,6 +25,7 @@ from ..operators import stats as ST
 from ..session import checkpoint_path, written
 from ..sources import dumps as DU
 from ..sources import files as FI
+from ..sources import zst as ZS
 from ..sources.keyed_table import KeyedTable
 from ..streaming.scoring import score_pending
 from . import sql as Q
@@ -102,6 +103,21 @@ def q_scan_line_counts(spark, sf):
     return DU.scan_line_counts(DU.tag_lines(parsed, L.FIXTURE_LEXICON))
 
 
+@query("dump_frames", f"""WITH {_ROUGH_SQL}
+SELECT file, count(*) FILTER (WHERE NOT removed) AS total_lines,
+       count(*) FILTER (WHERE len(keywords) > 0) AS keyword_lines,
+       count(*) FILTER (WHERE bad) AS bad_lines
+FROM tagged GROUP BY file""")
+def q_dump_frames(spark, sf):
+    """The raw lines written as zstd files of many frames, read back by runs of
+    frames (several tasks a file) and counted by the rough cut."""
+    path = checkpoint_path(spark, f"dump-{uuid.uuid4().hex}")
+    raw = S.raw_lines(spark, sf).repartitionByRange("file", "doc_id")
+    ZS.write_frames(raw.select("file", "line"), path, frame_bytes=1 << 14)
+    lines = ZS.read_frames(spark, path).withColumn("file", F.regexp_replace("file", r"-\d+\.zst$", ".zst"))
+    return DU.scan_line_counts(DU.tag_lines(DU.parse_json_lines(lines), L.FIXTURE_LEXICON))
+
+
 @query("title_first_match", f"""WITH d AS (
   SELECT doc_id, split_part(text, chr(10), 1) AS title,
          CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS body
