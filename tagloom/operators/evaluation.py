@@ -185,7 +185,9 @@ def example_rows(df: DataFrame, per_group: int = 10, order_col: str = "id") -> D
     ``df`` is the full-text examples table (id, model, predicted_label,
     gold_label, confidence, low_confidence, text, true_positive,
     false_positive, false_negative, true_negative). "First" means lowest
-    ``order_col`` (the original relied on input order).
+    ``order_col`` (the original relied on input order). (id, model) must be a key
+    of ``df``, as in the examples table: texts are fetched by it, so a pair that
+    repeats would come out once for each pair of its rows.
     """
     narrow = df.drop("text")
     dis = model_disagreement(narrow, "id", "predicted_label").select("id", "disagreement_ratio")

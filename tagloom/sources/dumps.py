@@ -2,7 +2,7 @@
 
 ``spark.read.text`` decompresses ``.zst`` natively (one task per file, the
 codec is not splittable), so ``read_dump`` repartitions right after the
-scan when asked. Everything after the scan is narrow except the per-file
+scan when asked; ``zst.read_frames`` gives a file of many frames to many tasks. Everything after the scan is narrow except the per-file
 line counts (one small aggregation).
 """
 
@@ -16,6 +16,7 @@ from ..lexicon import SHORT_NAME
 from ..operators.matching import keyword_match
 
 START_EPOCH = 1577836800  # 2020-01-01 00:00:00 UTC, the rough cut's start date
+EPOCHS = (-62135596800, 253402300799)  # the years 1 to 9999
 
 RAW_SCHEMA = "id string, body string, title string, selftext string, created_utc string"
 
@@ -41,14 +42,16 @@ def parse_json_lines(df: DataFrame, line_col: str = "line", file_col: str = "fil
     """Decode each line; ``bad`` = not JSON or a field its kind needs is missing.
 
     Adds id, body, title, selftext, created_utc (BIGINT), kind, bad. A
-    created_utc that is present but not a number is also bad (the original
-    stopped reading the file there; we go on with the next line).
+    created_utc that is present but not a number, or not a second of the years
+    1 to 9999, is also bad (the original stopped reading the file there; we go
+    on with the next line). Fractions and exponents (1.6e9) are numbers.
     """
     kind = file_kind(F.col(file_col))
     p = F.from_json(F.col(line_col), RAW_SCHEMA, {"mode": "PERMISSIVE"})
     out = df.withColumn("_j", p).withColumn("kind", kind)
     created = F.col("_j.created_utc")
-    created_num = F.when(created.rlike(r"^\s*-?[0-9]+(\.[0-9]+)?\s*$"), created.cast("double").cast("long"))
+    number = F.when(created.rlike(r"^\s*-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?\s*$"), created.cast("double"))
+    created_num = F.when(number.between(*EPOCHS), number.cast("long"))
     bad_json = F.col("_j").isNull() | ~is_json_object(F.col(line_col))
     need_c = F.col("_j.id").isNull() | F.col("_j.body").isNull()
     need_s = F.col("_j.id").isNull() | F.col("_j.title").isNull() | F.col("_j.selftext").isNull()

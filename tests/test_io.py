@@ -93,6 +93,17 @@ def test_json_lines_are_strict(spark):
     assert [x for x in rows if not got[x]] == rows[:2]
 
 
+def test_created_utc_takes_any_json_number(spark):
+    """Fractions and exponents count; what no date can hold is a bad line, not a failed job."""
+    from tagloom.sources import dumps as DU
+    want = {"1600000000": 1600000000, '"1600000000"': 1600000000, "1.6e9": 1600000000, "16E+8": 1600000000, "1600000000.9": 1600000000, "-5": -5,
+            "253402300799": 253402300799, "253402300800": None, "1e999": None, "99999999999999999999999": None, '"soon"': None, "null": None, "true": None}
+    df = spark.createDataFrame([("a_comments.zst", f'{{"id": "{k.strip(chr(34))}", "body": "x", "created_utc": {k}}}', v) for k, v in want.items()], "file string, line string, want long")
+    rows = DU.parse_json_lines(df).collect()
+    assert all((r.created_utc, r.bad) == (r.want, r.want is None) for r in rows), rows
+    assert DU.date_filter(DU.parse_json_lines(df).filter("not bad")).count() == 6
+
+
 def test_annotations_with_text_ids_keep_file_order(spark):
     from tagloom.operators import spans as SP
     base = tempfile.mkdtemp(prefix="tagloom-io-", dir="/tmp")
