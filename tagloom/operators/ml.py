@@ -305,7 +305,7 @@ def _partial_products(rows: DataFrame, features: str, basis: np.ndarray) -> np.n
                 at, x = np.asarray(at, int), np.asarray(x)
                 total[at] += np.outer(x, x @ basis[at])
         used = np.flatnonzero(np.abs(total).sum(axis=1))
-        yield pd.DataFrame({"i": used, "v": list(total[used])})
+        yield pd.DataFrame({"i": used, "v": pd.Series(list(total[used]), dtype=object)})  # a task without rows has no list to tell the type
 
     parts = rows.select(sparse_parts(features, "i").alias("i"), sparse_parts(features, "x").alias("x")).mapInPandas(run, "i long, v array<double>")
     added = parts.groupBy("i").agg(*(F.sum(F.get("v", F.lit(j))).alias(f"v{j}") for j in range(basis.shape[1])))
@@ -316,9 +316,11 @@ def _partial_products(rows: DataFrame, features: str, basis: np.ndarray) -> np.n
 
 
 def sparse_parts(features: str, part: str):
-    """Places ("i") or values ("x") of the entries of a vector that are not 0."""
-    dense = vector_to_array(features)
-    entries = F.filter(F.transform(dense, lambda x, i: F.struct(i.cast("long").alias("i"), x.alias("x"))), lambda e: e["x"] != 0)
+    """Places ("i") or values ("x") of the entries of a vector that are not 0.
+    A sparse vector is read as it is, never written out in full width."""
+    v = F.unwrap_udt(features)
+    places = F.coalesce(v["indices"], F.sequence(F.lit(0), F.size(v["values"]) - 1))  # a dense vector has none
+    entries = F.filter(F.arrays_zip(places.cast("array<long>").alias("i"), v["values"].alias("x")), lambda e: e["x"] != 0)
     return F.transform(entries, lambda e: e[part])
 
 
@@ -350,7 +352,7 @@ def semantic_vectors(rows: DataFrame, basis: np.ndarray, features: str = "featur
         for i, v in zip(at, x):
             y = np.asarray(v, float) @ basis[np.asarray(i, int)] if len(i) else np.zeros(basis.shape[1])
             out.append(y / (np.linalg.norm(y) or 1.0))
-        return pd.Series(out)
+        return pd.Series(out, dtype=object)
 
     return rows.withColumn(out_col, project(sparse_parts(features, "i"), sparse_parts(features, "x")))
 

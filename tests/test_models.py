@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tagloom.operators import ml as ML
@@ -97,3 +98,17 @@ def test_semantic_vectors_equal_an_exact_svd(spark, fitted):
     f = ML.embedding_features(ML.semantic_vectors(rows, basis).drop("features"))
     out = ML.train_logreg(f.where("fold > 0")).transform(f.where("fold = 0"))
     assert out.where("prediction = label").count() / out.count() > 0.9
+
+
+def test_semantic_basis_with_empty_tasks_and_dense_rows(spark):
+    """Five rows in eight partitions, sparse and dense, with stored zeros."""
+    x = [[1.0, 0, 2, 0], [0, 3, 0, 1], [2, 0, 4.5, 0], [0, 0, 0, 0], [0, 1, 0, 2]]
+    rows = [(i, Vectors.dense(v) if i % 2 else Vectors.sparse(4, range(4), v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, ["id", "features"]).repartition(8)
+    basis = ML.semantic_basis(df, k=2, extra=2, rounds=8)
+    right = np.linalg.svd(np.array(x), full_matrices=False)[2][:2]
+    assert all(abs(abs(basis[:, k] @ right[k]) - 1) < 1e-6 for k in range(2))
+    got = {r.id: r.embedding for r in ML.semantic_vectors(df, basis).collect()}
+    for i, v in enumerate(x):
+        y = np.array(v) @ basis
+        assert np.allclose(got[i], y / (np.linalg.norm(y) or 1.0))
