@@ -1312,9 +1312,10 @@ def q_tfidf_vectors(spark, sf):
 
 def _text_model(spark, sf) -> tuple:
     """(TF-IDF model fitted on the gold training rows, gold features). The
-    features are a staged table in partitions of about ROWS_PER_PART rows, as
-    each optimiser iteration is a job over them; part 2 of the training rows
-    (about a fifth) is held out for calibration."""
+    features are a staged table in files of about ROWS_PER_PART rows: each
+    optimiser iteration and each level of a tree is a job over them, and a row
+    costs a tree the whole width of the vocabulary, so few rows are much work.
+    Part 2 of the training rows (about a fifth) is held out for calibration."""
     def build():
         d = S.docs(spark, sf).select(F.col("doc_id").alias("id"), "text")
         data = written(spark, d.join(S.gold(spark, sf), "id").withColumnRenamed("relevance_true", "label"), "gold-texts")
@@ -1325,7 +1326,7 @@ def _text_model(spark, sf) -> tuple:
     return kept(spark, sf, "text-model", build)
 
 
-ROWS_PER_PART = 50_000
+ROWS_PER_PART = 2_000
 SEMANTIC_DIMS = 50
 
 

@@ -12,6 +12,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tagloom.operators import ml as ML
+from tagloom.plans import catalog
 from tagloom.session import checkpoint_path, written
 from tests.conftest import SF_CHECK
 
@@ -112,3 +113,13 @@ def test_semantic_basis_with_empty_tasks_and_dense_rows(spark):
     for i, v in enumerate(x):
         y = np.array(v) @ basis
         assert np.allclose(got[i], y / (np.linalg.norm(y) or 1.0))
+
+
+def test_training_rows_are_spread(spark, tmp_path):
+    """Some thousand gold rows are much work for a tree: they make more than one file."""
+    ids = spark.range(6000)
+    ids.select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.col("id") % 7, F.lit(" other")).alias("text"), F.lit("en").alias("lang"),
+               F.lit("s").alias("source"), F.lit(11).alias("n_chars")).write.parquet(f"{tmp_path}/documents.parquet")
+    ids.select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    _, feats = catalog._text_model(spark, str(tmp_path))
+    assert len(feats.inputFiles()) >= 3 and feats.count() == 6000
