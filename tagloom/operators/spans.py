@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .matching import WORD, fence
 from .sampling import ordinal
@@ -80,13 +83,32 @@ def merge_spans(spans: DataFrame, key_cols: list[str], start: str = "start", end
     """Merge spans of each key when the next start <= the current end.
 
     Gaps and islands: a span opens a new island when its start is beyond
-    every earlier end of its key.
+    every earlier end of its key. A span travels as one number, start before
+    end, in its key's array: eight bytes where a sorted row takes about sixty.
     """
-    w = Window.partitionBy(*key_cols).orderBy(start, end)
-    prev_max = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    isl = spans.withColumn("_new", F.when(prev_max.isNull() | (F.col(start) > prev_max), 1).otherwise(0))
-    isl = isl.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return isl.groupBy(*key_cols, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+    kinds = dict(spans.dtypes)
+    code = F.shiftleft(F.coalesce(F.col(start).cast("int"), F.lit(NO_START)).cast("long"), 32).bitwiseOR(F.coalesce(F.col(end).cast("int"), F.lit(-1)).cast("long") + 1)
+    packed = spans.groupBy(*key_cols).agg(F.collect_list(code).alias("_a"))
+    islands = packed.select(*key_cols, F.explode(_islands("_a")).alias("_x"))
+    first, last = F.shiftright("_x", 32).cast("int"), F.col("_x").bitwiseAND(F.lit((1 << 32) - 1)) - 1
+    return islands.select(*key_cols, F.nullif(first, F.lit(NO_START)).cast(kinds[start]).alias(start), F.nullif(last, F.lit(-1).cast("long")).cast(kinds[end]).alias(end))
+
+
+NO_START = -1 << 31  # a null start: before all others, it opens no island behind an end
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _islands(codes: pd.Series) -> pd.Series:
+    none, low = -1 << 31, (1 << 32) - 1
+    out = []
+    for a in codes:
+        a = np.sort(a)
+        s, e = a >> 32, (a & low) - 1
+        top = np.maximum.accumulate(e)[:-1]
+        at = np.flatnonzero(np.concatenate([[True], (top < 0) | ((s[1:] > top) & (s[1:] != none))]))
+        s = np.minimum.reduceat(np.where(s == none, low, s), at)
+        out.append((np.where(s == low, none, s) << 32) | (np.maximum.reduceat(e, at) + 1))
+    return pd.Series(out, dtype=object)
 
 
 SPAN_KINDS = ["highlight", "bold"]  # on equal spans the earlier kind stays

@@ -230,3 +230,23 @@ def test_no_sentence_ends_behind_an_abbreviation(spark, monkeypatch):
     none = {r["text"]: r["_s"] for r in SP.learnt_sentences(df, "text", abbrevs.limit(0)).collect()}
     plain = {r["text"]: r["s"] for r in df.select("text", SP.sentences(F.col("text")).alias("s")).collect()}
     assert none == plain
+
+
+def test_merge_spans_without_a_window(spark):
+    """Packed spans against a plain walk: nested, touching, empty, repeated and
+    null spans, null keys; no task sorts a row per span."""
+    r = __import__("random").Random(7)
+    rows = [(r.choice([1, 2, None]), s := r.randint(0, 400), s + r.randint(0, 6)) for _ in range(300)] + [(3, 5, 5), (3, 5, 5), (3, 5, 9), (4, None, 7), (4, None, 2), (4, 3, 9), (4, 11, None), (5, None, None)]
+    got = SP.merge_spans(spark.createDataFrame(rows, "id int, start int, end int"), ["id"])
+    want = []
+    for k in (1, 2, None, 3):
+        at = len(want)
+        for _, s, e in sorted((x for x in rows if x[0] == k), key=lambda x: x[1:]):
+            if len(want) > at and s <= want[-1][2]:
+                want[-1] = (k, want[-1][1], max(e, want[-1][2]))
+            else:
+                want.append((k, s, e))
+    want += [(4, 3, 9), (4, 11, None), (5, None, None)]  # a null start opens no island behind an end
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert got.dtypes == [("id", "int"), ("start", "int"), ("end", "int")]
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
