@@ -146,7 +146,8 @@ def sentences(text: Column) -> Column:
 
 #: a token: opening marks, a word that may hold periods, a period, closing marks
 ABBREVIATION_TOKEN = r"^[\"'(\[{]*(\p{L}+(?:\.\p{L}+)*)(\.?)[\"',;:!?)\]}]*$"
-#: the same word with its period before a possible break
+#: the same word with its period before a possible break; of a piece's last token alone, the same by LAST_TOKEN
+LAST_TOKEN = r"^[\"'(\[{]*(\p{L}+(?:\.\p{L}+)*)\.$"
 LAST_ABBREVIATION = r"(?:^|[ \t\r\n])[\"'(\[{]*(\p{L}+(?:\.\p{L}+)*)\.[ \t\r\n]*$"
 MIN_ABBREVIATION_SCORE = 0.3
 MOST_INLINE_ABBREVIATIONS = 20_000  # beyond it they are joined, with the same result
@@ -159,13 +160,14 @@ def abbreviations(df: DataFrame, text_col: str, min_score: float = MIN_ABBREVIAT
     Unsupervised, after Kiss and Strunk (2006): the log-likelihood ratio of
     "the word and its period belong together" (0.99) against "a period follows
     any word", times a preference for short words, for inner periods, and
-    against words that are often written without one. Two aggregates: counts
-    for each word, and their totals. Null and wordless texts count nothing; a
+    against words that are often written without one. Tokens are counted as
+    they stand, so that a token is taken apart once; then come the counts for
+    each word, and their totals. Null and wordless texts count nothing; a
     text counts as often as its row repeats.
     """
     tokens = df.select(F.explode(F.split(F.lower(F.col(text_col)), "[ \\t\\r\\n]+")).alias("_t"))
-    parts = tokens.select(F.regexp_extract("_t", ABBREVIATION_TOKEN, 1).alias("abbreviation"), F.regexp_extract("_t", ABBREVIATION_TOKEN, 2).alias("_p")).where("abbreviation <> ''")
-    words = parts.groupBy("abbreviation").agg(F.count_if(F.col("_p") == ".").alias("n_with"), F.count_if(F.col("_p") == "").alias("n_without"))
+    parts = tokens.groupBy("_t").agg(F.count("*").alias("_c")).select(F.regexp_extract("_t", ABBREVIATION_TOKEN, 1).alias("abbreviation"), F.regexp_extract("_t", ABBREVIATION_TOKEN, 2).alias("_p"), "_c").where("abbreviation <> ''")
+    words = parts.groupBy("abbreviation").agg(F.sum(F.when(F.col("_p") == ".", F.col("_c")).otherwise(0)).alias("n_with"), F.sum(F.when(F.col("_p") == "", F.col("_c")).otherwise(0)).alias("n_without"))
     total = words.agg(F.sum(F.col("n_with") + F.col("n_without")).alias("_n"), F.sum("n_with").alias("_b"))
     a, n = F.col("n_with").cast("double"), F.col("n_without").cast("double")
     p = F.least(F.col("_b") / F.col("_n"), F.lit(1 - 1e-9))
@@ -181,7 +183,9 @@ def learnt_sentences(df: DataFrame, text_col: str, abbrevs: DataFrame, out_col:
     """Add ``out_col``: the sentences as in ``sentences``, but without a break
     behind a word of ``abbrevs`` (abbreviation, lower case). A null text has null."""
     text = F.regexp_replace(F.col(text_col), r"([.!?][ \t\r\n]+)", "$1\u0001")
-    pieces = F.transform(F.split(text, "\u0001"), lambda x: F.struct(x.alias("x"), F.regexp_extract(F.lower(x), LAST_ABBREVIATION, 1).alias("w")))
+    # the last token of a piece, cut off before the regex: it would try every word
+    token = lambda x: F.substring_index(F.translate(F.rtrim(x, F.lit(" \t\r\n")), "\t\r\n", "   "), " ", -1)
+    pieces = F.transform(F.split(text, "\u0001"), lambda x: F.struct(x.alias("x"), F.regexp_extract(F.lower(token(x)), LAST_TOKEN, 1).alias("w")))
     d = fence(df, pieces, "_pieces")
     if abbrevs.limit(MOST_INLINE_ABBREVIATIONS + 1).count() <= MOST_INLINE_ABBREVIATIONS:
         known = [r["abbreviation"] for r in abbrevs.select("abbreviation").collect()]

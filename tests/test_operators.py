@@ -250,3 +250,19 @@ def test_merge_spans_without_a_window(spark):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
     assert got.dtypes == [("id", "int"), ("start", "int"), ("end", "int")]
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tokens_are_counted_before_they_are_taken_apart(spark):
+    texts = ["Dr. Who", "dr. x (dr.) dr", None, "", "Dr. Who"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    out = SP.abbreviations(df, "text", -1e9)
+    assert {(r.abbreviation, r.n_with, r.n_without) for r in out.collect()} == {("dr", 4, 1)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [_t#" in plan
+    # the last token of a piece says what the whole piece says
+    pieces = ["Seen by (Dr.\t", "x e.g. \r\n", "a\rb.\n ", "no 5. ", "\"Mr. ", "end! ", "a.b.c. ", "1st. ", "é. ", ".. ", "u\u2028v. "]
+    for p in pieces:
+        row = spark.createDataFrame([(p + "Z", )], "t string")
+        whole = row.select(F.regexp_extract(F.lower(F.lit(p)), SP.LAST_ABBREVIATION, 1)).first()[0]
+        known = spark.createDataFrame([(whole or "none",)], "abbreviation string")
+        assert len(SP.learnt_sentences(row, "t", known).first()["_s"]) == (1 if whole else 2), p
