@@ -38,7 +38,8 @@ def literal_pattern(phrase: Column, whole_word: bool) -> Column:
         return F.concat(F.lit("(?iu)"), body)
     head = F.when(phrase.rlike(f"^{WORD}"), F.lit(f"(?<!{WORD})")).otherwise(F.lit(f"(?<={WORD})"))
     tail = F.when(phrase.rlike(f"{WORD}$"), F.lit(f"(?!{WORD})")).otherwise(F.lit(f"(?={WORD})"))
-    return F.concat(F.lit("(?iu)"), head, body, tail)
+    # the phrase is looked for first: few places are left for the costlier look behind
+    return F.concat(F.lit("(?iu)(?="), body, F.lit(")"), head, body, tail)
 
 
 def phrase_spans(df: DataFrame, text_col: str, phrases_col: str, out_col: str = "keyword",
@@ -54,13 +55,23 @@ def phrase_spans(df: DataFrame, text_col: str, phrases_col: str, out_col: str =
     give no rows; a phrase listed twice counts once.
     """
     keep = [c for c in df.columns if c not in (text_col, phrases_col)]
-    phrases = F.array_distinct(F.filter(phrases_col, lambda p: p.isNotNull() & (p != "")))
-    found = F.transform(phrases, lambda p: F.struct(p.alias("p"), F.transform(F.split(F.col(text_col), literal_pattern(p, whole_word), -1), lambda x: F.length(x)).alias("gaps")))
+    return _occurrences(df, keep, _gaps(F.col(text_col), F.col(phrases_col), whole_word), {out_col: "p"}).select(*keep, out_col, "start", "end")
+
+
+def _gaps(text: Column, phrases: Column, whole_word: bool) -> Column:
+    """For each phrase the lengths of the parts that it splits the text into."""
+    phrases = F.array_distinct(F.filter(phrases, lambda p: p.isNotNull() & (p != "")))
+    return F.transform(phrases, lambda p: F.struct(p.alias("p"), F.transform(F.split(text, literal_pattern(p, whole_word), -1), lambda x: F.length(x)).alias("gaps")))
+
+
+def _occurrences(df: DataFrame, keep: list[str], found: Column, fields: dict[str, str]) -> DataFrame:
+    """(keep, start, end and ``fields`` of each entry of ``found``), a row per occurrence."""
     d = df.select(*keep, F.explode(F.filter(found, lambda f: F.size(f["gaps"]) > 1)).alias("_f"))
+    d = d.select(*keep, *(F.col(f"_f.{f}").alias(c) for c, f in fields.items()), F.col("_f.p").alias("_p"), F.col("_f.gaps").alias("_g"))
     # an occurrence ends where the parts before it and the phrase as often as it came end
-    ends = F.transform(F.slice("_f.gaps", F.lit(1), F.size("_f.gaps") - 1), lambda g: g + F.length("_f.p"))
-    d = running_sums(d, ends, "_ends").select(*keep, F.col("_f.p").alias(out_col), F.explode("_ends").alias("end"))
-    return d.select(*keep, out_col, (F.col("end") - F.length(out_col)).alias("start"), "end")
+    ends = F.transform(F.slice("_g", F.lit(1), F.size("_g") - 1), lambda g: g + F.length("_p"))
+    d = running_sums(d, ends, "_ends").select(*keep, *fields, "_p", F.explode("_ends").alias("end"))
+    return d.select(*keep, *fields, (F.col("end") - F.length("_p")).alias("start"), "end")
 
 
 def highlight_and_bold(df: DataFrame, key_cols: list[str], text_col: str, source_cols: list[str],
@@ -71,12 +82,14 @@ def highlight_and_bold(df: DataFrame, key_cols: list[str], text_col: str, source
     occurrence is a "highlight" of that field. Keywords are "bold" where
     they stand as whole words.
     """
-    marked = F.array(*[F.struct(F.lit(c.removeprefix("source_")).alias("field"), F.col(c).alias("p")) for c in source_cols])
-    hl = df.select(*key_cols, text_col, F.explode(F.filter(marked, lambda m: m["p"].isNotNull() & (m["p"] != ""))).alias("_m"))
-    hl = phrase_spans(hl.select(*key_cols, text_col, "_m.field", F.array("_m.p").alias("_ps")), text_col, "_ps", "phrase")
-    bold = phrase_spans(df.select(*key_cols, text_col, F.lit(None).cast("string").alias("field"), keywords_col),
-                        text_col, keywords_col, "phrase", whole_word=True)
-    return hl.withColumn("kind", F.lit("highlight")).unionByName(bold.withColumn("kind", F.lit("bold")))
+    def of(kind, field, phrases, whole_word):
+        found = F.transform(_gaps(F.col(text_col), phrases, whole_word), lambda f: F.struct(
+            F.lit(kind).alias("kind"), F.lit(field).cast("string").alias("field"), f["p"].alias("p"), f["gaps"].alias("gaps")))
+        return F.coalesce(found, F.array().cast("array<struct<kind:string,field:string,p:string,gaps:array<int>>>"))
+
+    # one pass over the texts for both kinds
+    found = F.concat(*(of("highlight", c.removeprefix("source_"), F.array(c), False) for c in source_cols), of("bold", None, F.col(keywords_col), True))
+    return _occurrences(df, key_cols, found, {"field": "field", "phrase": "p", "kind": "kind"}).select(*key_cols, "field", "phrase", "start", "end", "kind")
 
 
 def merge_spans(spans: DataFrame, key_cols: list[str], start: str = "start", end: str = "end") -> DataFrame:
@@ -118,24 +131,32 @@ def span_priority(spans: DataFrame, key_cols: list[str], kind_col: str, kinds: l
     """Greedy non-overlapping pick per key: by start ascending, end descending,
     then by the order of ``kinds`` (others last, by name); a span overlapping
     an already kept one is skipped. Runs in-row over the key's sorted span
-    array (``aggregate``), no second shuffle."""
+    array, one step a span, no second shuffle."""
     rank = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col(kind_col)), F.lit(0)),
                       F.lit(len(kinds) + 1)).cast("int")
     packed = spans.groupBy(*key_cols).agg(
         F.array_sort(F.collect_set(F.struct(F.col("start").alias("s"), (-F.col("end")).alias("ne"),
                                             rank.alias("r"), F.col(kind_col).alias("k")))).alias("_a"))
-    init = F.struct(F.lit(-1).alias("last"), F.array().cast("array<struct<s:int,ne:int,r:int,k:string>>").alias("kept"))
-
-    def step(acc, x):
-        take = x["s"] >= acc["last"]
-        return F.when(take, F.struct((-x["ne"]).alias("last"), F.concat(acc["kept"], F.array(x)).alias("kept"))) \
-            .otherwise(acc)
-
-    picked = packed.select(*key_cols, F.explode(F.aggregate("_a", init, step)["kept"]).alias("_x"))
+    places = _picked(F.transform("_a", lambda x: x["s"]), F.transform("_a", lambda x: -x["ne"]))
+    picked = packed.withColumn("_p", places).select(*key_cols, F.explode(F.transform("_p", lambda i: F.get("_a", i))).alias("_x"))
     return picked.select(*key_cols, F.col("_x.s").alias("start"), (-F.col("_x.ne")).alias("end"),
                          F.col("_x.k").alias(kind_col))
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _picked(starts: pd.Series, ends: pd.Series) -> pd.Series:
+    """Places of the spans that start at or behind the end of the one kept before."""
+    out = []
+    for s, e in zip(starts, ends):
+        last, kept = -1, []
+        for i, (a, b) in enumerate(zip(s.tolist(), e.tolist())):
+            if a >= last:  # never behind a NaN, which stands for null
+                kept.append(i)
+                last = b
+        out.append(kept)
+    return pd.Series(out, dtype=object)
+
+
 SENTENCE_BREAK = r"([.!?])[ \t\r\n]+"
 
 

@@ -266,3 +266,18 @@ def test_tokens_are_counted_before_they_are_taken_apart(spark):
         whole = row.select(F.regexp_extract(F.lower(F.lit(p)), SP.LAST_ABBREVIATION, 1)).first()[0]
         known = spark.createDataFrame([(whole or "none",)], "abbreviation string")
         assert len(SP.learnt_sentences(row, "t", known).first()["_s"]) == (1 if whole else 2), p
+
+
+def test_span_priority_steps_once_a_span(spark):
+    """Many spans of one key, empty and null ones, are picked without an array
+    that is copied for each; the texts of both kinds are read once."""
+    rows = [(1, i * 2, i * 2 + 3, "bold") for i in range(20_000)] + [(2, 4, 4, "bold"), (2, 4, 4, "highlight"), (2, 4, 4, "bold"), (2, None, 9, "bold"), (2, 5, None, "bold"), (2, 7, 8, "bold")]
+    out = SP.span_priority(spark.createDataFrame(rows, "id int, start int, end int, kind string"), ["id"], "kind")
+    got = sorted(map(tuple, out.where("id = 1").collect()))
+    assert got == [(1, i * 4, i * 4 + 3, "bold") for i in range(10_000)]
+    assert sorted(map(str, map(tuple, out.where("id = 2").collect()))) == sorted(map(str, [(2, 4, 4, "highlight"), (2, 4, 4, "bold"), (2, 5, None, "bold")]))
+    assert "aggregate(" not in out._jdf.queryExecution().executedPlan().toString()
+    df = spark.createDataFrame([(1, "a b a", "a", None), (1, None, "a", ["b"])], "id int, text string, source_x string, kws array<string>")
+    both = SP.highlight_and_bold(df, ["id"], "text", ["source_x"], "kws")
+    assert sorted((r.start, r.end, r.field, r.phrase, r.kind) for r in both.collect()) == [(0, 1, "x", "a", "highlight"), (4, 5, "x", "a", "highlight")]
+    assert "Union" not in both._jdf.queryExecution().executedPlan().toString()
