@@ -25,6 +25,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
 from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer,
@@ -98,11 +100,21 @@ def heavy_terms(terms: DataFrame, terms_col: str, sketch: DataFrame, width: int,
 
 
 def exact_counts(terms: DataFrame, terms_col: str) -> DataFrame:
-    """(term, tf, df): occurrences, and texts that hold the term."""
-    # one pass: every term counts for tf, the first of its kind in a text also for df
-    rows = F.concat(F.transform(terms_col, lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
-                    F.transform(F.array_distinct(terms_col), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))))
-    return terms.select(F.explode(rows).alias("_r")).groupBy("_r.term").agg(F.sum("_r.tf").alias("tf"), F.sum("_r.df").alias("df"))
+    """(term, tf, df): occurrences, and texts that hold the term. A batch of
+    texts is counted by term numbers first, so a term is one row a batch."""
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 2048):
+                lists = b.column(0).slice(at, 2048)
+                found = lists.flatten().dictionary_encode()
+                code, size = found.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(found.dictionary)
+                if not size:
+                    continue
+                own = np.unique(pc.list_parent_indices(lists).to_numpy().astype(np.int64) * size + code) % size
+                yield pa.RecordBatch.from_arrays([found.dictionary, pa.array(np.bincount(code, minlength=size)), pa.array(np.bincount(own, minlength=size))], ["term", "tf", "df"])
+
+    counts = terms.select(terms_col).mapInArrow(run, "term string, tf long, df long")
+    return counts.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
 
 def vocabulary(terms: DataFrame, terms_col: str, max_features: int, chars: int, width: int | None = None) -> DataFrame:

@@ -281,3 +281,16 @@ def test_span_priority_steps_once_a_span(spark):
     both = SP.highlight_and_bold(df, ["id"], "text", ["source_x"], "kws")
     assert sorted((r.start, r.end, r.field, r.phrase, r.kind) for r in both.collect()) == [(0, 1, "x", "a", "highlight"), (4, 5, "x", "a", "highlight")]
     assert "Union" not in both._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_are_counted_by_batches(spark):
+    from collections import Counter
+    from tagloom.operators import ml as ML
+    texts = ["aa bb aa", None, "", "bb cc the", "x aa", "Éa É_9 aa bb"] * 40
+    terms = ML.term_lists(spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3), "id", "text", 2, True)
+    tf, df = Counter(), Counter()
+    for r in terms.collect():
+        tf.update(r["_t"] or ()), df.update(set(r["_t"] or ()))
+    out = ML.exact_counts(terms, "_t")
+    assert {r.term: (r.tf, r.df) for r in out.collect()} == {t: (n, df[t]) for t, n in tf.items()}
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
