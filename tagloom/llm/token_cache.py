@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_path
 from .common import batch_of, pieces, staged, text_runs
 
+RUN_CHARS = 1 << 18  # characters given to the library at once; its encodings take many times that
 CACHE = "digest binary, n_tokens long"
 _LOADED: dict[str, object] = {}
 
@@ -85,9 +86,9 @@ def count(spark: SparkSession, docs: DataFrame, path: str, cache: str, *, limit:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = counter(path, version, content.value)
-        for b in pieces(batches, 4096):
+        for b in pieces(batches):
             texts = b.column("text").to_pylist()
-            for run in text_runs(texts):
+            for run in text_runs(texts, RUN_CHARS):
                 yield batch_of(schema, [b.column("digest").slice(run[0], len(run)), of([texts[i] for i in run])])
 
     misses.mapInArrow(encode, CACHE).write.mode("append").parquet(table)
