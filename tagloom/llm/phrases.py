@@ -180,19 +180,45 @@ def count_phrases(docs: DataFrame, longest: int, table=None, before=None) -> Dat
     return docs.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
 
 
-def table_of(spark: SparkSession, phrases: DataFrame):
-    """(lang, phrase) rows as a broadcast bit table. Only its words reach the
-    driver: TABLE_BITS at most, sized by the count."""
-    bits = min(TABLE_BITS, 1 << max(16, (16 * phrases.count()).bit_length()))
+def count_hashes(docs: DataFrame, longest: int) -> DataFrame:
+    """(h, f): all phrases counted by hash over all rows of ``docs``. A bit
+    table needs no more, and numbers are far cheaper to add up than texts;
+    phrases that share a hash are proposed together, so none is lost."""
+    schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, texts in runs(batches):
+            for _, count, _, hashes, length in counted(texts, lang, longest, None, None):
+                for lo in range(0, len(hashes) if length else 0, 1 << 16):
+                    yield batch_of(schema, [pa.array(hashes[lo:lo + (1 << 16)].view(np.int64)), pa.array(count[lo:lo + (1 << 16)])])
+
+    return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("f"))
+
+
+def hashes_of(phrases: DataFrame) -> DataFrame:
+    """(h) of (lang, phrase) rows."""
+    schema = pa.schema([("h", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("w", pa.int64()), ("m", pa.int64())])
         for b in batches:
             hashes = np.fromiter((phrase_hash(l, p) for l, p in zip(b.column("lang").to_pylist(), b.column("phrase").to_pylist())), np.uint64, b.num_rows)
-            s = slots(hashes, bits)
+            yield batch_of(schema, [pa.array(hashes.view(np.int64))])
+
+    return phrases.mapInArrow(run, "h long")
+
+
+def table_of(spark: SparkSession, hashes: DataFrame):
+    """Rows (h) as a broadcast bit table. Only its words reach the driver:
+    TABLE_BITS at most, sized by the count."""
+    bits = min(TABLE_BITS, 1 << max(16, (16 * hashes.count()).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("w", pa.int64()), ("m", pa.int64())])
+        for b in batches:
+            s = slots(b.column("h").to_numpy(zero_copy_only=False).view(np.uint64), bits)
             yield batch_of(schema, [pa.array((s >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (s & np.uint64(63))).view(np.int64))])
 
-    words = phrases.mapInArrow(run, "w long, m long").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    words = hashes.mapInArrow(run, "w long, m long").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
     out = np.zeros(bits >> 6, np.int64)
     out[words.column("w").to_numpy()] = words.column("m").to_numpy()
     return spark.sparkContext.broadcast(Table(bits, out.view(np.uint64)))
@@ -214,7 +240,7 @@ def frequent(spark: SparkSession, docs: DataFrame, *, least: int = LEAST, longes
     all words of a language, the number of full passes)."""
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sample = rows.sample(float(share), 13)  # by row, so that copies are sampled like other rows; any sample gives the same result
-    proposed = staged(spark, count_phrases(sample, longest).where((F.col("phrase") != "") & (F.col("f") >= max(1, int(least * share * SAMPLE_LEAST)))).select("lang", "phrase"), "phrases-proposed")
+    proposed = staged(spark, count_hashes(sample, longest).where(F.col("f") >= max(1, int(least * share * SAMPLE_LEAST))).select("h"), "phrases-proposed")
     table, before = table_of(spark, proposed), None
     counts = staged(spark, count_phrases(rows, longest, table).where((F.col("phrase") == "") | (F.col("f") >= least)), "phrases-counted")
     totals = counts.where("phrase = ''").select("lang", F.col("f").alias("n"))
@@ -222,7 +248,7 @@ def frequent(spark: SparkSession, docs: DataFrame, *, least: int = LEAST, longes
     failures = found.where(length_of() < longest).select("lang", "phrase").mapInArrow(outside(table), "lang string, phrase string")
     if failures.isEmpty():
         return found, totals, 1
-    wider = table_of(spark, proposed.unionByName(found.select("lang", "phrase")))
+    wider = table_of(spark, proposed.unionByName(hashes_of(found.select("lang", "phrase"))))
     more = staged(spark, count_phrases(rows, longest, wider, table).where(F.col("f") >= least), "phrases-expansion")
     return found.unionByName(more), totals, 2
 

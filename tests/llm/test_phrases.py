@@ -110,3 +110,12 @@ def test_hash_of_a_phrase_is_that_of_the_count():
         for r, h in zip(rows.tolist(), hashes.tolist()):
             if length:
                 assert phrases.phrase_hash("en", b" ".join(names[i] for i in r).decode()) == h
+
+
+def test_a_sample_is_counted_by_hash(spark):
+    """The hashes of a sample are those of its phrases, with their counts."""
+    docs = spark.createDataFrame([("en", "a b c a b. a b"), ("de", "a b"), ("en", "")], "lang string, text string")
+    want = {(phrases.phrase_hash(r.lang, r.phrase), r.f) for r in phrases.count_phrases(docs, 4).where("phrase <> ''").collect()}
+    assert {(r.h % 2**64, r.f) for r in phrases.count_hashes(docs, 4).collect()} == want and len(want) > 8
+    table = phrases.table_of(spark, phrases.count_hashes(docs, 4).select("h")).value
+    assert table.has(__import__("numpy").array([h for h, _ in want], "uint64")).all()
