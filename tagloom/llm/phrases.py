@@ -20,7 +20,9 @@ The bit table may hold a phrase too many (then it counts one for nothing),
 never one too few. It has 16 bits a phrase up to ``TABLE_BITS``; beyond that
 it only lets more through. A pass counts inside a run of texts first, in
 numpy over exact word numbers (no hashes), and sums in Spark by phrase, so a
-hot word or passage is one row a run.
+hot word or passage is one row a run. Most other phrases of a run are rare:
+adding up again before the shuffle joins few rows and holds a table of nearly
+all rows of a task, so rows are dealt out first and added up once.
 
 ``collocations`` scores the phrases with exact decimals, drops what a longer
 candidate explains, and ranks per language.
@@ -33,7 +35,6 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 import string
 from collections.abc import Iterator
 
@@ -57,10 +58,14 @@ FOLD = bytes.maketrans(string.ascii_uppercase.encode() + b"\t" + BREAKS, string.
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words_of(texts: list[str]) -> list[bytes]:
-    """Words of the texts in order; a newline stands for the end of a piece."""
-    joined = b"\n".join([t.encode("utf-8", "surrogatepass") for t in texts]).translate(FOLD)
-    return [w for w in re.sub(b"\n+", b" \n ", joined).split(b" ") if w]
+def words_of(texts: list[str]) -> tuple[np.ndarray, list[bytes]]:
+    """Words of the texts in order, as numbers, and the words by number; a
+    newline stands for the end of a piece. Arrow cuts and numbers them: no
+    Python object a word is held."""
+    joined = b"\n".join([t.encode("utf-8", "surrogatepass") for t in texts]).translate(FOLD).replace(b"\n", b" \n ")
+    words = pc.split_pattern(pa.array([joined], pa.large_binary()), " ").values.dictionary_encode()
+    ids, names = words.indices.to_numpy(), words.dictionary.to_pylist()
+    return (ids[ids != names.index(b"")] if b"" in names else ids), names
 
 
 def mixed(h: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -87,6 +92,12 @@ def slots(h: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([((h >> np.uint64(shift)) * MIX >> np.uint64(17)) & np.uint64(bits - 1) for shift in (0, 32)])
 
 
+def numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, the number among them of each key, and their counts."""
+    unique, group, count = np.unique(key, return_inverse=True, return_counts=True)
+    return unique, group.astype(np.int32), count
+
+
 def counted(texts: list[str], lang: str, longest: int, table: Table | None, before: Table | None) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, int]]:
     """Phrases of a run of texts: for each length (word numbers of each
     distinct phrase, its count, the words by number, its hash, length). The
@@ -96,18 +107,13 @@ def counted(texts: list[str], lang: str, longest: int, table: Table | None, befo
     last part are in it. With ``before``, an expansion: only phrases that the
     pass with that table has not counted, and it goes on from these, too.
     """
-    found = words_of(texts)
-    number: dict[bytes, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in found), np.int64, len(found))
-    names = list(number)
+    ids, names = words_of(texts)
     seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
     word_hash = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in names), np.uint64, len(names))
-    brk = number.get(b"\n", -1)
-    if brk >= 0:
-        names[brk] = b""
+    brk = names.index(b"\n") if b"\n" in names else -1
     # phrases of the length before: where they start, their own number, and whether the table has them
-    start = np.flatnonzero(ids != brk)
-    unique, group, count = np.unique(ids[start], return_inverse=True, return_counts=True)
+    start = np.flatnonzero(ids != brk).astype(np.int32)  # a run has below 2^31 words
+    unique, group, count = numbered(ids[start])
     rows, hashes = unique[:, None], word_hash[unique]
     if before is None:
         yield np.zeros((1, 0), np.int64), np.array([len(start)]), names, hashes[:0], 0  # n
@@ -117,9 +123,9 @@ def counted(texts: list[str], lang: str, longest: int, table: Table | None, befo
     # phrases that the pass with the table before has counted, and those of them that it went on from
     reached = np.ones(len(unique), bool)
     went_on = reached if before is None else before.has(hashes)
-    stop = np.append(ids, brk if brk >= 0 else -1)  # the end of the run ends a piece
+    stop = np.append(ids, np.int32(brk))  # the end of the run ends a piece
     for length in range(2, longest + 1):
-        place = np.full(len(stop), -1, np.int64)  # number of the phrase of length - 1 that starts here
+        place = np.full(len(stop), -1, np.int32)  # number of the phrase of length - 1 that starts here
         place[start] = group
         left = start[in_table[group]]
         left = left[left + length - 1 < len(ids)]
@@ -130,10 +136,9 @@ def counted(texts: list[str], lang: str, longest: int, table: Table | None, befo
         first = place[left]
         if not len(left):
             return
-        key = first * len(names) + ids[left + length - 1]  # both below 2^31
-        unique, group, count = np.unique(key, return_inverse=True, return_counts=True)
-        at = np.empty(len(unique), np.int64)  # an occurrence of each
-        at[group] = np.arange(len(key))
+        unique, group, count = numbered(first.astype(np.int64) * len(names) + ids[left + length - 1])  # both below 2^31
+        at = np.empty(len(unique), np.int32)  # an occurrence of each
+        at[group] = np.arange(len(group), dtype=np.int32)
         start, last = left, ids[left[at] + length - 1]
         rows, hashes = np.concatenate([rows[first[at]], last[:, None]], axis=1), mixed(hashes[first[at]], word_hash[last])
         if before is None:
@@ -177,7 +182,7 @@ def count_phrases(docs: DataFrame, longest: int, table=None, before=None) -> Dat
                     text = pc.binary_join_element_wise(*(word.take(pa.array(part[:, i])) for i in range(length)), " ") if length else pa.array([""])
                     yield batch_of(schema, [pa.repeat(lang, len(n)), text, pa.array(n)])
 
-    return docs.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    return docs.mapInArrow(run, "lang string, phrase string, n long").repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
 
 
 def count_hashes(docs: DataFrame, longest: int) -> DataFrame:
@@ -192,7 +197,7 @@ def count_hashes(docs: DataFrame, longest: int) -> DataFrame:
                 for lo in range(0, len(hashes) if length else 0, 1 << 16):
                     yield batch_of(schema, [pa.array(hashes[lo:lo + (1 << 16)].view(np.int64)), pa.array(count[lo:lo + (1 << 16)])])
 
-    return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("f"))
+    return docs.mapInArrow(run, "h long, n long").repartition("h").groupBy("h").agg(F.sum("n").alias("f"))
 
 
 def hashes_of(phrases: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,3 +120,24 @@ def test_a_sample_is_counted_by_hash(spark):
     assert {(r.h % 2**64, r.f) for r in phrases.count_hashes(docs, 4).collect()} == want and len(want) > 8
     table = phrases.table_of(spark, phrases.count_hashes(docs, 4).select("h")).value
     assert table.has(__import__("numpy").array([h for h, _ in want], "uint64")).all()
+
+
+def test_a_run_holds_no_object_a_word():
+    """The words of a run are numbers in an array, not one object each."""
+    text = " ".join(f"w{i % 3000}" for i in range(200_000))
+    tracemalloc.start()
+    ids, names = phrases.words_of([text, "", "A\t b.; c"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(text)
+    words = [names[i] for i in ids.tolist()]
+    assert words[:2] == [b"w0", b"w1"] and [w for w in words[200_000:] if w != b"\n"] == [b"a", b"b", b"c"]
+    assert words[-2:] == [b"\n", b"c"] and b"" not in words
+
+
+def test_rows_are_added_up_after_the_shuffle_only(spark):
+    """No task holds a table of the rows it sends: nearly all are distinct."""
+    docs = spark.createDataFrame([("en", "a b c a b. a b"), ("de", "a b"), ("en", "")], "lang string, text string")
+    for counts in (phrases.count_hashes(docs, 4), phrases.count_phrases(docs, 4)):
+        after, before = counts._jdf.queryExecution().executedPlan().toString().split("Exchange", 1)
+        assert "HashAggregate" in after and "HashAggregate" not in before and "MapInArrow" in before
