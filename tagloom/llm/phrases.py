@@ -3,26 +3,32 @@
 ``frequent`` finds every phrase of up to ``longest`` words that occurs at
 least ``least`` times, with its exact count:
 
-1. A sample of the documents is counted; phrases that reach a lowered
-   threshold there are proposed. Their hashes go into a bit table.
-2. One full pass counts the proposed phrases and their negative border at
-   once: every single word, and every phrase whose first part (all words but
-   the last) and last part (all but the first) are proposed.
-3. A border phrase that proves frequent is a failure of the sample: phrases
-   that extend it were not counted. It joins the table, and an expansion pass
-   counts what has become countable by that, and what extends those in turn.
-   So one expansion closes the set, whatever the sample was: a frequent phrase
-   has frequent parts, each of them is in the table or counted anew, and so it
-   was itself counted in one of the two passes. Failures occur little more than
-   ``least`` times each, thus the expansion adds few rows.
+1. A sample of the documents is counted, words and pairs first, then longer
+   phrases of the pairs that did well; phrases that reach a lowered threshold
+   are proposed. Their hashes go into a bit table.
+2. One full pass counts the proposed phrases, by their words, and their
+   negative border, by hash alone: every single word, and every phrase whose
+   first part (all words but the last) and last part (all but the first) are
+   proposed. Nearly all of a border is rare, and phrases that share a hash have
+   their counts added up, so no frequent one stays below ``least``.
+3. A border hash that proves frequent is a failure of the sample: its phrase
+   has no words yet, and phrases that extend it were not counted. An expansion
+   pass counts, by their words, the phrases of such hashes, what has become
+   countable by them, and what extends those in turn; it numbers words only at
+   the places where they occur. So one expansion closes the set, whatever the
+   sample was: a frequent phrase has frequent parts, each of them is proposed, a
+   failure, or counted anew, and so it was itself counted in one of the two
+   passes. Failures occur little more than ``least`` times each, thus the
+   expansion adds few rows.
 
 The bit table may hold a phrase too many (then it counts one for nothing),
 never one too few. It has 16 bits a phrase up to ``TABLE_BITS``; beyond that
-it only lets more through. A pass counts inside a run of texts first, in
-numpy over exact word numbers (no hashes), and sums in Spark by phrase, so a
-hot word or passage is one row a run. Most other phrases of a run are rare:
-adding up again before the shuffle joins few rows and holds a table of nearly
-all rows of a task, so rows are dealt out first and added up once.
+it only lets more through. A pass looks every place of a run of texts up by
+hash, and adds up inside the run: phrases with words by exact word numbers,
+the border by hash. Spark sums, so a hot word or passage is one row a run. Most
+other phrases of a run are rare: adding up again before the shuffle joins few
+rows and holds a table of nearly all rows of a task, so rows are dealt out
+first and added up once.
 
 ``collocations`` scores the phrases with exact decimals, drops what a longer
 candidate explains, and ranks per language.
@@ -64,7 +70,8 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, list[bytes]]:
     Python object a word is held."""
     joined = b"\n".join([t.encode("utf-8", "surrogatepass") for t in texts]).translate(FOLD).replace(b"\n", b" \n ")
     words = pc.split_pattern(pa.array([joined], pa.large_binary()), " ").values.dictionary_encode()
-    ids, names = words.indices.to_numpy(), words.dictionary.to_pylist()
+    ids, names = words.indices.to_numpy(), words.dictionary
+    names = pc.binary_join(pa.LargeListArray.from_arrays([0, len(names)], names), pa.scalar(b" ", names.type))[0].as_py().split(b" ")  # no word has a space
     return (ids[ids != names.index(b"")] if b"" in names else ids), names
 
 
@@ -92,63 +99,92 @@ def slots(h: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([((h >> np.uint64(shift)) * MIX >> np.uint64(17)) & np.uint64(bits - 1) for shift in (0, 32)])
 
 
-def numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct keys, the number among them of each key, and their counts."""
-    unique, group, count = np.unique(key, return_inverse=True, return_counts=True)
-    return unique, group.astype(np.int32), count
+def occurrences(ids: np.ndarray, names: list[bytes], lang: str, longest: int, table: Table | None, new: Table | None = None, closing: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Countable phrases of a run, an occurrence at a time: for each length
+    (length, where they start, their hashes, which of them are known).
 
-
-def counted(texts: list[str], lang: str, longest: int, table: Table | None, before: Table | None) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, int]]:
+    No table: all phrases, all known. A table: single words, and phrases whose
+    first and last part are in it; those in it are known. ``closing``: it holds
+    phrases up to this length, and longer ones all pass for known. With ``new``,
+    an expansion: only what the pass with the table alone does not know, and of
+    that what is in ``new`` or comes of it.
+    """
+    seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
+    word_hash = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in names), np.uint64, len(names))
+    is_word = np.ones(len(names), bool)
+    if b"\n" in names:
+        is_word[names.index(b"\n")] = False
+    word = word_hash[ids]
+    h = word.copy()  # of the phrase that starts at each place; only those of open phrases are read
+    known, opened = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+    for length in range(1, longest + 1):
+        if length == 1:
+            at = np.flatnonzero(is_word[ids])
+            mine, reached = word[at], np.ones(len(at), bool)
+        else:  # parts that are open and overlap, or are two words side by side, lie in one piece
+            at = np.flatnonzero(opened[:-1] & opened[1:])
+            mine, reached = mixed(h[at], word[at + (length - 1)]), known[at] & known[at + 1]
+        if length > 1 and not len(at):
+            return
+        if table is None or (closing is not None and length > closing):
+            held = reached
+        elif length == 1:
+            held = table.has(word_hash)[ids[at]]
+        else:
+            held = reached & table.has(mine)
+        h[at] = mine
+        known[:] = opened[:] = False
+        known[at] = opened[at] = held
+        if new is None:
+            yield length, at, mine, held
+            continue
+        rest = np.flatnonzero(~held)
+        rest = rest[~reached[rest] | new.has(mine[rest])]
+        opened[at[rest]] = True
+        yield length, at[rest], mine[rest], held[rest]
+
+
+def distinct(ids: np.ndarray, at: np.ndarray, length: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct phrases among those that start at ``at``: their word
+    numbers (below ``size``), a place of each in ``at``, and their counts. No
+    hashes: equal are only phrases of equal words."""
+    key, most = ids[at].astype(np.int64), size
+    if length == 1:  # words have their numbers already
+        count, first = np.bincount(key, minlength=size), np.empty(size, np.int64)
+        first[key] = np.arange(len(key))
+        held = np.flatnonzero(count)
+        return held[:, None], first[held], count[held]
+    for i in range(1, length):
+        if most > (1 << 62) // size:  # numbers anew, so that they stay below 2^63: a run has below 2^31 words
+            unique, key = np.unique(key, return_inverse=True)
+            most = len(unique)
+        key, most = key * size + ids[at + i], most * size
+    _, first, count = np.unique(key, return_index=True, return_counts=True)
+    return ids[at[first][:, None] + np.arange(length)], first, count
+
+
+def counted(texts: list[str], lang: str, longest: int, table: Table | None, new: Table | None) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, int]]:
     """Phrases of a run of texts: for each length (word numbers of each
     distinct phrase, its count, the words by number, its hash, length). The
     phrase of no words stands for all words: its count is n.
 
-    No table: all phrases. A table: single words, and phrases whose first and
-    last part are in it. With ``before``, an expansion: only phrases that the
-    pass with that table has not counted, and it goes on from these, too.
+    No table: all phrases. A table: the phrases in it, and of length -1, with
+    no words, the border (countable phrases that are not in it) by hash only.
+    With ``new``, an expansion: what the pass with the table alone has not
+    counted by its words, and is in ``new`` or comes of it.
     """
     ids, names = words_of(texts)
-    seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
-    word_hash = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in names), np.uint64, len(names))
-    brk = names.index(b"\n") if b"\n" in names else -1
-    # phrases of the length before: where they start, their own number, and whether the table has them
-    start = np.flatnonzero(ids != brk).astype(np.int32)  # a run has below 2^31 words
-    unique, group, count = numbered(ids[start])
-    rows, hashes = unique[:, None], word_hash[unique]
-    if before is None:
-        yield np.zeros((1, 0), np.int64), np.array([len(start)]), names, hashes[:0], 0  # n
-        yield rows, count, names, hashes, 1
-    # a phrase occurrence is open if its phrase may be a part of a longer one
-    in_table = np.ones(len(unique), bool) if table is None else table.has(hashes)
-    # phrases that the pass with the table before has counted, and those of them that it went on from
-    reached = np.ones(len(unique), bool)
-    went_on = reached if before is None else before.has(hashes)
-    stop = np.append(ids, np.int32(brk))  # the end of the run ends a piece
-    for length in range(2, longest + 1):
-        place = np.full(len(stop), -1, np.int32)  # number of the phrase of length - 1 that starts here
-        place[start] = group
-        left = start[in_table[group]]
-        left = left[left + length - 1 < len(ids)]
-        left = left[(stop[left + length - 1] != brk) & (place[left + 1] >= 0)]
-        right = place[left + 1]
-        ok = in_table[right]
-        left, right = left[ok], right[ok]
-        first = place[left]
-        if not len(left):
-            return
-        unique, group, count = numbered(first.astype(np.int64) * len(names) + ids[left + length - 1])  # both below 2^31
-        at = np.empty(len(unique), np.int32)  # an occurrence of each
-        at[group] = np.arange(len(group), dtype=np.int32)
-        start, last = left, ids[left[at] + length - 1]
-        rows, hashes = np.concatenate([rows[first[at]], last[:, None]], axis=1), mixed(hashes[first[at]], word_hash[last])
-        if before is None:
-            reached = np.ones(len(unique), bool)
-            yield rows, count, names, hashes, length
-        else:
-            reached = went_on[first[at]] & went_on[right[at]]
-            yield rows[~reached], count[~reached], names, hashes[~reached], length
-            went_on = reached & before.has(hashes)
-        in_table = reached if table is None else table.has(hashes) | ~reached
+    none = np.zeros((1, 0), np.int64)
+    for length, at, hashes, known in occurrences(ids, names, lang, longest, table, new):
+        if length == 1 and new is None:
+            yield none, np.array([len(at)]), names, hashes[:0], 0  # n
+        if new is None and not known.all():
+            border, count = np.unique(hashes[~known], return_counts=True)
+            yield none, count, names, border, -1
+            at, hashes = at[known], hashes[known]
+        if len(at):
+            rows, first, count = distinct(ids, at, length, len(names))
+            yield rows, count, names, hashes[first], length
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str]]]:
@@ -167,51 +203,50 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str]]]:
     yield from held.items()
 
 
-def count_phrases(docs: DataFrame, longest: int, table=None, before=None) -> DataFrame:
-    """(lang, phrase, f): phrases counted over all rows of ``docs``; the empty
-    phrase has n."""
-    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+def count_phrases(docs: DataFrame, longest: int, table=None, new=None) -> DataFrame:
+    """(lang, phrase, h, f): phrases counted over all rows of ``docs``; the
+    empty phrase has n. The border of a table has its hash h alone, all else
+    has its words: nearly all of a border is rare, and a number is cheaper to
+    move and to add up than a text."""
+    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("h", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, earlier = table and table.value, before and before.value
+        now, more = table and table.value, new and new.value
         for lang, texts in runs(batches):
-            for rows, count, names, _, length in counted(texts, lang, longest, now, earlier):
-                word = pa.array(names, pa.binary()).cast(pa.string())
-                for lo in range(0, len(rows), 1 << 16):
-                    part, n = rows[lo:lo + (1 << 16)], count[lo:lo + (1 << 16)]
+            for rows, count, names, hashes, length in counted(texts, lang, longest, now, more):
+                word = pa.array(names, pa.binary()).cast(pa.string()) if length > 0 else None
+                for lo in range(0, len(count), 1 << 16):
+                    n = count[lo:lo + (1 << 16)]
+                    if length < 0:
+                        yield batch_of(schema, [pa.nulls(len(n), pa.string()), pa.nulls(len(n), pa.string()), hashes[lo:lo + (1 << 16)].view(np.int64), n])
+                        continue
+                    part = rows[lo:lo + (1 << 16)]
                     text = pc.binary_join_element_wise(*(word.take(pa.array(part[:, i])) for i in range(length)), " ") if length else pa.array([""])
-                    yield batch_of(schema, [pa.repeat(lang, len(n)), text, pa.array(n)])
+                    yield batch_of(schema, [pa.repeat(lang, len(n)), text, pa.nulls(len(n), pa.int64()), n])
 
-    return docs.mapInArrow(run, "lang string, phrase string, n long").repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    return docs.mapInArrow(run, "lang string, phrase string, h long, n long").repartition("lang", "phrase", "h").groupBy("lang", "phrase", "h").agg(F.sum("n").alias("f"))
 
 
-def count_hashes(docs: DataFrame, longest: int) -> DataFrame:
-    """(h, f): all phrases counted by hash over all rows of ``docs``. A bit
+def count_hashes(docs: DataFrame, longest: int, table=None) -> DataFrame:
+    """(h, f): phrases counted by hash over all rows of ``docs``. A bit
     table needs no more, and numbers are far cheaper to add up than texts;
-    phrases that share a hash are proposed together, so none is lost."""
+    phrases that share a hash are proposed together, so none is lost. A table
+    of words and pairs: only longer phrases, of pairs that are in it."""
     schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = table and table.value
         for lang, texts in runs(batches):
-            for _, count, _, hashes, length in counted(texts, lang, longest, None, None):
-                for lo in range(0, len(hashes) if length else 0, 1 << 16):
-                    yield batch_of(schema, [pa.array(hashes[lo:lo + (1 << 16)].view(np.int64)), pa.array(count[lo:lo + (1 << 16)])])
+            ids, names = words_of(texts)
+            for length, _, hashes, _ in occurrences(ids, names, lang, longest, pairs, closing=2):
+                if pairs is None or length > 2:
+                    hashes, count = np.unique(hashes, return_counts=True)
+                    for lo in range(0, len(hashes), 1 << 16):
+                        yield batch_of(schema, [hashes[lo:lo + (1 << 16)].view(np.int64), count[lo:lo + (1 << 16)]])
 
     return docs.mapInArrow(run, "h long, n long").repartition("h").groupBy("h").agg(F.sum("n").alias("f"))
 
 
-def hashes_of(phrases: DataFrame) -> DataFrame:
-    """(h) of (lang, phrase) rows."""
-    schema = pa.schema([("h", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hashes = np.fromiter((phrase_hash(l, p) for l, p in zip(b.column("lang").to_pylist(), b.column("phrase").to_pylist())), np.uint64, b.num_rows)
-            yield batch_of(schema, [pa.array(hashes.view(np.int64))])
-
-    return phrases.mapInArrow(run, "h long")
-
-
 def table_of(spark: SparkSession, hashes: DataFrame):
     """Rows (h) as a broadcast bit table. Only its words reach the driver:
     TABLE_BITS at most, sized by the count."""
@@ -245,16 +280,21 @@ def frequent(spark: SparkSession, docs: DataFrame, *, least: int = LEAST, longes
     all words of a language, the number of full passes)."""
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sample = rows.sample(float(share), 13)  # by row, so that copies are sampled like other rows; any sample gives the same result
-    proposed = staged(spark, count_hashes(sample, longest).where(F.col("f") >= max(1, int(least * share * SAMPLE_LEAST))).select("h"), "phrases-proposed")
-    table, before = table_of(spark, proposed), None
+    enough = F.col("f") >= max(1, int(least * share * SAMPLE_LEAST))
+    # most long phrases of a sample are rare, and so is then a pair in them: words and pairs first
+    proposed = staged(spark, count_hashes(sample, min(2, longest)).where(enough).select("h"), "phrases-pairs")
+    if longest > 2:
+        pairs = table_of(spark, proposed)
+        proposed = proposed.unionByName(staged(spark, count_hashes(sample, longest, pairs).where(enough).select("h"), "phrases-longer"))
+        pairs.unpersist()
+    table = table_of(spark, proposed)
     counts = staged(spark, count_phrases(rows, longest, table).where((F.col("phrase") == "") | (F.col("f") >= least)), "phrases-counted")
     totals = counts.where("phrase = ''").select("lang", F.col("f").alias("n"))
-    found = counts.where("phrase <> ''")
-    failures = found.where(length_of() < longest).select("lang", "phrase").mapInArrow(outside(table), "lang string, phrase string")
+    found = counts.where("phrase <> ''").select("lang", "phrase", "f")
+    failures = counts.where("phrase is null").select("h")
     if failures.isEmpty():
         return found, totals, 1
-    wider = table_of(spark, proposed.unionByName(hashes_of(found.select("lang", "phrase"))))
-    more = staged(spark, count_phrases(rows, longest, wider, table).where(F.col("f") >= least), "phrases-expansion")
+    more = staged(spark, count_phrases(rows, longest, table, table_of(spark, failures)).where(F.col("f") >= least).select("lang", "phrase", "f"), "phrases-expansion")
     return found.unionByName(more), totals, 2
 
 
@@ -262,15 +302,6 @@ def length_of() -> Column:
     return F.size(F.split("phrase", " ", -1))
 
 
-def outside(table):
-    """Keeps the phrases that the bit table does not hold."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hashes = np.fromiter((phrase_hash(l, p) for l, p in zip(b.column("lang").to_pylist(), b.column("phrase").to_pylist())), np.uint64, b.num_rows)
-            yield b.filter(pa.array(~table.value.has(hashes)))
-    return run
-
-
 def score() -> Column:
     """floor(2000000 * a / (l + r)), exact beyond 64 bits."""
     return F.expr("(cast(2000000 as decimal(7,0)) * cast(a as decimal(20,0))) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))")

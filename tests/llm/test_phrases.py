@@ -2,6 +2,7 @@ import random
 import re
 import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +142,51 @@ def test_rows_are_added_up_after_the_shuffle_only(spark):
     for counts in (phrases.count_hashes(docs, 4), phrases.count_phrases(docs, 4)):
         after, before = counts._jdf.queryExecution().executedPlan().toString().split("Exchange", 1)
         assert "HashAggregate" in after and "HashAggregate" not in before and "MapInArrow" in before
+
+
+def table_with(*of):
+    """A bit table of phrases of one language."""
+    s = phrases.slots(np.array([phrases.phrase_hash("en", p) for p in of], np.uint64), 1 << 16)
+    words = np.zeros(1 << 10, np.uint64)
+    np.bitwise_or.at(words, (s >> np.uint64(6)).astype(np.int64), np.uint64(1) << (s & np.uint64(63)))
+    return type("Shared", (), {"value": phrases.Table(1 << 16, words)})
+
+
+def test_a_border_is_counted_by_number(spark):
+    """Words travel for what the table holds alone; a border is its hashes."""
+    docs = spark.createDataFrame([("en", "a b c a b. a b d"), ("en", "a b"), ("en", "")], "lang string, text string")
+    rows = phrases.count_phrases(docs, 4, table_with("a", "b", "c", "a b")).collect()
+    assert {(r.lang, r.phrase): r.f for r in rows if r.h is None} == {("en", ""): 10, ("en", "a"): 4, ("en", "b"): 4, ("en", "c"): 1, ("en", "a b"): 4}
+    assert {r.h % 2**64: (r.phrase, r.f) for r in rows if r.h is not None} == {phrases.phrase_hash("en", p): (None, f) for p, f in (("d", 1), ("b c", 1), ("c a", 1))}
+
+
+def test_an_expansion_counts_what_the_border_left_open(spark):
+    """By their words: failures, and all that comes of them; nothing counted before."""
+    docs = spark.createDataFrame([("en", "a b c a b. a b d"), ("en", "a b")], "lang string, text string")
+    rows = phrases.count_phrases(docs, 4, table_with("a", "b", "c", "a b"), table_with("c a", "d")).collect()
+    assert {(r.phrase, r.h): r.f for r in rows} == {(p, None): 1 for p in ("c a", "d", "b d", "a b d", "c a b")}
+
+
+def test_long_phrases_of_a_sample_come_of_its_pairs(spark):
+    """Counting long phrases of frequent pairs alone proposes the same phrases."""
+    docs = spark.createDataFrame([r for r in corpus(7) if r[0] and r[1]], "lang string, text string")
+    one = {r.h for r in phrases.count_hashes(docs, 4).where("f >= 9").collect()}
+    pairs = phrases.count_hashes(docs, 2).where("f >= 9").select("h")
+    longer = phrases.count_hashes(docs, 4, phrases.table_of(spark, pairs))
+    assert {r.h for r in pairs.collect()} | {r.h for r in longer.where("f >= 9").collect()} == one
+    assert 10 * longer.count() < phrases.count_hashes(docs, 4).count()
+
+
+def test_phrases_are_told_apart_by_words_of_any_number():
+    """Numbers of four words in one: also where they pass 64 bits."""
+    r = np.random.default_rng(8)
+    for size in (7, 1 << 16, 1 << 30):
+        ids = (r.integers(0, 3, 400) * (size // 3)).astype(np.int32)
+        at = np.flatnonzero(r.random(390) < 0.7)
+        for length in (1, 2, 3, 4) if size < 1 << 30 else (2, 3, 4):
+            want = {}
+            for i in at.tolist():
+                want[tuple(ids[i:i + length])] = want.get(tuple(ids[i:i + length]), 0) + 1
+            rows, first, count = phrases.distinct(ids, at, length, size)
+            assert dict(zip(map(tuple, rows), count)) == want
+            assert (ids[at[first][:, None] + np.arange(length)] == rows).all()
