@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import written
+from . import boosting
+from .boosting import sparse_parts
 from .matching import fence
 
 SKETCH_FROM = 2_000_000_000  # characters of text from which term counts go through a sketch first
@@ -265,14 +267,15 @@ def text_model(tfidf: TfidfModel, model) -> PipelineModel:
 def train_gbt(train: DataFrame, features: str = "features", label: str = "label", max_iter: int = 100,
               max_depth: int = 6):
     """Boosted trees at the original library's default size (100 rounds of
-    depth 6, learning rate 0.3); positives weighted by neg / pos (scale_pos_weight)."""
+    depth 6, learning rate 0.3); positives weighted by neg / pos (scale_pos_weight).
+    ``boosting`` grows Spark's trees from sparse rows."""
     counts = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts or any(c not in (0, 1) for c in counts):
+        raise ValueError(f"boosted trees need rows labelled 0 or 1, not {sorted(map(str, counts))}")
     pos, neg = counts.get(1, 0), counts.get(0, 0)
-    w = (neg / pos) if pos else 1.0
-    t = train.withColumn("weight", F.when(F.col(label) == 1, F.lit(w)).otherwise(F.lit(1.0)))
     gbt = GBTClassifier(featuresCol=features, labelCol=label, weightCol="weight", maxIter=max_iter,
                         maxDepth=max_depth, stepSize=0.3, seed=42)
-    return gbt.fit(t)
+    return boosting.fit(train, gbt, pos, neg, (neg / pos) if pos else 1.0)
 
 
 def predict_long(df: DataFrame, models: dict, id_col: str = "id", version: str = "v1",
@@ -327,15 +330,6 @@ def _partial_products(rows: DataFrame, features: str, basis: np.ndarray) -> np.n
     return out
 
 
-def sparse_parts(features: str, part: str):
-    """Places ("i") or values ("x") of the entries of a vector that are not 0.
-    A sparse vector is read as it is, never written out in full width."""
-    v = F.unwrap_udt(features)
-    places = F.coalesce(v["indices"], F.sequence(F.lit(0), F.size(v["values"]) - 1))  # a dense vector has none
-    entries = F.filter(F.arrays_zip(places.cast("array<long>").alias("i"), v["values"].alias("x")), lambda e: e["x"] != 0)
-    return F.transform(entries, lambda e: e[part])
-
-
 def semantic_basis(rows: DataFrame, features: str = "features", k: int = 50, extra: int = 10, rounds: int = 4, seed: int = 42) -> np.ndarray:
     """The ``k`` main right singular vectors of the rows' vectors (vocabulary x
     k), by a randomised truncated SVD: a random basis, some rounds of X'X and
